@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, url_reputation
-from .common import labels_of, table
+from . import jaccard_join, packing, quality_classifier, quality_rules, toxicity, url_reputation
+from .common import fold, labels_of, table
 from .sql import SQL
 
 URL_RULES = tuple(
@@ -17,10 +17,33 @@ URL_RULES = tuple(
 )
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _scores(spark: SparkSession, sf_dir: str, classify: Callable, label: str, folds: int, held: int) -> DataFrame:
+    """Scores of all documents, learnt from the labels outside the held-out fold."""
+    of = fold(F.col("doc_id"), folds)
+    scored = classify(table(spark, sf_dir, "documents"), labels_of(table(spark, sf_dir, "labels"), label), of != held)
+    return scored.select("doc_id", F.coalesce(of == held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, quality_classifier.classify, "quality", 5, 0)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, toxicity.classify, "toxic", 4, 2)
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label of the document that its path names: /<lang>/<doc_id>."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
