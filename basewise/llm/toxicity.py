@@ -2,23 +2,26 @@
 
 Non-negative positive-unlabelled learning: with class prior pi the risk of calling text
 clean is taken from unlabelled text less pi times the confirmed toxic part, and where
-that estimate turns negative (over-fitting) its gradient is reversed. The features are
-the distinct lower-cased words of the whole text. The learner sees a bounded sample:
-`most_positive` confirmed documents and about `unlabelled` others, both the least by a
-hash of the id; from these it takes the `features` words that are most over-represented
-among the confirmed ones and fits their weights with numpy. The prior comes from the
-same counts: a word that only toxic text uses appears in unlabelled text pi times as
-often. Every document is then scored over its whole text.
+that estimate turns negative (over-fitting) its gradient is reversed. Features are the
+lower-cased words of the whole text and their beginnings of 4 to 8 letters (insults are
+inflected); a feature's value is how far its count, in logarithms, exceeds what the
+text's length lets one expect. The learner sees a bounded sample: `most_positive`
+confirmed documents and about `unlabelled` others, both the least by a hash of the id.
+Spark counts the features over that sample and keeps the `features` that are most
+over-represented among the confirmed documents; numpy fits their weights. The prior comes
+from the same counts: a word that only toxic text uses appears in unlabelled text pi
+times as often. Every document is then scored over its whole text.
 
 Defined cases: null and empty texts have no word and get the score of the bias alone;
 a document with a null id is scored, never learnt from; repeated ids each count; without
-a confirmed document every score is 0.
+a confirmed document, or without a telling feature, every score is 0.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 WORDS = re.compile(r"[^\W\d_]{2,40}")
 
 
@@ -34,109 +39,151 @@ WORDS = re.compile(r"[^\W\d_]{2,40}")
 class Params:
     most_positive: int = 6_000
     unlabelled: int = 12_000
-    features: int = 256
-    least_support: int = 5
-    steps: int = 400
+    features: int = 512
+    least_support: int = 3
+    steps: int = 500
     rate: float = 0.1
-    ridge: float = 1e-4
+    ridge: float = 1e-2
     cut: float = 0.3
 
 
 class _Codes(dict):
-    """crc32 of a word; forgets all when it has grown large."""
+    """word -> codes of its features, of those in `only` if given; forgets all when it has grown large."""
+
+    def __init__(self, only: dict[int, int] | None = None) -> None:
+        super().__init__()
+        self.only = only
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 200_000:
             self.clear()
-        self[word] = code = zlib.crc32(word.encode())
-        return code
+        codes = [zlib.crc32(word.encode()), *(zlib.crc32(f"{word[:n]}*".encode()) for n in range(4, 9) if n <= len(word))]
+        if self.only is not None:
+            codes = [self.only[c] for c in codes if c in self.only]
+        self[word] = found = tuple(codes)
+        return found
 
 
-def word_codes(text: str, codes: _Codes) -> list[int]:
-    return [codes[w] for w in set(WORDS.findall(text.lower()))]
+def _counted(text: str, codes: _Codes) -> tuple[Counter, int]:
+    words = WORDS.findall(text.lower())
+    return Counter(c for w in words for c in codes[w]), len(words)
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[int, float]
+    """columns: code -> column; rates: occurrences of each column's feature in a word of unlabelled text."""
+
+    columns: dict[int, int]
+    rates: np.ndarray
+    weights: np.ndarray
     bias: float
     prior: float
 
+    def value(self, counts: Counter, words: int) -> float:
+        return self.bias + sum(self.weights[j] * _excess(n, self.rates[j], words) for j, n in counts.items())
+
+
+def _excess(n: float, rate: float, words: float) -> float:
+    return max(0.0, np.log1p(n) - np.log1p(rate * words))
+
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], p: Params = Params()) -> Model:
-    """positive, unlabelled: the word codes of each sampled document."""
-    if not positive or not unlabelled:
-        return Model({}, -40.0, 0.0)
-    codes, counts = np.unique(np.concatenate(positive), return_counts=True)
-    ucodes, ucounts = np.unique(np.concatenate(unlabelled), return_counts=True)
-    at = np.searchsorted(ucodes, codes).clip(max=len(ucodes) - 1)
-    there = np.where(ucodes[at] == codes, ucounts[at], 0)
-    share, ushare = (counts + 0.5) / (len(positive) + 1), (there + 0.5) / (len(unlabelled) + 1)
-    z = (share - ushare) / np.sqrt(share * (1 - share) / len(positive) + ushare * (1 - ushare) / len(unlabelled))
-    z[counts < p.least_support] = -np.inf
-    order = np.argsort(-z, kind="stable")[: p.features]
-    order = order[z[order] > 3]
-    if not len(order):
-        return Model({}, -40.0, 0.0)
-    chosen = np.sort(codes[order])
-    prior = float(np.clip(np.median((ushare / share)[order[:15]]), 0.001, 0.5))
-
-    def matrix(rows: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(rows), len(chosen)), np.float32)
-        for i, r in enumerate(rows):
-            j = np.searchsorted(chosen, r).clip(max=len(chosen) - 1)
-            x[i, j[chosen[j] == r]] = 1
-        return x
-
-    xp, xu = matrix(positive), matrix(unlabelled)
-    w, b = np.zeros(len(chosen), np.float32), 0.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+NONE = Model({}, np.zeros(0), np.zeros(0), -40.0, 0.0)
+
+
+def fit_weights(xp: np.ndarray, xu: np.ndarray, prior: float, p: Params = Params()) -> tuple[np.ndarray, float]:
+    """Weights and bias of least non-negative risk; xp, xu: feature values of confirmed and of unlabelled rows."""
+    w, b = np.zeros(xp.shape[1], np.float32), -2.0
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    of = lambda x, g: np.append(x.T @ g.astype(np.float32), g.sum())
     for step in range(1, p.steps + 1):
         sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
-        # logistic loss: as toxic -log s, as clean -log(1 - s)
+        # logistic loss: -log s as toxic, -log(1 - s) as clean
         clean = -np.log1p(-su.clip(max=1 - 1e-7)).mean() + prior * np.log1p(-sp.clip(max=1 - 1e-7)).mean()
-        of = lambda x, g: np.append(x.T @ g, g.sum())
         toxic_part = of(xp, prior * (sp - 1) / len(sp))
         clean_part = of(xu, su / len(su)) - of(xp, prior * sp / len(sp))
         g = toxic_part + clean_part if clean >= 0 else -clean_part
-        g[:-1] += p.ridge * w
+        g[:-1] += p.ridge * w * prior
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = (w - change[:-1]).astype(np.float32), b - change[-1]
-    return Model(dict(zip(chosen.tolist(), w.tolist(), strict=True)), float(b), prior)
+        w, b = (w - change[:-1]).astype(np.float32), float(b - change[-1])
+    return w, b
 
 
-def _sample(docs: DataFrame, labels: DataFrame, learn: Column, p: Params) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The word codes of at most `most_positive` confirmed and about `unlabelled` other documents: a bounded sample, by a hash of the id."""
+def _sample(docs: DataFrame, labels: DataFrame, learn: Column, p: Params) -> DataFrame:
+    """(positive, text) of at most `most_positive` confirmed and about `unlabelled` other documents: a bounded sample, by a hash of the id."""
     h = F.xxhash64("doc_id")
     chosen = F.broadcast(labels.where(learn & (F.col("label") == 1)).orderBy(h, "doc_id").limit(p.most_positive).select("doc_id", F.lit(True).alias("_positive")))
     share = min(1.0, p.unlabelled / max(1, docs.count()))
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id", "left")
     rows = rows.select(F.coalesce("_positive", F.lit(False)).alias("positive"), "text", F.pmod(h, F.lit(1 << 20)).alias("_h"))
-    rows = rows.where(F.col("positive") | (F.col("_h") < int(share * (1 << 20)))).select("positive", "text")
+    return rows.where(F.col("positive") | (F.col("_h") < int(share * (1 << 20)))).select("positive", "text")
+
+
+def _feature_counts(sample: DataFrame) -> DataFrame:
+    """(code, p, u, n): confirmed and unlabelled documents with the feature, and its occurrences in unlabelled ones; added up by task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
+        codes, docs, times = _Codes(), (Counter(), Counter()), Counter()
         for b in batches:
-            packed = [np.array(word_codes(t, codes), np.uint32).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["positive", "codes"])
+            for positive, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts, _ = _counted(text, codes)
+                docs[positive].update(counts.keys())
+                if not positive:
+                    times.update(counts)
+        found = list(docs[0].keys() | docs[1].keys())
+        for k in range(0, len(found), 50_000):
+            part = found[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for c in part] if x is not None else part, pa.int64()) for x in (None, docs[1], docs[0], times)], ["code", "p", "u", "n"])
+
+    rows = sample.mapInArrow(run, "code long, p long, u long, n long")
+    return rows.groupBy("code").agg(F.sum("p").alias("p"), F.sum("u").alias("u"), F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params()) -> Model:
+    sample = stash(_sample(docs, labels, learn, p), "toxicity-sample")
+    sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}  # two rows
+    np_, nu = sizes.get(True, 0), sizes.get(False, 0)
+    if not np_ or not nu:
+        return NONE
+    share, ushare = (F.col("p") + 0.5) / (np_ + 1), (F.col("u") + 0.5) / (nu + 1)
+    z = (share - ushare) / F.sqrt(share * (1 - share) / np_ + ushare * (1 - ushare) / nu)
+    top = _feature_counts(sample).where(F.col("p") >= p.least_support).select("code", "n", z.alias("z"), (ushare / share).alias("ratio"))
+    top = top.where("z > 2").orderBy(F.desc("z"), "code").limit(p.features).collect()
+    if not top:
+        return NONE
+    columns = {r["code"]: j for j, r in enumerate(top)}
+    prior = float(np.clip(np.quantile([r["ratio"] for r in top[:30]], 0.25), 0.001, 0.5))
 
-    positive, unlabelled = [], []
-    for r in rows.mapInArrow(run, "positive boolean, codes binary").toLocalIterator():
-        (positive if r["positive"] else unlabelled).append(np.frombuffer(bytes(r["codes"]), np.uint32))
-    return positive[: p.most_positive], unlabelled
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(columns)
+        for b in batches:
+            found = [_counted(t, codes) for t in b.column(1).to_pylist()]
+            at, n = [list(c.keys()) for c, _ in found], [list(c.values()) for c, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([k for _, k in found], pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64()))], ["positive", "words", "at", "n"]
+            )
+
+    rows = sample.mapInArrow(run, "positive boolean, words long, at array<long>, n array<long>").toPandas()  # bounded by the sample
+    total = max(1, rows["words"][~rows["positive"]].sum())
+    rates = np.array([r["n"] for r in top]) / total
+    x = np.zeros((len(rows), len(top)), np.float32)
+    for i, (words, at, n) in enumerate(zip(rows["words"], rows["at"], rows["n"], strict=True)):
+        if len(at):
+            x[i, at] = np.maximum(0, np.log1p(np.asarray(n)) - np.log1p(rates[at] * words))
+    positive = rows["positive"].to_numpy()
+    weights, bias = fit_weights(x[positive], x[~positive], prior, p)
+    return Model(columns, rates, weights, bias, prior)
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params()) -> DataFrame:
     """(doc_id, score, predicted) for every row of docs (doc_id, text); labels: (doc_id, label), learnt from where `learn` holds."""
-    model = fit(*_sample(docs, labels, learn, p), p)
-    weights, bias, cut = model.weights, model.bias, p.cut
+    model, cut = fit(docs, labels, learn, p), p.cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
+        codes = _Codes(model.columns)
         for b in batches:
-            z = np.array([bias + sum(weights.get(c, 0.0) for c in word_codes(t, codes)) for t in b.column(1).to_pylist()])
+            z = np.array([model.value(*_counted(t, codes)) for t in b.column(1).to_pylist()], np.float64)
             s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
