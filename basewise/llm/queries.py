@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, packing, quality_classifier, quality_rules, toxicity, url_reputation
-from .common import fold, labels_of, table
+from . import bpe_tree, jaccard_join, language_id, packing, quality_classifier, quality_rules, stable_ann, token_files, toxicity, url_reputation
+from .common import fold, labels_of, shared_dir, table
 from .sql import SQL
 
 URL_RULES = tuple(
@@ -21,6 +23,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+#: Folder of the tokenizers' vocabularies; the same on every machine.
+TOKENIZERS = "/opt/tokenizers"
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold(F.col("doc_id"), 5) == 0
+    found = language_id.identify(table(spark, sf_dir, "documents"), ~held)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def _scores(spark: SparkSession, sf_dir: str, classify: Callable, label: str, folds: int, held: int) -> DataFrame:
     """Scores of all documents, learnt from the labels outside the held-out fold."""
     of = fold(F.col("doc_id"), folds)
@@ -44,6 +56,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, toxicity.classify, "toxic", 4, 2)
 
 
+def op7_bpe_tree(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return bpe_tree.digests(table(spark, sf_dir, "documents"), bpe_tree.Params(str(Path(tokenizers, "byte_bpe_50k.json"))))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label of the document that its path names: /<lang>/<doc_id>."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -53,6 +69,16 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge_urls(pages, outcomes, URL_RULES)
 
 
+def op9_stable_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stable_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, token_files.Params(str(Path(tokenizers, "word_bpe_49k.json"))))
+    return token_files.read(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
