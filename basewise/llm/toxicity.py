@@ -40,10 +40,11 @@ class Params:
     most_positive: int = 6_000
     unlabelled: int = 12_000
     features: int = 512
-    least_support: int = 3
+    least_support: int = 4
     steps: int = 500
     rate: float = 0.1
-    ridge: float = 1e-2
+    #: Divided by the number of confirmed documents.
+    ridge: float = 4.0
     cut: float = 0.3
 
 
@@ -55,7 +56,7 @@ class _Codes(dict):
         self.only = only
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         codes = [zlib.crc32(word.encode()), *(zlib.crc32(f"{word[:n]}*".encode()) for n in range(4, 9) if n <= len(word))]
         if self.only is not None:
@@ -103,7 +104,7 @@ def fit_weights(xp: np.ndarray, xu: np.ndarray, prior: float, p: Params = Params
         toxic_part = of(xp, prior * (sp - 1) / len(sp))
         clean_part = of(xu, su / len(su)) - of(xp, prior * sp / len(sp))
         g = toxic_part + clean_part if clean >= 0 else -clean_part
-        g[:-1] += p.ridge * w * prior
+        g[:-1] += p.ridge / len(xp) * w * prior
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = (w - change[:-1]).astype(np.float32), float(b - change[-1])
@@ -123,6 +124,10 @@ def _sample(docs: DataFrame, labels: DataFrame, learn: Column, p: Params) -> Dat
 def _feature_counts(sample: DataFrame) -> DataFrame:
     """(code, p, u, n): confirmed and unlabelled documents with the feature, and its occurrences in unlabelled ones; added up by task first."""
 
+    def rows_of(docs: tuple[Counter, Counter], times: Counter) -> pa.RecordBatch:
+        found = list(docs[0].keys() | docs[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (found, *([c[k] for k in found] for c in (docs[1], docs[0], times)))], ["code", "p", "u", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, docs, times = _Codes(), (Counter(), Counter()), Counter()
         for b in batches:
@@ -131,10 +136,10 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
                 docs[positive].update(counts.keys())
                 if not positive:
                     times.update(counts)
-        found = list(docs[0].keys() | docs[1].keys())
-        for k in range(0, len(found), 50_000):
-            part = found[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for c in part] if x is not None else part, pa.int64()) for x in (None, docs[1], docs[0], times)], ["code", "p", "u", "n"])
+                if len(docs[0]) + len(docs[1]) > 200_000:  # what a task holds is bounded; Spark adds the parts up
+                    yield rows_of(docs, times)
+                    docs, times = (Counter(), Counter()), Counter()
+        yield rows_of(docs, times)
 
     rows = sample.mapInArrow(run, "code long, p long, u long, n long")
     return rows.groupBy("code").agg(F.sum("p").alias("p"), F.sum("u").alias("u"), F.sum("n").alias("n"))
@@ -149,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params())
     share, ushare = (F.col("p") + 0.5) / (np_ + 1), (F.col("u") + 0.5) / (nu + 1)
     z = (share - ushare) / F.sqrt(share * (1 - share) / np_ + ushare * (1 - ushare) / nu)
     top = _feature_counts(sample).where(F.col("p") >= p.least_support).select("code", "n", z.alias("z"), (ushare / share).alias("ratio"))
-    top = top.where("z > 2").orderBy(F.desc("z"), "code").limit(p.features).collect()
+    top = top.where("z > 3.5").orderBy(F.desc("z"), "code").limit(p.features).collect()
     if not top:
         return NONE
     columns = {r["code"]: j for j, r in enumerate(top)}
