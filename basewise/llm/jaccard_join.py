@@ -214,7 +214,7 @@ def _verify(unit: list[dict], sets: list[np.ndarray], i: int, j: int, threshold:
 def verified_links(docs: DataFrame, members: DataFrame, p: Params) -> DataFrame:
     """(node, doc_id, root, links, blocks) for each unit of each member (node, doc_id, size, group)."""
     rows = in_blocks(members, ["group"], "node", p.group_block, F.col("size"), p.block_shingles)
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(rows, "doc_id")
+    texts = docs.where("doc_id is not null").select("doc_id", "text").join(rows.hint("merge"), "doc_id")
     unit = ["group", "_i", "_j"]
     rows = _units(texts).select(*unit, "_blocks", "_own", "node", "doc_id", "text").repartition(*unit).sortWithinPartitions(*unit, "node")
     threshold = p.threshold
