@@ -1,3 +1,81 @@
-"""DuckDB SQL of the operators that SQL can express."""
+"""DuckDB SQL of the operators that SQL can express, written from their definitions."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+_WORD = r"[^\x20\x09-\x0D]"
+_MEASURES = {
+    "word_length": ("word_chars * 1000000 // greatest(n_words, 1)", 500_000, True),
+    "symbols": ("n_symbols * 1000000 // greatest(word_chars, 1)", 10_000, False),
+    "dup_lines": ("n_dup_lines * 1000000 // greatest(n_lines, 1)", 100_000, False),
+    "repeats": ("n_repeat_words * 1000000 // greatest(n_words, 1)", 60_000, False),
+}
+
+
+def _limits(measure: str, least: int) -> str:
+    """(lang, source, low, high) of a measure."""
+    levels = []
+    for name, keys in (("own", "lang, source"), ("by_lang", "lang"), ("whole", "1 AS one")):
+        group = keys.replace(" AS one", "")
+        part = f"PARTITION BY {group}" if name != "whole" else ""
+        levels.append(
+            f"{name} AS (SELECT {keys}, max(total) AS total, min(v) FILTER (upto * 4 >= total) AS q1, min(v) FILTER (upto * 4 >= total * 3) AS q3 FROM ("
+            f"SELECT *, sum(n) OVER ({part} ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({part}) AS total FROM ("
+            f"SELECT {'lang, source, ' if name == 'own' else 'lang, ' if name == 'by_lang' else ''}({measure} >> s) << s AS v, count(*) AS n FROM (SELECT *, greatest(length(bin({measure})) - 6, 0) AS s FROM measured) GROUP BY ALL)) GROUP BY {'ALL' if name != 'whole' else '1'})"
+        )
+    pick = lambda q: f"CASE WHEN own.total >= 200 THEN own.{q} WHEN by_lang.total >= 200 THEN by_lang.{q} ELSE whole.{q} END"
+    return (
+        f"WITH {', '.join(levels)} SELECT lang, source, q1 - 3 * greatest(q3 - q1, {least}) AS low, q3 + 3 * greatest(q3 - q1, {least}) AS high FROM ("
+        f"SELECT own.lang, own.source, {pick('q1')} AS q1, {pick('q3')} AS q3 FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang, whole)"
+    )
+
+
+def _quality_rules() -> str:
+    limits = ", ".join(f"l_{m} AS ({_limits(m, least)})" for m, (_, least, _) in _MEASURES.items())
+    joins = " ".join(f"JOIN l_{m} ON measured.lang IS NOT DISTINCT FROM l_{m}.lang AND measured.source IS NOT DISTINCT FROM l_{m}.source" for m in _MEASURES)
+    inside = " AND ".join(f"{m} <= l_{m}.high" + (f" AND {m} >= l_{m}.low" if both else "") for m, (_, _, both) in _MEASURES.items())
+    return rf"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS words FROM documents),
+lined AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM texts),
+grams AS (SELECT rid, p, array_to_string(words[p:p + 4], ' ') AS gram FROM texts, unnest(range(1, greatest(len(words) - 3, 1))) t(p)),
+twice AS (SELECT rid, p FROM grams QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+repeated AS (SELECT rid, count(DISTINCT p + i) AS n FROM twice, (VALUES (0), (1), (2), (3), (4)) o(i) GROUP BY rid),
+counted AS (SELECT doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM lined LEFT JOIN repeated USING (rid)),
+measured AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(f"CAST({e} AS BIGINT) AS {m}" for m, (e, _, _) in _MEASURES.items())} FROM counted),
+{limits}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept, n_lines, {", ".join(_MEASURES)} FROM measured {joins}"""
+
+
+_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def _url_filters() -> str:
+    by_length = sorted(_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in by_length]
+    case = lambda i, other: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) + f" ELSE {other} END"
+    k = lambda level: (
+        f"(SELECT CASE WHEN coalesce(sum((n - 1) * v), 0) = 0 OR sum(n * d * d) - sum(v) <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, round(sum((n - 1) * v) / (sum(n * d * d) - sum(v)) - 1))) END "
+        f"FROM (SELECT CAST(n AS DOUBLE) AS n, y / CAST(n AS DOUBLE) - py / CAST(pn AS DOUBLE) AS d, py / CAST(pn AS DOUBLE) * (1 - py / CAST(pn AS DOUBLE)) AS v FROM {level} WHERE n > 0))"
+    )
+    post = lambda level: f"SELECT *, (y + k * prior) / (n + k) AS rate, n + k AS m FROM {level}, (SELECT {k(level)} AS k)"
+    return rf"""
+WITH parts AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+good AS (SELECT doc_id, min(quality) AS label FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
+seen AS (SELECT host, label FROM (SELECT host, TRY_CAST(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1) AS BIGINT) AS doc_id FROM parts) JOIN good USING (doc_id)),
+counted AS (SELECT host, coalesce(sum(label), 0) AS y, count(label) AS n FROM (SELECT host, label FROM seen UNION ALL SELECT DISTINCT host, NULL FROM parts) GROUP BY host),
+cut AS (SELECT *, string_split(host, '.') AS p, regexp_matches(host, '^[0-9.:\[\]]*$') AS numeric FROM counted),
+named AS (SELECT host, y, n, CASE WHEN numeric OR len(p) < 2 THEN host WHEN long AND len(p) < 3 THEN host WHEN long THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
+  CASE WHEN numeric OR len(p) < 2 THEN host WHEN long THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix
+  FROM (SELECT *, len(p) >= 2 AND array_to_string(p[-2:], '.') IN ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'org.uk') AS long FROM cut)),
+domains AS (SELECT domain, min(suffix) AS suffix, sum(y) AS y, sum(n) AS n FROM named GROUP BY domain),
+suffixes AS (SELECT suffix, sum(y) AS y, sum(n) AS n FROM domains GROUP BY suffix),
+total AS (SELECT sum(y) AS py, sum(n) AS pn, CASE WHEN sum(n) > 0 THEN sum(y) / CAST(sum(n) AS DOUBLE) ELSE 0.9 END AS prior FROM suffixes),
+s0 AS (SELECT suffix, y, n, py, pn, prior FROM suffixes, total), s1 AS ({post('s0')}),
+d0 AS (SELECT domain, d.y, d.n, s1.y AS py, s1.n AS pn, s1.rate AS prior FROM domains d JOIN s1 USING (suffix)), d1 AS ({post('d0')}),
+h0 AS (SELECT host, h.y, h.n, d1.y AS py, d1.n AS pn, d1.rate AS prior FROM named h JOIN d1 USING (domain)), h1 AS ({post('h0')}),
+judged AS (SELECT host, rate, rate + 1.645 * sqrt(rate * (1 - rate) / (m + 1)) AS bound FROM h1)
+SELECT page_id, host, path, {case(1, 'NULL')} AS rule, {case(2, "CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END")} AS verdict, round(rate, 9) AS host_rate, round(bound, 9) AS host_bound FROM parts JOIN judged USING (host)"""
+
+
+SQL: dict[str, str] = {"op2_quality_rules": _quality_rules(), "op8_url_filters": _url_filters()}

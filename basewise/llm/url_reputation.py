@@ -149,4 +149,4 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], r:
     known = known.select("host", F.col("rate").alias("host_rate"), F.col("bound").alias("host_bound"), "allowed")
     judged = p.join(known, "host", "left")
     verdict = F.coalesce("_verdict", F.when(F.col("allowed"), "allow").otherwise("block"))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "host_rate", "host_bound")
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("host_rate", 9).alias("host_rate"), F.round("host_bound", 9).alias("host_bound"))
