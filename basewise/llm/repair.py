@@ -12,6 +12,7 @@ every `step`-th symbol of the rewritten sequence, the number of ids before it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -20,10 +21,12 @@ import numpy as np
 class Params:
     terminals: int
     #: Symbols fit in 16 bits, which bounds the rules of a shard.
-    symbols: int = 1 << 16
+    symbols: int = 65_536
+    #: Pairs of one round at most; their halves index a table.
+    round: int = 4_096
     least: int = 8
     #: A round takes pairs at least this share as frequent as its most frequent one.
-    share: float = 0.1
+    share: float = 0.05
     step: int = 1024
 
 
@@ -36,22 +39,31 @@ class Grammar:
     marks: np.ndarray
     step: int
 
+    @cached_property
+    def _flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expansions of all symbols in a row, where each begins and its length."""
+        n = np.concatenate([np.ones(self.terminals, np.int64), self.lengths.astype(np.int64)])
+        begin = np.cumsum(n) - n
+        flat = np.empty(int(n.sum()), np.int32)
+        flat[: self.terminals] = np.arange(self.terminals)
+        at, size = begin.tolist(), n.tolist()
+        for r, (a, b) in enumerate(self.rules.tolist(), self.terminals):  # a rule only names earlier ones
+            here, there = at[r], at[r] + size[a]
+            flat[here:there] = flat[at[a] : at[a] + size[a]]
+            flat[there : there + size[b]] = flat[at[b] : at[b] + size[b]]
+        return flat, begin, n
+
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that symbols stand for; each turn unfolds one level of all of them."""
-        x = symbols.astype(np.int64)
-        while (deep := x >= self.terminals).any():
-            width = 1 + deep
-            at = np.cumsum(width) - width
-            out = np.empty(int(width.sum()), np.int64)
-            out[at] = np.where(deep, self.rules[np.where(deep, x - self.terminals, 0), 0] if len(self.rules) else 0, x)
-            out[at[deep] + 1] = self.rules[x[deep] - self.terminals, 1]
-            x = out
-        return x
+        """The ids that symbols stand for."""
+        flat, begin, n = self._flat
+        width = n[symbols]
+        ends = np.cumsum(width)
+        return flat[np.repeat(begin[symbols] - (ends - width), width) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """ids start:stop, without expanding what lies outside but for a part of a step."""
         if stop <= start:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.int32)
         lo = (int(np.searchsorted(self.marks, start, "right")) - 1) * self.step
         hi = min(len(self.sequence), int(np.searchsorted(self.marks, stop, "left")) * self.step)
         before = int(self.marks[lo // self.step])
@@ -61,10 +73,10 @@ class Grammar:
 def grammar_of(ids: np.ndarray, p: Params) -> Grammar:
     if len(ids) and int(ids.max()) >= p.terminals:
         raise ValueError("an id is not a terminal")
-    x = ids.astype(np.uint32)
+    x = ids.astype(np.uint16)
     rules = np.empty((0, 2), np.int64)
     while len(x) > 1 and p.terminals + len(rules) < p.symbols:
-        pairs = _frequent(x, p, p.symbols - p.terminals - len(rules))
+        pairs = _frequent(x, p, min(p.round, p.symbols - p.terminals - len(rules)))
         if not len(pairs):
             break
         x = _replaced(x, pairs, p.terminals + len(rules), p.symbols)
@@ -84,7 +96,7 @@ def _lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
 
 def _frequent(x: np.ndarray, p: Params, room: int) -> np.ndarray:
     """The pairs of a round, in order of frequency."""
-    keys = np.sort((x[:-1] << np.uint32(16)) | x[1:])
+    keys = np.sort((x[:-1].astype(np.uint32) << np.uint32(16)) | x[1:])
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     counts = np.diff(np.append(edge, len(keys)))
     least = max(p.least, int(counts.max() * p.share))
@@ -104,23 +116,23 @@ def _frequent(x: np.ndarray, p: Params, room: int) -> np.ndarray:
 
 
 def _replaced(x: np.ndarray, pairs: np.ndarray, first: int, symbols: int) -> np.ndarray:
-    left, right = np.zeros(symbols, bool), np.zeros(symbols, bool)
-    left[pairs[:, 0]], right[pairs[:, 1]] = True, True
-    at = np.flatnonzero(left[x[:-1]] & right[x[1:]])
-    keys = (pairs[:, 0] << 16) | pairs[:, 1]
-    order = np.argsort(keys)
-    found = (x[at].astype(np.int64) << 16) | x[at + 1]
-    k = np.searchsorted(keys[order], found).clip(max=len(keys) - 1)
-    hit = keys[order][k] == found
-    at, k = at[hit], order[k[hit]]
+    # rule of a pair by the ranks of its halves among the round's left and right halves; rank and rule 0 are none
+    lefts, i = np.unique(pairs[:, 0], return_inverse=True)
+    rights, j = np.unique(pairs[:, 1], return_inverse=True)
+    left, right = np.zeros(symbols, np.int32), np.zeros(symbols, np.int32)
+    width = len(rights) + 1
+    left[lefts], right[rights] = np.arange(1, len(lefts) + 1) * width, np.arange(1, width)
+    rule = np.zeros((len(lefts) + 1) * width, np.uint16)
+    rule[(i + 1) * width + j + 1] = np.arange(1, len(pairs) + 1)
+    found = rule[left[x[:-1]] + right[x[1:]]]
+    at = np.flatnonzero(found)
     same = x[at] == x[at + 1]
     if same.any():  # of a run of one symbol, every second place
         run = np.concatenate([[True], (np.diff(at) != 1) | ~same[1:] | ~same[:-1]])
         start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        keep = ~same | ((np.arange(len(at)) - start) % 2 == 0)
-        at, k = at[keep], k[keep]
+        at = at[~same | ((np.arange(len(at)) - start) % 2 == 0)]
     out = x.copy()
-    out[at] = first + k
+    out[at] = first - 1 + found[at]
     gone = np.ones(len(x), bool)
     gone[at + 1] = False
     return out[gone]

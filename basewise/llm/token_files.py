@@ -16,6 +16,7 @@ first; rows with equal ids follow each other by a hash of their text.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,28 +43,85 @@ class Params:
     end: int = 1
     terminals: int = 49_408
     shard: int = 1 << 20
-    cache: int = 400_000
+    cache: int = 700_000
+
+
+#: Texts of these characters only, where Python's letters, digits, blanks and lower case are the library's.
+PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]*")
+#: The splitter of the vocabulary file, for such texts in lower case.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[^\W_]|(?:[^\w\s]|_)+")
+_words: dict[Params, Words] = {}
 
 
 class Words:
-    """Ids of texts through the tokenizers library, by words between blanks: its normaliser and splitter treat each on its own."""
+    """Ids of texts through the tokenizers library, as bytes of 16-bit numbers.
+
+    The normaliser and the splitter of a word-end vocabulary treat words between blanks
+    on their own, and within a word the pieces of the splitter. Both levels are cached;
+    new pieces of letters go to the library many at once, joined by blanks, and are told
+    apart by the tokens that end a word. Words with other characters go there as they are.
+    """
 
     def __init__(self, p: Params) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.most = Tokenizer.from_file(p.tokenizer), {}, p.cache
+        self.library, self.p = Tokenizer.from_file(p.tokenizer), p
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = set(chain.from_iterable(cut)) - known.keys()
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = set(chain.from_iterable(cut))
-        new = list(new)
-        known.update(zip(new, (tuple(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, own))) for own in cut]
+    @classmethod
+    def of(cls, p: Params) -> Words:
+        """One for each Python worker, whatever the number of its tasks."""
+        if p not in _words:
+            _words.clear()
+            _words[p] = cls(p)
+        return _words[p]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        cut = [(t.lower() if p else t).replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
+        out: list[bytes | None] = []
+        for p, own in zip(plain, cut, strict=True):
+            try:
+                out.append(b"".join(map((self.words if p else self.others).__getitem__, own)))
+            except KeyError:
+                out.append(None)
+        open_texts = [i for i, x in enumerate(out) if x is None]
+        for kind, known, learn in ((True, self.words, self._learn), (False, self.others, self._learn_others)):
+            own = [i for i in open_texts if plain[i] == kind]
+            if own and len(known) > self.p.cache:
+                known.clear()
+            learn({w for i in own for w in cut[i] if w not in known})
+            for i in own:
+                out[i] = b"".join(map(known.__getitem__, cut[i]))
+        return [np.frombuffer(x, np.uint16) for x in out]
+
+    def _learn_others(self, new: set[str]) -> None:
+        words = list(new)
+        self.others.update((w, np.array(e.ids, np.uint16).tobytes()) for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        plain = {w: PIECES.findall(w) for w in new}
+        if len(self.pieces) > self.p.cache:
+            self.pieces.clear()
+        pieces = {x for own in plain.values() for x in own if x not in self.pieces}
+        letters = [x for x in pieces if x.isalpha()]
+        signs = [x for x in pieces if not x.isalpha()]
+        for x, e in zip(signs, self.library.encode_batch_fast(signs, add_special_tokens=False), strict=True):
+            self.pieces[x] = np.array(e.ids, np.uint16).tobytes()
+        for k in range(0, len(letters), 200):
+            part = letters[k : k + 200]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            stops = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.pieces.update((x, raw[lo:hi]) for x, lo, hi in zip(part, [0, *stops[:-1]], stops, strict=True))
+        get = self.pieces.__getitem__
+        self.words.update((w, b"".join(map(get, own))) for w, own in plain.items())
 
 
 def _row(part: int, serial: int, ids: list, lengths: list, tokens: np.ndarray, p: Params) -> dict:
@@ -81,17 +139,16 @@ def write(docs: DataFrame, path: str, p: Params) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        words, part, serial = Words(p), TaskContext.get().partitionId(), 0
+        words, part, serial, end = Words.of(p), TaskContext.get().partitionId(), 0, np.array([p.end], np.uint16)
         ids, lengths, held, size = [], [], [], 0
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 b = whole.slice(k, 500)
                 for i, own in zip(b.column(0).to_pylist(), words.encode_all(b.column(1).to_pylist()), strict=True):
-                    own.append(p.end)
                     ids.append(i)
-                    lengths.append(len(own))
-                    held.append(np.array(own, np.uint32))
-                    size += len(own)
+                    lengths.append(len(own) + 1)
+                    held += [own, end]
+                    size += len(own) + 1
                     if size >= p.shard:
                         yield pa.RecordBatch.from_pylist([_row(part, serial, ids, lengths, np.concatenate(held), p)], ARROW)
                         ids, lengths, held, size, serial = [], [], [], 0, serial + 1
