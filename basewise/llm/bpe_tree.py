@@ -43,7 +43,7 @@ class Params:
     tokenizer: str
     leaf: int = 8192
     window: int = 16
-    cache: int = 300_000
+    cache: int = 500_000
     #: Longer words are encoded each time they occur.
     cached_chars: int = 48
 
@@ -55,6 +55,9 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+_encoders: dict[Params, Encoder] = {}
+
+
 class Encoder:
     def __init__(self, p: Params) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,6 +77,14 @@ class Encoder:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.words: dict[str, tuple[int, ...]] = {}
 
+    @classmethod
+    def of(cls, p: Params) -> Encoder:
+        """One for each Python worker, whatever the number of its tasks."""
+        if p not in _encoders:
+            _encoders.clear()
+            _encoders[p] = cls(p)
+        return _encoders[p]
+
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
@@ -108,11 +119,9 @@ class Encoder:
         """Plain encodings; unknown short words of all leaves go to the library at once."""
         cut = [CUT.split(x) for x in leaves]
         words, most = self.words, self.p.cached_chars
-        new = {w for own in cut for w in own} - words.keys()
-        if len(words) + len(new) > self.p.cache:
+        if len(words) > self.p.cache:
             words.clear()
-            new = {w for own in cut for w in own}
-        new = sorted(new)
+        new = sorted({w for own in cut for w in own if w not in words})
         found = self.library.encode_batch_fast(new, add_special_tokens=False)
         long = {}
         for w, e in zip(new, found, strict=True):
@@ -191,7 +200,7 @@ def digests(docs: DataFrame, p: Params) -> DataFrame:
 
 def _encoded(docs: DataFrame, p: Params, schema: str, of, kinds: tuple) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(p)
+        encoder = Encoder.of(p)
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 b = whole.slice(k, 500)
