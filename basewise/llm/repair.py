@@ -51,14 +51,16 @@ class Grammar:
             here, there = at[r], at[r] + size[a]
             flat[here:there] = flat[at[a] : at[a] + size[a]]
             flat[there : there + size[b]] = flat[at[b] : at[b] + size[b]]
-        return flat, begin, n
+        return flat, begin.astype(np.int32), n.astype(np.int32)
 
     def expanded(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that symbols stand for."""
         flat, begin, n = self._flat
         width = n[symbols]
-        ends = np.cumsum(width)
-        return flat[np.repeat(begin[symbols] - (ends - width), width) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ends = np.cumsum(width, dtype=np.int32)
+        places = np.repeat(begin[symbols] - (ends - width), width)
+        places += np.arange(len(places), dtype=np.int32)
+        return flat[places]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """ids start:stop, without expanding what lies outside but for a part of a step."""
@@ -124,15 +126,17 @@ def _replaced(x: np.ndarray, pairs: np.ndarray, first: int, symbols: int) -> np.
     left[lefts], right[rights] = np.arange(1, len(lefts) + 1) * width, np.arange(1, width)
     rule = np.zeros((len(lefts) + 1) * width, np.uint16)
     rule[(i + 1) * width + j + 1] = np.arange(1, len(pairs) + 1)
-    found = rule[left[x[:-1]] + right[x[1:]]]
-    at = np.flatnonzero(found)
+    at = np.flatnonzero((left > 0)[x[:-1]] & (right > 0)[x[1:]])
+    found = rule[left[x[at]] + right[x[at + 1]]]
+    at, found = at[found > 0], found[found > 0]
     same = x[at] == x[at + 1]
     if same.any():  # of a run of one symbol, every second place
         run = np.concatenate([[True], (np.diff(at) != 1) | ~same[1:] | ~same[:-1]])
         start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        at = at[~same | ((np.arange(len(at)) - start) % 2 == 0)]
+        keep = ~same | ((np.arange(len(at)) - start) % 2 == 0)
+        at, found = at[keep], found[keep]
     out = x.copy()
-    out[at] = first - 1 + found[at]
+    out[at] = first - 1 + found
     gone = np.ones(len(x), bool)
     gone[at + 1] = False
     return out[gone]

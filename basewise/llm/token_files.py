@@ -18,7 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -42,8 +42,9 @@ class Params:
     tokenizer: str
     end: int = 1
     terminals: int = 49_408
-    shard: int = 1 << 20
-    cache: int = 700_000
+    shard: int = 1 << 21
+    #: Words that a worker remembers, and four times as many as it does their pieces.
+    cache: int = 1_000_000
 
 
 #: Texts of these characters only, where Python's letters, digits, blanks and lower case are the library's.
@@ -53,13 +54,28 @@ PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[^\W_]|(?:[^\w\s]|_)+")
 _words: dict[Params, Words] = {}
 
 
+class Cache(dict):
+    """Forgets all once it has more than `most` entries."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most = most
+
+    def bound(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        return list({k for k in keys if k not in self})
+
+
 class Words:
     """Ids of texts through the tokenizers library, as bytes of 16-bit numbers.
 
     The normaliser and the splitter of a word-end vocabulary treat words between blanks
     on their own, and within a word the pieces of the splitter. Both levels are cached;
     new pieces of letters go to the library many at once, joined by blanks, and are told
-    apart by the tokens that end a word. Words with other characters go there as they are.
+    apart by the tokens that end a word. Texts with other characters go there word by word.
     """
 
     def __init__(self, p: Params) -> None:
@@ -67,9 +83,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.library, self.p = Tokenizer.from_file(p.tokenizer), p
-        self.words: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.others, self.pieces = Cache(p.cache), Cache(p.cache // 4), Cache(p.cache // 4)
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -85,31 +99,26 @@ class Words:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         cut = [(t.lower() if p else t).replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
-        out: list[bytes | None] = []
-        for p, own in zip(plain, cut, strict=True):
-            try:
-                out.append(b"".join(map((self.words if p else self.others).__getitem__, own)))
-            except KeyError:
-                out.append(None)
-        open_texts = [i for i, x in enumerate(out) if x is None]
+        self.words.bound()
+        self.others.bound()
+        found = [list(map((self.words if p else self.others).get, own)) for p, own in zip(plain, cut, strict=True)]
+        gaps = [[j for j, x in enumerate(own) if x is None] if None in own else [] for own in found]
         for kind, known, learn in ((True, self.words, self._learn), (False, self.others, self._learn_others)):
-            own = [i for i in open_texts if plain[i] == kind]
-            if own and len(known) > self.p.cache:
-                known.clear()
-            learn({w for i in own for w in cut[i] if w not in known})
+            own = [i for i in range(len(cut)) if gaps[i] and plain[i] == kind]
+            if own and (new := known.missing(cut[i][j] for i in own for j in gaps[i])):
+                learn(new)
             for i in own:
-                out[i] = b"".join(map(known.__getitem__, cut[i]))
-        return [np.frombuffer(x, np.uint16) for x in out]
+                for j in gaps[i]:
+                    found[i][j] = known[cut[i][j]]
+        return [np.frombuffer(b"".join(own), np.uint16) for own in found]
 
-    def _learn_others(self, new: set[str]) -> None:
-        words = list(new)
-        self.others.update((w, np.array(e.ids, np.uint16).tobytes()) for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True))
+    def _learn_others(self, new: list[str]) -> None:
+        self.others.update((w, np.array(e.ids, np.uint16).tobytes()) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True))
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         plain = {w: PIECES.findall(w) for w in new}
-        if len(self.pieces) > self.p.cache:
-            self.pieces.clear()
-        pieces = {x for own in plain.values() for x in own if x not in self.pieces}
+        self.pieces.bound()
+        pieces = self.pieces.missing(chain.from_iterable(plain.values()))
         letters = [x for x in pieces if x.isalpha()]
         signs = [x for x in pieces if not x.isalpha()]
         for x, e in zip(signs, self.library.encode_batch_fast(signs, add_special_tokens=False), strict=True):
