@@ -122,28 +122,49 @@ def build_index(vectors: DataFrame, p: Params = Params()) -> tuple[DataFrame, in
     return stash(rows.mapInArrow(run, "block int, n int, top double, ids binary, vectors binary, first binary, low binary, high binary"), "index"), n
 
 
-def _search(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, edges: np.ndarray, low: np.ndarray, high: np.ndarray, top: float, limit: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of the k best of a block for a query q with projection x."""
-    away = np.maximum(0, np.maximum(low - x, x - high))
-    radius = np.square(away).sum(1)
-    leaves = np.argsort(radius, kind="stable")
-    scores, found = np.empty(0), np.empty(0, np.int64)
+def _search(queries: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, edges: np.ndarray, low: np.ndarray, high: np.ndarray, top: float, limit: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, scores) of each query's k best in a block; x are the queries' projections.
+
+    Every query goes through its own order of leaves, in rounds of doubling size; the
+    queries that want a leaf in a round meet it in one product. What is selected is
+    rounded to a fine grid, so that equal vectors tie whatever their place in a product;
+    the scores of the best are then computed pair by pair.
+    """
+    n, leaves = len(queries), len(edges) - 1
+    radius = np.zeros((n, leaves))
+    for j in range(x.shape[1]):
+        radius += np.square(np.maximum(0, np.maximum(low[:, j] - x[:, j : j + 1], x[:, j : j + 1] - high[:, j])))
+    order = np.argsort(radius, axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(leaves)[None, :], axis=1)
+    best, found = np.full((n, k), -np.inf), np.full((n, k), len(ids))
+    by_id = np.argsort(ids, kind="stable")  # places in the order of ids, so that ties go to the smaller one
+    number = np.empty(len(ids), np.int64)
+    number[by_id] = np.arange(len(ids))
     # |q|^2 with the extra coordinate 0, plus the common squared norm
-    both, scale, done, take = float(q @ q) + top * top, max(top * top, 1e-300), 0, 4
-    while done < len(leaves):
-        if len(scores) >= k:
-            kth = max(0.0, both - 2 * np.partition(scores, -k)[-k])
-            if radius[leaves[done]] > max(limit * kth, 1e-9 * scale):
-                break
-        at = np.concatenate([np.arange(edges[j], edges[j + 1]) for j in leaves[done : done + take]])
-        at = at[ids[at] != own]
-        scores, found = np.append(scores, vectors[at] @ q), np.append(found, ids[at])
-        if len(scores) > 8 * k:
-            keep = np.lexsort((found, -scores))[:k]
-            scores, found = scores[keep], found[keep]
-        done, take = done + take, min(2 * take, 64)
-    keep = np.lexsort((found, -scores))[:k]
-    return scores[keep], found[keep]
+    both, scale = np.square(queries).sum(1) + top * top, max(top * top, 1e-300)
+    grid = 1e-12 * max(scale, float(both.max(initial=0)))
+    rows, done, take = np.arange(n), 0, 4
+    while done < leaves and len(rows):
+        wanted = (rank[rows] >= done) & (rank[rows] < done + take)
+        for leaf in np.flatnonzero(wanted.any(0)):
+            r, at = rows[wanted[:, leaf]], slice(edges[leaf], edges[leaf + 1])
+            s = np.rint(queries[r] @ vectors[at].T / grid)
+            s[qids[r][:, None] == ids[at][None, :]] = -np.inf
+            up = s.max(1) >= best[r, -1]
+            if up.any():
+                r = r[up]
+                both_s = np.hstack([best[r], s[up]])
+                both_i = np.hstack([found[r], np.broadcast_to(number[at], (len(r), s.shape[1]))])
+                keep = np.lexsort((both_i, -both_s), axis=1)[:, :k]
+                best[r], found[r] = np.take_along_axis(both_s, keep, 1), np.take_along_axis(both_i, keep, 1)
+        done, take = done + take, 2 * take
+        if done < leaves:
+            kth = np.maximum(0, both[rows] - 2 * grid * best[rows, -1])
+            rows = rows[radius[rows, order[rows, done]] <= np.maximum(limit * kth, 1e-9 * scale)]
+    q, j = np.nonzero(best > -np.inf)
+    place = by_id[found[q, j]]
+    return qids[q], ids[place], np.einsum("ij,ij->i", queries[q], vectors[place])
 
 
 def nearest(rows: DataFrame, is_query: Column, p: Params = Params()) -> DataFrame:
@@ -168,9 +189,8 @@ def nearest(rows: DataFrame, is_query: Column, p: Params = Params()) -> DataFram
                 edges = np.append(np.frombuffer(r["first"], np.int64), len(ids))
                 low, high = (np.frombuffer(r[c]).reshape(len(edges) - 1, -1) for c in ("low", "high"))
                 x = np.column_stack([queries, np.zeros(len(queries))]) @ _projection(queries.shape[1], p)
-                found = [_search(q, i, y, ids, vectors, edges, low, high, r["top"], limit, p.k) for q, i, y in zip(queries, qids.tolist(), x, strict=True)]
-                own = np.repeat(qids, [len(s) for s, _ in found])
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([f for _, f in found])), pa.array(np.concatenate([s for s, _ in found]))], ["query_id", "vec_id", "score"])
+                own, near, scores = _search(queries, qids, x, ids, vectors, edges, low, high, r["top"], limit, p.k)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(near), pa.array(scores)], ["query_id", "vec_id", "score"])
 
     best = packed.join(index, "block").mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
