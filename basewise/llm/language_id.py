@@ -60,8 +60,8 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     pieces: list[tuple[int, str]] = []
     size = 0
     for k, t in enumerate(texts):
-        t = t.lower()
-        for lo in range(0, max(1, len(t)), SLICE):
+        t = f" {t.lower()} "
+        for lo in range(0, len(t), SLICE):
             pieces.append((k, t[lo : lo + SLICE + 3]))
             size += len(pieces[-1][1])
             if size >= SLICE:
@@ -72,10 +72,11 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _codes(pieces: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    c = np.frombuffer("".join(f" {p}    " for _, p in pieces).encode("utf-32-le", "replace"), np.uint32)
-    lengths = np.array([len(p) + 5 for _, p in pieces])
+    c = np.frombuffer("".join(p for _, p in pieces).encode("utf-32-le", "replace"), np.uint32)
+    lengths = np.array([len(p) for _, p in pieces])
     owner = np.repeat(np.array([k for k, _ in pieces]), lengths)
     place = np.arange(len(c)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    left = np.repeat(lengths, lengths) - place  # characters of the piece from here on
     real = letters()[c]
     x = np.where(real, c, 32).astype(np.uint64)
     n = len(c)
@@ -87,12 +88,14 @@ def _codes(pieces: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
         m = n - g + 1
         inner = many[g - 1 : g - 1 + m] - many[1 : 1 + m]  # letters strictly inside
         ends = real[:m].astype(np.int8) + real[g - 1 :]
-        ok = np.flatnonzero((inner == g - 2) & (ends > 0) & (place[:m] <= SLICE))
+        ok = np.flatnonzero((inner == g - 2) & (ends > 0) & (place[:m] < SLICE) & (left[:m] >= g))
         code = np.full(len(ok), g, np.uint64)
         for i in range(g):
             code = (code + x[ok + i]) * _P
             code ^= code >> np.uint64(29)
         out.append((owner[ok], code))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate([o for o, _ in out]), np.concatenate([k for _, k in out])
 
 
