@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ from ..operators import membership, quality
 from ..operators import report as rp
 from ..operators import taxonomy as t
 from ..operators import windows as w
-from ..sources import kraken, ncbi
+from ..sources import kraken, ncbi, reads, sinks
+from ..streaming import match_stream
 from . import workload as wl
+from .store import shared_dir
 from .workload import K
 from .workload_sql import sql
 
@@ -696,3 +699,93 @@ def a16_wanted_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(n.n_name, F.lit("\t"), F.when(n.n_nationkey % 4 == 0, "-").otherwise(""), F.lit("n"), n.n_nationkey.cast("string"), F.lit(" # a nation"))
     lines = n.select(text.alias("value")).unionByName(n.select(F.concat(F.lit("# "), "n_name").alias("value")))
     return ncbi.wanted_taxa(lines)
+
+
+# --- files: written to the shared folder and read back ---------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
+
+
+#: Characters with a meaning in the file formats, and what a sequence has instead.
+_CLEAN = ("\n\r>+@", "NNNNN")
+_CLEAN_SQL = "translate(s, chr(10) || chr(13) || '>+@', 'NNNNN')"
+
+
+@query(f"SELECT '@' || name || ' ' || role AS descriptor, {_CLEAN_SQL} AS seq, repeat('~', length(s)) AS qual FROM read")
+def a01_a05_k07_fastq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "fastq")
+    sinks.write_fastq(wl.reads(spark, sf_dir).withColumn("seq", F.translate("seq", *_CLEAN)), path, gzip=True)
+    rows = reads.read_fastq(spark, [path], "k")
+    return rows.select("descriptor", "seq", "qual")
+
+
+@query(f"SELECT 'NC_' || doc_id || ' ' || lang AS info, {_CLEAN_SQL} AS seq FROM genome")
+def a02_a04_fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "fasta")
+    r = wl.regions(spark, sf_dir)
+    lines = F.regexp_replace(F.translate("seq", *_CLEAN), "(.{80})", "$1\n")  # 80 bases a line
+    r.select(F.concat_ws("\n", "info", lines).alias("value")).write.text(path)
+    return reads.read_fasta(spark, [path]).select("info", "seq")
+
+
+@query("SELECT 'f' || r_regionkey || CASE r_regionkey % 3 WHEN 0 THEN '.fa' WHEN 1 THEN '.fastq.gz' ELSE '.txt' END AS path, CASE r_regionkey % 3 WHEN 0 THEN 'fasta' WHEN 1 THEN 'fastq' END AS format FROM region")
+def a03_format_of_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("r_regionkey")
+    p = wl.table(spark, sf_dir, "region").select(F.concat(F.lit("f"), k.cast("string"), F.when(k % 3 == 0, ".fa").when(k % 3 == 1, ".fastq.gz").otherwise(".txt")).alias("path"))
+    return p.select("path", reads.format_of(F.col("path")).alias("format"))
+
+
+@query("SELECT count(*) AS n FROM documents WHERE doc_id % 3 <> 1")
+def a12_catalog_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    prefix = F.when(F.col("doc_id") % 3 == 0, "NC_").when(F.col("doc_id") % 3 == 1, "XM_").otherwise("NZ_")
+    lines = wl.table(spark, sf_dir, "documents").select(F.concat_ws("\t", F.lit("1"), F.lit("x"), F.concat(prefix, i), "source", F.lit("REVIEWED")).alias("value"))
+    return ncbi.catalog(lines).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'part' || p_partkey || '.fna.gz' AS file, md5(p_name) AS md5 FROM part")
+def a13_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = wl.table(spark, sf_dir, "part")
+    return ncbi.checksums(p.select(F.concat(F.md5(F.col("p_name").cast("binary")), F.lit("\tpart"), F.col("p_partkey").cast("string"), F.lit(".fna.gz")).alias("value")))
+
+
+@query("SELECT c AS category, c || '.' || p_partkey || '.genomic.fna.gz' AS file FROM (SELECT *, CASE p_size % 3 WHEN 0 THEN 'viral' WHEN 1 THEN 'fungi' ELSE 'plant' END AS c FROM part) WHERE c <> 'plant' AND p_partkey % 2 = 0")
+def a14_installed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.when(F.col("p_size") % 3 == 0, "viral").when(F.col("p_size") % 3 == 1, "fungi").otherwise("plant")
+    kind = F.when(F.col("p_partkey") % 2 == 0, ".genomic.fna.gz").otherwise(".rna.fna.gz")
+    lines = wl.table(spark, sf_dir, "part").select(F.concat(F.lit("x\t"), c, F.lit("."), F.col("p_partkey").cast("string"), kind).alias("value"))
+    return ncbi.installed_files(lines, ("viral", "fungi"))
+
+
+@query("SELECT * FROM (VALUES ('viral'), ('bacteria')) v(category)")
+def a17_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ncbi.wanted_categories(spark.createDataFrame([("viral # all",), ("# fungi",), ("martian",), ("bacteria",), ("viral",)], "value string"))
+
+
+@query("SELECT 's' || s_suppkey AS tax_id, translate(s_name, ' #', '__') || '.fasta' AS file, CASE WHEN s_suppkey % 2 = 0 THEN 'http://x/' || s_suppkey END AS url FROM supplier")
+def a18_additional_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = wl.table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    url = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(" http://x/"), key)).otherwise("")
+    return ncbi.additional_files(s.select(F.concat(F.lit("s"), key, F.lit(" "), F.translate("s_name", " #", "__"), F.lit(".fasta"), url, F.lit(" # more")).alias("value"))).select("tax_id", "file", "url")
+
+
+@query("SELECT tax_id, n AS db_kmers FROM dbn UNION ALL SELECT 'k', 15")
+def a20_h10_saved_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved, then loaded with its settings."""
+    path = _folder(spark, "database")
+    sinks.save_database(wl.database(spark, sf_dir), wl.tax(spark, sf_dir), {"k": str(K)}, path)
+    db, _ = sinks.load_database(spark, path)
+    k = spark.createDataFrame([("k", int(sinks.load_config(spark, path)["k"]))], "tax_id string, db_kmers long")
+    return b.kmers_per_taxon(db).unionByName(k)
+
+
+@query("SELECT key, tax_id, CAST(kmers AS BIGINT) AS kmers, contigs, CAST(squared_sum AS BIGINT) AS squared_sum, max_len, reads_1kmer, unique_kmers FROM contig JOIN uniq USING (key, tax_id)")
+def s01_streaming_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads arrive as files, a few in each batch; the state at the end is that of one batch."""
+    path = _folder(spark, "stream")
+    wl.reads(spark, sf_dir).repartition(4, "file").write.parquet(f"{path}/in")
+    match_stream.start(match_stream.read_stream(spark, f"{path}/in", 2), wl.database(spark, sf_dir), K, f"{path}/state").awaitTermination()
+    return match_stream.counts(spark, f"{path}/state")

@@ -58,7 +58,7 @@ def read_fastq(spark: SparkSession, paths: list[str], key: str = "") -> DataFram
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = io.BytesIO(content.as_py())
                 packed = raw.getbuffer()[:2] == b"\x1f\x8b"
-                lines = io.TextIOWrapper(gzip.open(raw) if packed else raw, "latin-1", newline="\n")
+                lines = io.TextIOWrapper(gzip.open(raw) if packed else raw, "utf-8", "replace", newline="\n")
                 rows: list[tuple] = []
                 for n, (d, s, q) in enumerate(parse_fastq(iter(lines))):
                     rows.append((key, path, n, d, s, q))
