@@ -59,7 +59,7 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
     if small.count() <= max_rows:
         small = F.broadcast(small)
     else:
-        big = big.withColumn("_salt", (F.rand(7) * salts).cast("int"))
+        big = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
         small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         keys = [*keys, "_salt"]
     s = small.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in small.columns if c not in keys])

@@ -232,3 +232,14 @@ def test_reputation_shrinks_towards_parents(spark):
 
 def test_urls_of_empty_tables(spark):
     assert url_reputation.judge_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "host string, outcome int"), RULES).count() == 0
+
+
+def test_join_small_gives_the_same_rows_salted_or_broadcast(spark):
+    from basewise.llm.common import join_small, stash
+
+    big = spark.createDataFrame([(i, None if i % 3 else "hot", "x") for i in range(300)], "id long, k string, v string")
+    small = stash(spark.createDataFrame([("hot", 1), (None, 2), ("other", 3)], "k string, n long"), "small")
+    rows = [list(map(tuple, join_small(big, small, ["k"], max_rows=n).select("id", "k", "n").collect())) for n in (10, 1)]
+    assert [len(r) for r in rows] == [300, 300]
+    key = lambda r: (r[0], str(r[1]), r[2])
+    assert sorted(rows[0], key=key) == sorted(rows[1], key=key)
