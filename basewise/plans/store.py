@@ -21,6 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt over the cores; others as they are.
+
+    Small folders hold one file of one row group, and everything up to the first shuffle
+    would run in one task. Large inputs have enough splits and are not moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def once(spark: SparkSession, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """The table of that name: written as Parquet in the shared folder when it is first asked for, then read."""
     key = (spark.sparkContext.applicationId, *name)

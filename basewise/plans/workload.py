@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import build as b
 from ..operators import match as m
 from ..operators import taxonomy as t
-from .store import once
+from .store import once, spread
 
 K = 15
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz ", "CGATCGATCGATCGATCGATCGATCGA"
@@ -49,7 +49,7 @@ def up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, region_no, accession, info, tax_id, category, seq)"""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    d = spread(table(spark, sf_dir, "documents")).where("text is not null")
     i = F.col("doc_id").cast("string")
     return d.select(
         F.col("source").alias("file"), F.col("doc_id").alias("region_no"), F.concat(F.lit("NC_"), i).alias("accession"), F.concat(F.lit(">NC_"), i, F.lit(" "), "lang").alias("info"),
@@ -59,7 +59,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, file, read_no, descriptor, seq, qual)"""
-    c = table(spark, sf_dir, "conversations").where("text is not null")
+    c = spread(table(spark, sf_dir, "conversations")).where("text is not null")
     number = lambda n: (F.col("conv_id") % n).cast("string")
     return c.select(
         F.concat(F.lit("k"), number(2)).alias("key"), F.concat(F.lit("f"), number(4)).alias("file"), (F.col("conv_id") * 1000 + F.col("turn")).alias("read_no"),
