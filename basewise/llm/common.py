@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import spread
+
 #: The white space of every word count here: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,4 +88,6 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. Texts of fewer splits than there are cores are dealt over the cores."""
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(t) if name == "documents" else t
