@@ -43,7 +43,7 @@ class Rules:
     spread: int = 3
     least_rows: int = 200
     #: The interquartile range counts as this many millionths at least: most documents have no symbol and no repeat.
-    least_range: tuple[tuple[str, int], ...] = (("word_length", 500_000), ("symbols", 10_000), ("dup_lines", 100_000), ("repeats", 60_000))
+    least_range: tuple[tuple[str, int], ...] = (("word_length", 1_000_000), ("symbols", 10_000), ("dup_lines", 150_000), ("repeats", 60_000))
 
 
 def text_counts(docs: DataFrame, *keep: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 _WORD = r"[^\x20\x09-\x0D]"
 _MEASURES = {
-    "word_length": ("word_chars * 1000000 // greatest(n_words, 1)", 500_000, True),
+    "word_length": ("word_chars * 1000000 // greatest(n_words, 1)", 1_000_000, True),
     "symbols": ("n_symbols * 1000000 // greatest(word_chars, 1)", 10_000, False),
-    "dup_lines": ("n_dup_lines * 1000000 // greatest(n_lines, 1)", 100_000, False),
+    "dup_lines": ("n_dup_lines * 1000000 // greatest(n_lines, 1)", 150_000, False),
     "repeats": ("n_repeat_words * 1000000 // greatest(n_words, 1)", 60_000, False),
 }
 
