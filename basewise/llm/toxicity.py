@@ -5,12 +5,17 @@ clean is taken from unlabelled text less pi times the confirmed toxic part, and
 that estimate turns negative (over-fitting) its gradient is reversed. Features are the
 lower-cased words of the whole text and their beginnings of 4 to 8 letters (insults are
 inflected); a feature's value is how far its count, in logarithms, exceeds what the
-text's length lets one expect. The learner sees a bounded sample: `most_positive`
-confirmed documents and about `unlabelled` others, both the least by a hash of the id.
-Spark counts the features over that sample and keeps the `features` that are most
-over-represented among the confirmed documents; numpy fits their weights. The prior comes
-from the same counts: a word that only toxic text uses appears in unlabelled text pi
-times as often. Every document is then scored over its whole text.
+text's length lets one expect.
+
+Spark counts features over all confirmed and over all documents. The likelihood ratio
+decides which are over-represented among the confirmed ones, as it holds for the few
+documents of a rare insult too; of those the `features` with the highest lower bound of
+their lift are kept. The unlabelled side is every document, confirmed ones among them,
+whatever the size. The prior comes from the same counts: a word that only toxic text
+uses appears in all text pi times as often. Only the weights are fitted to a bounded
+sample: a document's chance to be in it is that of the base rate or of its rarest feature,
+of which `carriers` documents are expected, and its weight the inverse of the chance.
+Every document is then scored over its whole text.
 
 Defined cases: null and empty texts have no word and get the score of the bias alone;
 a document with a null id is scored, never learnt from; repeated ids each count; without
@@ -24,6 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +47,9 @@ class Params:
     unlabelled: int = 12_000
     features: int = 512
     least_support: int = 4
+    #: Least signed root of the likelihood ratio.
+    least_root: float = 3.5
+    carriers: int = 32
     steps: int = 500
     rate: float = 0.1
     #: Divided by the number of confirmed documents.
@@ -49,30 +58,44 @@ class Params:
 
 
 class _Codes(dict):
-    """word -> codes of its features, of those in `only` if given; forgets all when it has grown large."""
+    """word -> codes of its features, of those that `only` maps or `slots` holds if given; forgets all when it has grown large.
 
-    def __init__(self, only: dict[int, int] | None = None) -> None:
+    A text with a word has its beginnings too, so where `slots` lacks a beginning it lacks the longer ones and the word.
+    """
+
+    def __init__(self, only: dict[int, int] | None = None, slots: bytes | None = None) -> None:
         super().__init__()
-        self.only = only
+        self.only, self.slots, self.most = only, slots, 50_000 if only is None and slots is None else 250_000  # most words have no code left
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 50_000:
+        if len(self) > self.most:
             self.clear()
-        codes = [zlib.crc32(word.encode()), *(zlib.crc32(f"{word[:n]}*".encode()) for n in range(4, 9) if n <= len(word))]
-        if self.only is not None:
-            codes = [self.only[c] for c in codes if c in self.only]
+        codes = []
+        for n in (*range(4, min(len(word), 8) + 1), 0):
+            c = zlib.crc32((f"{word[:n]}*" if n else word).encode())
+            if self.slots is not None and not self.slots[c >> 8] >> (c >> 5 & 7) & 1:
+                break
+            if self.only is None or c in self.only:
+                codes.append(c if self.only is None else self.only[c])
         self[word] = found = tuple(codes)
         return found
 
 
+def _slots(codes: np.ndarray) -> bytes:
+    """A bit for every 32 codes, set where one of them is among `codes`: 16 MB, compressed."""
+    bits = np.zeros(1 << 24, np.uint8)
+    np.bitwise_or.at(bits, codes >> 8, (1 << (codes >> 5 & 7)).astype(np.uint8))
+    return zlib.compress(bits.tobytes(), 1)
+
+
 def _counted(text: str, codes: _Codes) -> tuple[Counter, int]:
     words = WORDS.findall(text.lower())
-    return Counter(c for w in words for c in codes[w]), len(words)
+    return Counter(chain.from_iterable(map(codes.__getitem__, words))), len(words)
 
 
 @dataclass(frozen=True)
 class Model:
-    """columns: code -> column; rates: occurrences of each column's feature in a word of unlabelled text."""
+    """columns: code -> column; rates: occurrences of each column's feature in a word of all text."""
 
     columns: dict[int, int]
     rates: np.ndarray
@@ -80,19 +103,26 @@ class Model:
     bias: float
     prior: float
 
-    def value(self, counts: Counter, words: int) -> float:
-        return self.bias + sum(self.weights[j] * _excess(n, self.rates[j], words) for j, n in counts.items())
+    def scores(self, words: np.ndarray, sizes: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of rows with so many words and, row after row, `sizes` columns `at` that occur n times."""
+        row = np.repeat(np.arange(len(words)), sizes)
+        z = self.bias + np.bincount(row, self.weights[at] * _excess(n, self.rates[at], words[row]), len(words))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _excess(n: float, rate: float, words: float) -> float:
-    return max(0.0, np.log1p(n) - np.log1p(rate * words))
+def _excess(n: np.ndarray, rate: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, np.log1p(n) - np.log1p(rate * words))
 
 
 NONE = Model({}, np.zeros(0), np.zeros(0), -40.0, 0.0)
 
 
-def fit_weights(xp: np.ndarray, xu: np.ndarray, prior: float, p: Params = Params()) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk; xp, xu: feature values of confirmed and of unlabelled rows."""
+def fit_weights(
+    xp: np.ndarray, xu: np.ndarray, prior: float, p: Params = Params(), op: np.ndarray | None = None, ou: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of least non-negative risk; xp, xu: feature values of confirmed and of unlabelled rows; op, ou: for how many documents a row stands."""
+    op, ou = (np.ones(len(x)) if o is None else o for x, o in ((xp, op), (xu, ou)))
+    confirmed, op, ou = op.sum(), op / op.sum(), ou / ou.sum()
     w, b = np.zeros(xp.shape[1], np.float32), -2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -100,96 +130,116 @@ def fit_weights(xp: np.ndarray, xu: np.ndarray, prior: float, p: Params = Params
     for step in range(1, p.steps + 1):
         sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
         # logistic loss: -log s as toxic, -log(1 - s) as clean
-        clean = -np.log1p(-su.clip(max=1 - 1e-7)).mean() + prior * np.log1p(-sp.clip(max=1 - 1e-7)).mean()
-        toxic_part = of(xp, prior * (sp - 1) / len(sp))
-        clean_part = of(xu, su / len(su)) - of(xp, prior * sp / len(sp))
+        clean = -(ou @ np.log1p(-su.clip(max=1 - 1e-7))) + prior * (op @ np.log1p(-sp.clip(max=1 - 1e-7)))
+        toxic_part = of(xp, prior * (sp - 1) * op)
+        clean_part = of(xu, su * ou) - of(xp, prior * sp * op)
         g = toxic_part + clean_part if clean >= 0 else -clean_part
-        g[:-1] += p.ridge / len(xp) * w * prior
+        g[:-1] += p.ridge / confirmed * w * prior
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = (w - change[:-1]).astype(np.float32), float(b - change[-1])
     return w, b
 
 
-def _sample(docs: DataFrame, labels: DataFrame, learn: Column, p: Params) -> DataFrame:
-    """(positive, text) of at most `most_positive` confirmed and about `unlabelled` other documents: a bounded sample, by a hash of the id."""
-    h = F.xxhash64("doc_id")
-    chosen = F.broadcast(labels.where(learn & (F.col("label") == 1)).orderBy(h, "doc_id").limit(p.most_positive).select("doc_id", F.lit(True).alias("_positive")))
-    share = min(1.0, p.unlabelled / max(1, docs.count()))
-    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id", "left")
-    rows = rows.select(F.coalesce("_positive", F.lit(False)).alias("positive"), "text", F.pmod(h, F.lit(1 << 20)).alias("_h"))
-    return rows.where(F.col("positive") | (F.col("_h") < int(share * (1 << 20)))).select("positive", "text")
+def _feature_counts(texts: DataFrame, slots: bytes | None = None) -> DataFrame:
+    """(code, n): documents with the feature, and all of them as code -1, of rows (text); added up by task first. Features outside `slots` are left out."""
 
-
-def _feature_counts(sample: DataFrame) -> DataFrame:
-    """(code, p, u, n): confirmed and unlabelled documents with the feature, and its occurrences in unlabelled ones; added up by task first."""
-
-    def rows_of(docs: tuple[Counter, Counter], times: Counter) -> pa.RecordBatch:
-        found = list(docs[0].keys() | docs[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (found, *([c[k] for k in found] for c in (docs[1], docs[0], times)))], ["code", "p", "u", "n"])
+    def rows_of(n: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (n.keys(), n.values())], ["code", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, docs, times = _Codes(), (Counter(), Counter()), Counter()
+        codes, n = _Codes(slots=zlib.decompress(slots) if slots is not None else None), Counter()
         for b in batches:
-            for positive, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts, _ = _counted(text, codes)
-                docs[positive].update(counts.keys())
-                if not positive:
-                    times.update(counts)
-                if len(docs[0]) + len(docs[1]) > 200_000:  # what a task holds is bounded; Spark adds the parts up
-                    yield rows_of(docs, times)
-                    docs, times = (Counter(), Counter()), Counter()
-        yield rows_of(docs, times)
-
-    rows = sample.mapInArrow(run, "code long, p long, u long, n long")
-    return rows.groupBy("code").agg(F.sum("p").alias("p"), F.sum("u").alias("u"), F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params()) -> Model:
-    sample = stash(_sample(docs, labels, learn, p), "toxicity-sample")
-    sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}  # two rows
-    np_, nu = sizes.get(True, 0), sizes.get(False, 0)
-    if not np_ or not nu:
-        return NONE
-    share, ushare = (F.col("p") + 0.5) / (np_ + 1), (F.col("u") + 0.5) / (nu + 1)
-    z = (share - ushare) / F.sqrt(share * (1 - share) / np_ + ushare * (1 - ushare) / nu)
-    top = _feature_counts(sample).where(F.col("p") >= p.least_support).select("code", "n", z.alias("z"), (ushare / share).alias("ratio"))
-    top = top.where("z > 3.5").orderBy(F.desc("z"), "code").limit(p.features).collect()
+            for text in b.column(0).to_pylist():
+                n.update(set(chain.from_iterable(map(codes.__getitem__, set(WORDS.findall(text.lower()))))))
+                n[-1] += 1
+                if len(n) > 500_000:  # what a task holds is bounded; Spark adds the parts up
+                    yield rows_of(n)
+                    n = Counter()
+        yield rows_of(n)
+
+    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def telling(counts: DataFrame, np_: int, nu: int, p: Params = Params()) -> DataFrame:
+    """(code, p, u, z, ratio, lift) of the features whose share among the np_ confirmed documents is significantly above that among the others of all nu.
+
+    z: signed root of the likelihood ratio; ratio: share of all documents to that of confirmed ones; lift: lower bound of the logarithm of the confirmed share to that of the others.
+    """
+    at, o, chance = F.col("p"), F.col("u") - F.col("p"), np_ / nu
+    both = at * F.log(at / (F.col("u") * chance)) + F.when(o > 0, o * F.log(o / (F.col("u") * (1 - chance)))).otherwise(0.0)
+    z = F.sqrt(F.greatest(2 * both, F.lit(0.0))) * F.signum(at - F.col("u") * chance)
+    share, oshare = (at + 0.5) / (np_ + 1), (o + 0.5) / (nu - np_ + 1)
+    lift = F.log(share / oshare) - 2 * F.sqrt(1 / (at + 0.5) + 1 / (o + 0.5))
+    rows = counts.where((F.col("code") >= 0) & (at >= p.least_support))
+    return rows.select("code", "p", "u", z.alias("z"), ((F.col("u") + 0.5) / (nu + 1) / share).alias("ratio"), lift.alias("lift")).where(F.col("z") > p.least_root)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params()) -> tuple[Model, DataFrame | None]:
+    """The model, and a stashed row (doc_id, words, at, n) of features for each document; no rows if there is nothing to learn from."""
+    confirmed = stash(labels.where(learn & (F.col("label") == 1)).select("doc_id", F.lit(True).alias("_positive")), "toxicity-confirmed")
+    if confirmed.count() <= 2_000_000:  # ids only; texts are not shuffled for them
+        confirmed = F.broadcast(confirmed)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    total = lambda counts: sum(r["n"] for r in counts.where("code = -1").collect())  # noqa: E731; one row
+    of_p = _feature_counts(texts.join(confirmed, "doc_id").select("text")).where((F.col("n") >= p.least_support) | (F.col("code") < 0))
+    of_p = stash(of_p, "toxicity-candidates")
+    slots = _slots(of_p.where("code >= 0").select("code").toPandas()["code"].to_numpy(np.int64))  # vocabulary of the confirmed documents
+    of_u = stash(_feature_counts(texts.where("doc_id is not null").select("text"), slots), "toxicity-counts")
+    np_, nu = total(of_p), total(of_u)
+    counts = of_p.withColumnRenamed("n", "p").join(of_u.withColumnRenamed("n", "u"), "code")
+    if not np_ or np_ == nu:
+        return NONE, None
+    top = telling(counts, np_, nu, p).orderBy(F.desc("lift"), "code").limit(p.features).collect()
     if not top:
-        return NONE
+        return NONE, None
+    texts = texts.join(confirmed, "doc_id", "left").select("doc_id", F.coalesce("_positive", F.lit(False)).alias("positive"), "text")
     columns = {r["code"]: j for j, r in enumerate(top)}
-    prior = float(np.clip(np.quantile([r["ratio"] for r in top[:30]], 0.25), 0.001, 0.5))
+    prior = float(np.clip(np.quantile([r["ratio"] for r in sorted(top, key=lambda r: (-r["z"], r["code"]))[:30]], 0.25), 0.001, 0.5))
+    chances = np.array([[min(1.0, p.carriers / r["p"]) for r in top], [min(1.0, p.carriers / r["u"]) for r in top]])
+    base = np.array([min(1.0, p.most_positive / np_), min(1.0, p.unlabelled / nu)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(columns)
         for b in batches:
-            found = [_counted(t, codes) for t in b.column(1).to_pylist()]
+            found = [_counted(t, codes) for t in b.column(2).to_pylist()]
             at, n = [list(c.keys()) for c, _ in found], [list(c.values()) for c, _ in found]
+            chance = np.array([np.maximum(base, chances[:, a].max(1)) if a else base for a in at]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([k for _, k in found], pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64()))], ["positive", "words", "at", "n"]
-            )
-
-    rows = sample.mapInArrow(run, "positive boolean, words long, at array<long>, n array<long>").toPandas()  # bounded by the sample
-    total = max(1, rows["words"][~rows["positive"]].sum())
-    rates = np.array([r["n"] for r in top]) / total
+                [b.column(0), b.column(1), pa.array([k for _, k in found], pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64())), pa.array(chance[:, 0]), pa.array(chance[:, 1])],
+                ["doc_id", "positive", "words", "at", "n", "cp", "cu"],
+            )
+
+    found = stash(texts.mapInArrow(run, "doc_id long, positive boolean, words long, at array<long>, n array<long>, cp double, cu double"), "toxicity-features")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
+    asked = found.where("doc_id is not null").select("*", (F.col("positive") & (h < F.col("cp"))).alias("as_p"), (h < F.col("cu")).alias("as_u"))
+    rows = asked.where("as_p or as_u").drop("doc_id").toPandas()  # bounded by the base rates and `carriers` of each feature
+    learnt = found.where("doc_id is not null")
+    times = {r["at"]: r["n"] for r in learnt.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n")).collect()}  # a row for each feature
+    rates = np.array([times[j] for j in range(len(top))]) / max(1, learnt.agg(F.sum("words")).first()[0])
     x = np.zeros((len(rows), len(top)), np.float32)
     for i, (words, at, n) in enumerate(zip(rows["words"], rows["at"], rows["n"], strict=True)):
         if len(at):
-            x[i, at] = np.maximum(0, np.log1p(np.asarray(n)) - np.log1p(rates[at] * words))
-    positive = rows["positive"].to_numpy()
-    weights, bias = fit_weights(x[positive], x[~positive], prior, p)
-    return Model(columns, rates, weights, bias, prior)
+            x[i, at] = _excess(np.asarray(n), rates[at], words)
+    as_p, as_u = rows["as_p"].to_numpy(), rows["as_u"].to_numpy()
+    if not as_p.any() or not as_u.any():
+        return NONE, None
+    weights, bias = fit_weights(x[as_p], x[as_u], prior, p, 1 / rows["cp"].to_numpy()[as_p], 1 / rows["cu"].to_numpy()[as_u])
+    return Model(columns, rates, weights, bias, prior), found.select("doc_id", "words", "at", "n")
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params()) -> DataFrame:
     """(doc_id, score, predicted) for every row of docs (doc_id, text); labels: (doc_id, label), learnt from where `learn` holds."""
-    model, cut = fit(docs, labels, learn, p), p.cut
+    (model, found), cut = fit(docs, labels, learn, p), p.cut
+    if found is None:
+        score = 1 / (1 + np.exp(-model.bias))
+        return docs.select("doc_id", F.lit(float(score)).alias("score"), F.lit(int(score >= cut)).alias("predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes(model.columns)
         for b in batches:
-            z = np.array([model.value(*_counted(t, codes)) for t in b.column(1).to_pylist()], np.float64)
-            s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            at, n = b.column(2), b.column(3)
+            sizes = np.diff(at.offsets.to_numpy())
+            s = model.scores(b.column(1).to_numpy(), sizes, at.flatten().to_numpy(), n.flatten().to_numpy())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return found.mapInArrow(run, "doc_id long, score double, predicted int")

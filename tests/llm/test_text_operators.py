@@ -172,6 +172,17 @@ def test_toxicity_learns_from_positive_and_unlabelled(spark):
     assert toxicity.classify(docs(spark, []), none, F.lit(True)).count() == 0
 
 
+def test_toxicity_learns_an_insult_of_few_confirmed_documents(spark):
+    r = np.random.default_rng(5)
+    text = lambda *more: " ".join([*(f"word{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwx'[k // 100]}" for k in r.integers(0, 300, 30)), *more])
+    clean = [(i, text(), "en", "s") for i in range(2000)]
+    toxic = [(5000 + i, text("rareslur" if i % 25 == 0 else "nastyone"), "en", "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1) for i, *_ in toxic[:200]], "doc_id long, label int")
+    got = {x.doc_id: x.predicted for x in toxicity.classify(docs(spark, clean + toxic), labels, F.lit(True)).collect()}
+    assert all(got[5000 + i] for i in range(200, 400, 25)), "8 of 200 confirmed documents have it"
+    assert not any(got[i] for i, *_ in clean)
+
+
 # --- language ---
 
 
