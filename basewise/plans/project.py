@@ -14,7 +14,7 @@ from ..operators import match as m
 from ..operators import quality, taxonomy
 from ..operators import report as rp
 from ..sources import ncbi, reads, sinks
-from .config import BIG, config
+from .config import BIG, config, reject_not_built
 from .dag import Goal, Graph
 
 
@@ -36,6 +36,7 @@ class Project:
 
     def __post_init__(self) -> None:
         self.config = c = config(self.settings)
+        reject_not_built(c)
         self.k = c["kMerSize"]
         self.graph = g = Graph(self.spark, f"{self.folder}/{self.name}")
         limit = lambda n: None if c[n] == BIG else c[n]

@@ -152,3 +152,11 @@ def test_limits_and_assemblies(spark):
     taxa = spark.createDataFrame([("2",)], "tax_id string")
     assert [r.line for r in b.chosen_assemblies(a, taxa, 2).orderBy("line").collect()] == [2, 3] and [r.line for r in b.chosen_assemblies(a, taxa, 2, reference_only=True).collect()] == [2]
     assert canonical("CC") == canonical("GG")
+
+
+@pytest.mark.parametrize("name, value", [("refseq.updateWithCompleteGenomesOnly", "true"), ("dataNodes", "true"), ("genbank.maxPerTaxid", "3"), ("extractKey", "x")])
+def test_a_setting_that_nothing_reads_is_an_error(spark, tmp_path, name, value):
+    make = lambda given: Project(spark, "p", str(tmp_path), "nodes.dmp", "names.dmp", [], settings=given)
+    with pytest.raises(ValueError, match=name):
+        make({name: value})
+    assert make({"kMerSize": 21}).k == 21
