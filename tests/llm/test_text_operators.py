@@ -183,6 +183,13 @@ def test_toxicity_learns_an_insult_of_few_confirmed_documents(spark):
     assert not any(got[i] for i, *_ in clean)
 
 
+def test_prior_is_the_share_of_toxic_text_though_all_of_it_is_confirmed(spark):
+    rows = [(i, f"plain text {'abcdefghij'[i % 10]}x of document" + (" nastyone" if i < 100 else ""), "en", "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, label int")
+    model, _ = toxicity.fit(docs(spark, rows), labels, F.lit(True))
+    assert abs(model.prior - 0.25) < 0.02
+
+
 # --- language ---
 
 
