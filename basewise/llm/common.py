@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.store import spread
+from ..plans.store import shared_dir, spread
 
 #: The white space of every word count here: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,15 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 _stashed: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="basewise-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -91,3 +84,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder. Texts of fewer splits than there are cores are dealt over the cores."""
     t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(t) if name == "documents" else t
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; the package is installed on every executor too."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def by_weight(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose strings or bytes in a column have about `most` bytes, a longer one alone."""
+    for b in batches:
+        x = b.column(column)
+        if not len(x):
+            continue
+        wide = pa.types.is_large_string(x.type) or pa.types.is_large_binary(x.type)
+        offsets, lo = np.frombuffer(x.buffers()[1], np.int64 if wide else np.int32)[x.offset :], 0
+        while lo < b.num_rows:
+            hi = int(np.searchsorted(offsets[: b.num_rows + 1], int(offsets[lo]) + most, "right")) - 1
+            hi = min(max(hi, lo + 1), lo + rows, b.num_rows)
+            yield b.slice(lo, hi - lo)
+            lo = hi

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_tree, jaccard_join, language_id, packing, quality_classifier, quality_rules, stable_ann, token_files, toxicity, url_reputation
-from .common import fold, labels_of, shared_dir, table
+from .common import fold, labels_of, shared_dir, table, vocabulary
 from .sql import SQL
 
 URL_RULES = tuple(
@@ -23,10 +22,6 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-#: Folder of the tokenizers' vocabularies; the same on every machine.
-TOKENIZERS = "/opt/tokenizers"
-
-
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -56,8 +51,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, toxicity.classify, "toxic", 4, 2)
 
 
-def op7_bpe_tree(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return bpe_tree.digests(table(spark, sf_dir, "documents"), bpe_tree.Params(str(Path(tokenizers, "byte_bpe_50k.json"))))
+def op7_bpe_tree(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return bpe_tree.digests(table(spark, sf_dir, "documents"), bpe_tree.Params(tokenizer or vocabulary("byte_bpe_50k.json")))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +68,9 @@ def op9_stable_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    token_files.write(table(spark, sf_dir, "documents"), path, token_files.Params(str(Path(tokenizers, "word_bpe_49k.json"))))
+    token_files.write(table(spark, sf_dir, "documents"), path, token_files.Params(tokenizer or vocabulary("word_bpe_49k.json")))
     return token_files.read(spark, path)
 
 

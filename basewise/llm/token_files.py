@@ -1,16 +1,20 @@
 """Token-id files: documents as ids in shards of Re-Pair grammars.
 
-Documents are dealt by ranges of doc_id and sorted; each task encodes its documents,
-appends the end id to each, and packs them into shards of about `shard` ids (a document
-is never split). A shard is one row of a Parquet table: its place (part, serial), the
+Texts are encoded where they lie, into 16-bit ids; only these are then dealt by ranges of
+(doc_id, hash of the text) and sorted. Each task appends the end id to each document and
+packs the documents into shards of about `shard` ids (a document is never split). A shard
+is one row of a Parquet table: its place (part, serial, ids of the part before it), the
 doc_ids and lengths, and the grammar (repair.py): rules, expansion lengths, rewritten
-sequence and marks. `read` gives every document from the files, `Shard` decodes any
-range of ids without the rest.
+sequence and marks. `read` gives every document from the files, `Shard` decodes any range
+of ids without the rest.
 
-Only counts by part and shard are summed up to place a shard in the whole.
+Only counts by part are summed up to place a shard in the whole.
 
 Defined cases: null and empty texts have the end id alone; documents with a null id come
-first; rows with equal ids follow each other by a hash of their text.
+first; rows with equal ids follow each other by a hash of their text, and a very frequent
+id is dealt over several tasks by it; very long texts and words are encoded whole, the
+latter without being remembered; an empty table has no shard and no row; other columns of
+the documents, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -18,19 +22,20 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import by_weight, join_small, stash
 from .repair import Grammar, Params as GrammarParams, grammar_of
 
 _WHOLE = ("part", "serial", "step", "terminals")
-_LONG = ("docs", "tokens")
+_LONG = ("before", "docs", "tokens")
 _PACKED = ("doc_ids", "known", "doc_lengths", "rules", "rule_lengths", "sequence", "marks")
 SCHEMA = ", ".join([*(f"{c} int" for c in _WHOLE), *(f"{c} long" for c in _LONG), *(f"{c} binary" for c in _PACKED)])
 ARROW = pa.schema([*((c, pa.int32()) for c in _WHOLE), *((c, pa.int64()) for c in _LONG), *((c, pa.binary()) for c in _PACKED)])
@@ -43,39 +48,68 @@ class Params:
     end: int = 1
     terminals: int = 49_408
     shard: int = 1 << 21
-    #: Words that a worker remembers, and four times as many as it does their pieces.
-    cache: int = 1_000_000
+    #: Bytes that each of the two generations of a worker's cache of pieces may take; whole words of other texts have a quarter.
+    cache: int = 48_000_000
+    #: Longer pieces and words are encoded each time they occur.
+    cached_chars: int = 64
 
 
 #: Texts of these characters only, where Python's letters, digits, blanks and lower case are the library's.
 PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]*")
-#: The splitter of the vocabulary file, for such texts in lower case.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[^\W_]|(?:[^\w\s]|_)+")
-_words: dict[Params, Words] = {}
 
 
-class Cache(dict):
-    """Forgets all once it has more than `most` entries."""
+def _splitter() -> re.Pattern:
+    """The splitter of the vocabulary file for plain texts in lower case, and single blanks, which part words."""
+    plain = [c for c in map(chr, range(0x250)) if PLAIN.fullmatch(c)]
+    kind = lambda c: 0 if c.isalpha() else 1 if c.isnumeric() else 3 if c.isspace() else 2
+    letters, digits, signs = (re.escape("".join(c for c in plain if kind(c) == k)) for k in range(3))
+    # fixed values: the contractions that the vocabulary's splitter keeps whole
+    return re.compile(f"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digits}]|[{signs}]+| ")
+
 
-    def __init__(self, most: int) -> None:
-        super().__init__()
-        self.most = most
+PIECES = _splitter()
+_words: dict[Params, Words] = {}
 
-    def bound(self) -> None:
-        if len(self) > self.most:
-            self.clear()
 
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        return list({k for k in keys if k not in self})
+class Cache:
+    """str -> bytes in two generations of at most `most` bytes each; what was used lately survives."""
+
+    def __init__(self, most: int, longest: int, learn: Callable[[list[str]], list[bytes]]) -> None:
+        self.most, self.longest, self.learn = most, longest, learn
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def values(self, keys: list[str]) -> list[bytes]:
+        """Of keys without repetition."""
+        found = list(map(self.young.get, keys))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        for k in gaps:
+            found[k] = self.old.get(keys[k])
+        unknown = [k for k in gaps if found[k] is None]
+        for k, x in zip(unknown, self.learn([keys[k] for k in unknown]), strict=True):
+            found[k] = x
+        young, longest = self.young, self.longest
+        for k in gaps:
+            key, value = keys[k], found[k]
+            if len(key) <= longest:
+                self.held += 200 + 2 * len(key) + len(value)  # with what dicts and objects take
+                young[key] = value
+                if self.held > self.most:
+                    self.old, self.young, self.held = young, {}, 0
+                    young = self.young
+        return found
 
 
 class Words:
     """Ids of texts through the tokenizers library, as bytes of 16-bit numbers.
 
     The normaliser and the splitter of a word-end vocabulary treat words between blanks
-    on their own, and within a word the pieces of the splitter. Both levels are cached;
-    new pieces of letters go to the library many at once, joined by blanks, and are told
-    apart by the tokens that end a word. Texts with other characters go there word by word.
+    on their own, and within a word the pieces of the splitter. The distinct words of a
+    batch are found by Arrow; of plain texts they are cut into pieces, which a cache maps
+    to ids. New pieces of letters go to the library many at once, joined by blanks, and
+    are told apart by the tokens that end a word. Texts with other characters go there
+    word by word.
     """
 
     def __init__(self, p: Params) -> None:
@@ -83,7 +117,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.library, self.p = Tokenizer.from_file(p.tokenizer), p
-        self.words, self.others, self.pieces = Cache(p.cache), Cache(p.cache // 4), Cache(p.cache // 4)
+        self.pieces = Cache(p.cache, p.cached_chars, self._learn)
+        self.others = Cache(p.cache // 4, p.cached_chars, self._encoded)
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -96,47 +131,101 @@ class Words:
             _words[p] = cls(p)
         return _words[p]
 
+    @staticmethod
+    def forget() -> None:
+        """Frees the worker's caches."""
+        _words.clear()
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        ids: list[np.ndarray] = [np.empty(0, np.uint16)] * len(texts)
         plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        cut = [(t.lower() if p else t).replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True)]
-        self.words.bound()
-        self.others.bound()
-        found = [list(map((self.words if p else self.others).get, own)) for p, own in zip(plain, cut, strict=True)]
-        gaps = [[j for j, x in enumerate(own) if x is None] if None in own else [] for own in found]
-        for kind, known, learn in ((True, self.words, self._learn), (False, self.others, self._learn_others)):
-            own = [i for i in range(len(cut)) if gaps[i] and plain[i] == kind]
-            if own and (new := known.missing(cut[i][j] for i in own for j in gaps[i])):
-                learn(new)
-            for i in own:
-                for j in gaps[i]:
-                    found[i][j] = known[cut[i][j]]
-        return [np.frombuffer(b"".join(own), np.uint16) for own in found]
-
-    def _learn_others(self, new: list[str]) -> None:
-        self.others.update((w, np.array(e.ids, np.uint16).tobytes()) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True))
-
-    def _learn(self, new: list[str]) -> None:
-        plain = {w: PIECES.findall(w) for w in new}
-        self.pieces.bound()
-        pieces = self.pieces.missing(chain.from_iterable(plain.values()))
-        letters = [x for x in pieces if x.isalpha()]
-        signs = [x for x in pieces if not x.isalpha()]
-        for x, e in zip(signs, self.library.encode_batch_fast(signs, add_special_tokens=False), strict=True):
-            self.pieces[x] = np.array(e.ids, np.uint16).tobytes()
+        for kind, of_words in ((True, self._of_plain), (False, self._of_others)):
+            own = [i for i, x in enumerate(plain) if x == kind]
+            if not own:
+                continue
+            cut = pc.split_pattern(pa.array([(texts[i].lower() if kind else texts[i]).replace("\n", " ") for i in own], pa.large_string()), " ")
+            coded = cut.flatten().dictionary_encode()
+            flat, sizes = of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            all_ids, stops = _gathered(flat, sizes, coded.indices.to_numpy())
+            places = np.concatenate([[0], stops])[cut.offsets.to_numpy()]
+            for i, lo, hi in zip(own, places[:-1].tolist(), places[1:].tolist(), strict=True):
+                ids[i] = all_ids[lo:hi]
+        return ids
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return list(map(len, self.encode_all(texts)))
+
+    def _of_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each)."""
+        coded = pa.array(PIECES.findall(" ".join(words)), pa.large_string()).dictionary_encode()
+        pieces, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found = self.pieces.values(pieces)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 1
+        blank = np.array([x == " " for x in pieces], bool)  # no id
+        flat, stops = _gathered(np.frombuffer(b"".join(found), np.uint16), sizes, codes)
+        edges = np.concatenate([[0], stops[np.flatnonzero(blank[codes])], [len(flat)]])
+        return flat, np.diff(edges)
+
+    def _of_others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.others.values(words)
+        return np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) >> 1
+
+    def _encoded(self, new: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint16).tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        letters, signs, known = [x for x in new if x.isalpha()], [x for x in new if not x.isalpha()], {}
+        known.update(zip(signs, self._encoded(signs), strict=True))
         for k in range(0, len(letters), 200):
             part = letters[k : k + 200]
             ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
             stops = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
-            self.pieces.update((x, raw[lo:hi]) for x, lo, hi in zip(part, [0, *stops[:-1]], stops, strict=True))
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, own))) for w, own in plain.items())
+            known.update((x, raw[lo:hi]) for x, lo, hi in zip(part, [0, *stops[:-1]], stops, strict=True))
+        return list(map(known.__getitem__, new))
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of flat that codes name, in a row, and where each ends); run c has sizes[c] items."""
+    first, width = np.cumsum(sizes) - sizes, sizes[codes]
+    stops = np.cumsum(width)
+    at = np.repeat(first[codes] - (stops - width), width)
+    at += np.arange(len(at))
+    return flat[at], stops
+
+
+def encoded(docs: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, tie, ids binary) of every row of docs (doc_id, text): its 16-bit ids without the end id; tie orders rows of one id."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words.of(p)
+        for b in by_weight(batches, 2):
+            ids = pa.array([x.tobytes() for x in words.encode_all(b.column(2).to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["doc_id", "tie", "ids"])
+
+    return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
+
 
+def token_counts(docs: DataFrame, p: Params, *keep: str) -> DataFrame:
+    """`keep` columns of docs and n_tokens, the number of ids of `text` with the end id."""
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words.of(p)
+        for b in by_weight(batches, len(keep)):
+            n = words.counts(b.column(len(keep)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x + 1 for x in n], pa.int64())], [*keep, "n_tokens"])
 
-def _row(part: int, serial: int, ids: list, lengths: list, tokens: np.ndarray, p: Params) -> dict:
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    return rows.mapInArrow(run, f"{kinds}, n_tokens long")
+
+
+def _row(part: int, serial: int, before: int, ids: list, lengths: list, tokens: np.ndarray, p: Params) -> dict:
     g = grammar_of(tokens, GrammarParams(p.terminals))
     return {
-        "part": part, "serial": serial, "docs": len(ids), "tokens": len(tokens),
+        "part": part, "serial": serial, "before": before, "docs": len(ids), "tokens": len(tokens),
         "doc_ids": np.array([i or 0 for i in ids], np.int64).tobytes(), "known": np.array([i is not None for i in ids], np.uint8).tobytes(), "doc_lengths": np.array(lengths, np.int64).tobytes(),
         "rules": g.rules.astype(np.uint16).tobytes(), "rule_lengths": g.lengths.astype(np.uint32).tobytes(), "sequence": g.sequence.astype(np.uint16).tobytes(), "marks": g.marks.tobytes(), "step": g.step, "terminals": g.terminals,
     }
@@ -144,25 +233,31 @@ def _row(part: int, serial: int, ids: list, lengths: list, tokens: np.ndarray, p
 
 def write(docs: DataFrame, path: str, p: Params) -> None:
     """Writes docs (doc_id, text) to the Parquet table at path, which must be in a folder that all executors share."""
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = stash(encoded(docs, p), "token-ids").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        words, part, serial, end = Words.of(p), TaskContext.get().partitionId(), 0, np.array([p.end], np.uint16)
+
+        Words.forget()
+        part, serial, before, end = TaskContext.get().partitionId(), 0, 0, np.array([p.end], np.uint16)
         ids, lengths, held, size = [], [], [], 0
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
-                for i, own in zip(b.column(0).to_pylist(), words.encode_all(b.column(1).to_pylist()), strict=True):
-                    ids.append(i)
-                    lengths.append(len(own) + 1)
-                    held += [own, end]
-                    size += len(own) + 1
-                    if size >= p.shard:
-                        yield pa.RecordBatch.from_pylist([_row(part, serial, ids, lengths, np.concatenate(held), p)], ARROW)
-                        ids, lengths, held, size, serial = [], [], [], 0, serial + 1
+
+        def shard() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([_row(part, serial, before, ids, lengths, np.concatenate(held), p)], ARROW)
+
+        for b in by_weight(batches, 1):
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(raw, np.uint16)
+                ids.append(i)
+                lengths.append(len(own) + 1)
+                held += [own, end]
+                size += len(own) + 1
+                if size >= p.shard:
+                    yield shard()
+                    before, serial = before + size, serial + 1
+                    ids, lengths, held, size = [], [], [], 0
         if ids:
-            yield pa.RecordBatch.from_pylist([_row(part, serial, ids, lengths, np.concatenate(held), p)], ARROW)
+            yield shard()
 
     ordered.mapInArrow(run, SCHEMA).write.parquet(path)
 
@@ -190,9 +285,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files at path."""
     shards = spark.read.schema(SCHEMA).parquet(path)
     parts = shards.groupBy("part").agg(F.sum("tokens").alias("n"))  # a row for each task that wrote
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_before"))
-    within = shards.select("part", "serial", (F.sum("tokens").over(Window.partitionBy("part").orderBy("serial")) - F.col("tokens")).alias("_within"))
-    places = within.join(before, "part").select("part", "serial", (F.col("_before") + F.col("_within")).alias("first"))
+    first = stash(parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_first")), "token-parts")
+    placed = join_small(shards, first, ["part"], "inner").withColumn("first", F.col("_first") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,4 +305,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     lo = hi
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts + r["first"], pa.int64()), pa.array(shard.lengths), pa.array(crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(places, ["part", "serial"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
