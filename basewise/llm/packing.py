@@ -1,16 +1,25 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
-Documents are cut into pieces of at most the largest length. Within a block of pieces
-(by default 65,536, dealt by a hash of the document) the pieces are placed in decreasing
-order into the open bin that they fit most tightly; a piece that fits none opens a bin.
-The permitted lengths are optimised jointly: every opening policy (always one given
-length, or the least-cost length for the piece at hand) packs the block, each bin is then
-downsized to the least length that holds its contents, and the cheapest result is kept.
-Blocks bound a task's memory whatever the skew; at most one unfilled bin for each length
-is lost at a block's end.
-
-Defined cases: null and empty documents have no piece and no row; a null id is carried
-through; repeated rows are packed each; lengths are whole units, as `length` counts them.
+Lengths are token ids of a tokenizer, the end id of each document included. Documents are
+cut into pieces of at most the largest length. Within a block of pieces the pieces are
+placed in decreasing order into the open bin that they fit most tightly; a piece that fits
+none opens the bin of least cost. The permitted lengths are optimised jointly: an
+opening weighs all of them by the cost of a unit that they would hold, given what is left
+to place, or by that of the piece at hand alone, or prefers one length; each of these
+policies packs the block, each bin is then downsized to the least length that holds its
+contents, and the cheapest result is kept.
+
+There are as many blocks as make about `block` pieces each, whatever the partitions; the
+pieces are dealt over them by numbers that are written with the lengths, so that a
+document with very many rows or pieces is spread and a retried task meets the same block.
+Blocks bound a task's memory; at most one unfilled bin for each length is lost at a
+block's end.
+
+Defined cases: null and empty documents, and those without an id of the vocabulary, have
+no piece and no row; a null id is carried through; repeated rows are packed each; pieces
+of equal length are placed in the order of doc_id and start; very long texts have as many
+pieces as they need; an empty table gives no row; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -18,12 +27,15 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from . import token_files
+from .common import stash, vocabulary
 
 
 @dataclass(frozen=True)
@@ -32,23 +44,35 @@ class Params:
     sizes: tuple[int, ...] = (512, 1024, 2048, 4096)
     costs: tuple[float, ...] = (512 * 1.02, 1024 * 1.01, 2048 * 1.0, 4096 * 1.01)
     block: int = 65_536
+    #: A path that every executor can open; None: the public vocabulary `word_bpe_49k.json`.
+    tokenizer: str | None = None
+
+    @property
+    def tokens(self) -> token_files.Params:
+        return token_files.Params(self.tokenizer or vocabulary("word_bpe_49k.json"))
+
+
+#: Opening policies besides a preferred size.
+BY_PIECE, BY_REST = -1, -2
 
 
 def pack(lengths: Sequence[int], p: Params = Params()) -> tuple[list[int], list[int], list[int], float]:
     """(bin of each length, offset of each in its bin, size of each bin, cost); lengths are from 1 to the largest size."""
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    policies: list[int | None] = [None, *range(len(p.sizes))]
+    policies = [BY_REST, BY_PIECE, *range(len(p.sizes))]
     return min((_pack(lengths, order, policy, p) for policy in policies), key=lambda x: x[3])
 
 
-def _pack(lengths: Sequence[int], order: list[int], policy: int | None, p: Params) -> tuple[list[int], list[int], list[int], float]:
+def _pack(lengths: Sequence[int], order: list[int], policy: int, p: Params) -> tuple[list[int], list[int], list[int], float]:
     bins, offsets = [0] * len(lengths), [0] * len(lengths)
     room: list[int] = []  # of each bin
     opened: list[int] = []
     free: list[list[int]] = [[] for _ in range(p.sizes[-1] + 1)]  # bins by room left
     some = 0  # bit r is set if free[r] has a bin
+    rest = sum(lengths)
     for i in order:
         n = lengths[i]
+        rest -= n
         if tight := some >> n:
             r = n + (tight & -tight).bit_length() - 1
             k = free[r].pop()
@@ -56,7 +80,9 @@ def _pack(lengths: Sequence[int], order: list[int], policy: int | None, p: Param
                 some &= ~(1 << r)
         else:
             least = bisect_left(p.sizes, n)
-            if policy is None:  # the cheapest for each unit of this piece and what may follow it
+            if policy == BY_REST:  # the cheapest for each unit that it would hold of this piece and what follows
+                s = min(range(least, len(p.sizes)), key=lambda j: (p.costs[j] / min(p.sizes[j], n + rest), p.sizes[j]))
+            elif policy == BY_PIECE:  # the cheapest for each unit of as many such pieces as it holds
                 s = min(range(least, len(p.sizes)), key=lambda j: (p.costs[j] / (p.sizes[j] // n * n), p.sizes[j]))
             else:
                 s = max(policy, least)
@@ -72,53 +98,52 @@ def _pack(lengths: Sequence[int], order: list[int], policy: int | None, p: Param
     return bins, offsets, [p.sizes[s] for s in final], sum(p.costs[s] for s in final)
 
 
-def words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
-
-
 def pack_documents(docs: DataFrame, length: Column | None = None, p: Params = Params()) -> DataFrame:
     """One row for each piece of each document (doc_id, text): doc_id, start, length, bin, bin_size, offset.
 
-    length: units of a document, by default its words. `start` is the piece's place in
-    its document, `offset` its place in the bin; `bin` names bins uniquely.
+    length: units of a document, by default its token ids and the end id. `start` is the
+    piece's place in its document, `offset` its place in the bin; `bin` names bins uniquely.
     """
     if list(p.sizes) != sorted(set(p.sizes)) or len(p.costs) != len(p.sizes):
         raise ValueError("sizes must ascend, with a cost for each")
     most, block = p.sizes[-1], p.block
-    d = docs.select("doc_id", (words(F.col("text")) if length is None else length).alias("_n")).where("_n > 0")
+    if length is None:
+        docs = token_files.token_counts(docs, p.tokens, "doc_id")
+        length = F.when(F.col("n_tokens") > 0, F.col("n_tokens") + 1)
+    d = docs.select("doc_id", length.cast("long").alias("_n")).where("_n > 0")
     starts = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(most).cast("long"))
     d = d.select("doc_id", F.explode(starts).alias("start"), "_n")
-    d = d.select("doc_id", "start", F.least(F.lit(most).cast("long"), F.col("_n") - F.col("start")).alias("length"))
-    d = d.repartition(F.xxhash64("doc_id", "start", "length")).sortWithinPartitions("doc_id", "start", "length")
+    d = d.select("doc_id", "start", F.least(F.lit(most).cast("long"), F.col("_n") - F.col("start")).alias("length"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
+    d = stash(d, "pieces")
+    blocks = max(1, -(-d.count() // block))
+    d = d.select("doc_id", "start", "length", F.pmod("deal", F.lit(blocks)).alias("block")).repartition("block").sortWithinPartitions("block", "doc_id", "start", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, serial, held = TaskContext.get().partitionId(), 0, []
+        held: list[pa.RecordBatch] = []
 
-        def flush() -> pa.RecordBatch:
-            nonlocal serial, held
-            t = pa.Table.from_batches(held).combine_chunks()
+        def flush(of: int) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
             bins, offsets, sizes, _ = pack(t.column("length").to_pylist(), p)
-            first, serial, held = serial, serial + len(sizes), []
-            named = [f"{part}-{first + k}" for k in range(len(sizes))]
-            cols = [t.column(c).combine_chunks() for c in ("doc_id", "start", "length")]
-            cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
+            named = [f"{of}-{k}" for k in range(len(sizes))]
+            cols = [pa.concat_arrays(t.column(c).chunks) for c in ("doc_id", "start", "length")]
             return pa.RecordBatch.from_arrays(
                 [*cols, pa.array([named[k] for k in bins]), pa.array([sizes[k] for k in bins], pa.int64()), pa.array(offsets, pa.int64())],
                 ["doc_id", "start", "length", "bin", "bin_size", "offset"],
             )
 
-        size = 0
+        own = None
         for b in batches:
-            while b.num_rows:
-                take = min(b.num_rows, block - size)
-                held.append(b.slice(0, take))
-                size, b = size + take, b.slice(take)
-                if size == block:
-                    size = 0
-                    yield flush()
+            block_of = b.column(3).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(block_of)) + 1).tolist(), b.num_rows]
+            for lo, hi in pairwise(edges):
+                if lo == hi:
+                    continue
+                if held and block_of[lo] != own:
+                    yield flush(own)
+                    held = []
+                own = int(block_of[lo])
+                held.append(b.slice(lo, hi - lo))
         if held:
-            yield flush()
+            yield flush(own)
 
     return d.mapInArrow(run, "doc_id long, start long, length long, bin string, bin_size long, offset long")

@@ -139,6 +139,22 @@ class Words:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         ids: list[np.ndarray] = [np.empty(0, np.uint16)] * len(texts)
+        for own, flat, sizes, codes, edges in self._coded(texts):
+            all_ids, stops = _gathered(flat, sizes, codes)
+            places = np.concatenate([[0], stops])[edges].tolist()
+            for i, lo, hi in zip(own, places[:-1], places[1:], strict=True):
+                ids[i] = all_ids[lo:hi]
+        return ids
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """Numbers of ids of each text."""
+        n = np.zeros(len(texts), np.int64)
+        for own, _, sizes, codes, edges in self._coded(texts):
+            n[own] = np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[edges])
+        return n
+
+    def _coded(self, texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the plain and of the other texts: their places, the ids of their distinct words in a row, the words' sizes, the words of all texts as numbers, and where each text begins among these."""
         plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         for kind, of_words in ((True, self._of_plain), (False, self._of_others)):
             own = [i for i, x in enumerate(plain) if x == kind]
@@ -147,14 +163,7 @@ class Words:
             cut = pc.split_pattern(pa.array([(texts[i].lower() if kind else texts[i]).replace("\n", " ") for i in own], pa.large_string()), " ")
             coded = cut.flatten().dictionary_encode()
             flat, sizes = of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-            all_ids, stops = _gathered(flat, sizes, coded.indices.to_numpy())
-            places = np.concatenate([[0], stops])[cut.offsets.to_numpy()]
-            for i, lo, hi in zip(own, places[:-1].tolist(), places[1:].tolist(), strict=True):
-                ids[i] = all_ids[lo:hi]
-        return ids
-
-    def counts(self, texts: list[str]) -> list[int]:
-        return list(map(len, self.encode_all(texts)))
+            yield own, flat, sizes, coded.indices.to_numpy(), cut.offsets.to_numpy()
 
     def _of_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, number of ids of each)."""
@@ -201,7 +210,7 @@ def encoded(docs: DataFrame, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words.of(p)
-        for b in by_weight(batches, 2):
+        for b in by_weight(batches, 2, 8_000_000, 5_000):
             ids = pa.array([x.tobytes() for x in words.encode_all(b.column(2).to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids], ["doc_id", "tie", "ids"])
 
@@ -209,14 +218,13 @@ def encoded(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, p: Params, *keep: str) -> DataFrame:
-    """`keep` columns of docs and n_tokens, the number of ids of `text` with the end id."""
+    """`keep` columns of docs and n_tokens, the number of ids of `text` without an end id."""
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words.of(p)
-        for b in by_weight(batches, len(keep)):
-            n = words.counts(b.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x + 1 for x in n], pa.int64())], [*keep, "n_tokens"])
+        for b in by_weight(batches, len(keep), 8_000_000, 5_000):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(words.counts(b.column(len(keep)).to_pylist()))], [*keep, "n_tokens"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
     return rows.mapInArrow(run, f"{kinds}, n_tokens long")

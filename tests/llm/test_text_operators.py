@@ -5,8 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from basewise.llm import language_id, packing, quality_classifier, quality_rules, toxicity, url_reputation
 
@@ -58,19 +60,58 @@ def test_pack_is_best_fit_of_plain_rows():
     assert len(packing.pack(lengths, p)[2]) == len(open_bins)
 
 
-def test_pack_documents_keeps_every_word(spark):
+def least_cost(lengths, p):
+    """Of all ways to deal the pieces over bins."""
+    best = float("inf")
+
+    def deal(k, bins):
+        nonlocal best
+        cost = sum(min((c for s, c in zip(p.sizes, p.costs, strict=True) if s >= n), default=float("inf")) for n in bins)
+        if cost >= best:
+            return
+        if k == len(lengths):
+            best = cost
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= p.sizes[-1]:
+                deal(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        deal(k + 1, [*bins, lengths[k]])
+
+    deal(0, [])
+    return best
+
+
+@pytest.mark.parametrize("costs", [(9, 17, 32), (8, 15, 40), (10, 16, 27)])
+def test_pack_of_several_sizes_against_all_packings(costs):
+    p = packing.Params(sizes=(8, 16, 32), costs=costs)
+    r, over = np.random.default_rng(sum(costs)), []
+    for _ in range(60):
+        lengths = r.integers(1, 33, size=6).tolist()
+        cost, least = packing.pack(lengths, p)[3], least_cost(lengths, p)
+        assert least <= cost <= 1.35 * least
+        over.append(cost / least)
+    assert np.mean(over) <= 1.05
+    assert packing.pack([32], p)[3] == costs[2] and packing.pack([8, 8], p)[3] == least_cost([8, 8], p)
+
+
+def test_pack_documents_keeps_every_token(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     p = packing.Params(sizes=(64, 128), costs=(64, 128), block=100)
     rows = packing.pack_documents(docs(spark), p=p).collect()
-    got = Counter()
+    got, want = Counter(), Counter()
     for r in rows:
         got[r.doc_id] += r.length
         assert r.offset + r.length <= r.bin_size
-    assert got == {None: 3, 4: 1, 5: 30_000, 6: 6}
+    for i, text, *_ in EDGE:
+        n = len(library.encode(text or "", add_special_tokens=False).ids)
+        want[i] += n + 1 if n else 0
+    assert got == {k: n for k, n in want.items() if n}
     by_bin = Counter()
     for r in rows:
         by_bin[r.bin] += r.length
         assert r.start % 128 == 0
     assert all(by_bin[r.bin] <= r.bin_size for r in rows)
+    assert len({r.bin.split("-")[0] for r in rows}) == -(-len(rows) // 100)  # blocks do not depend on partitions
     assert packing.pack_documents(docs(spark, []), p=p).count() == 0
     with pytest.raises(ValueError):
         packing.pack_documents(docs(spark), p=packing.Params(sizes=(2, 1), costs=(1, 1)))
