@@ -3,22 +3,29 @@
 A text longer than `leaf` characters is cut in half, wherever that is; the halves are
 encoded independently, and so on down to leaves. At every join a window around the cut is
 encoded again and grown until its first token is the left side's token there and its last
-token the right side's; then the tokens outside the window stand.
+token the right side's; then the tokens outside the window stand. Texts longer than `part`
+characters are cut into parts of that size first: the parts are rows of their own, which
+many tasks encode at once, and a task for each text joins its parts.
 
 Why that is exact. A window only begins and ends where the text allows it: at a blank
 between two solid characters, which always begins a pre-token, or inside a run of letters,
-of digits or of other signs, where the rest of the run is one pre-token whatever stands
-before. Within a pre-token a sequence of tokens is its encoding if and only if each two
-neighbours are the encoding of their own concatenation. Neighbours inside the window are,
-because the window was encoded; neighbours across its ends are, because the outer token's
-neighbour is the very token it had in its side's encoding.
+of digits, of other signs or of blanks, where the rest of the run is one pre-token whatever
+stands before. Within a pre-token a sequence of tokens is its encoding if and only if each
+two neighbours are the encoding of their own concatenation. Neighbours inside the window
+are, because the window was encoded; neighbours across its ends are, because the outer
+token's neighbour is the very token it had in its side's encoding.
+
+For the same reason a very long run of one character is encoded from a shorter one: where
+the shorter run has the same token twice in a row, more of it may follow.
 
 A leaf is cut at such blanks into short words, which a bounded cache maps to ids; new
 words go to the tokenizers library together. The special token's string is its id, as in
 that library.
 
 Defined cases: null counts as empty and has no token; ids and texts decode to what the
-library's decoder gives, invalid bytes to U+FFFD.
+library's decoder gives, invalid bytes to U+FFFD; repeated rows each have a row; an empty
+table gives none; null ids are carried through; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -29,10 +36,14 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import by_weight
 
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -43,7 +54,12 @@ class Params:
     tokenizer: str
     leaf: int = 8192
     window: int = 16
-    cache: int = 500_000
+    #: Characters of a text from which its parts are rows of their own.
+    part: int = 1 << 20
+    #: Characters of a run of one character that is encoded from a shorter one.
+    run: int = 16_384
+    #: Bytes that the cache of words may take.
+    cache: int = 96_000_000
     #: Longer words are encoded each time they occur.
     cached_chars: int = 48
 
@@ -75,7 +91,10 @@ class Encoder:
         for token, i in self.specials.items():
             self.bytes[i] = token.encode()
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
+        self.chars = [sum(c & 0xC0 != 0x80 for c in b) for b in self.bytes]  # characters that begin in a token
+        self.whole = [not b or b[0] & 0xC0 != 0x80 for b in self.bytes]  # whether a token begins with one
         self.words: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     @classmethod
     def of(cls, p: Params) -> Encoder:
@@ -91,13 +110,47 @@ class Encoder:
     def encode_all(self, texts: Iterable[str]) -> list[list[int]]:
         """Ids of each text. The leaves of all texts are encoded together, then each tree is joined."""
         parts = [self.special.split(t) if self.special and any(s in t for s in self.specials) else [t] for t in texts]
+        short = [[(x, None) if k % 2 else self._shortened(x) for k, x in enumerate(own)] for own in parts]
         leaves: list[str] = []
-        for own in parts:
-            for k, part in enumerate(own):
+        for own in short:
+            for k, (part, _) in enumerate(own):
                 if k % 2 == 0:
                     leaves += self._leaves(part)
         done = iter(self._encode_leaves(leaves))
-        return [list(chain.from_iterable((self.specials[x],) if k % 2 else self._join_tree(x, done) for k, x in enumerate(own))) for own in parts]
+        return [list(chain.from_iterable((self.specials[x],) if k % 2 else self._restored(self._join_tree(x, done), cut, parts[i][k]) for k, (x, cut) in enumerate(own))) for i, own in enumerate(short)]
+
+    def _shortened(self, text: str) -> tuple[str, list[tuple[int, int, int]] | None]:
+        """The text with its very long runs of one character cut, and (place, characters kept, characters cut) of each."""
+        half = self.p.run // 2
+        if len(text) < self.p.run or not any(text[k : k + half] == text[k] * half for k in range(0, len(text) - half + 1, half)):
+            return text, None
+        out, cuts, at, size = [], [], 0, 0
+        for m in re.finditer(r"(.)\1{%d,}" % (self.p.run - 1), text, re.DOTALL):
+            n = m.end() - m.start()
+            kept = 4096 + n % 256 if n > 8192 else n  # congruent for tokens of a power of two of characters
+            out.append(text[at : m.start() + kept])
+            size += m.start() + kept - at
+            cuts.append((size - kept, kept, n - kept))
+            at = m.end()
+        out.append(text[at:])
+        return "".join(out), cuts
+
+    def _restored(self, ids: list[int], cuts: list[tuple[int, int, int]] | None, text: str) -> list[int]:
+        """ids of the text from those of the shortened one; a run without a token that repeats and divides what was cut is encoded in full."""
+        if not cuts:
+            return ids
+        out, k, chars = [], 0, 0
+        for place, kept, gone in cuts:
+            middle = place + kept // 2
+            while chars < middle:
+                out.append(ids[k])
+                chars += self.chars[ids[k]]
+                k += 1
+            t = ids[k - 1]
+            if ids[k] != t or not self.whole[t] or not self.chars[t] or gone % self.chars[t] or len(set(self.bytes[t].decode("utf-8", "replace"))) != 1:
+                return self._join_tree(text, iter(self._encode_leaves(self._leaves(text))))
+            out += [t] * (gone // self.chars[t])
+        return out + ids[k:]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -115,17 +168,40 @@ class Encoder:
         left, right = text[:half], text[half:]
         return self._join(left, self._join_tree(left, done), right, self._join_tree(right, done))
 
+    def join_all(self, texts: list[str], ids: list[list[int]]) -> list[int]:
+        """Ids of the texts' concatenation from the ids of each, joined pair by pair."""
+        cut = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
+        while len(texts) > 1:
+            pairs = [(texts[k], ids[k], texts[k + 1], ids[k + 1]) for k in range(0, len(texts) - 1, 2)]
+            joined = [self._join_specials(*x, cut) for x in pairs]
+            rest = slice(len(texts) - len(texts) % 2, None)
+            texts, ids = [a + b for a, _, b, _ in pairs] + texts[rest], joined + ids[rest]
+        return ids[0]
+
+    def _join_specials(self, left: str, lids: list[int], right: str, rids: list[int], cut: re.Pattern | None) -> list[int]:
+        """As `_join`, of texts that may hold special strings, one of them across the cut."""
+        longest = max(map(len, self.specials), default=0)
+        near = left[-longest + 1 :] + right[: longest - 1] if longest > 1 else ""
+        if cut is None or not cut.search(near) and not any(i in lids or i in rids for i in self.specials.values()):
+            return self._join(left, lids, right, rids)
+        return self.encode(left + right)
+
     def _encode_leaves(self, leaves: list[str]) -> list[list[int]]:
         """Plain encodings; unknown short words of all leaves go to the library at once."""
         cut = [CUT.split(x) for x in leaves]
         words, most = self.words, self.p.cached_chars
-        if len(words) > self.p.cache:
+        if self.held > self.p.cache:
             words.clear()
+            self.held = 0
         new = sorted({w for own in cut for w in own if w not in words})
         found = self.library.encode_batch_fast(new, add_special_tokens=False)
         long = {}
         for w, e in zip(new, found, strict=True):
-            (words if len(w) <= most else long)[w] = tuple(e.ids)
+            if len(w) <= most:
+                words[w] = ids = tuple(e.ids)
+                self.held += 240 + len(w) + 8 * len(ids)  # with what dicts and objects take
+            else:
+                long[w] = tuple(e.ids)
         if long:
             get = lambda w: words[w] if w in words else long[w]
             return [list(chain.from_iterable(map(get, own))) for own in cut]
@@ -149,32 +225,37 @@ class Encoder:
 
     def _before(self, left: str, right: str, ids: list[int], w: int) -> tuple[int, int]:
         """(place in left, number of tokens from there) of the nearest possible window start at least w bytes from the end."""
-        tail, n = b"", 0
+        size = n = chars = 0
         while n < len(ids):
             n += 1
-            tail = self.bytes[ids[-n]] + tail
-            if len(tail) >= w and tail[0] & 0xC0 != 0x80:
-                at = len(left) - len(tail.decode("utf-8"))
-                if at > 0 and may_cut(left[at - 1], left[at], (left[at + 1 :] or right)[:1]):
+            t = ids[-n]
+            size += len(self.bytes[t])
+            chars += self.chars[t]
+            if size >= w and self.whole[t]:
+                at = len(left) - chars
+                if at > 0 and may_cut(left[at - 1], left[at], (left[at + 1 : at + 2] or right[:1])):
                     return at, n
         return 0, len(ids)
 
     def _after(self, left: str, right: str, ids: list[int], w: int) -> tuple[int, int]:
-        head, n = b"", 0
+        size = n = at = 0
         while n < len(ids):
-            head += self.bytes[ids[n]]
+            size += len(self.bytes[ids[n]])
+            at += self.chars[ids[n]]
             n += 1
-            if len(head) >= w and n < len(ids) and self.bytes[ids[n]][0] & 0xC0 != 0x80:
-                at = len(head.decode("utf-8"))
-                if at < len(right) and may_cut(right[at - 1], right[at], right[at + 1 : at + 2]):
-                    return at, n
+            if size >= w and n < len(ids) and self.whole[ids[n]] and at < len(right) and may_cut(right[at - 1], right[at], right[at + 1 : at + 2]):
+                return at, n
         return len(right), len(ids)
 
 
+#: Characters that are blanks to the library's splitter and to Python.
+BLANKS = frozenset(" \n\r\t")
+
+
 def may_cut(before: str, after: str, then: str) -> bool:
     """Whether a window may begin or end between two characters; `then` follows them."""
-    if before.isspace():
-        return False
+    if before.isspace():  # not before the last blank of a run, which may begin the next pre-token
+        return before in BLANKS and after in BLANKS and then in BLANKS
     if after in " \n":
         return bool(then) and not then.isspace()
     kinds = [0 if c.isspace() else 1 if c.isalpha() else 2 if c.isnumeric() else 3 for c in (before, after)]
@@ -199,12 +280,47 @@ def digests(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def _encoded(docs: DataFrame, p: Params, schema: str, of, kinds: tuple) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def made(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *names])
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(p)
+        for b in by_weight(batches, 1, rows=500):
+            yield made(b.column(0), [of(encoder, ids) for ids in encoder.encode_all(b.column(1).to_pylist())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_weight(batches, 1, 1):
+            (i,), (text,) = b.column(0).to_pylist(), b.column(1).to_pylist()
+            name = hashlib.blake2b(text.encode(), digest_size=16).digest()
+            for k in range(0, len(text), p.part):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([name]), pa.array([k], pa.int64()), pa.array([text[k : k + p.part]])], ["doc_id", "name", "place", "text"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(p)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                b = whole.slice(k, 500)
-                rows = [of(encoder, ids) for ids in encoder.encode_all(t or "" for t in b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *(x.split()[0] for x in schema.split(", "))])
+        for b in by_weight(batches, 3, 1):
+            ids = encoder.encode(b.column(3)[0].as_py())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([np.array(ids, np.int32).tobytes()])], ["doc_id", "name", "place", "text", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {schema}")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(p)
+        rows = (r for b in by_weight(batches, 3, 1) for r in b.to_pylist())
+        for (i, _), own in groupby(rows, key=lambda r: (r["doc_id"], r["name"])):
+            copies, parts = 0, []
+            for r in own:  # copies of a row bring each part again
+                if r["place"] == 0:
+                    copies += 1
+                if not parts or parts[-1][2] != r["place"]:
+                    parts.append((r["text"], np.frombuffer(r["ids"], np.int32).tolist(), r["place"]))
+            row = of(encoder, encoder.join_all([x[0] for x in parts], [x[1] for x in parts]))
+            yield made(pa.array([i] * copies, pa.int64()), [row] * copies)
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    is_long = F.length("text") > p.part
+    found = rows.where(~is_long).mapInArrow(short, f"doc_id long, {schema}")
+    kind = "doc_id long, name binary, place long, text string"
+    parts = rows.where(is_long).mapInArrow(cut, kind).repartition("doc_id", "name", "place").mapInArrow(encode, f"{kind}, ids binary")
+    joined = parts.repartition("doc_id", "name").sortWithinPartitions("doc_id", "name", "place").mapInArrow(join, f"doc_id long, {schema}")
+    return found.unionByName(joined)

@@ -1,8 +1,8 @@
 """BPE by tree concatenation, Re-Pair and token files against the library and exact round trips."""
 
 import random
+import time
 import zlib
-from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,10 +11,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from basewise.llm import bpe_tree, repair, token_files
+from basewise.llm.common import vocabulary
 
-FOLDER = Path("/opt/tokenizers")
-pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no vocabularies here")
-BYTE, WORD = str(FOLDER / "byte_bpe_50k.json"), str(FOLDER / "word_bpe_49k.json")
+BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +54,29 @@ def test_special_strings_are_special(byte_library, encoders):
     assert encoders[0].decode(want) == byte_library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", [" " * 90_001, "\n" * 50_000 + "x", "a" * 70_003, "é" * 30_001 + "e" * 20_000, "x" + "ab" * 20_000 + "a" * 33_333 + " y", "\n " * 20_000, "=" * 40_001 + " " * 30_000 + "z", "漢" * 25_000, "7" * 20_001 + "'s" * 9_000])
+def test_long_runs(byte_library, encoders, text):
+    assert encoders[-1].encode(text) == byte_library.encode(text, add_special_tokens=False).ids
+
+
+def test_ten_million_blanks_newlines_and_letters_take_seconds(encoders):
+    began = time.time()
+    for c in " \na":
+        ids = encoders[-1].encode(c * 10_000_000)
+        assert encoders[-1].decode(ids) == c * 10_000_000
+    assert time.time() - began < 30
+
+
+def test_parts_of_long_texts_are_encoded_apart_and_joined(spark, byte_library):
+    r = random.Random(3)
+    texts = ["".join(r.choice(["the", " ", "ing", "ß", "\n", "12", "'s", "漢"]) for _ in range(3000)), " " * 3000 + "x", "a" * 2500, "ab<|endoftext|>" * 300, "short", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[2]), (0, texts[1])]
+    p = bpe_tree.Params(BYTE, leaf=100, part=701)
+    got = bpe_tree.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()
+    want = [(i, tuple(byte_library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    assert sorted(((x.doc_id, tuple(x.ids)) for x in got), key=repr) == sorted(want, key=repr)
+
+
 def test_round_trip_of_rows(spark, byte_library):
     rows = [(1, None, "z"), (2, "", "z"), (3, "some text " * 3000, "z"), (None, "null id", "z"), (3, "again", "z")]
     got = bpe_tree.round_trip(spark.createDataFrame(rows, "doc_id long, text string, ids string"), bpe_tree.Params(BYTE)).collect()
