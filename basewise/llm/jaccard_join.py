@@ -2,11 +2,15 @@
 
 Documents with the same set of five-word shingles are copies and stand for one node,
 named by a 128-bit fingerprint of the set. Every node has `trees` x `depth` minima; a tree
-is the trie of its `depth` minima, and nodes that share a prefix of length d form a
-bucket. Prefixes begin as long as a pair at the threshold is still found with
-`least_recall`, and are shortened until the recall measured on this corpus reaches
-`recall`: every pair is found with probability 1 - (1 - s^d)^trees for its similarity s,
-so counting each found pair and each found pair over its probability gives the recall.
+is the prefix trie of its `depth` minima. The keys of a tree are sorted, so that every
+prefix is a run of them, and the nodes below each prefix are counted.
+
+A node starts with its whole keys and shortens the matched prefix of each tree as long as
+it leads to at most `few` nodes, down to the length at which all trees together find a
+pair at the threshold with the target recall. Where crowded prefixes leave it short of
+that, it goes on in the tree whose next prefix leads to the fewest nodes, until the
+recall of its own lengths, 1 - product over trees of (1 - s^length), reaches the target.
+A prefix that any node asks for is a bucket of all nodes below it.
 
 A bucket only has to say who might belong together: within it, nodes whose signatures
 agree well enough are linked by a spanning forest (so rows grow with the nodes, not with
@@ -16,8 +20,10 @@ of their shingles. Buckets and groups of more than `block` nodes are cut into bl
 every pair of blocks is a task of its own, so nothing is capped and no task is unbounded.
 
 Defined cases: a null, empty or blank text has no shingle and no link and is its own
-class; a text of one to four words is one shingle; a document with a null id has a null
-class and no link; repeated rows are copies; class_id is the least doc_id of the class.
+class; a text of one to four words is one shingle; a row with a null id is a document like
+any other; repeated rows are copies; class_id is the least doc_id of the class, null only
+if all are null; very long texts are taken in slices; an empty table gives no row; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +34,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import by_weight, stash
 from .components import components
 from .shingles import Codes, MinHash, fingerprint, shingles
 
@@ -41,8 +47,10 @@ class Params:
     threshold: float = 0.8
     trees: int = 16
     depth: int = 8
-    least_recall: float = 0.99
+    #: Least probability with which a node's prefixes find another at the threshold.
     recall: float = 0.999
+    #: Nodes to which a prefix may lead without further need.
+    few: int = 64
     #: Standard deviations by which a signature may fall short of the threshold.
     slack: float = 4.0
     bucket_block: int = 8192
@@ -63,26 +71,100 @@ class Params:
         return 1 - (1 - s**d) ** self.trees
 
     @property
-    def longest(self) -> int:
-        return max((d for d in range(1, self.depth + 1) if self.found(self.threshold, d) >= self.least_recall), default=1)
+    def shortest(self) -> int:
+        return max((d for d in range(1, self.depth + 1) if self.found(self.threshold, d) >= self.recall), default=1)
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, node, size, sig): size is the number of shingles, node is null for documents without shingles or id."""
+    """(doc_id, copy, node, size, sig): copy names the text, size is the number of shingles, node is null for documents without shingles."""
     width = p.width
+    rows = docs.select("doc_id", text_key("text").alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, low = Codes(), MinHash(width)
-        for b in batches:
+        for b in by_weight(batches, 2):
             nodes, sizes, sigs = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(t, codes) if i is not None else ()
+            for t in b.column(2):
+                s = shingles(t.as_py(), codes)
                 nodes.append(fingerprint(s) if len(s) else None)
                 sizes.append(len(s))
                 sigs.append(low(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "node", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "copy", "node", "size", "sig"])
+
+    return rows.mapInArrow(run, "doc_id long, copy binary, node binary, size long, sig binary")
+
+
+def text_key(text: str) -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, size long, sig binary")
+
+def _prefix(d: int) -> Column:
+    return F.substring("key", 1, 2 * d)
+
+
+def _by_prefix(rows: DataFrame, p: Params, of: Callable[[Window, int], Column]) -> DataFrame:
+    """rows (tree, key, ...) sorted as tries, with the column at_<d> for each prefix length d: `of` over the rows of one prefix."""
+    lengths = range(p.shortest, p.depth)
+    names = [f"_p{d}" for d in lengths]
+    tries = rows.select("*", *[_prefix(d).alias(n) for d, n in zip(lengths, names, strict=True)])
+    if names:
+        tries = tries.repartition("tree", names[0]).sortWithinPartitions("tree", *names)
+    for k, d in enumerate(lengths):
+        tries = tries.withColumn(f"at_{d}", of(Window.partitionBy("tree", *names[: k + 1]), d))
+    return tries.drop(*names)
+
+
+def tries(nodes: DataFrame, p: Params) -> DataFrame:
+    """(node, tree, key, sizes): the keys of nodes (node, sig) that share their shortest prefix; sizes[i]: nodes below the prefix of length shortest + i."""
+    keys = F.array(*[F.substring("sig", 2 * p.depth * t + 1, 2 * p.depth) for t in range(p.trees)])
+    rows = nodes.select("node", F.posexplode(keys).alias("tree", "key"))
+    counted = _by_prefix(rows.groupBy("tree", "key").agg(F.count("*").alias("n")), p, lambda w, d: F.sum("n").over(w))
+    sizes = F.array(*[F.col(f"at_{d}") for d in range(p.shortest, p.depth)], F.col("n"))
+    shared = counted.select("tree", "key", sizes.alias("sizes")).where("sizes[0] > 1")
+    return rows.join(shared, ["tree", "key"])
+
+
+def lengths_of(sizes: np.ndarray, p: Params) -> np.ndarray:
+    """Prefix lengths (nodes x trees) from sizes (nodes x trees x lengths from the shortest), the numbers of nodes below each prefix."""
+    last = sizes.shape[2] - 1
+    fit = sizes <= p.few
+    at = np.where(fit.any(2), fit.argmax(2), last)
+    while True:
+        missed = np.log1p(-np.power(p.threshold, p.shortest + at)).sum(1)
+        short = np.flatnonzero((missed > np.log(1 - p.recall)) & (at > 0).any(1))
+        if not len(short):
+            return p.shortest + at
+        own = at[short]
+        following = np.where(own > 0, np.take_along_axis(sizes[short], np.maximum(own - 1, 0)[:, :, None], 2)[:, :, 0], np.iinfo(np.int64).max)
+        at[short, following.argmin(1)] -= 1
+
+
+def buckets(nodes: DataFrame, p: Params) -> DataFrame:
+    """(node, tree, bucket, n): the nodes below each prefix that one of them asks for; n is their number."""
+    shared = stash(tries(nodes, p), "tries")
+    asked = shared.groupBy("node").agg(F.collect_list(F.struct("tree", "key", "sizes")).alias("own"))  # at most a key for each tree
+    trees, count = p.trees, p.depth - p.shortest + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0)
+            each = own.flatten()
+            tree, key, sizes = each.field("tree"), each.field("key"), each.field("sizes")
+            row = np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy()))
+            all_sizes = np.ones((b.num_rows, trees, count), np.int64)
+            at = tree.to_numpy()
+            all_sizes[row, at] = sizes.flatten().to_numpy().reshape(-1, count)
+            d = lengths_of(all_sizes, p)[row, at]
+            yield pa.RecordBatch.from_arrays([tree, key, sizes, pa.array(d.astype(np.int32))], ["tree", "key", "sizes", "length"])
+
+    asked = asked.select("own").mapInArrow(run, "tree int, key binary, sizes array<long>, length int")
+    asked = asked.groupBy("tree", "key").agg(F.min("length").alias("length"), F.first("sizes").alias("sizes"))
+    asked = _by_prefix(asked, p, lambda w, d: F.min("length").over(w))
+    length = F.coalesce(*[F.when(F.col(f"at_{d}") <= d, F.lit(d)) for d in range(p.shortest, p.depth)], F.lit(p.depth))
+    asked = asked.select("tree", "key", length.alias("length"), "sizes").withColumn("n", F.get("sizes", F.col("length") - p.shortest)).where("n > 1")
+    rows = shared.select("node", "tree", "key").join(asked.select("tree", "key", "length", "n"), ["tree", "key"])
+    return rows.select("node", "tree", F.expr("substring(key, 1, 2 * length)").alias("bucket"), "n")
 
 
 def in_blocks(rows: DataFrame, key: list[str], node: str, block: int, weight: Column | None = None, heaviest: int = 1) -> DataFrame:
@@ -128,59 +210,30 @@ def _forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray
     return label
 
 
-def candidate_links(nodes: DataFrame, d: int, p: Params) -> DataFrame:
-    """(a, b, likeness, pairs) of nodes (node, sig): links a-b, and rows that count the found pairs by likeness."""
-    keys = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 2 * p.depth * t + 1, 2 * d)) for t in range(p.trees)])
-    rows = nodes.select("node", F.posexplode(keys).alias("tree", "key"))
-    rows = in_blocks(rows, ["tree", "key"], "node", p.bucket_block)
+def forest_links(nodes: DataFrame, p: Params) -> DataFrame:
+    """Links (a, b) of nodes (node, sig) that share a bucket and whose signatures agree well enough."""
+    rows = buckets(nodes, p).withColumn("_blocks", F.ceil(F.col("n") / p.bucket_block).cast("int"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     rows = _units(rows.join(nodes.select("node", "sig"), "node"))
-    unit = ["tree", "key", "_i", "_j"]
+    unit = ["tree", "bucket", "_i", "_j"]
     rows = rows.select(*unit, "node", "sig").repartition(*unit).sortWithinPartitions(*unit, "node")
-    trees, depth, width, agree, threshold = p.trees, p.depth, p.width, p.agree, p.threshold
+    width, agree = p.width, p.agree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, a, b = np.zeros(width + 1, np.int64), [], []
-
-        def out(a: list, b: list, likeness: list, pairs: list) -> pa.RecordBatch:
-            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((a, b, likeness, pairs), kinds, strict=True)], ["a", "b", "likeness", "pairs"])
-
-        for (tree, *_), unit in _by_unit(batches, ["tree", "key", "_i", "_j"]):
+        a, b = [], []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        for _, unit in _by_unit(batches, ["tree", "bucket", "_i", "_j"]):
             sig = np.frombuffer(b"".join(r["sig"] for r in unit), np.uint16).reshape(len(unit), width)
-
-            def near(k: int, rest: np.ndarray) -> np.ndarray:
-                same = sig[rest] == sig[k]
-                like = same.sum(1)
-                if len(at := np.flatnonzero(like >= threshold * width)):
-                    before = same[at].reshape(-1, trees, depth)[:, :tree, :d].all(2).any(1)  # an earlier tree has counted the pair
-                    np.add.at(counts, like[at[~before]], 1)
-                return like >= agree * width
-
-            label = _forest(len(unit), near)
+            label = _forest(len(unit), lambda k, rest, sig=sig: (sig[rest] == sig[k]).sum(1) >= agree * width)
             for k in np.flatnonzero(label != np.arange(len(unit))):
                 a.append(unit[k]["node"])
                 b.append(unit[label[k]]["node"])
             if len(a) >= 10_000:
-                yield out(a, b, [None] * len(a), [None] * len(a))
+                yield out()
                 a, b = [], []
-        some = np.flatnonzero(counts).tolist()
-        yield out(a + [None] * len(some), b + [None] * len(some), [None] * len(a) + some, [None] * len(a) + counts[some].tolist())
-
-    return rows.mapInArrow(run, "a binary, b binary, likeness int, pairs long")
-
+        yield out()
 
-def forest_links(nodes: DataFrame, p: Params) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """Links (a, b) at the prefix length that reaches the recall, and the measured recall of every length tried."""
-    tried: list[tuple[int, float]] = []
-    for d in range(p.longest, 0, -1):
-        links = stash(candidate_links(nodes, d, p), "links")
-        seen = links.where("likeness is not null").groupBy("likeness").agg(F.sum("pairs").alias("n")).collect()  # at most `width` rows
-        found = sum(r["n"] for r in seen)
-        there = sum(r["n"] / p.found(r["likeness"] / p.width, d) for r in seen)
-        tried.append((d, found / there if found else 1.0))
-        if tried[-1][1] >= p.recall:
-            break
-    return links.where("a is not null").select("a", "b"), tried
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def _verify(unit: list[dict], sets: list[np.ndarray], i: int, j: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -212,18 +265,18 @@ def _verify(unit: list[dict], sets: list[np.ndarray], i: int, j: int, threshold:
 
 
 def verified_links(docs: DataFrame, members: DataFrame, p: Params) -> DataFrame:
-    """(node, doc_id, root, links, blocks) for each unit of each member (node, doc_id, size, group)."""
+    """(node, root, links, blocks) for each unit of each member (node, copy, size, group)."""
     rows = in_blocks(members, ["group"], "node", p.group_block, F.col("size"), p.block_shingles)
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(rows.hint("merge"), "doc_id")
+    texts = docs.select("doc_id", "text").withColumn("copy", text_key("text")).join(rows.hint("merge"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("copy") == F.col("_copy")))
     unit = ["group", "_i", "_j"]
-    rows = _units(texts).select(*unit, "_blocks", "_own", "node", "doc_id", "text").repartition(*unit).sortWithinPartitions(*unit, "node")
+    rows = _units(texts).select(*unit, "_blocks", "_own", "node", "text").repartition(*unit).sortWithinPartitions(*unit, "node")
     threshold = p.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for (_, i, j), unit in _by_unit(batches, ["group", "_i", "_j"]):
             kept, sets = {}, {}
-            for r in unit:  # a repeated doc_id may bring other texts, a repeated row the same one
+            for r in unit:  # a repeated row brings the same text
                 s = shingles(r.pop("text"), codes)
                 if r["node"] not in kept and fingerprint(s) == r["node"]:
                     kept[r["node"]], sets[r["node"]] = r, s
@@ -234,56 +287,71 @@ def verified_links(docs: DataFrame, members: DataFrame, p: Params) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r["node"] for r in unit], pa.binary()),
-                    pa.array([r["doc_id"] for r in unit], pa.int64()),
                     pa.array([unit[k]["node"] for k in label], pa.binary()),
                     pa.array(links.astype(np.int64)),
                     pa.array([r["_blocks"] for r in unit], pa.int32()),
                 ],
-                ["node", "doc_id", "root", "links", "blocks"],
+                ["node", "root", "links", "blocks"],
             )
 
-    return rows.mapInArrow(run, "node binary, doc_id long, root binary, links long, blocks int")
+    return rows.mapInArrow(run, "node binary, root binary, links long, blocks int")
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, class_id, n_links, n_copies.
+def classes_of(docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Stashed rows (doc_id, copy, node) of docs (doc_id, text), and (node, class_id, n_links, n_copies, first, class_first) of their nodes.
 
-    n_links counts the different texts at or over the threshold, n_copies the documents
-    with the same shingle set, this one included.
+    first: the least (whether doc_id is null, doc_id, copy) of a node; class_first: of its class.
     """
     known = stash(signatures(docs, p), "signatures")
-    nodes = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sig").alias("sig"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
+    nodes = known.where("node is not null").groupBy("node").agg(F.min(first).alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sig").alias("sig"))
     nodes = stash(nodes, "nodes")
-    links, _ = forest_links(nodes, p)
-    groups = components(links).select("node", F.col("root").alias("group"))
-    members = stash(groups.join(nodes.select("node", "doc_id", "size"), "node"), "members")
-    units = stash(verified_links(docs, members, p), "verified")
+    groups = components(forest_links(nodes, p)).select("node", F.col("root").alias("group"))
+    members = groups.join(nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.copy").alias("_copy"), "size"), "node")
+    units = stash(verified_links(docs, stash(members, "members"), p), "verified")
     whole = units.where("blocks = 1").select("node", "root", "links")
     cut = units.where("blocks > 1")
     if cut.limit(1).count():
         roots = components(cut.select(F.col("node").alias("a"), F.col("root").alias("b")))
         counted = cut.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node", "left")
         whole = whole.unionByName(counted.select("node", F.coalesce("root", "node").alias("root"), "links"))
-    joined = whole.join(nodes.select("node", "doc_id"), "node")
-    least = joined.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classes = joined.join(least, "root").select("node", "class_id", "links")
-    nodes = nodes.select("node", "doc_id", "copies").join(classes, "node", "left")
-    nodes = nodes.select("node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"))
-    out = known.select("doc_id", "node").join(stash(nodes, "classes"), "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    joined = whole.join(nodes.select("node", "first"), "node")
+    least = joined.groupBy("root").agg(F.min("first").alias("class_first"))
+    classes = joined.join(least, "root").select("node", "class_first", "links")
+    nodes = nodes.select("node", "first", "copies").join(classes, "node", "left").withColumn("class_first", F.coalesce("class_first", "first"))
+    nodes = nodes.select("node", F.col("class_first.doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("copies").alias("n_copies"), "first", "class_first")
+    return known.select("doc_id", "copy", "node"), stash(nodes, "classes")
+
+
+def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, class_id, n_links, n_copies.
+
+    n_links counts the different texts at or over the threshold, n_copies the documents
+    with the same shingle set, this one included.
+    """
+    known, nodes = classes_of(docs, p)
+    out = known.join(nodes.select("node", F.struct("class_id", "n_links", "n_copies").alias("of")), "node", "left")
+    alone = F.struct(F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    return out.select("doc_id", F.coalesce("of", alone).alias("of")).select("doc_id", "of.*")
 
 
-def drop_near_duplicates(docs: DataFrame, p: Params = Params(), order: Column | None = None) -> DataFrame:
-    """docs with one document of each class, the one with the least doc_id; documents without id stay.
+def drop_near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """docs with one row of each class, one with the least doc_id; rows without shingles stay.
 
-    Of rows that repeat the kept doc_id and text, one stays.
+    Rows are told apart by doc_id and text, so another text under a dropped row's id
+    stays. Of rows that repeat both, one stays.
     """
-    classes = near_duplicates(docs, p).where("doc_id is not null")
-    gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    repeated = stash(repeated, "repeated")
+    known, nodes = classes_of(docs, p)
+    rows = known.where("node is not null").groupBy("doc_id", "copy", "node").agg(F.count("*").alias("n"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
+    rows = rows.join(nodes.select("node", "class_first"), "node")
+    named = (F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
+    gone = rows.where(key != F.col("class_first")).select(*named)
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key("text").alias("key"))
+    is_row = F.col("key").eqNullSafe(F.col("_copy")) & F.col("id").eqNullSafe(F.col("_id"))
+    kept = keyed.join(gone, is_row, "left_anti")
+    repeated = stash(rows.where((key == F.col("class_first")) & (F.col("n") > 1)).select(*named), "repeated")
     if repeated.limit(1).count():
-        one = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(one)
-    return kept.select(*docs.columns)
+        one = kept.join(repeated, is_row, "left_semi").groupBy("id", "key").agg(F.first("row").alias("row"))
+        kept = kept.join(repeated, is_row, "left_anti").unionByName(one)
+    return kept.select("row.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -16,12 +17,20 @@ _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.
 
 
 class Codes(dict):
-    """64-bit hash of a word; forgets all when it has grown large."""
+    """64-bit hash of a word; forgets all when what it holds takes about `most` bytes, and keeps no long word."""
+
+    def __init__(self, most: int = 32_000_000, longest: int = 64) -> None:
+        super().__init__()
+        self.most, self.longest, self.held = most, longest, 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = code = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        code = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= self.longest:
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[word] = code
+            self.held += 200 + len(word)
         return code
 
 
@@ -31,19 +40,46 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, codes: Codes) -> np.ndarray:
-    """Sorted distinct hashes of the five-word windows; fewer words form one shingle, none form none."""
-    words = WORDS.findall(text or "")
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-    g = min(GRAM, len(h))
+BLANK = re.compile(r"[\x20\x09-\x0D]")
+
+
+def _slices(text: str, chars: int) -> Iterator[str]:
+    """The text in slices of about `chars` characters that end at blanks."""
+    lo = 0
+    while lo < len(text):
+        cut = BLANK.search(text, lo + chars)
+        hi = cut.end() if cut else len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
+def shingles(text: str | None, codes: Codes, chars: int = 500_000) -> np.ndarray:
+    """Sorted distinct hashes of the five-word windows; fewer words form one shingle, none form none.
+
+    A long text is taken in slices, so only its hashes are held, not its words.
+    """
+    found, tail = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    new: list[np.ndarray] = []
+    for part in _slices(text or "", chars):
+        words = WORDS.findall(part)
+        h = np.concatenate([tail, np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))])
+        if len(h) >= GRAM:
+            new.append(_windows(h, GRAM))
+        tail = h[-GRAM + 1 :]
+        if sum(map(len, new)) > max(100_000, len(found)):
+            found, new = np.unique(np.concatenate([found, *new])), []
+    if not len(found) and not new:
+        return _windows(tail, len(tail)) if len(tail) else found
+    return np.unique(np.concatenate([found, *new])) if new else found
+
+
+def _windows(h: np.ndarray, g: int) -> np.ndarray:
     n = len(h) - g + 1
     s = np.full(n, g, np.uint64)
     for i in range(g):
         s = s * _P + h[i : i + n]
         s ^= s >> np.uint64(29)
-    return np.unique(_mixed(s))
+    return _mixed(s)
 
 
 def fingerprint(s: np.ndarray) -> bytes:

@@ -1,6 +1,8 @@
 """Near duplicates, components and nearest neighbours against brute force."""
 
 import random
+import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -69,11 +71,12 @@ def test_near_duplicates_match_brute_force(spark, blocks):
     assert len(got) == len(rows) + 1
     want = plain_classes(rows)
     assert {r.doc_id: (r.class_id, r.n_links) for r in got if r.doc_id is not None} == want
-    assert [(r.class_id, r.n_links) for r in got if r.doc_id is None] == [(None, 0)]
+    same = min(i for i, t in rows if t == "few words")  # a row without an id is a document like any other
+    assert [(r.class_id, r.n_links) for r in got if r.doc_id is None] == [(same, 0)]
 
 
 def test_one_of_each_class_stays(spark):
-    rows = [*corpus(3), (None, "no id")]
+    rows = [*corpus(3), (None, "no id here")]
     rows.append(rows[0])  # a repeated row
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
     kept = jaccard_join.drop_near_duplicates(d)
@@ -88,13 +91,93 @@ def test_empty_tables(spark):
     assert jaccard_join.near_duplicates(d).count() == 0 and jaccard_join.drop_near_duplicates(d).count() == 0
 
 
-def test_prefixes_shorten_until_the_recall(spark):
-    p = jaccard_join.Params(recall=1.0)  # never reached exactly, so every length is tried
-    known = jaccard_join.signatures(spark.createDataFrame(corpus()[:60], "doc_id long, text string"), p).where("node is not null")
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
-    _, tried = jaccard_join.forest_links(nodes, p)
-    assert [d for d, _ in tried][0] == p.longest and all(r <= 1 for _, r in tried)
-    assert p.found(p.threshold, p.longest) >= p.least_recall
+def test_prefixes_shorten_until_the_recall():
+    p = jaccard_join.Params()
+    count = p.depth - p.shortest + 1
+    assert p.found(p.threshold, p.shortest) >= p.recall > p.found(p.threshold, p.shortest + 1)
+    sizes = np.ones((4, p.trees, count), np.int64)
+    sizes[1] = p.few + 1  # crowded in every tree, down to the whole key
+    sizes[2, :, :-1] = 10_000 - np.arange(p.trees)[:, None]
+    sizes[2, :, -1] = 2
+    sizes[3, ::2, 0] = p.few + 5
+    d = jaccard_join.lengths_of(sizes, p)
+    recall = 1 - np.prod(1 - p.threshold ** d.astype(float), axis=1)
+    assert (recall >= p.recall).all() and (d >= p.shortest).all()
+    assert (d[0] == p.shortest).all() and d[1].max() > p.shortest  # crowded prefixes are kept as long as the recall allows
+    for row in (1, 2):  # one step less would miss the target
+        longer = d[row].copy()
+        longer[longer.argmin()] += 1
+        assert 1 - np.prod(1 - p.threshold ** longer.astype(float)) < p.recall
+    assert (np.diff(d[2]) <= 0).all()  # the trees whose prefixes lead to fewer nodes come first
+
+
+def links_of(texts):
+    """Pairs of places of different sets at similarity 0.8 or more, through an inverted index of the shingles."""
+    sets, where, met = [frozenset(sets_of(t)) for t in texts], {}, Counter()
+    first = {}
+    for k, s in enumerate(sets):
+        if s and s not in first:
+            first[s] = k
+            for g in s:
+                where.setdefault(g, []).append(k)
+    for own in where.values():
+        met.update(combinations(own, 2))
+    return {(a, b) for (a, b), n in met.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}, sets
+
+
+def test_recall_and_classes_on_documents(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    pairs, sets = links_of([re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in docs])
+    degree = Counter(k for pair in pairs for k in pair)
+    of_set = {}
+    for k, s in enumerate(sets):
+        of_set.setdefault(s, k)
+    got = {r.doc_id: r for r in jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) == {i for i, _ in docs}
+    want = [degree[of_set[s]] if s else 0 for s in sets]
+    found = [got[i].n_links for i, _ in docs]
+    assert sum(want) > 0 and all(f <= w for f, w in zip(found, want, strict=True)) and sum(found) >= 0.95 * sum(want)
+    together = sum(got[docs[a][0]].class_id == got[docs[b][0]].class_id for a, b in pairs)
+    assert together >= 0.95 * len(pairs)
+
+
+def test_recall_near_the_threshold(spark):
+    r, rows = random.Random(8), []
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    for n in range(300):
+        base = [word() for _ in range(150)]
+        other = list(base)
+        for at in r.sample(range(10, 140, 6), 3):  # five shingles each: similarities of 131 / 161 and more
+            other[at] = word()
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join(other))]
+    pairs, _ = links_of([t for _, t in rows])
+    assert len(pairs) > 250
+    got = {x.doc_id: x.n_links for x in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got.values()) >= 0.99 * 2 * len(pairs)
+
+
+def test_long_texts_are_taken_in_slices():
+    r = random.Random(2)
+    text = " ".join("".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(3000))
+    whole = shingles(text, Codes())
+    assert all(np.array_equal(whole, shingles(text, Codes(500), chars)) for chars in (1, 7, 100, 5000))
+    assert len(whole) == len(sets_of(text)) and len(shingles("a b c", Codes(), 1)) == 1
+
+
+def test_hubs_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr("basewise.llm.components.HUB", 20)
+    edges = [(1000, k) for k in range(500)] + [(2000, k) for k in range(600, 700)] + [(699, 3000), (3000, 3001), (5000, 5001)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[k] for k in [*range(500), 1000]} == {0} and {got[k] for k in [*range(600, 700), 2000, 3000, 3001]} == {600} and got[5001] == 5000
+
+
+def test_rows_without_id_are_documents(spark):
+    rows = [(None, "one two three four five six"), (None, "one two three four five six"), (7, "one two three four five six"), (7, "another text under the same number here"), (None, None), (8, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("?") for c in ("copy", "_key", "_id", "class_id", "n")})
+    got = sorted(((r.doc_id, r.class_id, r.n_copies) for r in jaccard_join.near_duplicates(d).collect()), key=repr)
+    assert got == sorted([(None, 7, 3), (None, 7, 3), (7, 7, 3), (7, 7, 1), (None, None, 1), (8, 8, 1)], key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.drop_near_duplicates(d).collect()), key=repr)
+    assert kept == sorted([rows[2], rows[3], rows[4], rows[5]], key=repr)
 
 
 def test_signatures_estimate_similarity():
