@@ -86,6 +86,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(t) if name == "documents" else t
 
 
+def text_key(text: str) -> Column:
+    """128 bits that name a text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and text key (text_key) are a row (doc_id, copy) of gone; null equals null."""
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key("text").alias("key"))
+    return keyed.join(gone, F.col("key").eqNullSafe(F.col("_copy")) & F.col("id").eqNullSafe(F.col("_id")), "left_anti").select("row.*")
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file; the package is installed on every executor too."""
     import public_tokenizers

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_weight, stash
+from .common import by_weight, stash, text_key, without_rows
 from .components import components
 from .shingles import Codes, MinHash, fingerprint, shingles
 
@@ -94,11 +94,6 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, copy binary, node binary, size long, sig binary")
 
 
-def text_key(text: str) -> Column:
-    """128 bits that name a text."""
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-
-
 def _prefix(d: int) -> Column:
     return F.substring("key", 1, 2 * d)
 
@@ -345,13 +340,11 @@ def drop_near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     rows = known.where("node is not null").groupBy("doc_id", "copy", "node").agg(F.count("*").alias("n"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")
     rows = rows.join(nodes.select("node", "class_first"), "node")
-    named = (F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"))
-    gone = rows.where(key != F.col("class_first")).select(*named)
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key("text").alias("key"))
-    is_row = F.col("key").eqNullSafe(F.col("_copy")) & F.col("id").eqNullSafe(F.col("_id"))
-    kept = keyed.join(gone, is_row, "left_anti")
-    repeated = stash(rows.where((key == F.col("class_first")) & (F.col("n") > 1)).select(*named), "repeated")
+    kept = without_rows(docs, rows.where(key != F.col("class_first")).select("doc_id", "copy"))
+    repeated = stash(rows.where((key == F.col("class_first")) & (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")), "repeated")
     if repeated.limit(1).count():
-        one = kept.join(repeated, is_row, "left_semi").groupBy("id", "key").agg(F.first("row").alias("row"))
-        kept = kept.join(repeated, is_row, "left_anti").unionByName(one)
-    return kept.select("row.*")
+        is_row = F.col("key").eqNullSafe(F.col("_copy")) & F.col("id").eqNullSafe(F.col("_id"))
+        keyed = kept.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key("text").alias("key"))
+        one = keyed.join(repeated, is_row, "left_semi").groupBy("id", "key").agg(F.first("row").alias("row"))
+        kept = keyed.join(repeated, is_row, "left_anti").unionByName(one).select("row.*")
+    return kept

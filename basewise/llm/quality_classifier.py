@@ -9,7 +9,8 @@ densities (Mahalanobis distances through the cached factors) plus the prior log
 
 Defined cases: a null text counts as empty; an empty text has all shares 0 and is scored
 like any other; a document with a null id is scored, never learnt from; repeated ids each
-count; if the learning rows hold fewer than two rows of a class, every score is the share
+count; very long texts are read whole, of few at a time; an empty table gives no row;
+other columns, whatever their names, are not read; if the learning rows hold fewer than two rows of a class, every score is the share
 of label 1 among them (0.5 without any).
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import by_weight, stash, text_key
 
 STATISTICS = ("words", "word_length", "upper", "symbols", "shouts", "bars", "digits", "stops", "distinct", "top_word", "stutter", "dup_lines")
 
@@ -73,7 +74,7 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     kept = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_weight(batches, len(keep)):
             x = [statistics(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
 
@@ -128,18 +129,19 @@ def fit(rows: DataFrame, p: Params = Params()) -> Model:
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params()) -> DataFrame:
-    """(doc_id, score, predicted) for every row of docs (doc_id, text).
+    """(doc_id, copy, score, predicted) for every row of docs (doc_id, text); copy names the text.
 
     labels: (doc_id, label). Only rows for which `learn`, a condition on doc_id, holds are learnt from.
     """
-    stats = stash(with_statistics(docs, "doc_id"), "statistics")
+    rows = docs.select("doc_id", text_key("text").alias("copy"), "text")
+    stats = stash(with_statistics(rows, "doc_id", "copy"), "statistics")
     model = fit(stats.where(learn).join(labels, "doc_id"), p)
     cut = p.cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
+            x = np.asarray(b.column(2).flatten()).reshape(b.num_rows, -1)
             s = model.score(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "copy", "score", "predicted"])
 
-    return stats.mapInArrow(run, "doc_id long, score double, predicted int")
+    return stats.mapInArrow(run, "doc_id long, copy binary, score double, predicted int")

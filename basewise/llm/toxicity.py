@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import by_weight, stash, text_key
 
 WORDS = re.compile(r"[^\W\d_]{2,40}")
 
@@ -150,7 +150,7 @@ def _feature_counts(texts: DataFrame, slots: bytes | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, n = _Codes(slots=zlib.decompress(slots) if slots is not None else None), Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text in (x.as_py() for x in b.column(0)):
                 n.update(set(chain.from_iterable(map(codes.__getitem__, set(WORDS.findall(text.lower()))))))
                 n[-1] += 1
                 if len(n) > 500_000:  # what a task holds is bounded; Spark adds the parts up
@@ -176,11 +176,11 @@ def telling(counts: DataFrame, np_: int, nu: int, p: Params = Params()) -> DataF
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params()) -> tuple[Model, DataFrame | None]:
-    """The model, and a stashed row (doc_id, words, at, n) of features for each document; no rows if there is nothing to learn from."""
+    """The model, and a stashed row (doc_id, copy, words, at, n) of features for each document; no rows if there is nothing to learn from."""
     confirmed = stash(labels.where(learn & (F.col("label") == 1)).select("doc_id", F.lit(True).alias("_positive")), "toxicity-confirmed")
     if confirmed.count() <= 2_000_000:  # ids only; texts are not shuffled for them
         confirmed = F.broadcast(confirmed)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", text_key("text").alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
     total = lambda counts: sum(r["n"] for r in counts.where("code = -1").collect())  # noqa: E731; one row
     of_p = _feature_counts(texts.join(confirmed, "doc_id").select("text")).where((F.col("n") >= p.least_support) | (F.col("code") < 0))
     of_p = stash(of_p, "toxicity-candidates")
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params())
     top = telling(counts, np_, nu, p).orderBy(F.desc("lift"), "code").limit(p.features).collect()
     if not top:
         return NONE, None
-    texts = texts.join(confirmed, "doc_id", "left").select("doc_id", F.coalesce("_positive", F.lit(False)).alias("positive"), "text")
+    texts = texts.join(confirmed, "doc_id", "left").select("doc_id", "copy", F.coalesce("_positive", F.lit(False)).alias("positive"), "text")
     columns = {r["code"]: j for j, r in enumerate(top)}
     prior = float(np.clip(np.quantile([r["ratio"] for r in sorted(top, key=lambda r: (-r["z"], r["code"]))[:30]], 0.25), 0.001, 0.5))
     chances = np.array([[min(1.0, p.carriers / r["p"]) for r in top], [min(1.0, p.carriers / r["u"]) for r in top]])
@@ -201,19 +201,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(columns)
-        for b in batches:
-            found = [_counted(t, codes) for t in b.column(2).to_pylist()]
+        for b in by_weight(batches, 3):
+            found = [_counted(t, codes) for t in b.column(3).to_pylist()]
             at, n = [list(c.keys()) for c, _ in found], [list(c.values()) for c, _ in found]
             chance = np.array([np.maximum(base, chances[:, a].max(1)) if a else base for a in at]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([k for _, k in found], pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64())), pa.array(chance[:, 0]), pa.array(chance[:, 1])],
-                ["doc_id", "positive", "words", "at", "n", "cp", "cu"],
+                [*b.columns[:3], pa.array([k for _, k in found], pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64())), pa.array(chance[:, 0]), pa.array(chance[:, 1])],
+                ["doc_id", "copy", "positive", "words", "at", "n", "cp", "cu"],
             )
 
-    found = stash(texts.mapInArrow(run, "doc_id long, positive boolean, words long, at array<long>, n array<long>, cp double, cu double"), "toxicity-features")
+    found = stash(texts.mapInArrow(run, "doc_id long, copy binary, positive boolean, words long, at array<long>, n array<long>, cp double, cu double"), "toxicity-features")
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
     asked = found.where("doc_id is not null").select("*", (F.col("positive") & (h < F.col("cp"))).alias("as_p"), (h < F.col("cu")).alias("as_u"))
-    rows = asked.where("as_p or as_u").drop("doc_id").toPandas()  # bounded by the base rates and `carriers` of each feature
+    rows = asked.where("as_p or as_u").drop("doc_id", "copy").toPandas()  # bounded by the base rates and `carriers` of each feature
     learnt = found.where("doc_id is not null")
     times = {r["at"]: r["n"] for r in learnt.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n")).collect()}  # a row for each feature
     rates = np.array([times[j] for j in range(len(top))]) / max(1, learnt.agg(F.sum("words")).first()[0])
@@ -225,21 +225,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params())
     if not as_p.any() or not as_u.any():
         return NONE, None
     weights, bias = fit_weights(x[as_p], x[as_u], prior, p, 1 / rows["cp"].to_numpy()[as_p], 1 / rows["cu"].to_numpy()[as_u])
-    return Model(columns, rates, weights, bias, prior), found.select("doc_id", "words", "at", "n")
+    return Model(columns, rates, weights, bias, prior), found.select("doc_id", "copy", "words", "at", "n")
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params()) -> DataFrame:
-    """(doc_id, score, predicted) for every row of docs (doc_id, text); labels: (doc_id, label), learnt from where `learn` holds."""
+    """(doc_id, copy, score, predicted) for every row of docs (doc_id, text), copy names the text; labels: (doc_id, label), learnt from where `learn` holds."""
     (model, found), cut = fit(docs, labels, learn, p), p.cut
     if found is None:
         score = 1 / (1 + np.exp(-model.bias))
-        return docs.select("doc_id", F.lit(float(score)).alias("score"), F.lit(int(score >= cut)).alias("predicted"))
+        return docs.select("doc_id", text_key("text").alias("copy"), F.lit(float(score)).alias("score"), F.lit(int(score >= cut)).alias("predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, n = b.column(2), b.column(3)
+            at, n = b.column(3), b.column(4)
             sizes = np.diff(at.offsets.to_numpy())
-            s = model.scores(b.column(1).to_numpy(), sizes, at.flatten().to_numpy(), n.flatten().to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
+            s = model.scores(b.column(2).to_numpy(), sizes, at.flatten().to_numpy(), n.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "copy", "score", "predicted"])
 
-    return found.mapInArrow(run, "doc_id long, score double, predicted int")
+    return found.mapInArrow(run, "doc_id long, copy binary, score double, predicted int")
