@@ -1,18 +1,25 @@
 """Quality rules with thresholds learnt from the corpus, by language and source.
 
-Every document gets exact counts from its whole text. Four measures of them go into
-log-linear histogram sketches (a bucket keeps the six leading bits of a value, so a
-quantile is off by 1/32 of its value at most), one sketch for each language and source.
-Sketches merge by adding counts, so they are pre-aggregated before the shuffle and do not
-depend on how rows were dealt. A group's limit for a measure is its third quartile plus
-`spread` interquartile ranges (for the mean word length also the first quartile less as
-many); groups of fewer than `least_rows` documents take their language's sketch, and
-languages with as few the whole corpus's. The limits are joined back and decide.
+Every document gets exact counts from its whole text. Four measures of the documents that
+pass the base rules go into log-linear histogram sketches (a bucket keeps the six leading
+bits of a value, so a quantile is off by 1/32 of its value at most), one sketch for each
+language and source. Sketches merge by adding counts, so they are pre-aggregated before
+the shuffle and do not depend on how rows were dealt.
+
+A group's limit for a measure is a high quantile of its own sketch, and as many distances
+between that quantile and the median further as the measure's margin says; for the mean
+word length also a low one. `prior_rows` rows' worth of the language's limit are mixed
+into it, and as many of the whole corpus's into that, so small groups lean on their
+language. No limit is a fixed number: only levels and margins are parameters. The limits
+are joined back and decide.
 
 Only built-in functions run here.
 
 Defined cases: a null or empty text has no words, so it fails the base rules; null
-languages and sources are groups of their own; repeated documents each count.
+languages and sources are groups of their own; repeated documents each count, and ties
+share a bucket; very long texts are counted whole inside their row; a group without a
+document that passes the base rules has no limit and needs none; an empty table gives no
+row; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,17 +40,25 @@ MEASURES = {
     "dup_lines": "n_dup_lines * 1000000 div greatest(n_lines, 1)",
     "repeats": "n_repeat_words * 1000000 div greatest(n_words, 1)",
 }
-TWO_SIDED = ("word_length",)
+
+
+@dataclass(frozen=True)
+class Level:
+    """Which quantiles limit a measure, in thousandths, and how many distances to the median are added."""
+
+    high: int
+    margin: int = 0
+    low: int | None = None
 
 
 @dataclass(frozen=True)
 class Rules:
     least_words: int = 10
     most_repeat_percent: int = 20
-    spread: int = 3
-    least_rows: int = 200
-    #: The interquartile range counts as this many millionths at least: most documents have no symbol and no repeat.
-    least_range: tuple[tuple[str, int], ...] = (("word_length", 1_000_000), ("symbols", 10_000), ("dup_lines", 150_000), ("repeats", 60_000))
+    #: Junk text may make up less than a tenth of a group: it must not move the limits of symbols and word length.
+    levels: tuple[tuple[str, Level], ...] = (("word_length", Level(900, 2, 10)), ("symbols", Level(900, 1)), ("dup_lines", Level(995)), ("repeats", Level(995)))
+    #: Rows of the language that count beside a group's own, and of the corpus beside a language's.
+    prior_rows: int = 200
 
 
 def text_counts(docs: DataFrame, *keep: str) -> DataFrame:
@@ -101,48 +116,53 @@ def bucket(v: Column) -> Column:
 
 
 def sketches(counts: DataFrame) -> DataFrame:
-    """(lang, source, measure, bucket, n): the mergeable sketch of each group and measure."""
+    """(lang, source, measure, bucket, top, n): the mergeable sketch of each group and measure; top is the greatest value of a bucket."""
     rows = counts.select("lang", "source", F.explode(F.create_map(*[x for m in MEASURES for x in (F.lit(m), F.col(m))])).alias("measure", "_v"))
-    return rows.groupBy("lang", "source", "measure", bucket(F.col("_v")).alias("bucket")).agg(F.count("*").alias("n"))
+    shift = F.greatest(F.length(F.bin(F.col("_v"))) - 6, F.lit(0))
+    top = bucket(F.col("_v")) + F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1
+    return rows.groupBy("lang", "source", "measure", bucket(F.col("_v")).alias("bucket"), top.alias("top")).agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, rows, q1, q3): the least bucket whose cumulated count reaches the share."""
-    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+def _limits(sketch: DataFrame, keys: list[str], r: Rules) -> DataFrame:
+    """(keys, measure, rows, low, high) from each group's own sketch; a quantile is the least bucket whose cumulated count reaches the level."""
+    merged = sketch.groupBy(*keys, "measure", "bucket", "top").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "measure")
     upto = F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = merged.select(*keys, "measure", "bucket", upto.alias("upto"), F.sum("n").over(by).alias("rows"))
-    reach = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("rows") * q, F.col("bucket")))
-    return ranked.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), reach(1).alias("q1"), reach(3).alias("q3"))
+    ranked = merged.select(*keys, "measure", "bucket", "top", upto.alias("upto"), F.sum("n").over(by).alias("rows"))
+    of = lambda get: F.create_map(*[F.lit(x) for m, level in r.levels for x in (m, get(level))])[F.col("measure")]
+    reach = lambda level, value: F.min(F.when(F.col("upto") * 1000 >= F.col("rows") * level, F.col(value)))
+    found = ranked.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), reach(F.lit(500), "bucket").alias("mid"), reach(of(lambda x: x.low or 0), "bucket").alias("lo"), reach(of(lambda x: x.high), "top").alias("hi"))
+    margin = of(lambda x: x.margin)
+    low = F.col("lo") - margin * (F.col("mid") - F.col("lo"))
+    high = F.col("hi") + margin * F.greatest(F.col("hi") - F.col("mid"), F.lit(0))
+    return found.select(*keys, "measure", "rows", low.alias("low"), high.alias("high"))
 
 
 def thresholds(sketch: DataFrame, r: Rules) -> DataFrame:
     """(lang, source, <measure>_low, <measure>_high) for each group of the sketch."""
-    least = F.create_map(*[F.lit(x) for pair in r.least_range for x in pair])
-    own = _quartiles(sketch, ["lang", "source"])
-    lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("_lang"), F.col("measure").alias("_m"), F.struct("rows", "q1", "q3").alias("of_lang"))
-    whole = _quartiles(sketch, []).select(F.col("measure").alias("_mm"), F.struct("rows", "q1", "q3").alias("of_all"))
-    q = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_m"))).join(F.broadcast(whole), F.col("measure") == F.col("_mm"))
-    enough = F.when(F.col("rows") >= r.least_rows, F.struct("rows", "q1", "q3")).when(F.col("of_lang.rows") >= r.least_rows, F.col("of_lang")).otherwise(F.col("of_all"))
-    q = q.select("lang", "source", "measure", enough.alias("q"))
-    away = r.spread * F.greatest(F.col("q.q3") - F.col("q.q1"), least[F.col("measure")])
-    q = q.select("lang", "source", "measure", (F.col("q.q1") - away).alias("low"), (F.col("q.q3") + away).alias("high"))
-    pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
-    return q.groupBy("lang", "source").agg(*[pick(m, c).alias(f"{m}_{c}") for m in MEASURES for c in (("low", "high") if m in TWO_SIDED else ("high",))])
+    named = lambda d, of: d.select(*[F.col(c).alias(f"{of}_{c}") for c in d.columns])
+    own, lang, whole = (_limits(sketch, keys, r) for keys in (["lang", "source"], ["lang"], []))
+    q = own.join(named(lang, "_l"), F.col("lang").eqNullSafe(F.col("_l_lang")) & (F.col("measure") == F.col("_l_measure")))
+    q = q.join(F.broadcast(named(whole, "_w")), F.col("measure") == F.col("_w_measure"))  # a row for each measure
+    mixed = lambda n, x, y: F.call_function("div", n * x + r.prior_rows * y, n + r.prior_rows)
+    limit = lambda c: mixed(F.col("rows"), F.col(c), mixed(F.col("_l_rows"), F.col(f"_l_{c}"), F.col(f"_w_{c}")))
+    q = q.select("lang", "source", "measure", limit("low").alias("low"), limit("high").alias("high"))
+    pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
+    return q.groupBy("lang", "source").agg(*[pick(m, c) for m, level in r.levels for c in (("high",) if level.low is None else ("low", "high"))])
 
 
 def judge_quality(docs: DataFrame, r: Rules = Rules()) -> DataFrame:
     """One row for each document (doc_id, text, lang, source): the counts, base_failed, kept, and the four measures."""
     counts = text_counts(docs, "doc_id", "lang", "source")
-    counts = stash(counts.select("*", *[F.expr(e).alias(m) for m, e in MEASURES.items()]), "text-counts")
-    limits = stash(thresholds(stash(sketches(counts), "sketches"), r), "limits")
+    counts = stash(counts.select("*", *[F.expr(e).alias(m) for m, e in MEASURES.items()], base_failed(r).alias("base_failed")), "text-counts")
+    limits = stash(thresholds(stash(sketches(counts.where("not base_failed")), "sketches"), r), "limits")
     judged = join_small(counts, limits, ["lang", "source"])
-    inside = F.lit(True)
-    for m in MEASURES:
+    inside = ~F.col("base_failed")
+    for m, level in r.levels:
         inside = inside & (F.col(m) <= F.col(f"{m}_high"))
-        if m in TWO_SIDED:
+        if level.low is not None:
             inside = inside & (F.col(m) >= F.col(f"{m}_low"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed(r).alias("base_failed"), (~base_failed(r) & inside).alias("kept"), "n_lines", *MEASURES,
+        "base_failed", F.coalesce(inside, F.lit(False)).alias("kept"), "n_lines", *MEASURES,
     )

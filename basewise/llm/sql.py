@@ -3,36 +3,34 @@
 from __future__ import annotations
 
 _WORD = r"[^\x20\x09-\x0D]"
+#: Measure: expression, levels in thousandths (low, high), margin.
 _MEASURES = {
-    "word_length": ("word_chars * 1000000 // greatest(n_words, 1)", 1_000_000, True),
-    "symbols": ("n_symbols * 1000000 // greatest(word_chars, 1)", 10_000, False),
-    "dup_lines": ("n_dup_lines * 1000000 // greatest(n_lines, 1)", 150_000, False),
-    "repeats": ("n_repeat_words * 1000000 // greatest(n_words, 1)", 60_000, False),
+    "word_length": ("word_chars * 1000000 // greatest(n_words, 1)", 10, 900, 2),
+    "symbols": ("n_symbols * 1000000 // greatest(word_chars, 1)", None, 900, 1),
+    "dup_lines": ("n_dup_lines * 1000000 // greatest(n_lines, 1)", None, 995, 0),
+    "repeats": ("n_repeat_words * 1000000 // greatest(n_words, 1)", None, 995, 0),
 }
 
 
-def _limits(measure: str, least: int) -> str:
+def _limits(measure: str, low: int | None, high: int, margin: int) -> str:
     """(lang, source, low, high) of a measure."""
     levels = []
-    for name, keys in (("own", "lang, source"), ("by_lang", "lang"), ("whole", "1 AS one")):
-        group = keys.replace(" AS one", "")
-        part = f"PARTITION BY {group}" if name != "whole" else ""
+    for name, keys in (("own", "lang, source, "), ("by_lang", "lang, "), ("whole", "")):
+        part = f"PARTITION BY {keys[:-2]}" if keys else ""
         levels.append(
-            f"{name} AS (SELECT {keys}, max(total) AS total, min(v) FILTER (upto * 4 >= total) AS q1, min(v) FILTER (upto * 4 >= total * 3) AS q3 FROM ("
+            f"{name} AS (SELECT {keys}max(total) AS n, min(v) FILTER (upto * 1000 >= total * 500) AS mid, min(v) FILTER (upto * 1000 >= total * {low or 0}) AS lo, min(v + (1 << s) - 1) FILTER (upto * 1000 >= total * {high}) AS hi FROM ("
             f"SELECT *, sum(n) OVER ({part} ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({part}) AS total FROM ("
-            f"SELECT {'lang, source, ' if name == 'own' else 'lang, ' if name == 'by_lang' else ''}({measure} >> s) << s AS v, count(*) AS n FROM (SELECT *, greatest(length(bin({measure})) - 6, 0) AS s FROM measured) GROUP BY ALL)) GROUP BY {'ALL' if name != 'whole' else '1'})"
+            f"SELECT {keys}({measure} >> s) << s AS v, s, count(*) AS n FROM (SELECT *, greatest(length(bin({measure})) - 6, 0) AS s FROM measured WHERE NOT base_failed) GROUP BY ALL)) GROUP BY ALL), "
+            f"{name}_f AS (SELECT {keys}n, lo - {margin} * (mid - lo) AS low, hi + {margin} * greatest(hi - mid, 0) AS high FROM {name})"
         )
-    pick = lambda q: f"CASE WHEN own.total >= 200 THEN own.{q} WHEN by_lang.total >= 200 THEN by_lang.{q} ELSE whole.{q} END"
-    return (
-        f"WITH {', '.join(levels)} SELECT lang, source, q1 - 3 * greatest(q3 - q1, {least}) AS low, q3 + 3 * greatest(q3 - q1, {least}) AS high FROM ("
-        f"SELECT own.lang, own.source, {pick('q1')} AS q1, {pick('q3')} AS q3 FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang, whole)"
-    )
+    shrunk = lambda c: f"CAST(((o.n * o.{c} + 200 * ((l.n * l.{c} + 200 * w.{c}) // (l.n + 200))) // (o.n + 200)) AS BIGINT) AS {c}"
+    return f"WITH {', '.join(levels)} SELECT o.lang, o.source, {shrunk('low')}, {shrunk('high')} FROM own_f o JOIN by_lang_f l ON o.lang IS NOT DISTINCT FROM l.lang, whole_f w"
 
 
 def _quality_rules() -> str:
-    limits = ", ".join(f"l_{m} AS ({_limits(m, least)})" for m, (_, least, _) in _MEASURES.items())
-    joins = " ".join(f"JOIN l_{m} ON measured.lang IS NOT DISTINCT FROM l_{m}.lang AND measured.source IS NOT DISTINCT FROM l_{m}.source" for m in _MEASURES)
-    inside = " AND ".join(f"{m} <= l_{m}.high" + (f" AND {m} >= l_{m}.low" if both else "") for m, (_, _, both) in _MEASURES.items())
+    limits = ", ".join(f"l_{m} AS ({_limits(m, *levels)})" for m, (_, *levels) in _MEASURES.items())
+    joins = " ".join(f"LEFT JOIN l_{m} ON measured.lang IS NOT DISTINCT FROM l_{m}.lang AND measured.source IS NOT DISTINCT FROM l_{m}.source" for m in _MEASURES)
+    inside = " AND ".join(f"{m} <= l_{m}.high" + (f" AND {m} >= l_{m}.low" if low else "") for m, (_, low, _, _) in _MEASURES.items())
     return rf"""
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS words FROM documents),
 lined AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM texts),
@@ -42,9 +40,9 @@ repeated AS (SELECT rid, count(DISTINCT p + i) AS n FROM twice, (VALUES (0), (1)
 counted AS (SELECT doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM lined LEFT JOIN repeated USING (rid)),
-measured AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(f"CAST({e} AS BIGINT) AS {m}" for m, (e, _, _) in _MEASURES.items())} FROM counted),
+measured AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(f"CAST({e} AS BIGINT) AS {m}" for m, (e, *_) in _MEASURES.items())} FROM counted),
 {limits}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept, n_lines, {", ".join(_MEASURES)} FROM measured {joins}"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed AND {inside}, false) AS kept, n_lines, {", ".join(_MEASURES)} FROM measured {joins}"""
 
 
 _RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
