@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basewise.llm import jaccard_join, stable_ann
+from basewise.llm import jaccard_join, queries, stable_ann
 from basewise.llm.components import components
 from basewise.llm.shingles import Codes, MinHash, shingles
 
@@ -227,6 +227,44 @@ def test_recall_against_brute_force(spark, norms):
     assert np.mean([len(set(found[i]) & set(want[i])) / 20 for i in want]) >= 0.95
 
 
+def test_recall_of_the_registered_query(spark):
+    """Every row of embeddings is a candidate; blocks small enough that queries cross regions."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    fine = [(i, [float(y) for y in v]) for i, v in rows if v is not None and np.isfinite(np.array(v, float)).all() and any(v)]
+    want = plain_nearest(fine, 20)
+    table = spark.createDataFrame(fine, "vec_id long, embedding array<float>")
+    for got in (queries.op9_stable_ann(spark, "/root/testdata/sf0.1"), stable_ann.nearest(table, F.col("vec_id") % 20 == 0, stable_ann.Params(block=300, query_block=20))):
+        found: dict[int, set] = {i: set() for i in want}
+        for x in got.collect():
+            found[x["query_id"]].add(x["vec_id"])
+        assert got.columns == ["query_id", "rank", "vec_id", "score"]
+        assert np.mean([len(found[i] & set(want[i])) / len(want[i]) for i in want]) >= 0.95
+
+
+def test_far_clusters_in_small_regions(spark):
+    """Recall holds where clusters lie far apart and regions are small."""
+    r = np.random.default_rng(4)
+    centres = 50 * r.normal(size=(16, 8))
+    v = np.vstack([c + 0.1 * r.normal(size=(200, 8)) for c in centres])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    index = stable_ann.build_index(stable_ann.usable(table), stable_ann.Params(block=200))
+    assert len(index.regions) >= 16 and index.blocks.agg(F.sum(F.octet_length("ids"))).first()[0] == 8 * len(v)
+    want = plain_nearest([(i, x.tolist()) for i, x in enumerate(v)], 20)
+    got: dict[int, list] = {}
+    for x in stable_ann.nearest(table, F.col("vec_id") % 20 == 0, stable_ann.Params(block=200)).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append(x["vec_id"])
+    assert np.mean([len(set(got[i]) & set(want[i])) / 20 for i in want]) >= 0.95
+
+
+def test_regions_of_a_top_tree():
+    x = np.random.default_rng(2).normal(size=(1000, 3))
+    dims, values = stable_ann.cuts_of(x, 7)
+    region = stable_ann.region_of(x, dims, values)
+    assert len(dims) == 7 and np.bincount(region).tolist() == [125] * 8
+    assert not len(stable_ann.cuts_of(x, 1)[0]) and (stable_ann.region_of(x, *stable_ann.cuts_of(x, 1)) == 0).all()
+
+
 def test_unusable_vectors_ties_and_few_candidates(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0]), (None, [1.0, 1.0]), (20, [0.0, 2.0]), (20, [0.0, 2.0]), (40, None)]

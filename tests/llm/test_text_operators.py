@@ -155,7 +155,7 @@ def test_equal_documents_of_different_groups_get_different_verdicts(spark):
     plain = [(i, " ".join(f"w{i}{j}" for j in range(40)), "en", "plain") for i in range(2000)]
     noisy = [(5000 + i, " ".join(f"w{i}{j}#" for j in range(40)), "en", "noisy") for i in range(2000)]
     long = [(10_000 + i, " ".join(f"extraordinarily{i}{j}" for j in range(40)), "de", "plain") for i in range(2000)]
-    some, wide = " ".join(f"v{j}#" for j in range(40)), " ".join(f"extraordinarily{j}" for j in range(40))
+    some, wide = " ".join(f"w5999{j}#" for j in range(40)), " ".join(f"extraordinarily{j}" for j in range(40))
     same = [(20_000, some, "en", "plain"), (20_001, some, "en", "noisy"), (20_002, wide, "en", "plain"), (20_003, wide, "de", "plain")]
     got = {r.doc_id: r for r in quality_rules.judge_quality(docs(spark, plain + noisy + long + same)).collect()}
     assert [got[i].kept for i in range(20_000, 20_004)] == [False, True, False, True]
