@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.store import stash
 from .taxonomy import lca_of_extremes
 from .windows import window_kmers
 
@@ -62,13 +63,18 @@ def within_limits(regions: DataFrame, plan: Plan, up: DataFrame | None = None, t
         of_rank = up.join(tax.where(F.col("rank") == plan.limit_rank).select(F.col("tax_id").alias("anc")), "anc", "left_semi").select(F.col("node").alias("tax_id"), F.col("anc").alias("_a"))
         r = r.join(of_rank, "tax_id", "left").withColumn("_limited", F.coalesce("_a", "tax_id")).drop("_a")
     order = Window.partitionBy("_limited").orderBy("file", "region_no")
+    size = F.greatest(F.length("seq") - (plan.k - 1), F.lit(0))
+    admitted = r.select("_limited", "file", "region_no", size.alias("_size"))  # sequences stay where they are
     if plan.max_genomes is not None:
-        r = r.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= plan.max_genomes).drop("_n")
+        admitted = admitted.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= plan.max_genomes).drop("_n")
+    before = F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    admitted = admitted.withColumn("_before", before).select("file", "region_no", "_before")
     if plan.max_kmers is not None:
-        size = F.greatest(F.length("seq") - (plan.k - 1), F.lit(0))
-        before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        r = r.withColumn("_before", before).where(F.col("_before") < plan.max_kmers)
-        r = r.withColumn("seq", F.substring("seq", F.lit(1), (plan.max_kmers - F.col("_before") + plan.k - 1).cast("int"))).drop("_before")
+        admitted = admitted.where(F.col("_before") < plan.max_kmers)
+    r = r.join(admitted, ["file", "region_no"])
+    if plan.max_kmers is not None:
+        r = r.withColumn("seq", F.substring("seq", F.lit(1), (plan.max_kmers - F.col("_before") + plan.k - 1).cast("int")))
+    r = r.drop("_before")
     return r.drop("_limited")
 
 
@@ -95,7 +101,21 @@ def build(regions: DataFrame, tax: DataFrame, up: DataFrame, requested: DataFram
     else:
         chosen = region_kmers(within_limits(r.where("_wanted"), plan, up, tax), plan).select("kmer").distinct()
         lifted = lifted.join(chosen, "kmer", "left_semi")
-    return lca_of_extremes(lifted, "_lo", "_hi", up, "tax_id").select("kmer", "tax_id")
+    return lifted_taxa(stash(lifted.select("kmer", "_lo", "_hi"), "lifted"), up)
+
+
+def lifted_taxa(lifted: DataFrame, up: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
+    """(kmer, tax_id) of stashed rows (kmer, _lo, _hi): the ancestor of each pair of extremes.
+
+    Few pairs occur, most k-mers belong to one taxon, so the pairs are counted and
+    broadcast up to `most_pairs` (24 MB); the k-mers then keep the partitions of their
+    aggregation and hot pairs meet in no task.
+    """
+    pairs = lifted.select("_lo", "_hi").distinct()
+    found = stash(lca_of_extremes(pairs, "_lo", "_hi", up, "tax_id"), "extremes")
+    if found.count() <= most_pairs:
+        found = F.broadcast(found)
+    return lifted.join(found, ["_lo", "_hi"]).select("kmer", "tax_id")
 
 
 def kmers_per_taxon(db: DataFrame) -> DataFrame:

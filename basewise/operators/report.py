@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.store import with_number
 from .taxonomy import rolled_up, sorted_by_tree
 
 VALUES = ("reads_kmers", "kmers", "unique_kmers", "contigs", "reads")
@@ -113,7 +114,7 @@ def db_info(tax: DataFrame, up: DataFrame, db_kmers: DataFrame, k: int, requeste
         r = r.withColumn("requested", F.lit(True))
     else:
         r = r.join(requested.select("tax_id", F.lit(True).alias("requested")), "tax_id", "left").withColumn("requested", F.coalesce("requested", F.lit(False)))
-    r = r.select(F.row_number().over(Window.orderBy("pre")).cast("long").alias("pos"), F.col("depth").alias("level"), "name", "rank", "tax_id", F.col("n").alias("stored_kmers"), "requested", "distance", "distance_portion")
+    r = with_number(r, ["pre"], "pos").select("pos", F.col("depth").alias("level"), "name", "rank", "tax_id", F.col("n").alias("stored_kmers"), "requested", "distance", "distance_portion")
     total = db_kmers.agg(F.coalesce(F.sum("db_kmers"), F.lit(0)).cast("long").alias("stored_kmers")).select(
         F.lit(0).cast("long").alias("pos"), F.lit(0).alias("level"), F.lit("TOTAL").alias("name"), F.lit("no rank").alias("rank"), F.lit(None).cast("string").alias("tax_id"),
         "stored_kmers", F.lit(False).alias("requested"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("distance_portion"),

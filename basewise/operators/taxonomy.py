@@ -8,12 +8,16 @@ anc, and the numbers of both) turns tree questions into equi-joins.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import with_number
+
 ROOT = "1"
 #: The ranks that have a level, from the top, each 20 levels under the one before.
 RANKS = (
@@ -73,14 +77,28 @@ def numbered(nodes: DataFrame) -> DataFrame:
 
 def closure(tax: DataFrame) -> DataFrame:
     """(node, node_pre, anc, anc_pre, anc_last, anc_depth): every node with itself and all its ancestors."""
-    tax.select("tax_id", "parent_id", "pre", "last", "depth").createOrReplaceTempView("_basewise_tax")
-    return tax.sparkSession.sql("""
+    return _recursive(
+        {"_basewise_tax": tax.select("tax_id", "parent_id", "pre", "last", "depth")},
+        """
         WITH RECURSIVE up(node, node_pre, anc) AS (
           SELECT tax_id, pre, tax_id FROM _basewise_tax
           UNION ALL
           SELECT up.node, up.node_pre, t.parent_id FROM up JOIN _basewise_tax t ON up.anc = t.tax_id WHERE t.parent_id IS NOT NULL)
         SELECT up.node, up.node_pre, up.anc, t.pre AS anc_pre, t.last AS anc_last, t.depth AS anc_depth
-        FROM up JOIN _basewise_tax t ON up.anc = t.tax_id""")
+        FROM up JOIN _basewise_tax t ON up.anc = t.tax_id""",
+    )
+
+
+def _recursive(tables: dict[str, DataFrame], sql: str) -> DataFrame:
+    """A recursive query over tables, under view names that no other query of the session has; the views go once it is analysed."""
+    spark, suffix = next(iter(tables.values())).sparkSession, uuid.uuid4().hex
+    for name, table in tables.items():
+        table.createOrReplaceTempView(f"{name}_{suffix}")
+        sql = re.sub(rf"\b{name}\b", f"{name}_{suffix}", sql)
+    found = spark.sql(sql)
+    for name in tables:
+        spark.catalog.dropTempView(f"{name}_{suffix}")
+    return found
 
 
 def is_ancestor(node_pre: Column, anc_pre: Column, anc_last: Column) -> Column:
@@ -127,14 +145,16 @@ def descendants(tax: DataFrame, roots: DataFrame, rank: str | None = None) -> Da
     levels = rank_levels(spark)
     limit = levels.where(F.col("rank") == rank).select(F.col("level").alias("_limit"))
     t = tax.join(F.broadcast(levels), "rank", "left").crossJoin(F.broadcast(limit))  # one row
-    t.select("tax_id", "parent_id", (F.col("rank").isNotNull() & ~below(F.col("level"), F.col("_limit"))).alias("entered")).createOrReplaceTempView("_basewise_enter")
-    roots.select("tax_id").distinct().createOrReplaceTempView("_basewise_roots")
-    return spark.sql("""
+    entered = t.select("tax_id", "parent_id", (F.col("rank").isNotNull() & ~below(F.col("level"), F.col("_limit"))).alias("entered"))
+    return _recursive(
+        {"_basewise_enter": entered, "_basewise_roots": roots.select("tax_id").distinct()},
+        """
         WITH RECURSIVE down(tax_id) AS (
           SELECT t.tax_id FROM _basewise_enter t JOIN _basewise_roots r ON t.tax_id = r.tax_id
           UNION ALL
           SELECT t.tax_id FROM down JOIN _basewise_enter t ON t.parent_id = down.tax_id WHERE t.entered)
-        SELECT DISTINCT tax_id FROM down""")
+        SELECT DISTINCT tax_id FROM down""",
+    )
 
 
 def requested(tax: DataFrame, wanted: DataFrame, rank: str | None = None) -> DataFrame:
@@ -194,7 +214,6 @@ def artificial_nodes(tax: DataFrame, regions: DataFrame, data: bool = True, file
         rows = regions.select(path.alias("_parent"), name.alias("name"), F.concat(path, F.lit("\x1f"), name).alias("_path")).where("name is not null").distinct().withColumn("rank", F.lit(kind))
         found = rows if found is None else found.unionByName(rows)
         path = F.concat(path, F.lit("\x1f"), name)
-    number = F.row_number().over(Window.orderBy("_parent", "rank", "name"))  # a reference table: a row for each file or accession
-    named = found.withColumn("tax_id", F.concat(F.lit("00"), number.cast("string")))
+    named = with_number(found, ["_parent", "rank", "name"], "_number").withColumn("tax_id", F.concat(F.lit("00"), F.col("_number").cast("string"))).drop("_number")
     parent = named.select(F.col("_path").alias("_pp"), F.col("tax_id").alias("_pid"))
     return named.join(parent, F.col("_parent") == F.col("_pp"), "left").select("tax_id", F.coalesce("_pid", "_parent").alias("parent_id"), "name", "rank")

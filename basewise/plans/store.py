@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _made: dict[tuple, tuple[SparkSession, str]] = {}
 
@@ -16,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="basewise-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,6 +34,25 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back: cuts the lineage, survives lost executors, keeps column pruning."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _made:
+        atexit.register(_drop)
+    _made[("stash", path)] = (spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def with_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds `name`, the rows' number from 1 in the order of columns, without one task that sees them all: ranges are sorted apart and their sizes added up."""
+    ranged = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    parts = ranged.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))  # a row for each task
+    before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_shift"))
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_shift")
+
+
 def once(spark: SparkSession, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """The table of that name: written as Parquet in the shared folder when it is first asked for, then read."""
     key = (spark.sparkContext.applicationId, *name)

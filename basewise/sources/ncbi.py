@@ -23,8 +23,9 @@ LEVELS = {"Complete Genome": "COMPLETE", "Chromosome": "CHROMOSOME", "Scaffold":
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line): the text lines of a file and a number that orders them."""
-    return spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    """(value, line): the text lines of a file and what orders them: file, start of the split, place in it."""
+    place = [F.lpad(x.cast("string"), 20, "0") for x in (F.col("_metadata.file_block_start"), F.monotonically_increasing_id())]
+    return spark.read.text(path).select("value", F.concat_ws(" ", F.col("_metadata.file_path"), *place).alias("line"))
 
 
 def _fields(value: Column) -> Column:

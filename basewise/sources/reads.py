@@ -1,9 +1,12 @@
 """FASTQ and FASTA files as rows.
 
 FASTQ cannot be split inside a file, since a quality line may begin like a record, so a
-task parses whole files, record by record. FASTA can: its text is split at line breaks
-before >, and large plain files spread over tasks. Gzip is told by the content for FASTQ
-and by the suffix .gz for FASTA.
+task parses whole files, record by record. Files of more than `whole` bytes come as lines,
+which Spark reads split by split, with its codecs, and sorts by split and place, spilling
+where it must; a task then parses them as they stream by. FASTA can be split: its text is
+split at line breaks before >, and large plain files spread over tasks; regions are
+numbered by adding up the splits, so sequences stay where they were read. Gzip is told by
+the content for FASTQ (large files: by the suffix .gz) and by the suffix .gz for FASTA.
 """
 
 from __future__ import annotations
@@ -12,10 +15,11 @@ import gzip
 import io
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from pathlib import PurePosixPath
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The suffixes of both formats.
@@ -49,9 +53,10 @@ def parse_fastq(lines: Iterator[str]) -> Iterator[tuple[str, str, str]]:
         yield descriptor, seq, qual
 
 
-def read_fastq(spark: SparkSession, paths: list[str], key: str = "") -> DataFrame:
-    """Rows of READ_SCHEMA; read_no counts from 0 in each file."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+def read_fastq(spark: SparkSession, paths: list[str], key: str = "", whole: int = 1 << 28) -> DataFrame:
+    """Rows of READ_SCHEMA; read_no counts from 0 in each file. Files of up to `whole` bytes are parsed as one value each."""
+    files = spark.read.format("binaryFile").load(paths)
+    large = [r["path"] for r in files.where(F.col("length") > whole).where("not path like '%.gzip'").select("path").collect()]  # names of files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,16 +64,32 @@ def read_fastq(spark: SparkSession, paths: list[str], key: str = "") -> DataFram
                 raw = io.BytesIO(content.as_py())
                 packed = raw.getbuffer()[:2] == b"\x1f\x8b"
                 lines = io.TextIOWrapper(gzip.open(raw) if packed else raw, "utf-8", "replace", newline="\n")
-                rows: list[tuple] = []
-                for n, (d, s, q) in enumerate(parse_fastq(iter(lines))):
-                    rows.append((key, path, n, d, s, q))
-                    if len(rows) == 10_000:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
+                yield from _parsed(key, path, lines)
 
-    return files.mapInArrow(run, READ_SCHEMA)
+    found = files.where((F.col("length") <= whole) | F.col("path").like("%.gzip")).select("path", "content").mapInArrow(run, READ_SCHEMA)
+    if not large:
+        return found
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")]
+    lines = spark.read.option("lineSep", "\n").text(large).select("value", *place)
+    lines = lines.repartition("file").sortWithinPartitions("file", "split", "at").select("file", "value")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((f, v) for b in batches for f, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for path, own in groupby(rows, key=lambda r: r[0]):
+            yield from _parsed(key, path, (v for _, v in own))
+
+    return found.unionByName(lines.mapInArrow(stream, READ_SCHEMA))
+
+
+def _parsed(key: str, path: str, lines: Iterator[str]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    for n, (d, s, q) in enumerate(parse_fastq(iter(lines))):
+        rows.append((key, path, n, d, s, q))
+        if len(rows) == 10_000:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -79,13 +100,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, region_no, info, seq): region_no orders a file's regions; info is the line after >."""
     text = spark.read.option("lineSep", "\n>").text(paths)
-    t = text.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "^>", "").alias("_v"))
-    t = t.where(F.trim("_v") != "")
+    t = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.regexp_replace("value", "^>", "").alias("_v"))
+    t = t.where(F.trim("_v") != "").withColumn("_at", F.monotonically_increasing_id())
+    splits = t.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))  # a row for each split
+    by = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    shift = splits.select(F.col("file").alias("_f"), F.col("_split").alias("_s"), (F.coalesce(F.sum("_n").over(by), F.lit(0)) - F.col("_first")).alias("_shift"))
+    if shift.count() <= 200_000:
+        shift = F.broadcast(shift)
+    t = t.join(shift, (F.col("file") == F.col("_f")) & (F.col("_split") == F.col("_s")))
     info = F.regexp_replace(F.substring_index("_v", "\n", 1), "\r$", "")
     body = F.when(F.instr("_v", "\n") > 0, F.expr("substring(_v, instr(_v, '\n') + 1)")).otherwise("")
-    from pyspark.sql import Window
-
-    number = (F.row_number().over(Window.partitionBy("file").orderBy("_at")) - 1).cast("long")
+    number = (F.col("_at") + F.col("_shift")).cast("long")
     return t.select("file", number.alias("region_no"), info.alias("info"), F.translate(body, "\r\n", "").alias("seq"))
 
 

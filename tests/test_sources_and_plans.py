@@ -1,6 +1,7 @@
 """Readers, settings, goals, streaming and a whole project from files."""
 
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from basewise.operators import membership
 from basewise.plans.config import config, read_properties
 from basewise.plans.dag import Goal, Graph
 from basewise.plans.project import Project
+from basewise.plans.store import with_number
 from basewise.sources import kraken, ncbi, reads, sinks
 from basewise.streaming import match_stream
 
@@ -160,3 +162,56 @@ def test_a_setting_that_nothing_reads_is_an_error(spark, tmp_path, name, value):
     with pytest.raises(ValueError, match=name):
         make({name: value})
     assert make({"kMerSize": 21}).k == 21
+
+
+def test_large_fastq_comes_as_lines(spark, tmp_path):
+    """Wrapped records, CRLF, gzip and several splits: as lines and as whole files."""
+    r = random.Random(1)
+    letters = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    wrap = lambda t, n, end: end.join(t[i : i + n] for i in range(0, len(t), n))
+    want = {}
+    for name, end in (("a.fastq", "\n"), ("b.fastq", "\r\n"), ("c.fastq.gz", "\n")):
+        out, want[name] = [], []
+        for k in range(300):
+            seq, qual = letters(r.randint(1, 90)), ""
+            qual = "".join(r.choice("@+IJ~") for _ in seq)  # quality lines may begin like a record
+            want[name].append((k, f"@{name}{k}", seq, qual))
+            out.append(f"@{name}{k}{end}{wrap(seq, 30, end)}{end}+{end}{wrap(qual, 25, end)}{end}")
+        text = "".join(out).encode()
+        (tmp_path / name).write_bytes(gzip.compress(text) if name.endswith("gz") else text)
+    paths = [str(tmp_path / n) for n in want]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for whole in (1 << 28, 0):
+            got = {n: [] for n in want}
+            for x in reads.read_fastq(spark, paths, "k", whole).collect():
+                got[x.file.rsplit("/", 1)[1]].append((x.read_no, x.descriptor, x.seq, x.qual))
+            assert {n: sorted(v) for n, v in got.items()} == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_numbers_hold_over_several_splits(spark, tmp_path):
+    for name, n in (("x.fna", 500), ("y.fna", 3), ("z.fna", 300)):
+        (tmp_path / name).write_text("".join(f">{name}_{k} d\n{'ACGT' * (k % 9 + 1)}\nAC\n" for k in range(n)))
+    (tmp_path / "lines.txt").write_text("".join(f"line {k}\n" for k in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = reads.read_fasta(spark, [str(tmp_path / "*.fna")]).collect()
+        assert len(rows) == 803 and all(x.info == f"{x.file.rsplit('/', 1)[1]}_{x.region_no} d" and x.seq == "ACGT" * (x.region_no % 9 + 1) + "AC" for x in rows)
+        rows = ncbi.lines(spark, str(tmp_path / "lines.txt")).orderBy("line").collect()
+        assert [x.value for x in rows] == [f"line {k}" for k in range(2000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    d = spark.range(1000).selectExpr("id % 7 as a", "id * 37 % 1000 as b").repartition(9)
+    got = with_number(d, ["a", "b"], "n").collect()
+    assert [(x.a, x.b) for x in sorted(got, key=lambda x: x.n)] == sorted((x.a, x.b) for x in got) and sorted(x.n for x in got) == list(range(1, 1001))
