@@ -55,7 +55,7 @@ class Params:
     leaf: int = 8192
     window: int = 16
     #: Characters of a text from which its parts are rows of their own.
-    part: int = 1 << 20
+    part: int = 1 << 16
     #: Characters of a run of one character that is encoded from a shorter one.
     run: int = 16_384
     #: Bytes that the cache of words may take.

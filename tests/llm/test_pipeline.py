@@ -22,8 +22,11 @@ def test_stages_follow_each_other(spark, small):
     assert ids(corpus_pipeline.run(spark, small)) == ids(third)
 
 
-def test_stages_keep_documents_without_id(spark, small):
-    docs = table(spark, small, "documents").limit(40)
-    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        assert stage(spark, docs, small).where("doc_id is null").count() == 1
+def test_rows_without_id_are_judged_by_their_text(spark, small):
+    docs = table(spark, small, "documents")
+    gone = docs.join(corpus_pipeline.quality(spark, docs, small).select("doc_id"), "doc_id", "left_anti").limit(1)
+    bad, good = gone.withColumn("doc_id", F.lit(None).cast("long")).select(docs.columns), corpus_pipeline.quality(spark, docs, small).limit(1)
+    twin = good.withColumn("doc_id", F.lit(gone.first()["doc_id"])).select(docs.columns)  # a clean text under a rejected id
+    kept = corpus_pipeline.quality(spark, docs.unionByName(bad).unionByName(twin), small)
+    assert kept.where("doc_id is null").count() == 0
+    assert [r.text for r in kept.where(F.col("doc_id") == gone.first()["doc_id"]).collect()] == [good.first()["text"]]

@@ -109,15 +109,30 @@ def test_grammar_compresses_repeats_and_stops_at_the_last_symbol():
 WORDY = st.text(alphabet=st.sampled_from("abTHEing éÀßİ漢 \n\t'sdl12½²_.,-<|>\x1c\x85\xa0\u0301😀Σσ"), max_size=80)
 
 
+@pytest.fixture(scope="module")
+def word_library():
+    return Tokenizer.from_file(WORD)
+
+
+@pytest.fixture(scope="module")
+def small_cache():
+    return token_files.Words(token_files.Params(WORD, cache=1_000, cached_chars=6))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(WORDY, max_size=4))
-def test_words_give_the_library_ids(texts):
-    library = Tokenizer.from_file(WORD)
-    words = token_files.Words(token_files.Params(WORD, cache=50))
+def test_words_give_the_library_ids(word_library, small_cache, texts):
+    library, words = word_library, small_cache
     for _ in range(2):
+        assert words.counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
         assert [x.tolist() for x in words.encode_all(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_very_long_words(word_library, small_cache):
+    texts = ["x" * 300_000, "ab1" * 50_000 + "?!" * 9_000, "é漢" * 20_000, " " * 100_000]
+    assert [x.tolist() for x in small_cache.encode_all(texts)] == [e.ids for e in word_library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_special_strings_in_word_texts():
     library, texts = Tokenizer.from_file(WORD), ["x <|endoftext|> Y<|startoftext|>", "<|ENDOFTEXT|>", "a <| b"]
     words = token_files.Words(token_files.Params(WORD))
