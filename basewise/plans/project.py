@@ -56,7 +56,9 @@ class Project:
         g.add(Goal("dbkmers", b.kmers_per_taxon, ("db",), kept=True, about="stored k-mers of each taxon"))
         g.add(Goal("dbinfo", lambda t, u, n, r: rp.db_info(t, u, n, self.k, r), ("taxtree", "closure", "dbkmers", "taxnodes"), about="the database by taxon, with distances"))
         g.add(Goal("index", b.filter_index, ("db", "taxnodes"), kept=True, about="k-mers of requested taxa"))
-        g.add(Goal("db2fastq", lambda d: fl.database_reads(d, self.k, self.name), ("db",), about="a read for each stored k-mer"))
+        g.add(Goal("db2fastq", lambda d, u: fl.database_reads(d, self.k, self.name, self._asked(u)), ("db", "closure"), about="a read for each stored k-mer, of the setting taxids if given"))
+        g.add(Goal("dbconf", lambda: self.spark.createDataFrame(sorted((k, str(v)) for k, v in self.config.items()), "name string, value string"), about="the settings"))
+        g.add(Goal("accmapsize", lambda: self._catalog().agg(F.count("*").alias("accessions")), about="catalog rows that are taken"))
         g.add(Goal("dbqualcounts", lambda r, d, u: quality.leaf_counts(r, d, u, self.k), ("regions", "db", "closure"), about="how well leaves are told apart"))
         g.add(Goal("dbquality", lambda q, t: quality.quality(q, t, ("cellular root", "acellular root", "species", "genus")), ("dbqualcounts", "taxtree"), about="the same, by rank"))
         g.add(Goal("extractrefseqfasta", fl.extracted_regions, ("regions",), about="the regions as a classifier's library"))
@@ -68,10 +70,24 @@ class Project:
         wanted = ncbi.wanted_taxa(ncbi.lines(self.spark, self.taxids)).join(tax.select("tax_id"), "tax_id", "left_semi")
         return taxonomy.requested(tax, wanted, self.config["rankCompletionDepth"])
 
+    def _asked(self, up: DataFrame) -> DataFrame | None:
+        """The taxa of the setting taxids; + after one adds its descendants."""
+        ids = self.config["taxids"]
+        if not ids:
+            return None
+        own = self.spark.createDataFrame([(t.rstrip("+"), t.endswith("+")) for t in ids], "asked string, below boolean")
+        found = up.join(own, F.col("anc") == F.col("asked")).where(F.col("below") | (F.col("node") == F.col("anc")))
+        return found.select(F.col("node").alias("tax_id")).distinct()
+
+    def _catalog(self) -> DataFrame:
+        if not self.catalog:
+            return self.spark.createDataFrame([], "accession string, tax_id string, categories string, status string")
+        return ncbi.catalog(ncbi.lines(self.spark, self.catalog), self.config["seqType"], (), self.config["refseq.status"])
+
     def _accessions(self, tax: DataFrame) -> DataFrame:
         if not self.catalog:
             return self.spark.createDataFrame([], "accession string, tax_id string")
-        rows = ncbi.catalog(ncbi.lines(self.spark, self.catalog), self.config["seqType"], (), self.config["refseq.status"])
+        rows = self._catalog()
         return ncbi.accession_map(rows, tax)
 
     def _regions(self, accessions: DataFrame) -> DataFrame:
@@ -110,10 +126,24 @@ class Project:
         verdict = fl.accepted(rows, self.table("index"), self.k, self.config["minPosCountFilter"], self.config["posRatioFilter"])
         return fl.kept(rows, verdict), fl.dumped(rows, verdict)
 
-    def write_match(self, rows: DataFrame, key: str = "") -> str:
-        """Writes the report and what else the settings ask for; returns the report's folder."""
-        made = self.match(rows)
-        path = f"{self.folder}/{sinks.file_name(self.name, 'match', key, '.csv')}"
+    def result(self, goal: str, key: str = "", suffix: str = "") -> str:
+        """Where a goal's result for a key goes."""
+        return f"{self.folder}/{sinks.file_name(self.name, goal, key, suffix)}"
+
+    def clean_results(self, goal: str, key: str = "") -> None:
+        """Deletes what `match`, `matchlr` or `filter` wrote for a key."""
+        for name in (goal, f"{goal}_dumped"):
+            for suffix in (".csv", ".out", ".fastq"):
+                sinks.delete(self.spark, self.result(name, key, suffix))
+
+    def extract(self, rows: DataFrame) -> DataFrame:
+        """Reads whose descriptor begins with the setting extractKey."""
+        return fl.extracted(rows, self.config["extractKey"])
+
+    def write_match(self, rows: DataFrame, key: str = "", classify: bool | None = None) -> str:
+        """Writes the report and what else the settings ask for; returns the report's folder. Without classification it is the goal matchlr."""
+        made = self.match(rows, classify)
+        path = self.result("match" if classify is None else "matchlr", key, ".csv")
         sinks.write_csv(made["report"].orderBy("key", "pos"), path)
         if self.config["writeKrakenStyleOut"] and "lines" in made:
             sinks.write_lines(made["lines"].orderBy(*m.READ), f"{self.folder}/{sinks.file_name(self.name, 'match', key, '.out')}")

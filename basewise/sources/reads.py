@@ -120,12 +120,14 @@ def fasta_as_reads(fasta: DataFrame, key: str = "") -> DataFrame:
 
 
 def read_any(spark: SparkSession, inputs: list[tuple[str, str]]) -> DataFrame:
-    """All reads of (key, path) pairs, each in the format of its suffix."""
+    """All reads of (key, path) pairs, each in the format of its suffix; one scan for each key and format."""
     found = None
-    for key, path in inputs:
-        suffix = re.sub(r"[.](gz|gzip)$", "", path.lower()).rpartition(".")[2]
-        rows = fasta_as_reads(read_fasta(spark, [path]), key) if suffix in FASTA_SUFFIXES else read_fastq(spark, [path], key)
-        found = rows if found is None else found.unionByName(rows)
+    for key, paths in merged(inputs).items():
+        is_fasta = lambda path: re.sub(r"[.](gz|gzip)$", "", path.lower()).rpartition(".")[2] in FASTA_SUFFIXES
+        fasta, fastq = [p for p in paths if is_fasta(p)], [p for p in paths if not is_fasta(p)]
+        own = ([fasta_as_reads(read_fasta(spark, fasta), key)] if fasta else []) + ([read_fastq(spark, fastq, key)] if fastq else [])
+        for rows in own:
+            found = rows if found is None else found.unionByName(rows)
     return found if found is not None else spark.createDataFrame([], READ_SCHEMA)
 
 
@@ -135,8 +137,26 @@ def map_file(text: str) -> list[tuple[str, str]]:
     return [(p[0], p[1].strip()) for p in pairs if len(p) == 2]
 
 
-def resolved(path: str, folders: list[str]) -> str:
-    """The path itself if it is absolute or a URL, else under the first folder given."""
-    if "://" in path or PurePosixPath(path).is_absolute() or not folders:
-        return path
-    return str(PurePosixPath(folders[0], path))
+def resolved(spark: SparkSession, path: str, folders: list[str]) -> list[str]:
+    """The files that a path names: itself if it is there or a URL, else in the first folder that has it; then as a pattern in the same places. An error if none has."""
+    if "://" in path:
+        return [path]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    places = [path] if PurePosixPath(path).is_absolute() else [path, *(f"{f.rstrip('/')}/{path}" for f in folders)]
+    for pattern in (False, True):
+        for place in places:
+            p = jvm.org.apache.hadoop.fs.Path(place)
+            fs = p.getFileSystem(conf)
+            if not pattern and fs.exists(p):
+                return [place]
+            if pattern and (found := fs.globStatus(p)):
+                return sorted(x.getPath().toString() for x in found)
+    raise FileNotFoundError(f"{path} is in none of {', '.join(places)}")
+
+
+def merged(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """Paths by key, equal keys merged, in the order in which they first occur."""
+    out: dict[str, list[str]] = {}
+    for key, path in pairs:
+        out.setdefault(key, []).append(path)
+    return out

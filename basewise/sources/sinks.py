@@ -21,6 +21,12 @@ def write_fastq(reads: DataFrame, path: str, gzip: bool = True) -> None:
     text.write.option("compression", "gzip" if gzip else "none").text(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file, if it is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_lines(lines: DataFrame, path: str, gzip: bool = False) -> None:
     lines.select(F.col("line").alias("value")).write.option("compression", "gzip" if gzip else "none").text(path)
 

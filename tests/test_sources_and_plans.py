@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from basewise.__main__ import main
 from basewise.operators import build as b
 from basewise.operators import match as m
 from basewise.operators import membership
@@ -41,7 +42,16 @@ def test_fasta_and_formats(spark, tmp_path):
     names = spark.createDataFrame([(x,) for x in ("a.fa", "a.FNA.gz", "b.fq.gzip", "c.fastq", "d.txt")], "p string")
     assert [r[0] for r in names.select(reads.format_of(F.col("p"))).collect()] == ["fasta", "fasta", "fastq", "fastq", None]
     assert reads.map_file("k1 a.fq # x\n# no\nk2  b c.fq\nk1 d.fq") == [("k1", "a.fq"), ("k2", "b c.fq"), ("k1", "d.fq")]
-    assert reads.resolved("a", ["/x"]) == "/x/a" and reads.resolved("/a", ["/x"]) == "/a" and reads.resolved("hdfs://a", ["/x"]) == "hdfs://a"
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two").mkdir()
+    for name in ("one/a.fq", "two/a.fq", "two/b1.fq", "two/b2.fq"):
+        (tmp_path / name).write_text("")
+    places = [str(tmp_path / "one"), str(tmp_path / "two")]
+    assert reads.resolved(spark, "a.fq", places) == [f"{tmp_path}/one/a.fq"] and reads.resolved(spark, f"{tmp_path}/two/a.fq", places) == [f"{tmp_path}/two/a.fq"]
+    assert [x.rsplit("/", 1)[1] for x in reads.resolved(spark, "b*.fq", places)] == ["b1.fq", "b2.fq"] and reads.resolved(spark, "hdfs://a", places) == ["hdfs://a"]
+    with pytest.raises(FileNotFoundError):
+        reads.resolved(spark, "c.fq", places)
+    assert reads.merged([("k", "a"), ("l", "b"), ("k", "c")]) == {"k": ["a", "c"], "l": ["b"]}
 
 
 def test_control_files(spark):
@@ -118,6 +128,28 @@ def test_project_from_files(spark, tmp_path, project):
     assert db.count() == 38 and tax.count() == 4 and sinks.load_config(spark, f"{tmp_path}/saved")["k"] == "15"
 
 
+def test_command_line(spark, tmp_path, project, capsys):
+    out = tmp_path / "out"
+    run = lambda *args: main([str(tmp_path), "-d", str(out), "-C", "kMerSize=15", "-C", "gzipFastqOutput=false", *args])
+    lines = lambda name: [r.value for r in spark.read.text(f"{out}/{tmp_path.name}_{name}").collect()]
+    (tmp_path / "map.txt").write_text("m r.fastq\n")
+    assert run("match", "matchlr", "-k", "k", "-f", "r.fastq", "-m", str(tmp_path / "map.txt")) == 0
+    assert len(lines("match_k.csv")) == len(lines("match_m.csv")) == len(lines("matchlr_k.csv")) == 6
+    run("filter", "extract", "fasta2fastq", "-k", "k", "-f", "r.fastq", "-C", "extractKey=a", "-C", "writeDumpedFastq=true")
+    assert [len(lines(f"{n}_k.fastq")) for n in ("filter", "filter_dumped", "extract", "fasta2fastq")] == [8, 4, 4, 12]
+    run("db2fastq", "-tx", "3")
+    run("db2fastq", "dbinfo", "-tx", "2+")
+    assert len(lines("db2fastq_3.fastq")) == 4 * 19 and len(lines("db2fastq_2%2B.fastq")) == 4 * 38 and len(lines("dbinfo.csv")) == 6
+    capsys.readouterr()
+    run("show")
+    shown = capsys.readouterr().out
+    run("showall")
+    assert "dbconf" in capsys.readouterr().out and "dbconf" not in shown and "db:" in shown
+    run("match", "-t", "clean", "-k", "k", "-f", "r.fastq")
+    run("db", "-t", "cleanall")
+    assert not (out / f"{tmp_path.name}_match_k.csv").exists() and not (out / tmp_path.name / "db").exists() and not (out / tmp_path.name / "taxtree").exists()
+
+
 def test_stream_equals_batch(spark, tmp_path, project):
     p, rows = project
     folder, state = str(tmp_path / "in"), str(tmp_path / "state")
@@ -156,7 +188,7 @@ def test_limits_and_assemblies(spark):
     assert canonical("CC") == canonical("GG")
 
 
-@pytest.mark.parametrize("name, value", [("refseq.updateWithCompleteGenomesOnly", "true"), ("dataNodes", "true"), ("genbank.maxPerTaxid", "3"), ("extractKey", "x")])
+@pytest.mark.parametrize("name, value", [("refseq.updateWithCompleteGenomesOnly", "true"), ("dataNodes", "true"), ("genbank.maxPerTaxid", "3"), ("bloomFpp", "0.01")])
 def test_a_setting_that_nothing_reads_is_an_error(spark, tmp_path, name, value):
     make = lambda given: Project(spark, "p", str(tmp_path), "nodes.dmp", "names.dmp", [], settings=given)
     with pytest.raises(ValueError, match=name):
