@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,39 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.store import shared_dir, spread
+from ..plans.store import shared_dir, spread, stash
 
 #: The white space of every word count here: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_stashed: list[tuple[SparkSession, str]] = []
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    It cuts the lineage, survives lost executors and keeps column pruning. The
-    table goes when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/basewise/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _stashed:
-        atexit.register(_drop_stashed)
-    _stashed.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop_stashed() -> None:
-    for spark, path in _stashed:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM is gone already
-            return
-
-
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", max_rows: int = 20_000, salts: int = 32) -> DataFrame:
     """Join on keys (null equals null) where many rows of big may share a key.
 
@@ -118,3 +88,6 @@ def by_weight(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_
             hi = min(max(hi, lo + 1), lo + rows, b.num_rows)
             yield b.slice(lo, hi - lo)
             lo = hi
+
+
+__all__ = ["WORD", "by_weight", "fold", "join_small", "labels_of", "shared_dir", "spread", "stash", "table", "text_key", "vocabulary", "without_rows"]
