@@ -10,12 +10,14 @@ text's length lets one expect.
 Spark counts features over all confirmed and over all documents. The likelihood ratio
 decides which are over-represented among the confirmed ones, as it holds for the few
 documents of a rare insult too; of those the `features` with the highest lower bound of
-their lift are kept. The unlabelled side is every document, confirmed ones among them,
+their lift are kept, enough for all of a large corpus. The unlabelled side is every document, confirmed ones among them,
 whatever the size. The prior comes from the same counts: a word that only toxic text
 uses appears in all text pi times as often. Only the weights are fitted to a bounded
 sample: a document's chance to be in it is that of the base rate or of its rarest feature,
-of which `carriers` documents are expected, and its weight the inverse of the chance.
-Every document is then scored over its whole text.
+of which `carriers` documents are expected, and its weight the inverse of the chance. So
+about most_positive + unlabelled + 2 * carriers * features rows at most are expected, as
+triples of row, feature and value; one task fits them, which can be run again, and the
+driver sees the weights alone. Every document is then scored over its whole text.
 
 Defined cases: null and empty texts have no word and get the score of the bias alone;
 a document with a null id is scored, never learnt from; repeated ids each count; without
@@ -45,11 +47,11 @@ WORDS = re.compile(r"[^\W\d_]{2,40}")
 class Params:
     most_positive: int = 6_000
     unlabelled: int = 12_000
-    features: int = 512
+    features: int = 65_536
     least_support: int = 4
     #: Least signed root of the likelihood ratio.
     least_root: float = 3.5
-    carriers: int = 32
+    carriers: int = 16
     steps: int = 500
     rate: float = 0.1
     #: Divided by the number of confirmed documents.
@@ -81,10 +83,11 @@ class _Codes(dict):
         return found
 
 
-def _slots(codes: np.ndarray) -> bytes:
-    """A bit for every 32 codes, set where one of them is among `codes`: 16 MB, compressed."""
-    bits = np.zeros(1 << 24, np.uint8)
-    np.bitwise_or.at(bits, codes >> 8, (1 << (codes >> 5 & 7)).astype(np.uint8))
+def _slots(found: DataFrame) -> bytes:
+    """A bit for every 32 codes, set where one of them is among (code): 16 MB, compressed. At most 2^21 rows of 64 bits are collected, whatever the vocabulary."""
+    masks = found.groupBy(F.expr("shiftright(code, 11)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(code, 5) & 63 as int)))").alias("mask")).toArrow()
+    bits = np.zeros(1 << 21, "<i8")
+    bits[masks["at"].to_numpy()] = masks["mask"].to_numpy()
     return zlib.compress(bits.tobytes(), 1)
 
 
@@ -117,11 +120,28 @@ def _excess(n: np.ndarray, rate: np.ndarray, words: np.ndarray) -> np.ndarray:
 NONE = Model({}, np.zeros(0), np.zeros(0), -40.0, 0.0)
 
 
+@dataclass(frozen=True)
+class Sparse:
+    """A matrix as triples of row, column and value; stands for an array in products with vectors."""
+
+    row: np.ndarray
+    at: np.ndarray
+    values: np.ndarray
+    shape: tuple[int, int]
+
+    @property
+    def T(self) -> Sparse:  # noqa: N802
+        return Sparse(self.at, self.row, self.values, self.shape[::-1])
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, v[self.at] * self.values, self.shape[0])
+
+
 def fit_weights(
-    xp: np.ndarray, xu: np.ndarray, prior: float, p: Params = Params(), op: np.ndarray | None = None, ou: np.ndarray | None = None
+    xp: np.ndarray | Sparse, xu: np.ndarray | Sparse, prior: float, p: Params = Params(), op: np.ndarray | None = None, ou: np.ndarray | None = None
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative risk; xp, xu: feature values of confirmed and of unlabelled rows; op, ou: for how many documents a row stands."""
-    op, ou = (np.ones(len(x)) if o is None else o for x, o in ((xp, op), (xu, ou)))
+    op, ou = (np.ones(x.shape[0]) if o is None else o for x, o in ((xp, op), (xu, ou)))
     confirmed, op, ou = op.sum(), op / op.sum(), ou / ou.sum()
     w, b = np.zeros(xp.shape[1], np.float32), -2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -131,9 +151,8 @@ def fit_weights(
         sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
         # logistic loss: -log s as toxic, -log(1 - s) as clean
         clean = -(ou @ np.log1p(-su.clip(max=1 - 1e-7))) + prior * (op @ np.log1p(-sp.clip(max=1 - 1e-7)))
-        toxic_part = of(xp, prior * (sp - 1) * op)
-        clean_part = of(xu, su * ou) - of(xp, prior * sp * op)
-        g = toxic_part + clean_part if clean >= 0 else -clean_part
+        # confirmed rows pull by sp - 1 as toxic, less sp as clean; where the clean part is negative it alone is climbed
+        g = of(xu, su * ou) - of(xp, prior * op) if clean >= 0 else of(xp, prior * sp * op) - of(xu, su * ou)
         g[:-1] += p.ridge / confirmed * w * prior
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -141,6 +160,36 @@ def fit_weights(
     return w, b
 
 
+def _fitted(sample: DataFrame, rates: np.ndarray, prior: float, p: Params) -> tuple[np.ndarray, float] | None:
+    """Weights and bias of a sample (words, at, n, cp, cu, as_p, as_u), fitted by one task; none without a confirmed row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, total = [], 0
+        for b in batches:
+            x = {c: b.column(c) for c in ("words", "at", "n", "cp", "cu", "as_p", "as_u")}
+            sizes, at = np.diff(x["at"].offsets.to_numpy()), x["at"].flatten().to_numpy().astype(np.int32)
+            local = np.repeat(np.arange(b.num_rows), sizes)
+            values = _excess(x["n"].flatten().to_numpy(), rates[at], x["words"].to_numpy()[local])
+            parts.append((local + total, at, values, *(x[c].to_numpy(zero_copy_only=False) for c in ("cp", "cu", "as_p", "as_u"))))
+            total += b.num_rows
+        if not parts:
+            return
+        row, at, values, cp, cu, as_p, as_u = map(np.concatenate, zip(*parts, strict=True))
+        parts.clear()
+        if not as_p.any() or not as_u.any():
+            return
+
+        def side(chosen: np.ndarray) -> Sparse:
+            ours = chosen[row]
+            return Sparse((np.cumsum(chosen) - 1)[row[ours]], at[ours], values[ours], (int(chosen.sum()), len(rates)))
+
+        w, b = fit_weights(side(as_p), side(as_u), prior, p, 1 / cp[as_p], 1 / cu[as_u])
+        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float32())), pa.array([b])], ["w", "b"])
+
+    made = sample.repartition(1).sortWithinPartitions("doc_id", "copy").mapInArrow(run, "w array<float>, b double").collect()  # a row at most
+    return (np.array(made[0]["w"], np.float32), made[0]["b"]) if made else None
+
+
 def _feature_counts(texts: DataFrame, slots: bytes | None = None) -> DataFrame:
     """(code, n): documents with the feature, and all of them as code -1, of rows (text); added up by task first. Features outside `slots` are left out."""
 
@@ -184,19 +233,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params())
     total = lambda counts: sum(r["n"] for r in counts.where("code = -1").collect())  # noqa: E731; one row
     of_p = _feature_counts(texts.join(confirmed, "doc_id").select("text")).where((F.col("n") >= p.least_support) | (F.col("code") < 0))
     of_p = stash(of_p, "toxicity-candidates")
-    slots = _slots(of_p.where("code >= 0").select("code").toPandas()["code"].to_numpy(np.int64))  # vocabulary of the confirmed documents
+    slots = _slots(of_p.where("code >= 0"))  # vocabulary of the confirmed documents
     of_u = stash(_feature_counts(texts.where("doc_id is not null").select("text"), slots), "toxicity-counts")
     np_, nu = total(of_p), total(of_u)
     counts = of_p.withColumnRenamed("n", "p").join(of_u.withColumnRenamed("n", "u"), "code")
     if not np_ or np_ == nu:
         return NONE, None
-    top = telling(counts, np_, nu, p).orderBy(F.desc("lift"), "code").limit(p.features).collect()
-    if not top:
+    top = telling(counts, np_, nu, p).orderBy(F.desc("lift"), "code").limit(p.features).toPandas()  # bounded by `features`
+    if not len(top):
         return NONE, None
     texts = texts.join(confirmed, "doc_id", "left").select("doc_id", "copy", F.coalesce("_positive", F.lit(False)).alias("positive"), "text")
-    columns = {r["code"]: j for j, r in enumerate(top)}
-    prior = float(np.clip(np.quantile([r["ratio"] for r in sorted(top, key=lambda r: (-r["z"], r["code"]))[:30]], 0.25), 0.001, 0.5))
-    chances = np.array([[min(1.0, p.carriers / r["p"]) for r in top], [min(1.0, p.carriers / r["u"]) for r in top]])
+    columns = {int(c): j for j, c in enumerate(top["code"])}
+    surest = top.sort_values(["z", "code"], ascending=[False, True])["ratio"].iloc[:30]
+    prior = float(np.clip(np.quantile(surest, 0.25), 0.001, 0.5))
+    chances = np.minimum(1.0, p.carriers / top[["p", "u"]].to_numpy(np.float64).T)
     base = np.array([min(1.0, p.most_positive / np_), min(1.0, p.unlabelled / nu)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,20 +262,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params())
 
     found = stash(texts.mapInArrow(run, "doc_id long, copy binary, positive boolean, words long, at array<long>, n array<long>, cp double, cu double"), "toxicity-features")
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    asked = found.where("doc_id is not null").select("*", (F.col("positive") & (h < F.col("cp"))).alias("as_p"), (h < F.col("cu")).alias("as_u"))
-    rows = asked.where("as_p or as_u").drop("doc_id", "copy").toPandas()  # bounded by the base rates and `carriers` of each feature
     learnt = found.where("doc_id is not null")
-    times = {r["at"]: r["n"] for r in learnt.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n")).collect()}  # a row for each feature
-    rates = np.array([times[j] for j in range(len(top))]) / max(1, learnt.agg(F.sum("words")).first()[0])
-    x = np.zeros((len(rows), len(top)), np.float32)
-    for i, (words, at, n) in enumerate(zip(rows["words"], rows["at"], rows["n"], strict=True)):
-        if len(at):
-            x[i, at] = _excess(np.asarray(n), rates[at], words)
-    as_p, as_u = rows["as_p"].to_numpy(), rows["as_u"].to_numpy()
-    if not as_p.any() or not as_u.any():
+    asked = learnt.select("*", (F.col("positive") & (h < F.col("cp"))).alias("as_p"), (h < F.col("cu")).alias("as_u")).where("as_p or as_u")
+    times = learnt.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n")).toArrow()  # a row for each feature
+    rates = np.zeros(len(top))
+    rates[times["at"].to_numpy()] = times["n"].to_numpy()
+    rates /= max(1, learnt.agg(F.sum("words")).first()[0])
+    made = _fitted(asked, rates, prior, p)
+    if made is None:
         return NONE, None
-    weights, bias = fit_weights(x[as_p], x[as_u], prior, p, 1 / rows["cp"].to_numpy()[as_p], 1 / rows["cu"].to_numpy()[as_u])
-    return Model(columns, rates, weights, bias, prior), found.select("doc_id", "copy", "words", "at", "n")
+    return Model(columns, rates, *made, prior), found.select("doc_id", "copy", "words", "at", "n")
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params()) -> DataFrame:

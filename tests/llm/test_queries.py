@@ -113,6 +113,14 @@ def test_statistics_against_plain_counts(text):
     assert quality_classifier.statistics(text) == pytest.approx(want)
 
 
+def test_sparse_rows_fit_as_dense_ones():
+    r = np.random.default_rng(1)
+    dense = [(r.random((n, 6)) < 0.3) * r.random((n, 6)) + (np.arange(6) < k) for n, k in ((40, 2), (300, 0))]
+    sparse = [toxicity.Sparse(*np.nonzero(x), x[np.nonzero(x)], x.shape) for x in dense]
+    (w, b), (v, c) = toxicity.fit_weights(*dense, 0.1), toxicity.fit_weights(*sparse, 0.1)
+    assert np.allclose(w, v, atol=1e-3) and abs(b - c) < 1e-3
+
+
 def test_weights_minimise_the_non_negative_risk():
     """The fitted weights against small changes of them, under the risk written out."""
     r = np.random.default_rng(0)
