@@ -9,8 +9,8 @@ text's length lets one expect.
 
 Spark counts features over all confirmed and over all documents. The likelihood ratio
 decides which are over-represented among the confirmed ones, as it holds for the few
-documents of a rare insult too; of those the `features` with the highest lower bound of
-their lift are kept, enough for all of a large corpus. The unlabelled side is every document, confirmed ones among them,
+documents of a rare insult too, and the lower bound of their lift, whether that matters;
+up to `features` of those with the highest bound are kept. The unlabelled side is every document, confirmed ones among them,
 whatever the size. The prior comes from the same counts: a word that only toxic text
 uses appears in all text pi times as often. Only the weights are fitted to a bounded
 sample: a document's chance to be in it is that of the base rate or of its rarest feature,
@@ -51,6 +51,8 @@ class Params:
     least_support: int = 4
     #: Least signed root of the likelihood ratio.
     least_root: float = 3.5
+    #: Least lower bound of the lift's logarithm: with enough documents any difference is significant.
+    least_lift: float = 0.2
     carriers: int = 16
     steps: int = 500
     rate: float = 0.1
@@ -140,11 +142,11 @@ class Sparse:
 def fit_weights(
     xp: np.ndarray | Sparse, xu: np.ndarray | Sparse, prior: float, p: Params = Params(), op: np.ndarray | None = None, ou: np.ndarray | None = None
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk; xp, xu: feature values of confirmed and of unlabelled rows; op, ou: for how many documents a row stands."""
+    """Weights and bias of least non-negative risk, as means over the last fifth of the steps, since a step that reverses may be the last; xp, xu: feature values of confirmed and of unlabelled rows; op, ou: for how many documents a row stands."""
     op, ou = (np.ones(x.shape[0]) if o is None else o for x, o in ((xp, op), (xu, ou)))
     confirmed, op, ou = op.sum(), op / op.sum(), ou / ou.sum()
     w, b = np.zeros(xp.shape[1], np.float32), -2.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    m, v, mean, last = np.zeros(len(w) + 1), np.zeros(len(w) + 1), np.zeros(len(w) + 1), p.steps - max(1, p.steps // 5)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     of = lambda x, g: np.append(x.T @ g.astype(np.float32), g.sum())
     for step in range(1, p.steps + 1):
@@ -157,7 +159,26 @@ def fit_weights(
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         change = p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = (w - change[:-1]).astype(np.float32), float(b - change[-1])
-    return w, b
+        if step > last:
+            mean += np.append(w, b) / (p.steps - last)
+    return mean[:-1].astype(np.float32), float(mean[-1])
+
+
+def _rates(found: DataFrame, features: int) -> np.ndarray:
+    """Occurrences of each feature in a word of rows (words, at, n); each task adds up its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(features + 1)
+        for b in batches:
+            sums[:-1] += np.bincount(b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy(), features)
+            sums[-1] += b.column(0).to_numpy().sum()
+        there = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(sums[there].astype(np.int64))], ["at", "n"])
+
+    added = found.select("words", "at", "n").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row for each feature
+    sums = np.zeros(features + 1)
+    sums[added["at"].to_numpy()] = added["n"].to_numpy()
+    return sums[:-1] / max(1.0, sums[-1])
 
 
 def _fitted(sample: DataFrame, rates: np.ndarray, prior: float, p: Params) -> tuple[np.ndarray, float] | None:
@@ -211,7 +232,7 @@ def _feature_counts(texts: DataFrame, slots: bytes | None = None) -> DataFrame:
 
 
 def telling(counts: DataFrame, np_: int, nu: int, p: Params = Params()) -> DataFrame:
-    """(code, p, u, z, ratio, lift) of the features whose share among the np_ confirmed documents is significantly above that among the others of all nu.
+    """(code, p, u, z, ratio, lift) of the features whose share among the np_ confirmed documents is significantly, and by more than least_lift, above that among the others of all nu.
 
     z: signed root of the likelihood ratio; ratio: share of all documents to that of confirmed ones; lift: lower bound of the logarithm of the confirmed share to that of the others.
     """
@@ -221,7 +242,7 @@ def telling(counts: DataFrame, np_: int, nu: int, p: Params = Params()) -> DataF
     share, oshare = (at + 0.5) / (np_ + 1), (o + 0.5) / (nu - np_ + 1)
     lift = F.log(share / oshare) - 2 * F.sqrt(1 / (at + 0.5) + 1 / (o + 0.5))
     rows = counts.where((F.col("code") >= 0) & (at >= p.least_support))
-    return rows.select("code", "p", "u", z.alias("z"), ((F.col("u") + 0.5) / (nu + 1) / share).alias("ratio"), lift.alias("lift")).where(F.col("z") > p.least_root)
+    return rows.select("code", "p", "u", z.alias("z"), ((F.col("u") + 0.5) / (nu + 1) / share).alias("ratio"), lift.alias("lift")).where((F.col("z") > p.least_root) & (F.col("lift") > p.least_lift))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params()) -> tuple[Model, DataFrame | None]:
@@ -264,10 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params())
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
     learnt = found.where("doc_id is not null")
     asked = learnt.select("*", (F.col("positive") & (h < F.col("cp"))).alias("as_p"), (h < F.col("cu")).alias("as_u")).where("as_p or as_u")
-    times = learnt.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n")).toArrow()  # a row for each feature
-    rates = np.zeros(len(top))
-    rates[times["at"].to_numpy()] = times["n"].to_numpy()
-    rates /= max(1, learnt.agg(F.sum("words")).first()[0])
+    rates = _rates(learnt, len(top))
     made = _fitted(asked, rates, prior, p)
     if made is None:
         return NONE, None
