@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_weight
+from .common import by_weight, kept
 
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -71,9 +71,6 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-_encoders: dict[Params, Encoder] = {}
-
-
 class Encoder:
     def __init__(self, p: Params) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -99,10 +96,7 @@ class Encoder:
     @classmethod
     def of(cls, p: Params) -> Encoder:
         """One for each Python worker, whatever the number of its tasks."""
-        if p not in _encoders:
-            _encoders.clear()
-            _encoders[p] = cls(p)
-        return _encoders[p]
+        return kept(p, lambda: cls(p))
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,4 +91,27 @@ def by_weight(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_
             lo = hi
 
 
-__all__ = ["WORD", "by_weight", "fold", "join_small", "labels_of", "shared_dir", "spread", "stash", "table", "text_key", "vocabulary", "without_rows"]
+_kept: dict[object, object] = {}
+
+
+def kept[T](key: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps for its next tasks, one thing at a time; made when first asked for."""
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Frees what a worker keeps, and returns unused memory to the system.
+
+    Spark hands workers on from operator to operator: each that keeps nothing begins
+    with this, so that the caches of one don't stand beside the memory of the next.
+    """
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+__all__ = ["WORD", "by_weight", "fold", "join_small", "kept", "labels_of", "let_go", "shared_dir", "spread", "stash", "table", "text_key", "vocabulary", "without_rows"]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_weight, stash, text_key, without_rows
+from .common import by_weight, let_go, stash, text_key, without_rows
 from .components import components
 from .shingles import Codes, MinHash, fingerprint, shingles
 
@@ -81,6 +81,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
     rows = docs.select("doc_id", text_key("text").alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         codes, low = Codes(), MinHash(width)
         for b in by_weight(batches, 2):
             nodes, sizes, sigs = [], [], []
@@ -142,6 +143,7 @@ def buckets(nodes: DataFrame, p: Params) -> DataFrame:
     trees, count = p.trees, p.depth - p.shortest + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             own = b.column(0)
             each = own.flatten()
@@ -215,6 +217,7 @@ def forest_links(nodes: DataFrame, p: Params) -> DataFrame:
     width, agree = p.width, p.agree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         a, b = [], []
         out = lambda: pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
         for _, unit in _by_unit(batches, ["tree", "bucket", "_i", "_j"]):
@@ -268,6 +271,7 @@ def verified_links(docs: DataFrame, members: DataFrame, p: Params) -> DataFrame:
     threshold = p.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         codes = Codes()
         for (_, i, j), unit in _by_unit(batches, ["group", "_i", "_j"]):
             kept, sets = {}, {}

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import token_files
-from .common import stash, vocabulary
+from .common import let_go, stash, vocabulary
 
 
 @dataclass(frozen=True)
@@ -119,6 +119,7 @@ def pack_documents(docs: DataFrame, length: Column | None = None, p: Params = Pa
     d = d.select("doc_id", "start", "length", F.pmod("deal", F.lit(blocks)).alias("block")).repartition("block").sortWithinPartitions("block", "doc_id", "start", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: list[pa.RecordBatch] = []
 
         def flush(of: int) -> pa.RecordBatch:

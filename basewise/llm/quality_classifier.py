@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_weight, stash, text_key
+from .common import by_weight, let_go, stash, text_key
 
 STATISTICS = ("words", "word_length", "upper", "symbols", "shouts", "bars", "digits", "stops", "distinct", "top_word", "stutter", "dup_lines")
 
@@ -74,6 +74,7 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     kept = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in by_weight(batches, len(keep)):
             x = [statistics(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])

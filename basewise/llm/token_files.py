@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_weight, join_small, stash
+from .common import by_weight, join_small, kept, let_go, stash
 from .repair import Grammar, Params as GrammarParams, grammar_of
 
 _WHOLE = ("part", "serial", "step", "terminals")
@@ -68,7 +68,6 @@ def _splitter() -> re.Pattern:
 
 
 PIECES = _splitter()
-_words: dict[Params, Words] = {}
 
 
 class Cache:
@@ -126,15 +125,7 @@ class Words:
     @classmethod
     def of(cls, p: Params) -> Words:
         """One for each Python worker, whatever the number of its tasks."""
-        if p not in _words:
-            _words.clear()
-            _words[p] = cls(p)
-        return _words[p]
-
-    @staticmethod
-    def forget() -> None:
-        """Frees the worker's caches."""
-        _words.clear()
+        return kept(p, lambda: cls(p))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -246,7 +237,7 @@ def write(docs: DataFrame, path: str, p: Params) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        Words.forget()
+        let_go()
         part, serial, before, end = TaskContext.get().partitionId(), 0, 0, np.array([p.end], np.uint16)
         ids, lengths, held, size = [], [], [], 0
 

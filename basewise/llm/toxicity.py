@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_weight, stash, text_key
+from .common import by_weight, let_go, stash, text_key
 
 WORDS = re.compile(r"[^\W\d_]{2,40}")
 
@@ -185,6 +185,7 @@ def _fitted(sample: DataFrame, rates: np.ndarray, prior: float, p: Params) -> tu
     """Weights and bias of a sample (words, at, n, cp, cu, as_p, as_u), fitted by one task; none without a confirmed row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         parts, total = [], 0
         for b in batches:
             x = {c: b.column(c) for c in ("words", "at", "n", "cp", "cu", "as_p", "as_u")}
@@ -218,6 +219,7 @@ def _feature_counts(texts: DataFrame, slots: bytes | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (n.keys(), n.values())], ["code", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         codes, n = _Codes(slots=zlib.decompress(slots) if slots is not None else None), Counter()
         for b in batches:
             for text in (x.as_py() for x in b.column(0)):
@@ -271,6 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, p: Params = Params())
     base = np.array([min(1.0, p.most_positive / np_), min(1.0, p.unlabelled / nu)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         codes = _Codes(columns)
         for b in by_weight(batches, 3):
             found = [_counted(t, codes) for t in b.column(3).to_pylist()]

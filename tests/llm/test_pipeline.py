@@ -1,8 +1,12 @@
 """The pipeline's stages on a small folder: what goes, what stays, which columns."""
 
+import gc
+import weakref
+
 import corpus_pipeline
-from basewise.llm import quality_classifier, toxicity
-from basewise.llm.common import fold, labels_of, table
+import pytest
+from basewise.llm import jaccard_join, quality_classifier, token_files, toxicity
+from basewise.llm.common import fold, labels_of, table, vocabulary
 from pyspark.sql import functions as F
 
 
@@ -30,3 +34,24 @@ def test_rows_without_id_are_judged_by_their_text(spark, small):
     kept = corpus_pipeline.quality(spark, docs.unionByName(bad).unionByName(twin), small)
     assert kept.where("doc_id is null").count() == 0
     assert [r.text for r in kept.where(F.col("doc_id") == gone.first()["doc_id"]).collect()] == [good.first()["text"]]
+
+
+class Tasks:
+    """Stands for a DataFrame; mapInArrow gives the function itself."""
+
+    def __getattr__(self, name):
+        return (lambda f, _: f) if name == "mapInArrow" else lambda *_: self
+
+
+@pytest.mark.parametrize(
+    "task",
+    [lambda d: quality_classifier.with_statistics(d), lambda d: jaccard_join.signatures(d, jaccard_join.Params())],
+)
+def test_workers_free_the_tokenizer_for_the_next_operator(spark, monkeypatch, task):
+    d = Tasks()
+    monkeypatch.setattr(Tasks, "schema", [], raising=False)
+    words = weakref.ref(token_files.Words.of(token_files.Params(vocabulary("word_bpe_49k.json"))))
+    assert words() is not None
+    list(task(d)(iter(())))
+    gc.collect()
+    assert words() is None
