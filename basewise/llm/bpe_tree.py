@@ -18,9 +18,11 @@ token's neighbour is the very token it had in its side's encoding.
 For the same reason a very long run of one character is encoded from a shorter one: where
 the shorter run has the same token twice in a row, more of it may follow.
 
-A leaf is cut at such blanks into short words, which a bounded cache maps to ids; new
-words go to the tokenizers library together. The special token's string is its id, as in
-that library.
+A leaf is cut at such blanks into short words. The distinct words of a batch are found by
+Arrow, a bounded cache maps them to ids, and numpy gathers these for all words. New words
+go to the tokenizers library many at once: one that begins with such a blank may follow
+another, and the bytes of the tokens tell where each ends. The special token's string is
+its id, as in that library.
 
 Defined cases: null counts as empty and has no token; ids and texts decode to what the
 library's decoder gives, invalid bytes to U+FFFD; repeated rows each have a row; an empty
@@ -40,12 +42,17 @@ from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_weight, kept
+from .token_files import Cache, _gathered
 
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: What a text must not hold that is cut at all its blanks and newlines; a zero marks its beginning.
+UNEVEN = ("  ", "\n\n", " \n", "\n ", "\0", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+ASCII_UNEVEN = tuple(x for x in UNEVEN if x.isascii())
 
 
 @dataclass(frozen=True)
@@ -58,12 +65,17 @@ class Params:
     part: int = 1 << 16
     #: Characters of a run of one character that is encoded from a shorter one.
     run: int = 16_384
-    #: Bytes that the cache of words may take.
-    cache: int = 96_000_000
+    #: Bytes that each of the two generations of the cache of words may take.
+    cache: int = 48_000_000
     #: Longer words are encoded each time they occur.
     cached_chars: int = 48
 
 
+def _is_even(text: str) -> bool:
+    """Whether every blank and newline of the text stands between two solid characters, and nothing else is blank."""
+    return bool(text) and not text[0].isspace() and not text[-1].isspace() and not any(x in text for x in (ASCII_UNEVEN if text.isascii() else UNEVEN))
+
+
 def _byte_of() -> dict[str, int]:
     """The byte that each printable stand-in of a byte-level vocabulary means: printable Latin-1 stands for itself, the others follow from U+0100."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -90,8 +102,8 @@ class Encoder:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.chars = [sum(c & 0xC0 != 0x80 for c in b) for b in self.bytes]  # characters that begin in a token
         self.whole = [not b or b[0] & 0xC0 != 0x80 for b in self.bytes]  # whether a token begins with one
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        self.sizes = np.array(list(map(len, self.bytes)))
+        self.words = Cache(p.cache, p.cached_chars, self._learn)
 
     @classmethod
     def of(cls, p: Params) -> Encoder:
@@ -111,7 +123,11 @@ class Encoder:
                 if k % 2 == 0:
                     leaves += self._leaves(part)
         done = iter(self._encode_leaves(leaves))
-        return [list(chain.from_iterable((self.specials[x],) if k % 2 else self._restored(self._join_tree(x, done), cut, parts[i][k]) for k, (x, cut) in enumerate(own))) for i, own in enumerate(short)]
+        out = []
+        for i, own in enumerate(short):
+            made = [[self.specials[x]] if k % 2 else self._restored(self._join_tree(x, done), cut, parts[i][k]) for k, (x, cut) in enumerate(own)]
+            out.append(made[0] if len(made) == 1 else list(chain.from_iterable(made)))
+        return out
 
     def _shortened(self, text: str) -> tuple[str, list[tuple[int, int, int]] | None]:
         """The text with its very long runs of one character cut, and (place, characters kept, characters cut) of each."""
@@ -181,25 +197,53 @@ class Encoder:
         return self.encode(left + right)
 
     def _encode_leaves(self, leaves: list[str]) -> list[list[int]]:
-        """Plain encodings; unknown short words of all leaves go to the library at once."""
-        cut = [CUT.split(x) for x in leaves]
-        words, most = self.words, self.p.cached_chars
-        if self.held > self.p.cache:
-            words.clear()
-            self.held = 0
-        new = sorted({w for own in cut for w in own if w not in words})
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        long = {}
-        for w, e in zip(new, found, strict=True):
-            if len(w) <= most:
-                words[w] = ids = tuple(e.ids)
-                self.held += 240 + len(w) + 8 * len(ids)  # with what dicts and objects take
+        """Plain encodings; the distinct words of all leaves are looked up at once."""
+        even = [_is_even(x) for x in leaves]
+        out: list[list[int]] = [[]] * len(leaves)
+        for kind in (True, False):
+            own = [i for i, x in enumerate(even) if x == kind]
+            if not own:
+                continue
+            if kind:
+                cut = pc.split_pattern(pa.array(["\0" + leaves[i].replace("\n", " \n") for i in own], pa.large_string()), " ")
+                flat, offsets = cut.flatten(), cut.offsets.to_numpy()
             else:
-                long[w] = tuple(e.ids)
-        if long:
-            get = lambda w: words[w] if w in words else long[w]
-            return [list(chain.from_iterable(map(get, own))) for own in cut]
-        return [list(chain.from_iterable(map(words.__getitem__, own))) for own in cut]
+                words = [CUT.split(leaves[i]) for i in own]
+                flat, offsets = pa.array(chain.from_iterable(words), pa.large_string()), np.cumsum([0, *map(len, words)])
+            coded = flat.dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            if kind:  # the blank that began a word, but for the first word of a leaf
+                distinct = [x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in distinct]
+            found, place = self._values(distinct)
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+            codes = coded.indices.to_numpy() if place is None else place[coded.indices.to_numpy()]
+            ids, stops = _gathered(np.frombuffer(b"".join(found), np.int32), sizes, codes)
+            edges = np.concatenate([[0], stops])[offsets].tolist()
+            for i, lo, hi in zip(own, edges[:-1], edges[1:], strict=True):
+                out[i] = ids[lo:hi].tolist()
+        return out
+
+    def _values(self, words: list[str]) -> tuple[list[bytes], np.ndarray | None]:
+        """Ids of distinct words, and where each word's are if some occur twice: a leaf's first word may be another's later one."""
+        at = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        if len(at) == len(words):
+            return self.words.values(words), None
+        return self.words.values(list(at)), np.array([at[w] for w in words])
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """Ids of new words as 32-bit numbers. Words that begin with a cut are encoded in a row, others alone."""
+        known: dict[str, bytes] = {}
+        chained = [w for w in new if len(w) > 1 and w[0] in " \n" and not w[1].isspace() and not w[-1].isspace()]
+        for k in range(0, len(chained), 200):
+            part = chained[k : k + 200]
+            ids = np.array(self._plain("".join(part)), np.int32)
+            ends = np.cumsum([len(w.encode()) for w in part])
+            stops = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
+            raw = ids.tobytes()
+            known.update((w, raw[lo:hi]) for w, lo, hi in zip(part, [0, *stops[:-1]], stops, strict=True))
+        alone = [w for w in new if w not in known]
+        known.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True))
+        return list(map(known.__getitem__, new))
 
     def _plain(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -282,7 +326,7 @@ def _encoded(docs: DataFrame, p: Params, schema: str, of, kinds: tuple) -> DataF
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(p)
-        for b in by_weight(batches, 1, rows=500):
+        for b in by_weight(batches, 1):
             yield made(b.column(0), [of(encoder, ids) for ids in encoder.encode_all(b.column(1).to_pylist())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

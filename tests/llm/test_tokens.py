@@ -59,6 +59,33 @@ def test_long_runs(byte_library, encoders, text):
     assert encoders[-1].encode(text) == byte_library.encode(text, add_special_tokens=False).ids
 
 
+EVEN = st.lists(st.sampled_from(["a", "the", "it's", "x1", "é漢", "漢字!", "😀", "don't", "\0", "b" * 60]), max_size=60)
+
+
+@settings(max_examples=200, deadline=None)
+@given(EVEN, st.sampled_from([" ", "\n", "  ", "\t", " \n"]))
+def test_chained_words_and_a_small_cache_give_the_library_ids(byte_library, encoders, words, gap):
+    small = bpe_tree.Encoder(bpe_tree.Params(BYTE, leaf=64, cache=1_000, cached_chars=6)) if not hasattr(encoders[0], "small") else encoders[0].small
+    encoders[0].small = small
+    texts = [" ".join(words), "\n".join(words), gap.join(words), " " + " ".join(words), "x " + gap.join(words)]
+    want = [e.ids for e in byte_library.encode_batch(texts, add_special_tokens=False)]
+    assert small.encode_all(texts) == want and encoders[2].encode_all(texts) == want
+
+
+def test_new_words_go_to_the_library_in_rows():
+    e, sent = bpe_tree.Encoder(bpe_tree.Params(BYTE)), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    library, e.library = e.library, Counting()
+    text = " ".join(f"{random.Random(k).getrandbits(40):x}" for k in range(5_000))
+    assert e.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert len(sent) < 200
+
+
 def test_ten_million_blanks_newlines_and_letters_take_seconds(encoders):
     began = time.time()
     for c in " \na":
