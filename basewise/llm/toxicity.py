@@ -39,8 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_weight, let_go, stash, text_key
+from .token_files import _gathered
 
 WORDS = re.compile(r"[^\W\d_]{2,40}")
+#: Letters of a beginning.
+_LEAST, _MOST = 4, 8
 
 
 @dataclass(frozen=True)
@@ -61,30 +64,137 @@ class Params:
     cut: float = 0.3
 
 
-class _Codes(dict):
-    """word -> codes of its features, of those that `only` maps or `slots` holds if given; forgets all when it has grown large.
+def _codes_of(word: str) -> list[int]:
+    """Codes of a word's features, its own the last."""
+    return [zlib.crc32((f"{word[:n]}*" if n else word).encode()) for n in (*range(_LEAST, min(len(word), _MOST) + 1), 0)]
 
-    A text with a word has its beginnings too, so where `slots` lacks a beginning it lacks the longer ones and the word.
-    """
 
-    def __init__(self, only: dict[int, int] | None = None, slots: bytes | None = None) -> None:
+class _Codes(dict):
+    """word -> columns of its features, of those that `only` maps; forgets all when it has grown large."""
+
+    def __init__(self, only: dict[int, int]) -> None:
         super().__init__()
-        self.only, self.slots, self.most = only, slots, 50_000 if only is None and slots is None else 250_000  # most words have no code left
+        self.only, self.most = only, 250_000  # most words have no column
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > self.most:
             self.clear()
-        codes = []
-        for n in (*range(4, min(len(word), 8) + 1), 0):
-            c = zlib.crc32((f"{word[:n]}*" if n else word).encode())
-            if self.slots is not None and not self.slots[c >> 8] >> (c >> 5 & 7) & 1:
-                break
-            if self.only is None or c in self.only:
-                codes.append(c if self.only is None else self.only[c])
-        self[word] = found = tuple(codes)
+        self[word] = found = tuple(self.only[c] for c in _codes_of(word) if c in self.only)
         return found
 
 
+def _table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, c >> 1 ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+#: The steps of crc32 by byte.
+STEPS = _table()
+
+
+def _many_codes(words: list[str], slots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all words in a row, number of codes of each), of those that `slots` holds if given.
+
+    A text with a word has its beginnings too, so where `slots` lacks a beginning it lacks the longer ones and the word.
+    """
+    sizes = np.array(list(map(len, words)), np.int64)
+    plain = np.array(list(map(str.isascii, words)), bool)
+    codes = np.zeros((len(words), _MOST - _LEAST + 2), np.int64)
+    asked = np.zeros(codes.shape, bool)
+    own = np.flatnonzero(plain)
+    if len(own):
+        width = int(sizes[own].max())
+        raw = np.array([w for w in words if w.isascii()], f"S{width}").view(np.uint8).reshape(len(own), width)
+        state, size = np.full(len(own), 0xFFFFFFFF, np.uint32), sizes[own]
+        step = lambda c, x: STEPS[(c ^ x) & 255] ^ c >> 8
+        for n in range(width):
+            live = np.flatnonzero(size > n)
+            state[live] = step(state[live], raw[live, n])
+            if _LEAST <= n + 1 <= _MOST:
+                codes[own[live], n + 1 - _LEAST] = ~step(state[live], np.uint32(ord("*")))
+                asked[own[live], n + 1 - _LEAST] = True
+        codes[own, -1] = ~state
+        asked[own, -1] = True
+    for k in np.flatnonzero(~plain).tolist():
+        of = list(_codes_of(words[k]))
+        codes[k, : len(of) - 1], codes[k, -1] = of[:-1], of[-1]
+        asked[k, : len(of) - 1] = asked[k, -1] = True
+    if slots is not None:
+        there = (slots[codes >> 8] >> (codes >> 5 & 7) & 1).astype(bool) | ~asked
+        asked &= np.logical_and.accumulate(there, 1)
+    return codes[asked], asked.sum(1)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+class _Documents(dict):
+    """word -> number of its list of features, of those that `slots` holds if given; counts the documents with each feature."""
+
+    def __init__(self, slots: bytes | None) -> None:
+        super().__init__()
+        self.slots, self.most = None if slots is None else np.frombuffer(slots, np.uint8), 50_000 if slots is None else 250_000
+        self.new: list[str] = []
+        self._forget()
+        self._start()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.flat, self.widths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _start(self) -> None:
+        self.codes, self.counts, self.parts, self.waiting, self.documents = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0, 0
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
+
+    def add(self, texts: list[str]) -> None:
+        if len(self) > self.most:
+            self._forget()
+        found = [WORDS.findall(t.lower()) for t in texts]
+        sizes = np.array(list(map(len, found)), np.int64)
+        k = np.fromiter(map(self.__getitem__, chain.from_iterable(found)), np.int64, int(sizes.sum()))
+        if self.new:
+            codes, widths = _many_codes(self.new, self.slots)
+            self.flat, self.widths, self.new = np.concatenate([self.flat, codes]), np.concatenate([self.widths, widths]), []
+        row = np.repeat(np.arange(len(texts)), sizes)
+        there = self.widths[k] > 0
+        row, k = np.divmod(_distinct(row[there] * len(self.widths) + k[there]), max(1, len(self.widths)))
+        codes, _ = _gathered(self.flat, self.widths, k)
+        codes = _distinct(np.repeat(row, self.widths[k]) << 32 | codes) & 0xFFFFFFFF
+        self.documents += len(texts)
+        self.parts.append(codes)
+        self.waiting += len(codes)
+        if self.waiting > 2_000_000:
+            self._add_up()
+
+    def _add_up(self) -> None:
+        codes, n = np.unique(np.concatenate(self.parts), return_counts=True) if self.parts else (self.codes, self.counts)
+        if self.parts and len(self.codes):
+            both = np.concatenate([self.codes, codes])
+            codes, at = np.unique(both, return_inverse=True)
+            n = np.bincount(at, np.concatenate([self.counts, n])).astype(np.int64)
+        self.codes, self.counts, self.parts, self.waiting = codes, n, [], 0
+
+    def taken(self) -> pa.RecordBatch:
+        """(code, n) so far, with the documents as code -1; counting begins anew."""
+        self._add_up()
+        rows = [pa.array(np.append(x, last)) for x, last in ((self.codes, -1), (self.counts, self.documents))]
+        self._start()
+        return pa.RecordBatch.from_arrays(rows, ["code", "n"])
+
+
+def _counted(text: str, codes: _Codes) -> tuple[Counter, int]:
+    words = WORDS.findall(text.lower())
+    return Counter(chain.from_iterable(map(codes.__getitem__, words))), len(words)
+
+
 def _slots(found: DataFrame) -> bytes:
     """A bit for every 32 codes, set where one of them is among (code): 16 MB, compressed. At most 2^21 rows of 64 bits are collected, whatever the vocabulary."""
     masks = found.groupBy(F.expr("shiftright(code, 11)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(code, 5) & 63 as int)))").alias("mask")).toArrow()
@@ -93,11 +203,6 @@ def _slots(found: DataFrame) -> bytes:
     return zlib.compress(bits.tobytes(), 1)
 
 
-def _counted(text: str, codes: _Codes) -> tuple[Counter, int]:
-    words = WORDS.findall(text.lower())
-    return Counter(chain.from_iterable(map(codes.__getitem__, words))), len(words)
-
-
 @dataclass(frozen=True)
 class Model:
     """columns: code -> column; rates: occurrences of each column's feature in a word of all text."""
@@ -215,20 +320,14 @@ def _fitted(sample: DataFrame, rates: np.ndarray, prior: float, p: Params) -> tu
 def _feature_counts(texts: DataFrame, slots: bytes | None = None) -> DataFrame:
     """(code, n): documents with the feature, and all of them as code -1, of rows (text); added up by task first. Features outside `slots` are left out."""
 
-    def rows_of(n: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (n.keys(), n.values())], ["code", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        codes, n = _Codes(slots=zlib.decompress(slots) if slots is not None else None), Counter()
-        for b in batches:
-            for text in (x.as_py() for x in b.column(0)):
-                n.update(set(chain.from_iterable(map(codes.__getitem__, set(WORDS.findall(text.lower()))))))
-                n[-1] += 1
-                if len(n) > 500_000:  # what a task holds is bounded; Spark adds the parts up
-                    yield rows_of(n)
-                    n = Counter()
-        yield rows_of(n)
+        counted = _Documents(zlib.decompress(slots) if slots is not None else None)
+        for b in by_weight(batches, 0, 1_000_000):
+            counted.add(b.column(0).to_pylist())
+            if len(counted.codes) > 500_000:  # what a task holds is bounded; Spark adds the parts up
+                yield counted.taken()
+        yield counted.taken()
 
     return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 

@@ -2,10 +2,12 @@
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -314,3 +316,48 @@ def test_join_small_gives_the_same_rows_salted_or_broadcast(spark):
     assert [len(r) for r in rows] == [300, 300]
     key = lambda r: (r[0], str(r[1]), r[2])
     assert sorted(rows[0], key=key) == sorted(rows[1], key=key)
+
+
+def test_feature_counts_are_those_of_each_text_and_made_in_rows(spark, monkeypatch):
+    texts = [f"Wort{chr(97 + k % 7)}{chr(97 + k % 11)}ung abc ab a zzzzzzzz zzzzzzzzz élan élanvital {'x' * 50} Straße don't" for k in range(200)] + ["", "12 34", "漢字漢字漢字"]
+    want = Counter({-1: len(texts)})
+    for t in texts:
+        words = set(re.findall(r"[^\W\d_]{2,40}", t.lower()))
+        want.update({zlib.crc32(x.encode()) for w in words for x in (w, *(f"{w[:n]}*" for n in range(4, min(len(w), 8) + 1)))})
+    kept = {c for c in want if c >= 0 and c % 3}
+    bits = np.zeros(1 << 24, np.uint8)
+    for c in kept:
+        bits[c >> 8] |= 1 << (c >> 5 & 7)
+    held = lambda c: bits[c >> 8] >> (c >> 5 & 7) & 1
+    some = Counter({-1: len(texts)})
+    for t in texts:
+        found = set()
+        for w in set(re.findall(r"[^\W\d_]{2,40}", t.lower())):
+            for x in (*(f"{w[:n]}*" for n in range(4, min(len(w), 8) + 1)), w):
+                if not held(zlib.crc32(x.encode())):
+                    break
+                found.add(zlib.crc32(x.encode()))
+        some.update(found)
+    calls, plain = [], zlib.crc32
+
+    class Tasks:
+        def __getattr__(self, name):
+            return (lambda f, _: Run(f)) if name == "mapInArrow" else lambda *_: self
+
+    class Run:
+        def __init__(self, f):
+            self.f = f
+
+        def groupBy(self, *_):  # noqa: N802
+            return self
+
+        def agg(self, *_):
+            return self
+
+    monkeypatch.setattr(zlib, "crc32", lambda x, *a: calls.append(x) or plain(x, *a))
+    for slots, expected in ((None, want), (zlib.compress(bits.tobytes()), some)):
+        got = Counter()
+        for b in toxicity._feature_counts(Tasks(), slots).f(iter([pa.record_batch([pa.array(texts[:150])], ["text"]), pa.record_batch([pa.array(texts[150:])], ["text"])])):
+            got.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+        assert got == expected
+    assert len(calls) < 100  # of words with other characters; the rest by numpy
