@@ -102,16 +102,21 @@ def kept[T](key: object, make: Callable[[], T]) -> T:
     return _kept[key]
 
 
+def forget() -> None:
+    """Frees what a worker keeps; unused memory stays at hand for the tasks to come."""
+    _kept.clear()
+
+
 def let_go() -> None:
     """Frees what a worker keeps, and returns unused memory to the system.
 
     Spark hands workers on from operator to operator: each that keeps nothing begins
     with this, so that the caches of one don't stand beside the memory of the next.
     """
-    _kept.clear()
+    forget()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 
 
-__all__ = ["WORD", "by_weight", "fold", "join_small", "kept", "labels_of", "let_go", "shared_dir", "spread", "stash", "table", "text_key", "vocabulary", "without_rows"]
+__all__ = ["WORD", "by_weight", "fold", "forget", "join_small", "kept", "labels_of", "let_go", "shared_dir", "spread", "stash", "table", "text_key", "vocabulary", "without_rows"]

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_weight, join_small, kept, let_go, stash
+from .common import by_weight, forget, join_small, kept, stash
 from .repair import Grammar, Params as GrammarParams, grammar_of
 
 _WHOLE = ("part", "serial", "step", "terminals")
@@ -237,7 +237,7 @@ def write(docs: DataFrame, path: str, p: Params) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        let_go()
+        forget()
         part, serial, before, end = TaskContext.get().partitionId(), 0, 0, np.array([p.end], np.uint16)
         ids, lengths, held, size = [], [], [], 0
 
