@@ -588,7 +588,7 @@ def i03_database_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS read_no, '@NC_' || doc_id || ' ' || lang || chr(10) || s || chr(10) || '+' || chr(10) || repeat('~', length(s)) AS text FROM genome")
 def i04_fasta_to_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = wl.regions(spark, sf_dir)
-    return r.select(F.col("region_no").alias("read_no"), fl.fastq_text(F.concat(F.lit("@"), F.substring("info", 2, 10_000)), F.col("seq")).alias("text"))
+    return r.select(F.col("region_no").alias("read_no"), fl.fastq_text(F.concat(F.lit("@"), F.expr("substring(info, 2)")), F.col("seq")).alias("text"))
 
 
 @query("SELECT 'NC_' || doc_id AS accession, tax_id, '>NC_' || doc_id || '|kraken:taxid|' || tax_id AS header, s AS seq FROM genome")

@@ -45,12 +45,24 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds `name`, the rows' number from 1 in the order of columns, without one task that sees them all: ranges are sorted apart and their sizes added up."""
-    ranged = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
-    parts = ranged.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))  # a row for each task
-    before = parts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_shift"))
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_shift")
+def with_number(df: DataFrame, order: list[str], name: str, within: tuple[str, ...] = (), most_runs: int = 1_000_000) -> DataFrame:
+    """Adds `name`, the rows' number from 1 in the order of columns, apart for each group of the columns `within`.
+
+    No task sees a whole group: ranges of (within, order) are sorted apart, and the sizes
+    of a group's runs in the ranges before are added up. There is a run for each range and
+    each group that begins in it; they are counted, and broadcast up to `most_runs`.
+    """
+    keys = [*within, *order]
+    ranged = stash(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    runs = ranged.groupBy("_part", *within).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over((Window.partitionBy(*within) if within else Window).orderBy("_part"))
+    before = stash(runs.select("_part", *[F.col(c).alias(f"_of_{c}") for c in within], (earlier - F.col("_n") - F.col("_first")).alias("_shift")), "runs")
+    on = ranged["_part"] == before["_part"]
+    for c in within:
+        on = on & ranged[c].eqNullSafe(before[f"_of_{c}"])
+    if before.count() <= most_runs:
+        before = F.broadcast(before)
+    return ranged.join(before, on).select(*df.columns, (F.col("_at") + F.col("_shift") + 1).alias(name))
 
 
 def once(spark: SparkSession, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
