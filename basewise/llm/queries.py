@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, jaccard_join, language_id, packing, quality_classifier, quality_rules, stable_ann, token_files, toxicity, url_reputation
+from . import bpe_tree, jaccard_join, language_id, merkle, packing, quality_classifier, quality_rules, stable_ann, token_files, toxicity, url_reputation
 from .common import fold, labels_of, shared_dir, table, vocabulary
 from .sql import SQL
 
@@ -74,6 +74,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return token_files.read(spark, path)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the documents whose id's crc32 is divisible by 3, a text in lower case is held against the manifest; of the others the text as it is."""
+    made = merkle.manifest(table(spark, sf_dir, "documents"), more={"tampered": merkle.tampered_leaf})
+    found = merkle.verify(made, F.coalesce("tampered", "leaf"))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -76,4 +76,34 @@ judged AS (SELECT host, rate, rate + 1.645 * sqrt(rate * (1 - rate) / (m + 1)) A
 SELECT page_id, host, path, {case(1, 'NULL')} AS rule, {case(2, "CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END")} AS verdict, round(rate, 9) AS host_rate, round(bound, 9) AS host_bound FROM parts JOIN judged USING (host)"""
 
 
-SQL: dict[str, str] = {"op2_quality_rules": _quality_rules(), "op8_url_filters": _url_filters()}
+def _merkle_manifest() -> str:
+    field = lambda e: f"coalesce(strlen(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    levels = lambda tree, first: (
+        f"{first} UNION ALL SELECT tree, level + 1, place // 8, sha256(string_agg(hash, '' ORDER BY place)) FROM (SELECT *, count(*) OVER (PARTITION BY tree, level) AS c FROM {tree}) WHERE c > 1 GROUP BY tree, level, place // 8"
+    )
+    above = lambda tree, leaves: (
+        f"(SELECT l.rid, n.level, string_agg(n.hash, '' ORDER BY n.place) FILTER (n.place < l.place >> (3 * n.level)) AS lefts, string_agg(n.hash, '' ORDER BY n.place) FILTER (n.place > l.place >> (3 * n.level)) AS rights "
+        f"FROM {leaves} l JOIN (SELECT *, count(*) OVER (PARTITION BY tree, level) AS c FROM {tree}) n ON n.tree = l.tree AND n.c > 1 AND n.place // 8 = l.place >> (3 * n.level + 3) GROUP BY l.rid, n.level)"
+    )
+    return rf"""
+WITH RECURSIVE bits AS (SELECT list(list_reduce(list_prepend(i, list_transform(range(8), lambda x: CAST(0 AS BIGINT))), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))),
+hashed AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf('text')} AS leaf, {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS changed,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS crc FROM documents, bits),
+leaves AS (SELECT row_number() OVER () AS rid, doc_id, tree, leaf, CASE WHEN crc % 3 = 0 THEN changed ELSE leaf END AS claimed, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM hashed),
+nodes AS ({levels('nodes', "SELECT tree, 0 AS level, place, leaf AS hash FROM leaves")}),
+subs AS (SELECT tree AS name, arg_max(hash, level) AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place FROM nodes GROUP BY tree),
+tops AS ({levels('tops', "SELECT '' AS tree, 0 AS level, place, subroot AS hash FROM subs")}),
+whole AS (SELECT arg_max(hash, level) AS root FROM tops),
+groups AS (SELECT name AS rid, '' AS tree, place FROM subs),
+beside AS (SELECT rid, level, coalesce(lefts, '') AS lefts, coalesce(rights, '') AS rights FROM {above('nodes', 'leaves')}
+  UNION ALL SELECT l.rid, 1000 + b.level, coalesce(b.lefts, ''), coalesce(b.rights, '') FROM leaves l JOIN {above('tops', 'groups')} b ON b.rid = l.tree),
+steps AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level) AS step FROM beside),
+fold AS (SELECT rid, CAST(0 AS BIGINT) AS step, claimed AS hash FROM leaves UNION ALL SELECT f.rid, s.step, sha256(s.lefts || f.hash || s.rights) FROM fold f JOIN steps s ON s.rid = f.rid AND s.step = f.step + 1),
+ends AS (SELECT rid, arg_max(hash, step) AS folded_root FROM fold GROUP BY rid),
+proofs AS (SELECT rid, string_agg(lefts || rights, '' ORDER BY step) AS proof FROM steps GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subs ON name = leaves.tree JOIN ends USING (rid) LEFT JOIN proofs USING (rid), whole"""
+
+
+SQL: dict[str, str] = {"op11_merkle_manifest": _merkle_manifest(), "op2_quality_rules": _quality_rules(), "op8_url_filters": _url_filters()}
