@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe_tree, jaccard_join, language_id, merkle, packing, quality_classifier, quality_rules, stable_ann, token_files, toxicity, url_reputation
+from . import alignment, bpe_tree, class_lm, jaccard_join, language_id, merkle, packing, quality_classifier, quality_rules, stable_ann, token_files, toxicity, url_reputation
 from .common import fold, labels_of, shared_dir, table, vocabulary
 from .sql import SQL
 
@@ -81,6 +81,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = fold(F.col("doc_id"), 5)
+    found = class_lm.score(table(spark, sf_dir, "documents"), of != 1)
+    held = F.coalesce(of == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str, a: str | None = None, b: str | None = None) -> DataFrame:
     p = alignment.Params(a or vocabulary("byte_bpe_50k.json"), b or vocabulary("piece_bpe_32k.model"))
     return alignment.digests(table(spark, sf_dir, "documents"), p)
