@@ -2,7 +2,10 @@
 
 `windows` cuts a sequence into overlapping chunks before it explodes places, because a
 substring walks its string from the start; it is built-in expressions throughout.
-`window_kmers` computes the codes of a whole batch with numpy and is the bulk path.
+`window_kmers` computes codes with numpy and is the bulk path. Sequences are cut into slices
+that overlap by k - 1 first, so what a task holds doesn't grow with their length, and rows
+of a batch are taken together up to as many windows. `kmer_runs` keeps neighbouring windows
+that share a minimizer in one row: that is what shuffles move instead of windows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels, seq
 
 CHUNK = 256
+#: Windows that are made at once.
+SLICE = 1 << 18
 
 
 def windows(rows: DataFrame, keys: Sequence[str], sequence: str, k: int, upper: bool = False) -> DataFrame:
@@ -29,41 +34,153 @@ def windows(rows: DataFrame, keys: Sequence[str], sequence: str, k: int, upper:
     return places.select(*keys, (F.col("_at") + F.col("_i")).cast("long").alias("pos"), seq.canonical(F.substring("_c", F.col("_i") + 1, F.lit(k))).alias("kmer"))
 
 
+def _bytes_of(sequence: Column) -> Column:
+    """A byte for each character: other characters than ASCII are one invalid base each, however many bytes they have."""
+    return F.when(F.octet_length(sequence) == F.length(sequence), sequence).otherwise(F.regexp_replace(sequence, "[^\\x00-\\x7F]", "?")).cast("binary")
+
+
+def slices(rows: DataFrame, keys: Sequence[str], sequence: str, k: int, most: int = SLICE) -> DataFrame:
+    """(keys, _at, _s): sequences of k bases and more cut into bytes of at most `most` windows each, neighbours overlapping by k - 1.
+
+    A chromosome so becomes rows that tasks stream; nothing after holds it whole.
+    """
+    own = rows.where(F.length(sequence) >= k).select(*keys, _bytes_of(F.col(sequence)).alias("_b"))
+    starts = own.select(*keys, "_b", F.explode(F.sequence(F.lit(0), F.length("_b") - k, F.lit(most))).alias("_at"))
+    return starts.select(*keys, F.col("_at").cast("long").alias("_at"), F.substring("_b", F.col("_at") + 1, F.lit(most + k - 1)).alias("_s"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], k: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (keys, _at, _s) of about `most` windows at a time: the rows, their bytes in a row, and for each window its row, its place in the sequence and in the bytes."""
+    for b in batches:
+        column = b.column(b.num_columns - 1)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + b.num_rows + 1].astype(np.int64)
+        upto, lo = np.concatenate([[0], np.cumsum(np.maximum(np.diff(offsets) - (k - 1), 0))]), 0
+        while lo < b.num_rows:
+            hi = max(int(np.searchsorted(upto, upto[lo] + most, "right")) - 1, lo + 1)
+            part, counts = b.slice(lo, hi - lo), np.diff(upto[lo : hi + 1])
+            raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[lo] : offsets[hi]] if offsets[hi] else np.empty(0, np.uint8)
+            own = np.repeat(np.arange(hi - lo), counts)
+            inside = np.arange(len(own)) - np.repeat(upto[lo:hi] - upto[lo], counts)
+            yield part, raw, own, inside + part.column(b.num_columns - 2).to_numpy()[own], inside + (offsets[lo:hi] - offsets[lo])[own]
+            lo = hi
+
+
+def _chosen(raw: np.ndarray, pos: np.ndarray, at: np.ndarray, k: int, upper: bool, step: int, max_dust: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the bytes, and for each window its k-mer, its validity and whether step and dust leave it."""
+    code = kernels.base_codes(raw, upper)
+    kmers, valid = kernels.canonical_codes(code, k)
+    kmers, valid = kmers[at], valid[at]
+    keep = np.ones(len(at), bool)
+    if step > 1:
+        keep &= (pos + k) % step == 0
+    if max_dust >= 0:
+        keep &= ~valid | (kernels.dust(code, k)[at] <= max_dust)
+    return code, kmers, valid, keep
+
+
+def kmer_batches(batches: Iterator[pa.RecordBatch], k: int, upper: bool = False, step: int = 1, max_dust: int = -1, invalid: bool = True, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """(keys, pos, kmer) of rows (keys, _at, _s) of at most `most` windows each, as many windows at a time."""
+    for part, raw, own, pos, at in _parts(batches, k, most):
+        _, kmers, valid, keep = _chosen(raw, pos, at, k, upper, step, max_dust)
+        if not invalid:
+            keep &= valid
+        take = pa.array(own[keep])
+        names = part.schema.names[:-2]
+        yield pa.RecordBatch.from_arrays([*(part.column(j).take(take) for j in range(len(names))), pa.array(pos[keep]), pa.array(kmers[keep], mask=~valid[keep])], [*names, "pos", "kmer"])
+
+
 def window_kmers(rows: DataFrame, keys: Sequence[str], sequence: str, k: int, upper: bool = False, step: int = 1, max_dust: int = -1, invalid: bool = True) -> DataFrame:
-    """(keys, pos, kmer) by numpy, batch by batch.
+    """(keys, pos, kmer) by numpy, about SLICE windows at a time.
 
     step keeps the windows whose last base has a 1-based place divisible by it; max_dust
     of 0 or more drops low-complexity k-mers; without `invalid`, windows without a k-mer go.
     """
-    kept = rows.select(*keys, F.col(sequence).alias("_s"))
+    cut = slices(rows, keys, sequence, k)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema[:-2])
+    return cut.mapInArrow(lambda batches: kmer_batches(batches, k, upper, step, max_dust, invalid), f"{kinds}, pos long, kmer long")
+
+
+#: Windows of a run: its bases are those of its first window and at most 31 more, in a long each.
+RUN = 32
+
+
+def run_batches(batches: Iterator[pa.RecordBatch], k: int, upper: bool = False, step: int = 1, max_dust: int = -1, invalid: bool = True, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """(keys, start, n, bucket, first, onward) of rows (keys, _at, _s): see `kmer_runs`."""
+    for part, raw, own, pos, at in _parts(batches, k, most):
+        code, _, valid, keep = _chosen(raw, pos, at, k, upper, step, max_dust)
+        if not invalid:
+            keep &= valid
+        own, pos, at, valid = own[keep], pos[keep], at[keep], valid[keep]
+        names = part.schema.names[:-2]
+        if len(own):
+            least = np.where(valid, kernels.minimizers(code, k)[at], -1)
+            fresh = np.append(True, (own[1:] != own[:-1]) | (pos[1:] != pos[:-1] + 1) | (least[1:] != least[:-1]))
+            place = np.arange(len(own))
+            since = place - np.maximum.accumulate(np.where(fresh, place, 0))
+            begins = np.flatnonzero(fresh | valid & (since % RUN == 0))
+            n = np.diff(np.append(begins, len(own)))
+            bases = np.concatenate([np.where(code > 3, 0, code), np.zeros(RUN, np.uint8)])
+            more = kernels.straight_codes(bases, RUN - 1)
+            straight = kernels.straight_codes(bases, k)
+            good = valid[begins]
+            columns = [pos[begins], n, np.where(good, least[begins], -1), pa.array(straight[at[begins]], mask=~good), pa.array(more[np.minimum(at[begins] + k, len(more) - 1)], mask=~good)]
+        else:
+            begins, columns = own, [pos, pos, pos, pos, pos]
+        take = pa.array(own[begins])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(part.column(j).take(take) for j in range(len(names))), *(c if isinstance(c, pa.Array) else pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))],
+            [*names, "start", "n", "bucket", "first", "onward"],
+        )
+
+
+def kmer_runs(rows: DataFrame, keys: Sequence[str], sequence: str, k: int, upper: bool = False, step: int = 1, max_dust: int = -1, invalid: bool = True) -> DataFrame:
+    """(keys, start, n, bucket, first, onward): windows that follow each other and share a minimizer, as one row.
+
+    bucket is the minimizer, which both strands of a k-mer have, so equal k-mers meet by
+    bucket; first has the bases of the first window and onward the next 31, two bits each
+    (those beyond the run mean nothing). A run has up to RUN windows. With `invalid`,
+    windows without a k-mer come as runs of any length of bucket -1 without bases.
+    """
+    cut = slices(rows, keys, sequence, k)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema[:-2])
+    return cut.mapInArrow(lambda batches: run_batches(batches, k, upper, step, max_dust, invalid), f"{kinds}, start long, n long, bucket int, first long, onward long")
+
+
+def _swapped(x: Column, bits: int, mask: int) -> Column:
+    return F.shiftrightunsigned(x, bits).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), bits))
+
+
+def reverse_complement_code(code: Column, k: int) -> Column:
+    """Of the code of k bases: complemented, the pairs of bits in reverse."""
+    x = code.bitwiseXOR(F.lit(0x5555555555555555))
+    for bits, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        x = _swapped(x, bits, mask)
+    x = F.shiftrightunsigned(x, 32).bitwiseOR(F.shiftleft(x, 32))
+    return F.shiftrightunsigned(x, 64 - 2 * k)
+
+
+def run_windows(runs: DataFrame, keep: Sequence[str], k: int) -> DataFrame:
+    """(keep, start, at, kmer): the windows of runs with bases; tasks keep what they hold, since a run is opened where it lies."""
+    each = runs.where("first is not null").select(*keep, "start", "first", "onward", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("at"))
+    shift = lambda way, x, by: F.call_function(way, x, by.cast("int"))
+    mask = F.lit((1 << 2 * k) - 1)
+    more = F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(shift("shiftrightunsigned", F.col("onward"), F.lit(2 * (RUN - 1)) - 2 * F.col("at")))
+    straight = shift("shiftleft", F.col("first"), 2 * F.col("at")).bitwiseOR(more).bitwiseAND(mask)
+    coded = each.select(*keep, "start", "at", straight.alias("_s"))
+    return coded.select(*keep, "start", "at", F.greatest("_s", reverse_complement_code(F.col("_s"), k)).alias("kmer"))
+
+
+def with_bucket(db: DataFrame, k: int, kmer: str = "kmer") -> DataFrame:
+    """Adds bucket, the minimizer of each k-mer."""
+    at = db.columns.index(kmer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 64):
-                part = b.slice(lo, 64)
-                own, at, codes, good = [], [], [], []
-                for i, s in enumerate(part.column(len(keys)).to_pylist()):
-                    if s is None:
-                        continue
-                    # other characters than ASCII are one invalid base each, however many bytes they have
-                    kmers, valid = kernels.windows(s.encode("ascii", "replace"), k, upper)
-                    keep = np.ones(len(kmers), bool) if invalid else valid.copy()
-                    if step > 1:
-                        keep &= (np.arange(len(kmers)) + k) % step == 0
-                    if max_dust >= 0:
-                        keep &= ~valid | (kernels.dust(kmers, k) <= max_dust)
-                    place = np.flatnonzero(keep)
-                    own.append(np.full(len(place), i))
-                    at.append(place)
-                    codes.append(kmers[place])
-                    good.append(valid[place])
-                if own:
-                    take = pa.array(np.concatenate(own))
-                    kmer = pa.array(np.concatenate(codes), mask=~np.concatenate(good))
-                    yield pa.RecordBatch.from_arrays([*(part.column(j).take(take) for j in range(len(keys))), pa.array(np.concatenate(at)), kmer], [*keys, "pos", "kmer"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
-    return kept.mapInArrow(run, f"{schema}, pos long, kmer long")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kernels.kmer_minimizers(b.column(at).to_numpy(), k))], [*b.schema.names, "bucket"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in db.schema)
+    return db.mapInArrow(run, f"{kinds}, bucket int")
 
 
 def window_total(length: Column, k: int) -> Column:
