@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.store import stash
 from .taxonomy import lca_of_extremes
-from .windows import window_kmers
+from .windows import kmer_runs, run_windows, window_kmers
 
 
 @dataclass(frozen=True)
@@ -83,8 +83,14 @@ def region_kmers(regions: DataFrame, plan: Plan) -> DataFrame:
     return window_kmers(regions, ["tax_id"], "seq", plan.k, plan.upper, plan.step, plan.max_dust, invalid=False).select("tax_id", "kmer")
 
 
-def build(regions: DataFrame, tax: DataFrame, up: DataFrame, requested: DataFrame | None, plan: Plan) -> DataFrame:
-    """(kmer, tax_id) of every k-mer of the requested taxa's regions.
+def opened_runs(regions: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
+    """(keys, bucket, kmer) of the windows that the plan includes, dealt by minimizer as runs: what is grouped by bucket and more stays where it is."""
+    runs = kmer_runs(regions, keys, "seq", plan.k, plan.upper, plan.step, plan.max_dust, invalid=False, distinct=True)
+    return run_windows(runs.repartition("bucket"), [*keys, "bucket"], plan.k).drop("start", "at")
+
+
+def build(regions: DataFrame, tax: DataFrame, up: DataFrame, requested: DataFrame | None, plan: Plan, buckets: bool = False) -> DataFrame:
+    """(kmer, tax_id) of every k-mer of the requested taxa's regions; with `buckets` the k-mers' minimizers, by which reads are matched, are kept.
 
     Without limits one pass over the regions both selects k-mers and lifts them: each
     k-mer keeps whether a requested region has it. With limits the limited regions select.
@@ -94,14 +100,14 @@ def build(regions: DataFrame, tax: DataFrame, up: DataFrame, requested: DataFram
     r = r.withColumn("_wanted", F.coalesce("_wanted", F.lit(False))).join(numbers, "tax_id")
     if plan.min_update:
         r = r.where("_wanted")
-    k = window_kmers(r, ["pre", "_wanted"], "seq", plan.k, plan.upper, plan.step, plan.max_dust, invalid=False)
-    lifted = k.groupBy("kmer").agg(F.min("pre").alias("_lo"), F.max("pre").alias("_hi"), F.bool_or("_wanted").alias("_in"))
+    lifted = opened_runs(r, ["pre", "_wanted"], plan).groupBy("bucket", "kmer").agg(F.min("pre").alias("_lo"), F.max("pre").alias("_hi"), F.bool_or("_wanted").alias("_in"))
     if plan.max_genomes is None and plan.max_kmers is None:
         lifted = lifted.where("_in")
     else:
         chosen = region_kmers(within_limits(r.where("_wanted"), plan, up, tax), plan).select("kmer").distinct()
         lifted = lifted.join(chosen, "kmer", "left_semi")
-    return lifted_taxa(stash(lifted.select("kmer", "_lo", "_hi"), "lifted"), up)
+    kept = ["kmer", "bucket"] if buckets else ["kmer"]
+    return lifted_taxa(stash(lifted.select(*kept, "_lo", "_hi"), "lifted"), up)
 
 
 def lifted_taxa(lifted: DataFrame, up: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
@@ -115,7 +121,7 @@ def lifted_taxa(lifted: DataFrame, up: DataFrame, most_pairs: int = 1_000_000) -
     found = stash(lca_of_extremes(pairs, "_lo", "_hi", up, "tax_id"), "extremes")
     if found.count() <= most_pairs:
         found = F.broadcast(found)
-    return lifted.join(found, ["_lo", "_hi"]).select("kmer", "tax_id")
+    return lifted.join(found, ["_lo", "_hi"]).select("kmer", "tax_id", *[c for c in lifted.columns if c == "bucket"])
 
 
 def kmers_per_taxon(db: DataFrame) -> DataFrame:

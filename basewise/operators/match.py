@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.store import joined_where_they_lie, stash
 from .taxonomy import lca_of_extremes
-from .windows import window_kmers, window_total
+from .windows import kmer_runs, run_windows, window_total, with_bucket
 
 READ = ["key", "file", "read_no"]
 NO_HIT, AMBIGUOUS = "0", "A"
@@ -38,25 +39,76 @@ def short_name(descriptor: Column) -> Column:
     return F.substring_index(F.regexp_replace(descriptor, "^@", ""), " ", 1)
 
 
-def lookup(reads: DataFrame, db: DataFrame, k: int) -> DataFrame:
-    """(read, pos, kmer, label) for every window.
+def numbered_reads(reads: DataFrame) -> DataFrame:
+    """reads with the number `rid`, which stands for (key, file, read_no) in all that moves windows."""
+    return stash(reads.withColumn("rid", F.monotonically_increasing_id()), "reads")
+
+
+#: Share of the reads in which crowded minimizers are looked for, and runs of a minimizer, in all reads, that one task may hold.
+LOOKED_AT, CROWD = 0.01, 1_000_000
+
+
+def _crowded(reads: DataFrame, k: int, most: int) -> DataFrame:
+    """(bucket, parts) of the minimizers that more than about `most` runs share: their runs are dealt over parts. Decides where rows lie, not what they are."""
+    seen = kmer_runs(reads.sample(LOOKED_AT, 0), [], "seq", k, invalid=False).groupBy("bucket").agg(F.count("*").alias("_n"))
+    return seen.where(F.col("_n") > most * LOOKED_AT).select("bucket", F.ceil(F.col("_n") / (most * LOOKED_AT)).cast("int").alias("parts"))
+
+
+def run_labels(numbered: DataFrame, db: DataFrame, k: int, most: int = CROWD) -> DataFrame:
+    """(rid, start, pos, kmer, label) of every window with a k-mer: runs of windows are dealt by minimizer, opened and looked up where they lie.
 
-    Ambiguous windows get keys of their own that match nothing, so that they spread over
-    the join's tasks instead of meeting in the one for null.
+    A minimizer of very many runs is dealt over parts, and its k-mers are repeated in
+    each. To be planned under `joined_where_they_lie`.
     """
-    w = window_kmers(reads, READ, "seq", k)
-    w = w.withColumn("_k", F.coalesce("kmer", -1 - F.pmod(F.xxhash64(*READ, "pos"), F.lit(1 << 60))))
-    hit = w.join(db.select(F.col("kmer").alias("_k"), "tax_id"), "_k", "left")
-    label = F.when(F.col("kmer").isNull(), AMBIGUOUS).otherwise(F.coalesce("tax_id", F.lit(NO_HIT)))
-    return hit.select(*READ, "pos", "kmer", label.alias("label"))
+    crowded = F.broadcast(stash(_crowded(numbered, k, most), "crowded"))  # fewer than all runs / most
+    runs = kmer_runs(numbered, ["rid"], "seq", k, invalid=False).join(crowded, "bucket", "left")
+    runs = runs.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rid", "start"), "parts")).cast("int")).drop("parts")
+    stored = (db if "bucket" in db.columns else with_bucket(db.select("kmer", "tax_id"), k)).join(crowded, "bucket", "left")
+    stored = stored.select("bucket", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "kmer", "tax_id")
+    opened = run_windows(runs.repartition("bucket", "part"), ["bucket", "part", "rid"], k)
+    found = opened.join(stored.repartition("bucket", "part"), ["bucket", "part", "kmer"], "left")
+    return found.select("bucket", "part", "rid", "start", (F.col("start") + F.col("at")).alias("pos"), "kmer", F.coalesce("tax_id", F.lit(NO_HIT)).alias("label"))
+
+
+def _ambiguous(numbered: DataFrame, k: int) -> DataFrame:
+    """(rid, pos, label, n): runs of windows without a k-mer."""
+    return kmer_runs(numbered, ["rid"], "seq", k).where("first is null").select("rid", F.col("start").alias("pos"), F.lit(AMBIGUOUS).alias("label"), "n")
+
+
+def lookup(reads: DataFrame, db: DataFrame, k: int) -> DataFrame:
+    """(read, pos, kmer, label) for every window. Names are joined to windows by the reads' numbers, after the look-up."""
+    numbered = numbered_reads(reads)
+    with joined_where_they_lie(reads.sparkSession):
+        found = stash(run_labels(numbered, db, k).select("rid", "pos", "kmer", "label"), "windows")
+    each = F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos")
+    rest = _ambiguous(numbered, k).select("rid", each, F.lit(None).cast("long").alias("kmer"), "label")
+    return found.unionByName(rest).join(numbered.select("rid", *READ), "rid").select(*READ, "pos", "kmer", "label")
+
+
+def read_segments(reads: DataFrame, db: DataFrame, k: int) -> DataFrame:
+    """(read, start, label, n): as `segments` of `lookup`, but windows stay in the partitions of their look-up; only runs go back to their reads."""
+    numbered = numbered_reads(reads)
+    own = Window.partitionBy("bucket", "part", "rid", "start").orderBy("pos")
+    with joined_where_they_lie(reads.sparkSession):
+        labelled = run_labels(numbered, db, k)
+        fresh = F.when(F.lag("label").over(own) == F.col("label"), 0).otherwise(1)
+        islands = labelled.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(own))
+        runs = stash(islands.groupBy("bucket", "part", "rid", "start", "_run", "label").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).select("rid", "pos", "label", "n"), "runs")
+    joined = _merged(runs.unionByName(_ambiguous(numbered, k)), ["rid"], "pos")
+    return joined.join(numbered.select("rid", *READ), "rid").select(*READ, "start", "label", "n")
+
+
+def _merged(runs: DataFrame, read: list[str], place: str) -> DataFrame:
+    """(read, start, label, n) of runs (read, place, label, n) that follow each other: neighbours with one label become one."""
+    order = Window.partitionBy(*read).orderBy(place)
+    new = (F.lag("label").over(order) != F.col("label")) | F.lag("label").over(order).isNull()
+    told = runs.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(order))
+    return told.groupBy(*read, "_run").agg(F.min(place).alias("start"), F.first("label").alias("label"), F.sum("n").alias("n")).drop("_run")
 
 
 def segments(windows: DataFrame) -> DataFrame:
     """(read, start, label, n): maximal runs of neighbouring windows with one label."""
-    order = Window.partitionBy(*READ).orderBy("pos")
-    new = (F.lag("label").over(order) != F.col("label")) | F.lag("label").over(order).isNull()
-    runs = windows.select(*READ, "pos", "label", new.cast("int").alias("_new")).withColumn("_run", F.sum("_new").over(order))
-    return runs.groupBy(*READ, "_run").agg(F.min("pos").alias("start"), F.first("label").alias("label"), F.count("*").alias("n")).drop("_run")
+    return _merged(windows.select(*READ, "pos", "label", F.lit(1).cast("long").alias("n")), READ, "pos")
 
 
 def is_taxon(label: Column) -> Column:

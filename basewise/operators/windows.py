@@ -104,7 +104,7 @@ def window_kmers(rows: DataFrame, keys: Sequence[str], sequence: str, k: int, up
 RUN = 32
 
 
-def run_batches(batches: Iterator[pa.RecordBatch], k: int, upper: bool = False, step: int = 1, max_dust: int = -1, invalid: bool = True, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+def run_batches(batches: Iterator[pa.RecordBatch], k: int, upper: bool = False, step: int = 1, max_dust: int = -1, invalid: bool = True, distinct: bool = False, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """(keys, start, n, bucket, first, onward) of rows (keys, _at, _s): see `kmer_runs`."""
     for part, raw, own, pos, at in _parts(batches, k, most):
         code, _, valid, keep = _chosen(raw, pos, at, k, upper, step, max_dust)
@@ -121,9 +121,16 @@ def run_batches(batches: Iterator[pa.RecordBatch], k: int, upper: bool = False,
             n = np.diff(np.append(begins, len(own)))
             bases = np.concatenate([np.where(code > 3, 0, code), np.zeros(RUN, np.uint8)])
             more = kernels.straight_codes(bases, RUN - 1)
-            straight = kernels.straight_codes(bases, k)
             good = valid[begins]
-            columns = [pos[begins], n, np.where(good, least[begins], -1), pa.array(straight[at[begins]], mask=~good), pa.array(more[np.minimum(at[begins] + k, len(more) - 1)], mask=~good)]
+            first = kernels.straight_codes(bases, k)[at[begins]]
+            unused = 2 * (RUN - np.minimum(n, RUN))
+            onward = more[at[begins] + k] >> unused << unused
+            if distinct:
+                order = np.lexsort((onward, first, n, own[begins]))
+                by = [x[order] for x in (own[begins], n, first, onward)]
+                order = order[np.append(True, np.any([x[1:] != x[:-1] for x in by], axis=0))]
+                begins, n, good, first, onward = begins[order], n[order], good[order], first[order], onward[order]
+            columns = [pos[begins], n, np.where(good, least[begins], -1), pa.array(first, mask=~good), pa.array(onward, mask=~good)]
         else:
             begins, columns = own, [pos, pos, pos, pos, pos]
         take = pa.array(own[begins])
@@ -134,17 +141,18 @@ def run_batches(batches: Iterator[pa.RecordBatch], k: int, upper: bool = False,
         )
 
 
-def kmer_runs(rows: DataFrame, keys: Sequence[str], sequence: str, k: int, upper: bool = False, step: int = 1, max_dust: int = -1, invalid: bool = True) -> DataFrame:
+def kmer_runs(rows: DataFrame, keys: Sequence[str], sequence: str, k: int, upper: bool = False, step: int = 1, max_dust: int = -1, invalid: bool = True, distinct: bool = False) -> DataFrame:
     """(keys, start, n, bucket, first, onward): windows that follow each other and share a minimizer, as one row.
 
     bucket is the minimizer, which both strands of a k-mer have, so equal k-mers meet by
     bucket; first has the bases of the first window and onward the next 31, two bits each
-    (those beyond the run mean nothing). A run has up to RUN windows. With `invalid`,
-    windows without a k-mer come as runs of any length of bucket -1 without bases.
+    (zero beyond the run). A run has up to RUN windows. With `invalid`, windows without a
+    k-mer come as runs of any length of bucket -1 without bases. With `distinct`, of a
+    row's equal runs those made at once stay as one, so that a repeat is not many rows.
     """
     cut = slices(rows, keys, sequence, k)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema[:-2])
-    return cut.mapInArrow(lambda batches: run_batches(batches, k, upper, step, max_dust, invalid), f"{kinds}, start long, n long, bucket int, first long, onward long")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema[:-2]]
+    return cut.mapInArrow(lambda batches: run_batches(batches, k, upper, step, max_dust, invalid, distinct), ", ".join([*kinds, "start long", "n long", "bucket int", "first long", "onward long"]))
 
 
 def _swapped(x: Column, bits: int, mask: int) -> Column:

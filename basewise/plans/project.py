@@ -52,7 +52,7 @@ class Project:
         g.add(Goal("regions", self._regions, ("accmap",), about="genome regions with their taxon"))
         g.add(Goal("fillsize", lambda r: b.size_estimate(r, self.plan), ("regions",), about="windows to be stored, and a sketch of the distinct ones"))
         g.add(Goal("filldb", lambda r, t: b.first_values(b.within_limits(r.join(t, "tax_id", "left_semi"), self.plan), self.plan), ("regions", "taxnodes"), about="k-mers with the first taxon that has them"))
-        g.add(Goal("db", lambda r, t, u, n: b.build(r, t, u, n, self.plan), ("regions", "taxtree", "closure", "taxnodes"), kept=True, about="k-mers with the common ancestor of their taxa"))
+        g.add(Goal("db", lambda r, t, u, n: b.build(r, t, u, n, self.plan, buckets=True), ("regions", "taxtree", "closure", "taxnodes"), kept=True, about="k-mers with the common ancestor of their taxa"))
         g.add(Goal("dbkmers", b.kmers_per_taxon, ("db",), kept=True, about="stored k-mers of each taxon"))
         g.add(Goal("dbinfo", lambda t, u, n, r: rp.db_info(t, u, n, self.k, r), ("taxtree", "closure", "dbkmers", "taxnodes"), about="the database by taxon, with distances"))
         g.add(Goal("index", b.filter_index, ("db", "taxnodes"), kept=True, about="k-mers of requested taxa"))
@@ -108,7 +108,7 @@ class Project:
         classify = self.config["classifyReads"] if classify is None else classify
         tax, up = self.table("taxtree"), self.table("closure")
         windows = m.lookup(rows, self.table("db"), self.k)
-        segs = m.segments(windows)
+        segs = m.read_segments(rows, self.table("db"), self.k)
         out = {"windows": windows, "segments": segs}
         stats = None
         if classify:

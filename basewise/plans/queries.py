@@ -270,7 +270,7 @@ def e01_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT key, file, read_no, start, label, n FROM seg")
 def e02_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.segments(m.lookup(wl.reads(spark, sf_dir), wl.database(spark, sf_dir), K))
+    return m.read_segments(wl.reads(spark, sf_dir), wl.database(spark, sf_dir), K)
 
 
 @query("SELECT * FROM contig JOIN longest USING (key, tax_id)")

@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _made: dict[tuple, tuple[SparkSession, str]] = {}
+_stashed: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +45,27 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     if not _made:
         atexit.register(_drop)
     _made[("stash", path)] = (spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _stashed[made] = path
+    return made
+
+
+def discard(stashed: DataFrame) -> None:
+    """Deletes a table of `stash` that no plan will read again, before the session ends."""
+    if path := _stashed.pop(stashed, None):
+        _delete(*_made.pop(("stash", path)))
+
+
+@contextmanager
+def joined_where_they_lie(spark: SparkSession) -> Iterator[None]:
+    """Tables that are dealt by some of a join's keys are joined without being dealt again, where they are planned and written inside."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def with_number(df: DataFrame, order: list[str], name: str, within: tuple[str, ...] = (), most_runs: int = 1_000_000) -> DataFrame:
@@ -77,10 +100,14 @@ def once(spark: SparkSession, name: tuple, make: Callable[[], DataFrame]) -> Dat
     return spark.read.parquet(_made[key][1])
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _drop() -> None:
     for spark, path in _made.values():
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM is gone already
             return

@@ -69,8 +69,8 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def database(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(kmer, tax_id) of all genomes."""
-    return once(spark, ("db", sf_dir), lambda: b.build(regions(spark, sf_dir), tax(spark, sf_dir), up(spark, sf_dir), None, b.Plan(k=K)).sortWithinPartitions("kmer"))
+    """(kmer, tax_id, bucket) of all genomes."""
+    return once(spark, ("db", sf_dir), lambda: b.build(regions(spark, sf_dir), tax(spark, sf_dir), up(spark, sf_dir), None, b.Plan(k=K), buckets=True).sortWithinPartitions("kmer"))
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, ("segments", sf_dir), lambda: m.segments(windows(spark, sf_dir)))
+    return once(spark, ("segments", sf_dir), lambda: m.read_segments(reads(spark, sf_dir), database(spark, sf_dir), K))
 
 
 def classes(spark: SparkSession, sf_dir: str, rules: m.Rules = RULES) -> DataFrame:
