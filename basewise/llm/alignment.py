@@ -42,10 +42,14 @@ from pyspark.sql import functions as F
 
 from .blocks import attached, blank_cut, blocks, pieces_of
 from .bpe_tree import _byte_of
-from .common import by_weight, kept, stash
+from .common import by_weight, discard, kept, stash
 
-TOKENS = "wid long, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>, exact boolean"
-VALUES = ("n_a", "n_b", "n_groups", "n_best", "count_sum", "groups", "exact")
+#: Pieces and their tokens, each an id times SPAN and the bytes of the token.
+TOKENS = "piece string, n long, a array<int>, b array<int>, exact boolean"
+SPAN = 4096
+#: Texts whose tokens a task aligns: bounds what it sorts.
+IN_TASK = 50_000
+VALUES = ("n_best", "count_sum", "groups")
 
 
 @dataclass(frozen=True)
@@ -54,7 +58,9 @@ class Params:
     a: str
     b: str
     #: Bytes of text in a block.
-    block: int = 8_000_000
+    block: int = 32_000_000
+    #: Pairs of linked ids that are broadcast; more are joined by shuffle.
+    most_pairs: int = 1_000_000
 
 
 class Pair:
@@ -77,7 +83,7 @@ class Pair:
             self.a_bytes[i] = bytes(byte_of[c] for c in token)
         of = lambda i: bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.b_bytes = [of(i) for i in range(self.b.get_piece_size())]
-        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int32) for x in (self.a_bytes, self.b_bytes))
+        self.a_packed, self.b_packed = (np.array([i * SPAN + len(t) for i, t in enumerate(x)], np.int32) for x in (self.a_bytes, self.b_bytes))
 
     def a_ids(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -90,39 +96,47 @@ class Pair:
 
 
 def tokens(pieces: DataFrame, p: Params) -> DataFrame:
-    """Rows of TOKENS of pieces (wid, piece): ids and bytes of each token, and whether they give the piece back."""
+    """Rows of TOKENS of pieces (piece, n): ids and bytes of each token, and whether they give the piece back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = kept(p, lambda: Pair(p))
-        for b in by_weight(batches, 1, 1_000_000, 10_000):
-            texts = b.column(1).to_pylist()
+        for b in by_weight(batches, 0, 1_000_000, 10_000):
+            texts = b.column(0).to_pylist()
             columns, exact = [], np.ones(len(texts), bool)
-            for encode, sizes, parts in ((pair.a_ids, pair.a_sizes, pair.a_bytes), (pair.b_ids, pair.b_sizes, pair.b_bytes)):
+            for encode, packed, parts in ((pair.a_ids, pair.a_packed, pair.a_bytes), (pair.b_ids, pair.b_packed, pair.b_bytes)):
                 ids = encode(texts)
                 exact &= np.fromiter((b"".join(map(parts.__getitem__, x)) == t.encode() for x, t in zip(ids, texts, strict=True)), bool, len(texts))
                 offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
                 flat = np.fromiter((i for x in ids for i in x), np.int32, offsets[-1].as_py())
-                columns += [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(sizes[flat]))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(exact)], [x.split()[0] for x in TOKENS.split(", ")])
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(packed[flat])))
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns, pa.array(exact)], [x.split()[0] for x in TOKENS.split(", ")])
 
-    return pieces.select("wid", "piece").mapInArrow(run, TOKENS)
+    return pieces.select("piece", "n").mapInArrow(run, TOKENS)
 
 
-def token_ends(made: DataFrame, side: str) -> DataFrame:
-    """(wid, end, <side>): each token of one tokenizer with the byte at which it ends."""
-    each = made.select("wid", F.posexplode(F.arrays_zip(side, f"{side}_bytes")).alias("_i", "_t")).select("wid", "_i", F.col(f"_t.{side}").alias(side), F.col(f"_t.{side}_bytes").alias("_n"))
-    return each.select("wid", F.sum("_n").over(Window.partitionBy("wid").orderBy("_i")).alias("end"), side)
+def token_ends(made: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(wid, carry, end, a, b): each token of either tokenizer, the other's column null, with the byte at which it ends."""
+    each = made.select("wid", *carry, F.size("a").alias("_in_a"), F.posexplode(F.concat("a", "b")).alias("place", "t"))
+    each = each.select("wid", *carry, "place", "t", (F.col("place") < F.col("_in_a")).alias("is_a"))
+    end = F.sum(F.col("t") % SPAN).over(Window.partitionBy("wid", "is_a").orderBy("place"))
+    token = F.shiftright("t", SPAN.bit_length() - 1)
+    return each.select("wid", *carry, end.alias("end"), F.when(F.col("is_a"), token).alias("a"), F.when(~F.col("is_a"), token).alias("b"))
 
 
-def aligned(made: DataFrame) -> DataFrame:
-    """(wid, group, a, b): the groups between common ends of rows of TOKENS, from 0, with both tokenizers' ids in order."""
-    by_text = made.repartition("wid")  # a text's tokens stay together when exploded
-    both = token_ends(by_text, "a").join(token_ends(by_text, "b"), ["wid", "end"], "full")
+def aligned(made: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(wid, carry, group, a, b): the groups between common ends of rows (wid, carry, TOKENS), from 0, with both tokenizers' ids in order.
+
+    Both sides' tokens are joined on text and end by grouping them, since a full join would
+    deal them again: texts are dealt once, before they are exploded, and all that follows
+    stays where it is.
+    """
+    by_text = made.repartition(made.count() // IN_TASK + 1, "wid")
+    joined = token_ends(by_text, carry).groupBy("wid", *carry, "end").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
     before = Window.partitionBy("wid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = both.withColumn("group", F.coalesce(F.sum(cut).over(before), F.lit(0)))
+    numbered = joined.withColumn("group", F.coalesce(F.sum(cut).over(before), F.lit(0)))
     ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c)))), lambda x: x[c]).alias(c)
-    return numbered.groupBy("wid", "group").agg(ids("a"), ids("b"))
+    return numbered.groupBy("wid", *carry, "group").agg(ids("a"), ids("b"))
 
 
 def links(groups: DataFrame) -> DataFrame:
@@ -137,31 +151,34 @@ def pair_counts(linked: DataFrame) -> DataFrame:
     return counts.join(most, "link_b").select("link_a", "link_b", "count", (F.col("count") == F.col("_most")).cast("long").alias("best"))
 
 
+#: Between the ids of a group's second side until documents are counted; those of the first have commas.
+SECOND = " "
+
+
 def align(docs: DataFrame, p: Params) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of docs (doc_id, text); groups is `a1,a2|b1;a3|b2,b3`."""
     text = F.when(F.length("text") > 0, F.concat(F.lit(" "), "text"))
     made = blocks(docs.select(F.col("doc_id").cast("long"), F.lit(True).alias("flag"), text.alias("text")), blank_cut, p.block, "aligned")
     distinct = pieces_of(made).groupBy("piece").agg(F.sum("n").alias("n"))
-    pieces = stash(distinct.select(F.monotonically_increasing_id().alias("wid"), "piece", "n"), "pieces")
-    tokenised = stash(tokens(pieces, p), "tokens")
-    exact = tokenised.where("exact")
-    joined = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
-    group = F.struct("group", F.concat(joined(F.col("a")), F.lit("|"), joined(F.col("b"))).alias("text"), "link_a", "link_b")
-    whole = links(aligned(exact)).groupBy("wid").agg(F.array_sort(F.collect_list(group)).alias("g"), F.sum(F.size("a")).alias("n_a"), F.sum(F.size("b")).alias("n_b"))
-    whole = whole.select("wid", "n_a", "n_b", F.array_join(F.col("g.text"), ";").alias("groups"), F.transform("g", lambda x: F.struct(x["link_a"], x["link_b"])).alias("links"))
+    tokenised = stash(tokens(distinct, p).withColumn("wid", F.monotonically_increasing_id()), "tokens")
+    joined = lambda c, by: F.array_join(F.transform(c, lambda i: i.cast("string")), by)
+    group = F.struct("group", F.concat(joined("a", ","), F.lit("|"), joined("b", SECOND)).alias("text"), "link_a", "link_b")
+    gone = _inexact(made, tokenised.where("not exact"))
+    exact = tokenised.where("exact").join(gone, "piece", "left").withColumn("n", F.col("n") - F.coalesce("_gone", F.lit(0)))
+    whole = links(aligned(exact, ("piece", "n"))).groupBy("wid", "piece", "n").agg(F.array_sort(F.collect_list(group)).alias("g"))
+    whole = whole.select("piece", "n", F.array_join(F.col("g.text"), ";").alias("groups"), F.transform("g", lambda x: F.struct(x["link_a"], x["link_b"])).alias("links"))
     whole = stash(whole, "groups")
-    often = pieces.select("wid", "piece", "n").join(_inexact(made, pieces, tokenised), "piece", "left").select("wid", "piece", (F.col("n") - F.coalesce("_gone", F.lit(0))).alias("n"))
-    linked = whole.select("wid", F.inline("links").alias("link_a", "link_b"))
-    counts = stash(pair_counts(linked.join(often.select("wid", "n"), "wid")), "pairs")
-    scored = linked.join(counts, ["link_a", "link_b"]).groupBy("wid").agg(F.count("*").alias("n_groups"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    values = whole.drop("links").join(scored, "wid").join(pieces.select("wid", "piece"), "wid").withColumn("exact", F.lit(True))
-    return _documents(attached(made, ["ids", "offsets", "codes"], values, VALUES))
-
-
-def _inexact(made: DataFrame, pieces: DataFrame, tokenised: DataFrame) -> DataFrame:
-    """(piece, _gone): how often each piece occurs in documents with an inexact piece."""
-    bad = pieces.join(tokenised.where("not exact").select("wid"), "wid", "left_semi").select("piece")
-    where = pieces_of(made).join(bad, "piece", "left_semi").groupBy("block").agg(F.collect_set("code").alias("_bad"))  # bounded by a block
+    discard(tokenised)
+    counts = stash(pair_counts(whole.select("n", F.inline("links").alias("link_a", "link_b"))), "pairs")
+    small = F.broadcast(counts) if counts.count() <= p.most_pairs else counts
+    linked = whole.repartition("piece").select("piece", "groups", F.inline("links").alias("link_a", "link_b"))
+    values = linked.join(small, ["link_a", "link_b"]).groupBy("piece", "groups").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    return _documents(attached(made, ["ids", "offsets", "codes"], values, VALUES, in_task=1))
+
+
+def _inexact(made: DataFrame, bad: DataFrame) -> DataFrame:
+    """(piece, _gone): how often each piece occurs in documents that have a piece of bad."""
+    where = pieces_of(made).join(bad.select("piece"), "piece", "left_semi").groupBy("block").agg(F.collect_set("code").alias("_bad"))  # bounded by a block
     hit = made.join(where, "block").select("pieces", "_bad", F.explode(_slices()).alias("own")).where(F.arrays_overlap("own", "_bad"))
     return hit.select(F.explode(F.transform("own", lambda c: F.get("pieces", c))).alias("piece")).groupBy("piece").agg(F.count("*").alias("_gone"))
 
@@ -173,18 +190,23 @@ def _slices() -> Column:
 
 
 def _documents(valued: DataFrame) -> DataFrame:
-    """The documents' numbers from blocks with the values of their pieces by code."""
-    zero, counted = F.lit(0).cast("long"), ("n_a", "n_b", "n_groups", "n_best", "count_sum")
-    start = F.struct(*[zero.alias(c) for c in counted])
+    """The documents' numbers from blocks with the values of their pieces by code; inexact pieces have none."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("n_best"), zero.alias("count_sum"), F.lit(True).alias("ok"))
 
     def document(own: Column, i: Column) -> Column:
-        sums = F.aggregate(own, start, lambda acc, c: F.struct(*[(acc[x] + F.get(x, c)).alias(x) for x in counted]))
-        ok = F.forall(own, lambda c: F.coalesce(F.get("exact", c), F.lit(False)))
+        add = lambda acc, c: [(acc[x] + F.get(x, c)).alias(x) for x in ("n_best", "count_sum")]
+        sums = F.aggregate(own, start, lambda acc, c: F.struct(*add(acc, c), (acc["ok"] & F.get("groups", c).isNotNull()).alias("ok")))
         text = F.array_join(F.transform(own, lambda c: F.get("groups", c)), ";")
-        return F.struct(F.get("ids", i).alias("doc_id"), F.when(ok, sums).otherwise(start).alias("s"), F.when(ok, text).otherwise("").alias("groups"))
+        return F.struct(F.get("ids", i).alias("doc_id"), sums.alias("s"), text.alias("groups"))
 
     rows = valued.select(F.inline(F.transform(_slices(), document)))
-    return rows.select("doc_id", "s.n_a", "s.n_b", "s.n_groups", F.col("s.n_groups").alias("n_links"), "s.n_best", "s.count_sum", "groups")
+    ok, often = F.col("s.ok"), lambda sign: F.length("groups") - F.length(F.replace("groups", F.lit(sign)))
+    n_groups = F.when(ok, often("|")).otherwise(0).cast("long")
+    side = lambda sign: F.when(ok, often("|") + often(sign)).otherwise(0).cast("long")
+    number = lambda c: F.when(ok, F.col(c)).otherwise(0)
+    text = F.when(ok, F.translate("groups", SECOND, ",")).otherwise("")
+    return rows.select("doc_id", side(",").alias("n_a"), side(SECOND).alias("n_b"), n_groups.alias("n_groups"), n_groups.alias("n_links"), number("s.n_best").alias("n_best"), number("s.count_sum").alias("count_sum"), text.alias("groups"))
 
 
 def digests(docs: DataFrame, p: Params) -> DataFrame:

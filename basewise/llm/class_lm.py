@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import attached, blocks, pieces_of, words_cut
-from .common import by_weight, let_go, stash
+from .common import by_weight, discard, let_go, stash
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ class Params:
     parts: int = 2
     kappa: float = 20.0
     #: Bytes of text in a block.
-    block: int = 8_000_000
+    block: int = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -183,7 +183,9 @@ def _neighbours(made: DataFrame, heads: np.ndarray) -> DataFrame:
     pairs = stash(made.mapInArrow(run, "x int, y int, n int").groupBy("x", "y").agg(F.sum("n").alias("n")), "bigrams")
     sides = [pairs.where(F.col(w) < k).select(F.col(w).alias("w"), (F.col(o) * 2 + kind).alias("other"), "n") for w, o, kind in (("x", "y", 0), ("y", "x", 1))]
     lists = sides[0].unionByName(sides[1]).groupBy("w").agg(F.collect_list(F.struct("other", "n")).alias("_l"))  # at most two for each head
-    return stash(lists.select("w", F.col("_l.other").alias("others"), F.col("_l.n").alias("n")), "neighbours")
+    found = stash(lists.select("w", F.col("_l.other").alias("others"), F.col("_l.n").alias("n")), "neighbours")
+    discard(pairs)
+    return found
 
 
 def _places(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -260,6 +262,7 @@ def cluster(made: DataFrame, words: DataFrame, p: Params) -> Clusters:
             likelihoods.append(best)
         if best - at_start < 1e-4 * abs(best):
             break
+    discard(table)
     keep = [*range(c), c + 1]
     return Clusters(heads, classes, m[np.ix_(keep, keep)], likelihoods)
 
@@ -315,9 +318,10 @@ def tail_classes(made: DataFrame, found: Clusters, p: Params) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Class bigrams (the end's class, then that of unknown words, come last), and words (piece, n, class, emission), emission as log10."""
+    """Words (piece, n, class), what each class has as log10, class bigrams as log10 (the end's class, then that of unknown words, come last)."""
 
     words: DataFrame
+    class_sizes: np.ndarray
     transitions: np.ndarray
     tokens: int
     types: int
@@ -325,8 +329,8 @@ class Model:
     clusters: Clusters
 
 
-def train(made: DataFrame, p: Params) -> Model:
-    """The model of the flagged documents of blocks."""
+def train(made: DataFrame, p: Params) -> tuple[Model, DataFrame]:
+    """The model of the flagged documents of blocks, and the blocks with the class and count of each piece."""
     c = p.classes
     counts = pieces_of(made).where("n > 0").groupBy("piece").agg(F.sum("n").alias("n"))
     words = stash(with_hashes(counts), "words")
@@ -344,18 +348,18 @@ def train(made: DataFrame, p: Params) -> Model:
     headed = words.mapInArrow(of_heads, f"{kinds}, head int")
     classed = headed.join(tail_classes(made, found, p), "hash", "left").select("piece", "n", F.coalesce("head", "class", F.lit(0)).alias("class"))
     classed = stash(classed, "classed")
-    sums = classed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types"), F.count(F.when(F.col("n") == 1, 1)).alias("once")).toArrow()  # a row a class
+    discard(words)
+    sums = classed.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toArrow()  # a row a class
     of_class = np.zeros(c)
     of_class[sums.column("class").to_numpy()] = sums.column("n").to_numpy()
     ends = made.select(F.explode("flags").alias("f")).where("f").count()
     tokens, types = int(of_class.sum()) + ends, int(sum(sums.column("types").to_pylist())) + (ends > 0)
-    m, once = _class_bigrams(made, classed, p)
-    log_sums = F.array(*[F.lit(float(np.log10(max(x, 1.0)))) for x in of_class])
-    words = classed.select("piece", "n", "class", (F.log10(F.col("n").cast("double")) - F.get(log_sums, F.col("class"))).alias("emission"))
-    return Model(words, _smoothed(m, once, p.kappa), tokens, types, ends, found)
+    valued = stash(attached(made, ["ids", "flags", "offsets", "codes"], classed, ["class", "n"], in_task=2), "classed_blocks")
+    transitions = _smoothed(*_class_bigrams(valued, p), p.kappa)
+    return Model(classed, np.log10(np.maximum(of_class, 1.0)), transitions, tokens, types, ends, found), valued
 
 
-def _class_bigrams(made: DataFrame, classed: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
+def _class_bigrams(valued: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Counts of class bigrams over all learning documents, and three parts of them: of words seen once after others, before others, and after each other."""
     c = p.classes
     states = c + 1
@@ -373,8 +377,8 @@ def _class_bigrams(made: DataFrame, classed: DataFrame, p: Params) -> tuple[np.n
         which, i, j = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(i), pa.array(j), pa.array(sums[which, i, j])], ["k", "i", "j", "n"])
 
-    valued = attached(made, ["flags", "offsets", "codes"], classed, ["class", "n"])
-    got = valued.mapInArrow(run, "k long, i long, j long, n long").groupBy("k", "i", "j").agg(F.sum("n").alias("n")).toArrow()  # four rows for each two classes
+    rows = valued.select("flags", "offsets", "codes", "class", "n").mapInArrow(run, "k long, i long, j long, n long")
+    got = rows.groupBy("k", "i", "j").agg(F.sum("n").alias("n")).toArrow()  # four rows for each two classes
     out = np.zeros((4, states, states))
     out[tuple(got.column(x).to_numpy() for x in "kij")] = got.column("n").to_numpy()
     return out[0], out[1:]
@@ -406,19 +410,18 @@ def score(docs: DataFrame, learn: Column, p: Params = Params()) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(learn, F.lit(False)).alias("flag"), "text")
     made = blocks(rows, words_cut, p.block, "lm")
-    model = train(made, p)
-    shared = made.sparkSession.sparkContext.broadcast((model.transitions, model.tokens, model.types, model.ends))
+    model, valued = train(made, p)
+    shared = made.sparkSession.sparkContext.broadcast((model.transitions, model.class_sizes, model.tokens, model.types, model.ends))
     c = p.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        transitions, tokens, types, ends = shared.value
+        transitions, class_sizes, tokens, types, ends = shared.value
         bottom = np.log10(tokens + 0.5 * (types + 1))
-        for row in _blocks_of(batches, ["ids", "offsets", "codes", "class", "n", "emission"]):
-            n = _numbers(row["n"])
-            kind = np.append(np.where(n > 0, _numbers(row["class"]), c + 1), c)  # the end's place is the last
-            values = row["emission"]
-            emission = np.append(values.fill_null(0.0).to_numpy(zero_copy_only=False) if len(values) else np.empty(0), 0.0)
+        for row in _blocks_of(batches, ["ids", "offsets", "codes", "class", "n"]):
+            n, own = _numbers(row["n"]), _numbers(row["class"])
+            kind = np.append(np.where(n > 0, own, c + 1), c)  # the end's place is the last
+            emission = np.append(np.where(n > 0, np.log10(np.maximum(n, 1)) - class_sizes[own], 0.0), 0.0)
             counts = np.append(n, ends)
             if not ends:  # nothing is known: every token is the one unknown word
                 kind[:] = c + 1
@@ -433,6 +436,5 @@ def score(docs: DataFrame, learn: Column, p: Params = Params()) -> DataFrame:
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    valued = attached(made, ["ids", "offsets", "codes"], model.words, ["class", "n", "emission"])
-    found = valued.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = valued.select("ids", "offsets", "codes", "class", "n").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return found.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

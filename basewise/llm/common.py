@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.store import shared_dir, spread, stash
+from ..plans.store import discard, shared_dir, spread, stash
 
 #: The white space of every word count here: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,4 +119,4 @@ def let_go() -> None:
         trim(0)
 
 
-__all__ = ["WORD", "by_weight", "fold", "forget", "join_small", "kept", "labels_of", "let_go", "shared_dir", "spread", "stash", "table", "text_key", "vocabulary", "without_rows"]
+__all__ = ["WORD", "by_weight", "discard", "fold", "forget", "join_small", "kept", "labels_of", "let_go", "shared_dir", "spread", "stash", "table", "text_key", "vocabulary", "without_rows"]
