@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.store import stash
+from ..plans.store import default_buckets, stash, stash_buckets
 from .taxonomy import lca_of_extremes
 from .windows import kmer_runs, run_windows, window_kmers
 
@@ -29,6 +29,8 @@ class Plan:
     max_kmers: int | None = None
     #: Limits count by the ancestor of this rank, by the taxon itself without one.
     limit_rank: str | None = None
+    #: Files that k-mers are dealt over by minimizer; as many as a shuffle has partitions without one.
+    buckets: int | None = None
 
 
 def accession_of(info: Column) -> Column:
@@ -86,7 +88,11 @@ def region_kmers(regions: DataFrame, plan: Plan) -> DataFrame:
 def opened_runs(regions: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
     """(keys, bucket, kmer) of the windows that the plan includes, dealt by minimizer as runs: what is grouped by bucket and more stays where it is."""
     runs = kmer_runs(regions, keys, "seq", plan.k, plan.upper, plan.step, plan.max_dust, invalid=False, distinct=True)
-    return run_windows(runs.repartition("bucket"), [*keys, "bucket"], plan.k).drop("start", "at")
+    return run_windows(runs.drop("start").repartition(bucket_count(regions, plan), "bucket"), [*keys, "bucket"], plan.k).drop("at")
+
+
+def bucket_count(rows: DataFrame, plan: Plan) -> int:
+    return plan.buckets or default_buckets(rows.sparkSession)
 
 
 def build(regions: DataFrame, tax: DataFrame, up: DataFrame, requested: DataFrame | None, plan: Plan, buckets: bool = False) -> DataFrame:
@@ -100,18 +106,37 @@ def build(regions: DataFrame, tax: DataFrame, up: DataFrame, requested: DataFram
     r = r.withColumn("_wanted", F.coalesce("_wanted", F.lit(False))).join(numbers, "tax_id")
     if plan.min_update:
         r = r.where("_wanted")
-    lifted = opened_runs(r, ["pre", "_wanted"], plan).groupBy("bucket", "kmer").agg(F.min("pre").alias("_lo"), F.max("pre").alias("_hi"), F.bool_or("_wanted").alias("_in"))
-    if plan.max_genomes is None and plan.max_kmers is None:
-        lifted = lifted.where("_in")
-    else:
+    state = build_state(r, plan)
+    if plan.max_genomes is not None or plan.max_kmers is not None:
         chosen = region_kmers(within_limits(r.where("_wanted"), plan, up, tax), plan).select("kmer").distinct()
-        lifted = lifted.join(chosen, "kmer", "left_semi")
+        state = state.withColumn("wanted", F.lit(True)).join(chosen, "kmer", "left_semi")
+    return database_of(stash_buckets(state, "state", bucket_count(regions, plan)), up, buckets)
+
+
+def build_state(regions: DataFrame, plan: Plan) -> DataFrame:
+    """(kmer, bucket, lo, hi, wanted) of the k-mers of regions (pre, _wanted, seq): the least and greatest preorder number of their taxa, and whether a wanted region has them.
+
+    States of different regions merge by least, greatest and or (`merged`), so a database
+    is built of parts in any order. Dealt by minimizer into bucket_count partitions.
+    """
+    return opened_runs(regions, ["pre", "_wanted"], plan).groupBy("bucket", "kmer").agg(F.min("pre").alias("lo"), F.max("pre").alias("hi"), F.bool_or("_wanted").alias("wanted"))
+
+
+def merged(stored: DataFrame, more: DataFrame) -> DataFrame:
+    """The state of both; of the stored one in buckets nothing moves. To be planned under `joined_where_they_lie`."""
+    m = more.select("bucket", "kmer", *[F.col(c).alias(f"_{c}") for c in ("lo", "hi", "wanted")])
+    both = stored.join(m, ["bucket", "kmer"], "full")
+    return both.select("bucket", "kmer", F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"), (F.coalesce("wanted", F.lit(False)) | F.coalesce("_wanted", F.lit(False))).alias("wanted"))
+
+
+def database_of(state: DataFrame, up: DataFrame, buckets: bool = False) -> DataFrame:
+    """(kmer, tax_id) of the wanted k-mers of a written state; with `buckets` also their minimizers."""
     kept = ["kmer", "bucket"] if buckets else ["kmer"]
-    return lifted_taxa(stash(lifted.select(*kept, "_lo", "_hi"), "lifted"), up)
+    return lifted_taxa(state.where("wanted").select(*kept, F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), up)
 
 
 def lifted_taxa(lifted: DataFrame, up: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
-    """(kmer, tax_id) of stashed rows (kmer, _lo, _hi): the ancestor of each pair of extremes.
+    """(kmer, tax_id) of written rows (kmer, _lo, _hi): the ancestor of each pair of extremes.
 
     Few pairs occur, most k-mers belong to one taxon, so the pairs are counted and
     broadcast up to `most_pairs` (24 MB); the k-mers then keep the partitions of their

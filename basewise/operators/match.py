@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.store import joined_where_they_lie, stash
+from ..plans.store import default_buckets, joined_where_they_lie, stash
 from .taxonomy import lca_of_extremes
 from .windows import kmer_runs, run_windows, window_total, with_bucket
 
@@ -54,20 +54,29 @@ def _crowded(reads: DataFrame, k: int, most: int) -> DataFrame:
     return seen.where(F.col("_n") > most * LOOKED_AT).select("bucket", F.ceil(F.col("_n") / (most * LOOKED_AT)).cast("int").alias("parts"))
 
 
-def run_labels(numbered: DataFrame, db: DataFrame, k: int, most: int = CROWD) -> DataFrame:
-    """(rid, start, pos, kmer, label) of every window with a k-mer: runs of windows are dealt by minimizer, opened and looked up where they lie.
+def run_labels(numbered: DataFrame, db: DataFrame, k: int, buckets: int | None = None, most: int = CROWD) -> DataFrame:
+    """(cell, rid, start, pos, kmer, label) of every window with a k-mer: runs of windows are dealt by minimizer, opened and looked up where they lie.
 
-    A minimizer of very many runs is dealt over parts, and its k-mers are repeated in
-    each. To be planned under `joined_where_they_lie`.
+    A database in `buckets` by minimizer stays where it is; any other is dealt too. A
+    minimizer of very many runs is dealt over parts of its own, and its k-mers are repeated
+    in each. To be planned under `joined_where_they_lie`.
     """
-    crowded = F.broadcast(stash(_crowded(numbered, k, most), "crowded"))  # fewer than all runs / most
-    runs = kmer_runs(numbered, ["rid"], "seq", k, invalid=False).join(crowded, "bucket", "left")
-    runs = runs.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rid", "start"), "parts")).cast("int")).drop("parts")
-    stored = (db if "bucket" in db.columns else with_bucket(db.select("kmer", "tax_id"), k)).join(crowded, "bucket", "left")
-    stored = stored.select("bucket", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "kmer", "tax_id")
-    opened = run_windows(runs.repartition("bucket", "part"), ["bucket", "part", "rid"], k)
-    found = opened.join(stored.repartition("bucket", "part"), ["bucket", "part", "kmer"], "left")
-    return found.select("bucket", "part", "rid", "start", (F.col("start") + F.col("at")).alias("pos"), "kmer", F.coalesce("tax_id", F.lit(NO_HIT)).alias("label"))
+    crowded = stash(_crowded(numbered, k, most), "crowded")  # fewer rows than all runs / most
+    runs = kmer_runs(numbered, ["rid"], "seq", k, invalid=False)
+    stored = db if "bucket" in db.columns else with_bucket(db.select("kmer", "tax_id"), k)
+    stored = stored.select(F.col("bucket").alias("cell"), "kmer", "tax_id")
+    runs = runs.withColumnRenamed("bucket", "cell")
+    if crowded.count():
+        crowded, buckets = F.broadcast(crowded.withColumnRenamed("bucket", "cell")), None
+        apart = lambda part: (F.col("cell") + (part.cast("long") * F.lit(1 << 32))).alias("cell")
+        parts = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rid", "start"), "parts"))
+        runs = runs.join(crowded, "cell", "left").select("rid", "start", "n", "first", "onward", apart(parts))
+        stored = stored.join(crowded, "cell", "left").select("cell", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("_p"), "kmer", "tax_id")
+        stored = stored.select(apart(F.col("_p")), "kmer", "tax_id")
+    tasks = buckets or default_buckets(db.sparkSession)
+    opened = run_windows(runs.repartition(tasks, "cell"), ["cell", "rid"], k)
+    found = opened.join(stored if buckets else stored.repartition(tasks, "cell"), ["cell", "kmer"], "left")
+    return found.select("cell", "rid", "start", (F.col("start") + F.col("at")).alias("pos"), "kmer", F.coalesce("tax_id", F.lit(NO_HIT)).alias("label"))
 
 
 def _ambiguous(numbered: DataFrame, k: int) -> DataFrame:
@@ -75,25 +84,25 @@ def _ambiguous(numbered: DataFrame, k: int) -> DataFrame:
     return kmer_runs(numbered, ["rid"], "seq", k).where("first is null").select("rid", F.col("start").alias("pos"), F.lit(AMBIGUOUS).alias("label"), "n")
 
 
-def lookup(reads: DataFrame, db: DataFrame, k: int) -> DataFrame:
+def lookup(reads: DataFrame, db: DataFrame, k: int, buckets: int | None = None) -> DataFrame:
     """(read, pos, kmer, label) for every window. Names are joined to windows by the reads' numbers, after the look-up."""
     numbered = numbered_reads(reads)
     with joined_where_they_lie(reads.sparkSession):
-        found = stash(run_labels(numbered, db, k).select("rid", "pos", "kmer", "label"), "windows")
+        found = stash(run_labels(numbered, db, k, buckets).select("rid", "pos", "kmer", "label"), "windows")
     each = F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos")
     rest = _ambiguous(numbered, k).select("rid", each, F.lit(None).cast("long").alias("kmer"), "label")
     return found.unionByName(rest).join(numbered.select("rid", *READ), "rid").select(*READ, "pos", "kmer", "label")
 
 
-def read_segments(reads: DataFrame, db: DataFrame, k: int) -> DataFrame:
+def read_segments(reads: DataFrame, db: DataFrame, k: int, buckets: int | None = None) -> DataFrame:
     """(read, start, label, n): as `segments` of `lookup`, but windows stay in the partitions of their look-up; only runs go back to their reads."""
     numbered = numbered_reads(reads)
-    own = Window.partitionBy("bucket", "part", "rid", "start").orderBy("pos")
+    own = Window.partitionBy("cell", "rid", "start").orderBy("pos")
     with joined_where_they_lie(reads.sparkSession):
-        labelled = run_labels(numbered, db, k)
+        labelled = run_labels(numbered, db, k, buckets)
         fresh = F.when(F.lag("label").over(own) == F.col("label"), 0).otherwise(1)
         islands = labelled.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(own))
-        runs = stash(islands.groupBy("bucket", "part", "rid", "start", "_run", "label").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).select("rid", "pos", "label", "n"), "runs")
+        runs = stash(islands.groupBy("cell", "rid", "start", "_run", "label").agg(F.min("pos").alias("pos"), F.count("*").alias("n")).select("rid", "pos", "label", "n"), "runs")
     joined = _merged(runs.unionByName(_ambiguous(numbered, k)), ["rid"], "pos")
     return joined.join(numbered.select("rid", *READ), "rid").select(*READ, "start", "label", "n")
 

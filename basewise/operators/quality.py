@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.store import joined_where_they_lie, stash
+from ..plans.store import default_buckets, joined_where_they_lie, stash
 from .report import ratio
 from .taxonomy import ancestor_of_rank
 from .windows import kmer_runs, run_windows, with_bucket
 
 
-def leaf_counts(regions: DataFrame, db: DataFrame, up: DataFrame, k: int, most_taxa: int = 1_000_000) -> DataFrame:
+def leaf_counts(regions: DataFrame, db: DataFrame, up: DataFrame, k: int, buckets: int | None = None, most_taxa: int = 1_000_000) -> DataFrame:
     """(tax_id, tp, tp_fn, tp_fp) for each leaf taxon of regions (tax_id, seq).
 
     Over its distinct k-mers in the database: tp_fn all, tp those stored at the leaf or an
     ancestor; tp_fp counts the k-mers stored on the path from the leaf to the root. Runs of
-    windows are dealt by minimizer once, and told apart and looked up where they lie. Up to
+    windows are dealt by minimizer once, and told apart and looked up where they lie; a
+    database in `buckets` by minimizer isn't dealt. Up to
     most_taxa taxa are numbered by a broadcast.
     """
     taxa = stash(regions.select("tax_id").distinct().withColumn("leaf", F.monotonically_increasing_id()), "leaves")
     few = F.broadcast(taxa) if taxa.count() <= most_taxa else taxa
     runs = kmer_runs(regions.join(few, "tax_id"), ["leaf"], "seq", k, upper=True, invalid=False, distinct=True)
-    distinct = run_windows(runs.repartition("bucket"), ["bucket", "leaf"], k).select("bucket", "kmer", "leaf").distinct()
+    tasks = buckets or default_buckets(db.sparkSession)
+    distinct = run_windows(runs.drop("start").repartition(tasks, "bucket"), ["bucket", "leaf"], k).select("bucket", "kmer", "leaf").distinct()
     stored = (db if "bucket" in db.columns else with_bucket(db.select("kmer", "tax_id"), k)).select("bucket", "kmer", F.col("tax_id").alias("anc"))
     with joined_where_they_lie(regions.sparkSession):
-        met = stash(distinct.join(stored.repartition("bucket"), ["bucket", "kmer"]).groupBy("leaf", "anc").agg(F.count("*").alias("n")), "met")
+        met = stash(distinct.join(stored if buckets else stored.repartition(tasks, "bucket"), ["bucket", "kmer"]).groupBy("leaf", "anc").agg(F.count("*").alias("n")), "met")
     met = met.join(taxa, "leaf").select("tax_id", "anc", "n")
     on_path = met.join(up.select(F.col("node").alias("tax_id"), "anc", F.lit(1).alias("_on")), ["tax_id", "anc"], "left")
     counts = on_path.groupBy("tax_id").agg(F.sum(F.when(F.col("_on") == 1, F.col("n")).otherwise(0)).alias("tp"), F.sum("n").alias("tp_fn"))

@@ -169,14 +169,15 @@ def reverse_complement_code(code: Column, k: int) -> Column:
 
 
 def run_windows(runs: DataFrame, keep: Sequence[str], k: int) -> DataFrame:
-    """(keep, start, at, kmer): the windows of runs with bases; tasks keep what they hold, since a run is opened where it lies."""
-    each = runs.where("first is not null").select(*keep, "start", "first", "onward", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("at"))
+    """(keep, start, at, kmer): the windows of runs with bases; tasks keep what they hold, since a run is opened where it lies. start only if runs have it."""
+    kept = [*keep, *(["start"] if "start" in runs.columns else [])]
+    each = runs.where("first is not null").select(*kept, "first", "onward", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("at"))
     shift = lambda way, x, by: F.call_function(way, x, by.cast("int"))
     mask = F.lit((1 << 2 * k) - 1)
     more = F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(shift("shiftrightunsigned", F.col("onward"), F.lit(2 * (RUN - 1)) - 2 * F.col("at")))
     straight = shift("shiftleft", F.col("first"), 2 * F.col("at")).bitwiseOR(more).bitwiseAND(mask)
-    coded = each.select(*keep, "start", "at", straight.alias("_s"))
-    return coded.select(*keep, "start", "at", F.greatest("_s", reverse_complement_code(F.col("_s"), k)).alias("kmer"))
+    coded = each.select(*kept, "at", straight.alias("_s"))
+    return coded.select(*kept, "at", F.greatest("_s", reverse_complement_code(F.col("_s"), k)).alias("kmer"))
 
 
 def with_bucket(db: DataFrame, k: int, kmer: str = "kmer") -> DataFrame:

@@ -270,7 +270,7 @@ def e01_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT key, file, read_no, start, label, n FROM seg")
 def e02_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.read_segments(wl.reads(spark, sf_dir), wl.database(spark, sf_dir), K)
+    return m.read_segments(wl.reads(spark, sf_dir), wl.database(spark, sf_dir), K, wl.BUCKETS)
 
 
 @query("SELECT * FROM contig JOIN longest USING (key, tax_id)")
@@ -630,7 +630,7 @@ _LEAF = """SELECT tax_id, tp, tp_fn, (SELECT coalesce(sum(n), 0) FROM up JOIN db
 
 @query("SELECT tax_id, tp, tp_fn, CAST(tp_fp AS BIGINT) AS tp_fp FROM leaf", leaf=_LEAF)
 def j01_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.leaf_counts(wl.regions(spark, sf_dir), wl.database(spark, sf_dir), wl.up(spark, sf_dir), K)
+    return quality.leaf_counts(wl.regions(spark, sf_dir), wl.database(spark, sf_dir), wl.up(spark, sf_dir), K, wl.BUCKETS)
 
 
 @query(
@@ -640,7 +640,7 @@ def j01_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaf=_LEAF,
 )
 def j02_j04_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    leaves = quality.leaf_counts(wl.regions(spark, sf_dir), wl.database(spark, sf_dir), wl.up(spark, sf_dir), K)
+    leaves = quality.leaf_counts(wl.regions(spark, sf_dir), wl.database(spark, sf_dir), wl.up(spark, sf_dir), K, wl.BUCKETS)
     q = quality.quality(leaves, wl.tax(spark, sf_dir), ("superkingdom",))
     return _rounded(q, *q.columns)
 

@@ -50,6 +50,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
+def stash_buckets(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """As `stash`, in buckets by the column `bucket`."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_drop)
+    _made[("stash", path)] = (spark, path)
+    return bucketed(df, path, buckets)
+
+
 def discard(stashed: DataFrame) -> None:
     """Deletes a table of `stash` that no plan will read again, before the session ends."""
     if path := _stashed.pop(stashed, None):
@@ -88,16 +98,45 @@ def with_number(df: DataFrame, order: list[str], name: str, within: tuple[str, .
     return ranged.join(before, on).select(*df.columns, (F.col("_at") + F.col("_shift") + 1).alias(name))
 
 
-def once(spark: SparkSession, name: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table of that name: written as Parquet in the shared folder when it is first asked for, then read."""
+def default_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, path: str, buckets: int, by: str = "bucket", sort: str = "kmer") -> DataFrame:
+    """df as Parquet in a folder, in `buckets` files by the hash of a column and sorted in each, and read back as such: joins and groups on `by` and more don't deal it again.
+
+    Rows that repartition(buckets, by) has dealt are written where they lie.
+    """
+    spark, table = df.sparkSession, _table_of(path)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    df.write.mode("overwrite").bucketBy(buckets, by).sortBy(sort).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: str, buckets: int, by: str = "bucket", sort: str = "kmer") -> DataFrame:
+    """The table that `bucketed` wrote to a folder, in this or another session."""
+    table = _table_of(path)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({sort}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
+def _table_of(path: str) -> str:
+    return f"basewise_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+
+
+def once(spark: SparkSession, name: tuple, make: Callable[[], DataFrame], buckets: int = 0) -> DataFrame:
+    """The table of that name: written as Parquet in the shared folder when it is first asked for, in buckets if wanted, then read."""
     key = (spark.sparkContext.applicationId, *name)
     if key not in _made:
         path = f"{shared_dir(spark)}/tables/{name[0]}-{uuid.uuid4().hex}"
-        make().write.parquet(path)
+        if buckets:
+            bucketed(make(), path, buckets)
+        else:
+            make().write.parquet(path)
         if not _made:
             atexit.register(_drop)
         _made[key] = (spark, path)
-    return spark.read.parquet(_made[key][1])
+    return spark.table(_table_of(_made[key][1])) if buckets else spark.read.parquet(_made[key][1])
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -18,6 +18,8 @@ from .store import once, spread
 K = 15
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz ", "CGATCGATCGATCGATCGATCGATCGA"
 RULES = m.Rules(k=K)
+#: Files of the database.
+BUCKETS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,16 +71,16 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def database(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(kmer, tax_id, bucket) of all genomes."""
-    return once(spark, ("db", sf_dir), lambda: b.build(regions(spark, sf_dir), tax(spark, sf_dir), up(spark, sf_dir), None, b.Plan(k=K), buckets=True).sortWithinPartitions("kmer"))
+    """(kmer, tax_id, bucket) of all genomes, in BUCKETS files by minimizer."""
+    return once(spark, ("db", sf_dir), lambda: b.build(regions(spark, sf_dir), tax(spark, sf_dir), up(spark, sf_dir), None, b.Plan(k=K, buckets=BUCKETS), buckets=True), BUCKETS)
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, ("windows", sf_dir), lambda: m.lookup(reads(spark, sf_dir), database(spark, sf_dir), K))
+    return once(spark, ("windows", sf_dir), lambda: m.lookup(reads(spark, sf_dir), database(spark, sf_dir), K, BUCKETS))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, ("segments", sf_dir), lambda: m.read_segments(reads(spark, sf_dir), database(spark, sf_dir), K))
+    return once(spark, ("segments", sf_dir), lambda: m.read_segments(reads(spark, sf_dir), database(spark, sf_dir), K, BUCKETS))
 
 
 def classes(spark: SparkSession, sf_dir: str, rules: m.Rules = RULES) -> DataFrame:
