@@ -193,7 +193,7 @@ def _places(hashes: np.ndarray, heads: np.ndarray) -> np.ndarray:
     at = np.searchsorted(heads, hashes)
     found = at < len(heads)
     found[found] = heads[at[found]] == hashes[found]
-    return np.where(found, at, len(heads))
+    return np.where(found, at, len(heads)).astype(np.int32)
 
 
 def cluster(made: DataFrame, words: DataFrame, p: Params) -> Clusters:
@@ -281,11 +281,11 @@ def tail_classes(made: DataFrame, found: Clusters, p: Params) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        of = np.append(shared.value.classes, [none, c])
+        of = np.append(shared.value.classes, [none, c]).astype(np.int32)
         for row in _blocks_of(batches, ["flags", "offsets", "codes", "pieces"]):
             hashes = _hashes(row["pieces"])
             place = _places(hashes, shared.value.heads)
-            x, y = _flows(row, np.arange(len(place)), -1)
+            x, y = _flows(row, np.arange(len(place), dtype=np.int32), -1)
             if not len(place):
                 continue
             at = np.flatnonzero(y >= 0)  # ends are -1
@@ -354,7 +354,7 @@ def train(made: DataFrame, p: Params) -> tuple[Model, DataFrame]:
     of_class[sums.column("class").to_numpy()] = sums.column("n").to_numpy()
     ends = made.select(F.explode("flags").alias("f")).where("f").count()
     tokens, types = int(of_class.sum()) + ends, int(sum(sums.column("types").to_pylist())) + (ends > 0)
-    valued = stash(attached(made, ["ids", "flags", "offsets", "codes"], classed, ["class", "n"], in_task=2), "classed_blocks")
+    valued = stash(attached(made, ["ids", "flags", "offsets", "codes"], classed, ["class", "n"], in_task=1), "classed_blocks")
     transitions = _smoothed(*_class_bigrams(valued, p), p.kappa)
     return Model(classed, np.log10(np.maximum(of_class, 1.0)), transitions, tokens, types, ends, found), valued
 
@@ -369,8 +369,8 @@ def _class_bigrams(valued: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray
         sums = np.zeros((4, states, states), np.int64)
         for row in _blocks_of(batches, ["flags", "offsets", "codes", "class", "n"]):
             kind, n = (_numbers(row[x]) for x in ("class", "n"))
-            x, y = _flows(row, np.arange(len(kind)), -1)
-            of = np.append(kind, c)  # the end's place is the last
+            x, y = _flows(row, np.arange(len(kind), dtype=np.int32), -1)
+            of = np.append(kind, c).astype(np.int32)  # the end's place is the last
             seen = np.append(n == 1, False)
             for which, chosen in enumerate((slice(None), seen[y], seen[x], seen[x] & seen[y])):
                 sums[which] += np.bincount(of[x[chosen]] * states + of[y[chosen]], minlength=states * states).reshape(states, states)
@@ -420,12 +420,12 @@ def score(docs: DataFrame, learn: Column, p: Params = Params()) -> DataFrame:
         bottom = np.log10(tokens + 0.5 * (types + 1))
         for row in _blocks_of(batches, ["ids", "offsets", "codes", "class", "n"]):
             n, own = _numbers(row["n"]), _numbers(row["class"])
-            kind = np.append(np.where(n > 0, own, c + 1), c)  # the end's place is the last
+            kind = np.append(np.where(n > 0, own, c + 1), c).astype(np.int32)  # the end's place is the last
             emission = np.append(np.where(n > 0, np.log10(np.maximum(n, 1)) - class_sizes[own], 0.0), 0.0)
             counts = np.append(n, ends)
             if not ends:  # nothing is known: every token is the one unknown word
                 kind[:] = c + 1
-            x, y = _flows({**row, "flags": np.ones(len(row["offsets"]) - 1, bool)}, np.arange(len(n)), -1)
+            x, y = _flows({**row, "flags": np.ones(len(row["offsets"]) - 1, bool)}, np.arange(len(n), dtype=np.int32), -1)
             starts = np.asarray(row["offsets"])[:-1] + np.arange(len(row["offsets"]) - 1)
             add = lambda v: np.add.reduceat(v, starts)
             first = transitions[kind[x], kind[y]] + emission[y] if ends else np.zeros(len(y))
