@@ -59,7 +59,7 @@ class Params:
     b: str
     #: Bytes of text in a block.
     block: int = 32_000_000
-    #: Pairs of linked ids that are broadcast; more are joined by shuffle.
+    #: Pairs of linked ids, and pieces of inexact documents, that are broadcast; more are joined by shuffle.
     most_pairs: int = 1_000_000
 
 
@@ -163,8 +163,11 @@ def align(docs: DataFrame, p: Params) -> DataFrame:
     tokenised = stash(tokens(distinct, p).withColumn("wid", F.monotonically_increasing_id()), "tokens")
     joined = lambda c, by: F.array_join(F.transform(c, lambda i: i.cast("string")), by)
     group = F.struct("group", F.concat(joined("a", ","), F.lit("|"), joined("b", SECOND)).alias("text"), "link_a", "link_b")
-    gone = _inexact(made, tokenised.where("not exact"))
-    exact = tokenised.where("exact").join(gone, "piece", "left").withColumn("n", F.col("n") - F.coalesce("_gone", F.lit(0)))
+    exact, bad = tokenised.where("exact"), tokenised.where("not exact")
+    if bad.count():
+        gone = stash(_inexact(made, bad), "inexact")
+        gone = F.broadcast(gone) if gone.count() <= p.most_pairs else gone
+        exact = exact.join(gone, "piece", "left").withColumn("n", F.col("n") - F.coalesce("_gone", F.lit(0)))
     whole = links(aligned(exact, ("piece", "n"))).groupBy("wid", "piece", "n").agg(F.array_sort(F.collect_list(group)).alias("g"))
     whole = whole.select("piece", "n", F.array_join(F.col("g.text"), ";").alias("groups"), F.transform("g", lambda x: F.struct(x["link_a"], x["link_b"])).alias("links"))
     whole = stash(whole, "groups")
