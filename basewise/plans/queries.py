@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +17,10 @@ from ..operators import membership, quality
 from ..operators import report as rp
 from ..operators import taxonomy as t
 from ..operators import windows as w
-from ..sources import kraken, ncbi, reads, sinks
+from ..sources import fastq_splits, kraken, ncbi, reads, sinks
 from ..streaming import match_stream
 from . import workload as wl
-from .store import shared_dir
+from .store import joined_where_they_lie, shared_dir, stash, stash_buckets
 from .workload import K
 from .workload_sql import sql
 
@@ -42,6 +43,20 @@ _VALUE = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_spli
 _RK = "key, file, read_no"
 
 
+@contextmanager
+def small_splits(spark: SparkSession, size: str = "64k") -> Iterator[None]:
+    """Files are cut into splits of that size where they are read inside."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, (size, "0"), strict=True):
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+
+
 def _read_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, file, read_no, pos, w): windows of the reads as text."""
     r = wl.reads(spark, sf_dir).where(F.length("seq") >= K)
@@ -49,6 +64,20 @@ def _read_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(*m.READ, "off", "c", F.explode(F.sequence(F.lit(0), F.length("c") - K)).alias("i")).select(*m.READ, (F.col("off") + F.col("i")).cast("long").alias("pos"), F.substring("c", F.col("i") + 1, F.lit(K)).alias("w"))
 
 
+@query(f"SELECT {_RK}, '@' || name || ' ' || role AS descriptor, translate(s, chr(10) || chr(13) || '+', 'NNN') AS seq, repeat('@', length(s)) AS qual FROM read")
+def a01_split_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as plain FASTQ, wrapped and with qualities that look like records, and read by many splits a file; the descriptor's end tells which read it was."""
+    r = wl.reads(spark, sf_dir).withColumn("seq", F.translate("seq", "\n\r+", "NNN"))
+    path = f"{shared_dir(spark)}/split-fastq-{uuid.uuid4().hex}"
+    wrapped = lambda c: F.regexp_replace(c, "(.{70})(?=.)", "$1\n")
+    name = F.concat_ws("\t", "descriptor", "key", "file", F.col("read_no").cast("string"))
+    r.select(F.concat_ws("\n", name, wrapped(F.col("seq")), F.lit("+"), wrapped(F.repeat(F.lit("@"), F.length("seq"))))).coalesce(2).write.text(path)
+    with small_splits(spark):
+        found = stash(fastq_splits.read_splits(spark, [path]), "split_reads")
+    part = lambda k: F.get(F.split("descriptor", "\t"), F.lit(k))
+    return found.select(part(1).alias("key"), part(2).alias("file"), part(3).cast("long").alias("read_no"), part(0).alias("descriptor"), "seq", "qual")
+
+
 # --- scalar functions -------------------------------------------------------------------
 
 
@@ -489,6 +518,18 @@ def h06_first_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.first_values(wl.regions(spark, sf_dir), b.Plan(k=K)).groupBy("tax_id").agg(F.count("*").alias("kmers"))
 
 
+@query("SELECT translate(kmer, '0123', 'CGAT') AS kmer, tax_id FROM db")
+def h10_h15_updated_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored build of half of the genomes, to which the other half is merged: the same database as a build of all."""
+    plan, numbers = b.Plan(k=K, buckets=wl.BUCKETS), wl.tax(spark, sf_dir).select("tax_id", "pre")
+    genomes = wl.regions(spark, sf_dir).join(numbers, "tax_id").withColumn("_wanted", F.lit(True))
+    half = lambda n: b.build_state(genomes.where(F.col("region_no") % 2 == n), plan)
+    stored = stash_buckets(half(0), "state", wl.BUCKETS)
+    with joined_where_they_lie(spark):
+        both = stash_buckets(b.merged(stored, half(1)), "state", wl.BUCKETS)
+    return b.database_of(both, wl.up(spark, sf_dir)).select(seq.decode(F.col("kmer"), K).alias("kmer"), "tax_id")
+
+
 @query("SELECT translate(kmer, '0123', 'CGAT') AS kmer, tax_id FROM db")
 def h07_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole database, built anew."""

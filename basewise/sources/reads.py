@@ -1,9 +1,8 @@
 """FASTQ and FASTA files as rows.
 
-FASTQ cannot be split inside a file, since a quality line may begin like a record, so a
-task parses whole files, record by record. Files of more than `whole` bytes come as lines,
-which Spark reads split by split, with its codecs, and sorts by split and place, spilling
-where it must; a task then parses them as they stream by. FASTA can be split: its text is
+A task parses whole FASTQ files, record by record, up to `whole` bytes. Larger plain ones are
+parsed split by split (fastq_splits.py). Larger zipped ones, which nothing can split, come
+as lines that a task parses as they stream by. FASTA can be split: its text is
 split at line breaks before >, and large plain files spread over tasks; regions are
 numbered by adding up the splits, so sequences stay where they were read. Gzip is told by
 the content for FASTQ (large files: by the suffix .gz) and by the suffix .gz for FASTA.
@@ -22,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .fastq_splits import read_splits
+
 #: The suffixes of both formats.
 FASTA_SUFFIXES, FASTQ_SUFFIXES, GZIP_SUFFIXES = ("fasta", "fa", "fna", "fas"), ("fastq", "fq"), ("gz", "gzip")
 READ_SCHEMA = "key string, file string, read_no long, descriptor string, seq string, qual string"
@@ -57,7 +58,6 @@ def read_fastq(spark: SparkSession, paths: list[str], key: str = "", whole: int
     """Rows of READ_SCHEMA; read_no counts from 0 in each file. Files of up to `whole` bytes are parsed as one value each."""
     files = spark.read.format("binaryFile").load(paths)
     large = [r["path"] for r in files.where(F.col("length") > whole).where("not path like '%.gzip'").select("path").collect()]  # names of files
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -67,10 +67,13 @@ def read_fastq(spark: SparkSession, paths: list[str], key: str = "", whole: int
                 yield from _parsed(key, path, lines)
 
     found = files.where((F.col("length") <= whole) | F.col("path").like("%.gzip")).select("path", "content").mapInArrow(run, READ_SCHEMA)
-    if not large:
+    plain, packed = [p for p in large if not p.endswith(".gz")], [p for p in large if p.endswith(".gz")]
+    if plain:
+        found = found.unionByName(read_splits(spark, plain).select(F.lit(key).alias("key"), "file", "read_no", "descriptor", "seq", "qual"))
+    if not packed:
         return found
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")]
-    lines = spark.read.option("lineSep", "\n").text(large).select("value", *place)
+    lines = spark.read.option("lineSep", "\n").text(packed).select("value", *place)
     lines = lines.repartition("file").sortWithinPartitions("file", "split", "at").select("file", "value")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
