@@ -31,8 +31,8 @@ SCHEMA = "block long, ids array<long>, flags array<boolean>, offsets array<int>,
 Cut = Callable[[pa.Array], tuple[pa.Array, np.ndarray]]
 
 
-def blocks(rows: DataFrame, cut: Cut, size: int, name: str) -> DataFrame:
-    """Rows of SCHEMA, written and read again, of rows (id, flag, text); null texts have no piece."""
+def blocks(rows: DataFrame, cut: Cut, size: int, name: str, packed: bool = False) -> DataFrame:
+    """Rows of SCHEMA, written and read again, of rows (id, flag, text); null texts have no piece. `packed` codes are bytes for `unpacked`, half as many to move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -44,12 +44,23 @@ def blocks(rows: DataFrame, cut: Cut, size: int, name: str) -> DataFrame:
             flagged = np.repeat(np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool), np.diff(offsets))
             counts = np.bincount(codes[flagged], minlength=len(coded.dictionary)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([base + serial]), _one(b.column(0)), _one(b.column(1)), _one(pa.array(offsets.astype(np.int32))), _one(pa.array(codes)), _one(coded.dictionary), _one(pa.array(counts))],
+                [pa.array([base + serial]), _one(b.column(0)), _one(b.column(1)), _one(pa.array(offsets.astype(np.int32))), pa.array([_packed(codes)]) if packed else _one(pa.array(codes)), _one(coded.dictionary), _one(pa.array(counts))],
                 [x.split()[0] for x in SCHEMA.split(", ")],
             )
             serial += 1
 
-    return stash(rows.mapInArrow(run, SCHEMA), name)
+    return stash(rows.mapInArrow(run, SCHEMA.replace("codes array<int>", "codes binary") if packed else SCHEMA), name)
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes as compressed planes of bytes; the upper ones are nearly all zero."""
+    return pa.Codec("zstd").compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def unpacked(packed: pa.Buffer, n: int) -> np.ndarray:
+    """The n codes of `packed` bytes."""
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed, 4 * n), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
 
 def _one(values: pa.Array) -> pa.ListArray:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import attached, blocks, pieces_of, words_cut
+from .blocks import attached, blocks, pieces_of, unpacked, words_cut
 from .common import by_weight, discard, let_go, stash
 
 
@@ -159,6 +159,9 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
             row = {}
             for name in names:
                 found = b.column(b.schema.get_field_index(name))[i]
+                if name == "codes":
+                    row[name] = unpacked(found.as_buffer(), int(row["offsets"][-1]))
+                    continue
                 values = found.values if found.is_valid else pa.array([], found.type.value_type)  # a block without pieces has no values
                 plain = pa.types.is_string(values.type) or pa.types.is_floating(values.type) or values.null_count
                 row[name] = values if plain else values.to_numpy(zero_copy_only=False)
@@ -409,7 +412,7 @@ def score(docs: DataFrame, learn: Column, p: Params = Params()) -> DataFrame:
     base_score is the log10 probability by single words with half an occurrence added to each.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(learn, F.lit(False)).alias("flag"), "text")
-    made = blocks(rows, words_cut, p.block, "lm")
+    made = blocks(rows, words_cut, p.block, "lm", packed=True)
     model, valued = train(made, p)
     shared = made.sparkSession.sparkContext.broadcast((model.transitions, model.class_sizes, model.tokens, model.types, model.ends))
     c = p.classes
