@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,31 +180,26 @@ def passes(errors: Column, limit: float, windows: Column) -> Column:
     return within & (errors <= limit) if limit >= 1 else within
 
 
-def candidates(hits: DataFrame, up: DataFrame, max_paths: int) -> DataFrame:
-    """(read, cand): the deepest hit nodes of each read of hits (read, tax_id, h, first).
+def candidates(hits: DataFrame, tax: DataFrame, max_paths: int) -> DataFrame:
+    """(read, cand): the deepest hit nodes of each read of hits (read, tax_id, first), as intervals of preorder numbers.
 
-    Without more than max_paths of them the order of the hits plays no part. Reads with
-    more are folded in the order of their first hits: later unrelated nodes are ignored.
+    A read's hits are folded in the order of their first places: one below a candidate
+    takes its place, one above a candidate adds nothing, and one that is unrelated to all
+    becomes a candidate while there are fewer than max_paths. Candidates are unrelated to
+    each other, so at most one is above a hit.
     """
-    above = hits.join(up.where("node <> anc").select("node", "anc"), F.col("tax_id") == F.col("node")).select(*READ, F.col("anc").alias("tax_id")).distinct()
-    deepest = hits.join(above, [*READ, "tax_id"], "left_anti").select(*READ, F.col("tax_id").alias("cand"))
-    many = deepest.groupBy(*READ).agg(F.count("*").alias("_n")).where(F.col("_n") > max_paths).select(*READ)
-    lines = up.groupBy("node").agg(F.collect_list("anc").alias("_up"))
-    ordered = hits.join(many, READ, "left_semi").join(lines, F.col("tax_id") == F.col("node")).select(*READ, "tax_id", "first", "_up")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:  # one read
-        kept: list[tuple[str, set]] = []
-        for t, line in sorted(zip(rows["tax_id"], map(set, rows["_up"]), strict=True), key=lambda x: int(rows["first"][rows["tax_id"] == x[0]].iloc[0])):
-            below = next((j for j, (c, _) in enumerate(kept) if c in line), None)
-            if below is not None:
-                kept[below] = (t, line)
-            elif not any(t in other for _, other in kept) and len(kept) < max_paths:
-                kept.append((t, line))
-        return rows.iloc[:1][READ].merge(pd.DataFrame({"cand": [c for c, _ in kept]}), how="cross")
-
-    kinds = {f.name: f.dataType.simpleString() for f in hits.schema}
-    capped = ordered.groupBy(*READ).applyInPandas(fold, ", ".join(f"`{c}` {kinds[c]}" for c in READ) + ", cand string")
-    return deepest.join(many, READ, "left_anti").unionByName(capped)
+    numbered = hits.join(tax.select("tax_id", "pre", "last"), "tax_id")
+    ordered = F.array_sort(F.collect_list(F.struct("first", "pre", "last", "tax_id")))  # the taxa of one read
+    above = lambda c, x: (c["pre"] <= x["pre"]) & (x["pre"] <= c["last"])
+
+    def fold(kept: Column, x: Column) -> Column:
+        deeper = F.transform(kept, lambda c: F.when(above(c, x), x).otherwise(c))
+        fresh = ~F.exists(kept, lambda c: above(x, c)) & (F.size(kept) < max_paths)
+        return F.when(F.exists(kept, lambda c: above(c, x)), deeper).when(fresh, F.concat(kept, F.array(x))).otherwise(kept)
+
+    per_read = numbered.groupBy(*READ).agg(ordered.alias("_h"))
+    folded = F.aggregate("_h", F.slice("_h", 1, 0), fold)
+    return per_read.select(*READ, F.explode(F.transform(folded, lambda c: c["tax_id"])).alias("cand"))
 
 
 def classify(reads: DataFrame, segs: DataFrame, tax: DataFrame, up: DataFrame, rules: Rules) -> DataFrame:
@@ -219,7 +213,7 @@ def classify(reads: DataFrame, segs: DataFrame, tax: DataFrame, up: DataFrame, r
     found = hits.groupBy(*READ).agg(F.lit(True).alias("found"))
     open_reads = per_read.where(passes(F.col("errors"), rules.max_errors, F.col("windows"))).select(*READ)
     h = hits.join(open_reads, READ, "left_semi")
-    paths = candidates(h, up, rules.max_paths).join(up.select("node", "anc", "anc_depth"), F.col("cand") == F.col("node"))
+    paths = candidates(h, tax, rules.max_paths).join(up.select("node", "anc", "anc_depth"), F.col("cand") == F.col("node"))
     on_path = paths.join(h.select(*READ, F.col("tax_id").alias("anc"), "h", "first"), [*READ, "anc"])
     scored = on_path.groupBy(*READ, "cand").agg(F.sum("h").alias("score"), F.max(F.when(F.col("anc") == F.col("cand"), F.col("first"))).alias("first"))
     best = F.max("score").over(Window.partitionBy(*READ))

@@ -343,7 +343,30 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {_RK}, cand FROM cand")
 def e09_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cap is at its greatest, beyond the number of nations, so that no order plays a part."""
-    return m.candidates(_hits(spark, sf_dir), wl.up(spark, sf_dir), 128)
+    return m.candidates(_hits(spark, sf_dir), wl.tax(spark, sf_dir), 128)
+
+
+def _capped(most: int) -> str:
+    """The fold of a read's hits in the order of their first places, with at most so many candidates."""
+    above, below = "c.pre <= x.pre AND x.pre <= c.last", "x.pre <= c.pre AND c.pre <= x.last"
+    kept = f"""CASE WHEN len(list_filter(f.kept, lambda c: {above.replace('x.', 'n.x.')})) > 0 THEN list_transform(f.kept, lambda c: CASE WHEN {above.replace('x.', 'n.x.')} THEN n.x ELSE c END)
+      WHEN len(list_filter(f.kept, lambda c: {below.replace('x.', 'n.x.')})) = 0 AND len(f.kept) < {most} THEN list_append(f.kept, n.x) ELSE f.kept END"""
+    return f"""SELECT {_RK}, unnest(kept).tax_id AS cand FROM (WITH RECURSIVE ends AS (SELECT node.tax_id, max(d.pre) AS last FROM tax node JOIN up ON up.anc = node.tax_id JOIN tax d ON d.tax_id = up.node GROUP BY node.tax_id),
+    line AS (SELECT {_RK}, row_number() OVER (PARTITION BY {_RK} ORDER BY first, pre) AS place, {{'tax_id': tax_id, 'pre': pre, 'last': last}} AS x
+      FROM (SELECT {_RK}, label AS tax_id, min(start) AS first FROM seg WHERE label NOT IN ('0', 'A') GROUP BY ALL) JOIN tax USING (tax_id) JOIN ends USING (tax_id)),
+    fold AS (SELECT {_RK}, place, [x] AS kept FROM line WHERE place = 1 UNION ALL SELECT f.key, f.file, f.read_no, n.place, {kept} FROM fold f JOIN line n ON n.key = f.key AND n.file = f.file AND n.read_no = f.read_no AND n.place = f.place + 1)
+    SELECT {_RK}, kept FROM fold QUALIFY place = max(place) OVER (PARTITION BY {_RK}))"""
+
+
+@query(_capped(10))
+def e09_candidates_at_most_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.candidates(_hits(spark, sf_dir), wl.tax(spark, sf_dir), 10)
+
+
+@query(_capped(2))
+def e09_candidates_at_most_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cap bites: later unrelated hits of a read are ignored."""
+    return m.candidates(_hits(spark, sf_dir), wl.tax(spark, sf_dir), 2)
 
 
 _CLS = f"SELECT {_RK}, CAST(len AS BIGINT) AS length, CAST(win AS BIGINT) AS windows, CAST(errors AS BIGINT) AS errors, class_id IS NOT NULL AS found, class_id, CAST(read_kmers AS BIGINT) AS read_kmers, CAST(win - read_kmers AS BIGINT) AS class_errors, class_id IS NOT NULL AS counted FROM err LEFT JOIN cls USING ({_RK})"
