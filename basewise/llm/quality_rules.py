@@ -13,6 +13,15 @@ into it, and as many of the whole corpus's into that, so small groups lean on th
 language. No limit is a fixed number: only levels and margins are parameters. The limits
 are joined back and decide.
 
+Most texts have no symbols, so a quantile of their share is often the least value and says
+nothing. A share is therefore that of the text and `PRIOR_CHARS` characters without
+symbols, and not under one symbol in these: a text with one symbol, whatever its length, is
+like one with none. The limit is then where the sketch falls into two classes: the cut with
+the greatest variance between their mean logarithms, in the middle of its gap, unless the
+quantile limit lies higher. A group whose quantile is the least share and that has no
+second class takes its language's limit, and this the corpus's; where none has one,
+symbols don't decide.
+
 Only built-in functions run here.
 
 Defined cases: a null or empty text has no words, so it fails the base rules; null
@@ -33,10 +42,12 @@ from .common import join_small, stash
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 GRAM = 5
+#: Characters without symbols that count beside a text's own, so that a few symbols of a short text say little.
+PRIOR_CHARS = 1000
 #: Measure -> expression in whole millionths of the counts.
 MEASURES = {
     "word_length": "word_chars * 1000000 div greatest(n_words, 1)",
-    "symbols": "n_symbols * 1000000 div greatest(word_chars, 1)",
+    "symbols": f"greatest(n_symbols * 1000000 div (word_chars + {PRIOR_CHARS}), 1000000 div {PRIOR_CHARS})",
     "dup_lines": "n_dup_lines * 1000000 div greatest(n_lines, 1)",
     "repeats": "n_repeat_words * 1000000 div greatest(n_words, 1)",
 }
@@ -44,19 +55,28 @@ MEASURES = {
 
 @dataclass(frozen=True)
 class Level:
-    """Which quantiles limit a measure, in thousandths, and how many distances to the median are added."""
+    """Which quantiles limit a measure, in thousandths, and how many distances to the median are added.
+
+    With `least`, the value of most rows, the cut between two classes is a limit too, and a quantile there is none.
+    """
 
     high: int
     margin: int = 0
     low: int | None = None
+    least: int | None = None
 
 
 @dataclass(frozen=True)
 class Rules:
     least_words: int = 10
     most_repeat_percent: int = 20
-    #: Junk text may make up less than a tenth of a group: it must not move the limits of symbols and word length.
-    levels: tuple[tuple[str, Level], ...] = (("word_length", Level(900, 2, 10)), ("symbols", Level(900, 1)), ("dup_lines", Level(995)), ("repeats", Level(995)))
+    #: Junk text may make up less than a tenth of a group, and by its symbols less than a quarter: it must not move the limits.
+    levels: tuple[tuple[str, Level], ...] = (
+        ("word_length", Level(900, 2, 10)),
+        ("symbols", Level(750, 3, least=1_000_000 // PRIOR_CHARS)),
+        ("dup_lines", Level(995)),
+        ("repeats", Level(995)),
+    )
     #: Rows of the language that count beside a group's own, and of the corpus beside a language's.
     prior_rows: int = 200
 
@@ -126,16 +146,28 @@ def sketches(counts: DataFrame) -> DataFrame:
 def _limits(sketch: DataFrame, keys: list[str], r: Rules) -> DataFrame:
     """(keys, measure, rows, low, high) from each group's own sketch; a quantile is the least bucket whose cumulated count reaches the level."""
     merged = sketch.groupBy(*keys, "measure", "bucket", "top").agg(F.sum("n").alias("n"))
+    shift = F.greatest(F.length(F.bin(F.col("bucket"))) - 6, F.lit(0))
+    merged = merged.withColumn("_log", F.col("n") * (32 * shift + F.call_function("shiftright", F.col("bucket"), shift)))  # 32 buckets for each power of two
     by = Window.partitionBy(*keys, "measure")
-    upto = F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = merged.select(*keys, "measure", "bucket", "top", upto.alias("upto"), F.sum("n").over(by).alias("rows"))
+    ordered = by.orderBy("bucket")
+    upto = lambda c: F.sum(c).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = merged.select(
+        *keys, "measure", "bucket", "top", upto("n").alias("upto"), F.sum("n").over(by).alias("rows"),
+        upto("_log").alias("log_upto"), F.sum("_log").over(by).alias("logs"), F.lead("bucket").over(ordered).alias("next"),
+    )
+    apart = F.expr("CASE WHEN next IS NOT NULL THEN log_upto / CAST(upto AS DOUBLE) - (logs - log_upto) / CAST(rows - upto AS DOUBLE) END")
+    ranked = ranked.withColumn("_apart", apart).withColumn("between", F.expr("CAST(upto AS DOUBLE) * (rows - upto) * (_apart * _apart)"))
+    cut = F.max_by(F.expr("CAST(floor(sqrt(CAST(top AS DOUBLE) * next)) AS BIGINT)"), F.struct("between", -F.col("bucket")))
     of = lambda get: F.create_map(*[F.lit(x) for m, level in r.levels for x in (m, get(level))])[F.col("measure")]
     reach = lambda level, value: F.min(F.when(F.col("upto") * 1000 >= F.col("rows") * level, F.col(value)))
-    found = ranked.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), reach(F.lit(500), "bucket").alias("mid"), reach(of(lambda x: x.low or 0), "bucket").alias("lo"), reach(of(lambda x: x.high), "top").alias("hi"))
-    margin = of(lambda x: x.margin)
+    found = ranked.groupBy(*keys, "measure").agg(
+        F.max("rows").alias("rows"), reach(F.lit(500), "bucket").alias("mid"), reach(of(lambda x: x.low or 0), "bucket").alias("lo"),
+        reach(of(lambda x: x.high), "top").alias("hi"), reach(of(lambda x: x.high), "bucket").alias("from"), cut.alias("cut"),
+    )
+    margin, least = of(lambda x: x.margin), of(lambda x: -1 if x.least is None else x.least)
     low = F.col("lo") - margin * (F.col("mid") - F.col("lo"))
-    high = F.col("hi") + margin * F.greatest(F.col("hi") - F.col("mid"), F.lit(0))
-    return found.select(*keys, "measure", "rows", low.alias("low"), high.alias("high"))
+    high = F.when(F.col("from") > least, F.col("hi") + margin * F.greatest(F.col("hi") - F.col("mid"), F.lit(0)))
+    return found.select(*keys, "measure", "rows", low.alias("low"), F.when(least < 0, high).otherwise(F.greatest(high, "cut")).alias("high"))
 
 
 def thresholds(sketch: DataFrame, r: Rules) -> DataFrame:
@@ -144,7 +176,7 @@ def thresholds(sketch: DataFrame, r: Rules) -> DataFrame:
     own, lang, whole = (_limits(sketch, keys, r) for keys in (["lang", "source"], ["lang"], []))
     q = own.join(named(lang, "_l"), F.col("lang").eqNullSafe(F.col("_l_lang")) & (F.col("measure") == F.col("_l_measure")))
     q = q.join(F.broadcast(named(whole, "_w")), F.col("measure") == F.col("_w_measure"))  # a row for each measure
-    mixed = lambda n, x, y: F.call_function("div", n * x + r.prior_rows * y, n + r.prior_rows)
+    mixed = lambda n, x, y: F.coalesce(F.call_function("div", n * x + r.prior_rows * y, n + r.prior_rows), x, y)
     limit = lambda c: mixed(F.col("rows"), F.col(c), mixed(F.col("_l_rows"), F.col(f"_l_{c}"), F.col(f"_w_{c}")))
     q = q.select("lang", "source", "measure", limit("low").alias("low"), limit("high").alias("high"))
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
@@ -159,7 +191,7 @@ def judge_quality(docs: DataFrame, r: Rules = Rules()) -> DataFrame:
     judged = join_small(counts, limits, ["lang", "source"])
     inside = ~F.col("base_failed")
     for m, level in r.levels:
-        inside = inside & (F.col(m) <= F.col(f"{m}_high"))
+        inside = inside & F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))
         if level.low is not None:
             inside = inside & (F.col(m) >= F.col(f"{m}_low"))
     return judged.select(

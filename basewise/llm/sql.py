@@ -3,34 +3,42 @@
 from __future__ import annotations
 
 _WORD = r"[^\x20\x09-\x0D]"
-#: Measure: expression, levels in thousandths (low, high), margin.
+#: Measure: expression, levels in thousandths (low, high), margin, and the least value where a cut between two classes limits it.
 _MEASURES = {
-    "word_length": ("word_chars * 1000000 // greatest(n_words, 1)", 10, 900, 2),
-    "symbols": ("n_symbols * 1000000 // greatest(word_chars, 1)", None, 900, 1),
-    "dup_lines": ("n_dup_lines * 1000000 // greatest(n_lines, 1)", None, 995, 0),
-    "repeats": ("n_repeat_words * 1000000 // greatest(n_words, 1)", None, 995, 0),
+    "word_length": ("word_chars * 1000000 // greatest(n_words, 1)", 10, 900, 2, -1),
+    "symbols": ("greatest(n_symbols * 1000000 // (word_chars + 1000), 1000)", None, 750, 3, 1000),
+    "dup_lines": ("n_dup_lines * 1000000 // greatest(n_lines, 1)", None, 995, 0, -1),
+    "repeats": ("n_repeat_words * 1000000 // greatest(n_words, 1)", None, 995, 0, -1),
 }
 
 
-def _limits(measure: str, low: int | None, high: int, margin: int) -> str:
+def _limits(measure: str, low: int | None, high: int, margin: int, least: int) -> str:
     """(lang, source, low, high) of a measure."""
     levels = []
     for name, keys in (("own", "lang, source, "), ("by_lang", "lang, "), ("whole", "")):
         part = f"PARTITION BY {keys[:-2]}" if keys else ""
+        reached = lambda level, value: f"min({value}) FILTER (upto * 1000 >= total * {level})"
+        quantiles = f"hi + {margin} * greatest(hi - mid, 0)"
+        limit = quantiles if least < 0 else f"CASE WHEN hi_from > {least} AND {quantiles} >= coalesce(cut, 0) THEN {quantiles} ELSE cut END"
         levels.append(
-            f"{name} AS (SELECT {keys}max(total) AS n, min(v) FILTER (upto * 1000 >= total * 500) AS mid, min(v) FILTER (upto * 1000 >= total * {low or 0}) AS lo, min(v + (1 << s) - 1) FILTER (upto * 1000 >= total * {high}) AS hi FROM ("
-            f"SELECT *, sum(n) OVER ({part} ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({part}) AS total FROM ("
-            f"SELECT {keys}({measure} >> s) << s AS v, s, count(*) AS n FROM (SELECT *, greatest(length(bin({measure})) - 6, 0) AS s FROM measured WHERE NOT base_failed) GROUP BY ALL)) GROUP BY ALL), "
-            f"{name}_f AS (SELECT {keys}n, lo - {margin} * (mid - lo) AS low, hi + {margin} * greatest(hi - mid, 0) AS high FROM {name})"
+            f"{name} AS (SELECT {keys}max(total) AS n, {reached(500, 'v')} AS mid, {reached(low or 0, 'v')} AS lo, {reached(high, 'top')} AS hi, {reached(high, 'v')} AS hi_from, "
+            f"max(CAST(floor(sqrt(CAST(top AS DOUBLE) * next)) AS BIGINT)) FILTER (best = 1) AS cut FROM ("
+            f"SELECT *, row_number() OVER ({part} ORDER BY upto * (total - upto) * (apart * apart) DESC NULLS LAST, v) AS best FROM ("
+            f"SELECT *, CASE WHEN next IS NOT NULL THEN logs_upto / upto - (logs - logs_upto) / (total - upto) END AS apart FROM ("
+            f"SELECT *, v + (1 << s) - 1 AS top, CAST(sum(n) OVER ({part} ORDER BY v) AS DOUBLE) AS upto, CAST(sum(n) OVER ({part}) AS DOUBLE) AS total, lead(v) OVER ({part} ORDER BY v) AS next, "
+            f"CAST(sum(n * (32 * s + (v >> s))) OVER ({part} ORDER BY v) AS DOUBLE) AS logs_upto, CAST(sum(n * (32 * s + (v >> s))) OVER ({part}) AS DOUBLE) AS logs FROM ("
+            f"SELECT {keys}({measure} >> s) << s AS v, s, count(*) AS n FROM (SELECT *, greatest(length(bin({measure})) - 6, 0) AS s FROM measured WHERE NOT base_failed) GROUP BY ALL)))) GROUP BY ALL), "
+            f"{name}_f AS (SELECT {keys}CAST(n AS BIGINT) AS n, lo - {margin} * (mid - lo) AS low, {limit} AS high FROM {name})"
         )
-    shrunk = lambda c: f"CAST(((o.n * o.{c} + 200 * ((l.n * l.{c} + 200 * w.{c}) // (l.n + 200))) // (o.n + 200)) AS BIGINT) AS {c}"
+    mixed = lambda n, x, y: f"coalesce(({n} * {x} + 200 * {y}) // ({n} + 200), {x}, {y})"
+    shrunk = lambda c: f"CAST({mixed('o.n', f'o.{c}', mixed('l.n', f'l.{c}', f'w.{c}'))} AS BIGINT) AS {c}"
     return f"WITH {', '.join(levels)} SELECT o.lang, o.source, {shrunk('low')}, {shrunk('high')} FROM own_f o JOIN by_lang_f l ON o.lang IS NOT DISTINCT FROM l.lang, whole_f w"
 
 
 def _quality_rules() -> str:
     limits = ", ".join(f"l_{m} AS ({_limits(m, *levels)})" for m, (_, *levels) in _MEASURES.items())
     joins = " ".join(f"LEFT JOIN l_{m} ON measured.lang IS NOT DISTINCT FROM l_{m}.lang AND measured.source IS NOT DISTINCT FROM l_{m}.source" for m in _MEASURES)
-    inside = " AND ".join(f"{m} <= l_{m}.high" + (f" AND {m} >= l_{m}.low" if low else "") for m, (_, low, _, _) in _MEASURES.items())
+    inside = " AND ".join(f"coalesce({m} <= l_{m}.high, true)" + (f" AND {m} >= l_{m}.low" if low else "") for m, (_, low, *_) in _MEASURES.items())
     return rf"""
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS words FROM documents),
 lined AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM texts),

@@ -164,6 +164,19 @@ def test_equal_documents_of_different_groups_get_different_verdicts(spark):
     assert got[20_000].symbols == got[20_001].symbols and got[20_002].word_length == got[20_003].word_length
 
 
+def test_a_symbol_in_a_group_without_symbols_rejects_no_text(spark):
+    """A group of plain texts has no tail of its own: its language's decides, and without one symbols don't."""
+    plain = [(i, " ".join(f"w{i}{j}" for j in range(40)), "en", "plain") for i in range(500)]
+    marked = [(1000, "#" + plain[0][1], "en", "plain"), (1001, " ".join(f"v{j}" for j in range(5000)) + " #", "en", "plain")]
+    got = {r.doc_id: r for r in quality_rules.judge_quality(docs(spark, plain + marked)).collect()}
+    assert all(r.kept for r in got.values()) and got[1000].symbols == got[1001].symbols == got[0].symbols
+    junk = [(2000 + i, " ".join(f"x{i}{j}$$" for j in range(40 + i)), "en", "other") for i in range(20)]
+    rest = [(3000 + i, " ".join(f"y{i}{j}" for j in range(40)), "en", "other") for i in range(180)]
+    some = [(4000, "## " + plain[1][1], "en", "plain"), (4001, "$$ " * 60 + plain[2][1], "en", "plain")]
+    got = {r.doc_id: r for r in quality_rules.judge_quality(docs(spark, plain + marked + junk + rest + some)).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {4001} | {r[0] for r in junk}
+
+
 def test_quality_rules_edge_cases(spark):
     got = quality_rules.judge_quality(docs(spark)).collect()
     assert len(got) == len(EDGE) and all(r.base_failed and not r.kept for r in got)
