@@ -55,15 +55,16 @@ def with_taxon(regions: DataFrame, accessions: DataFrame, files: DataFrame | Non
 def within_limits(regions: DataFrame, plan: Plan, up: DataFrame | None = None, tax: DataFrame | None = None) -> DataFrame:
     """The regions that a taxon's limits admit, in the order of file and number.
 
-    A genome limit admits a taxon's first max_genomes regions. A k-mer limit skips regions
+    Regions at artificial nodes count for their natural_id. A genome limit admits a taxon's first max_genomes regions. A k-mer limit skips regions
     once the taxon has max_kmers windows, and cuts the region that reaches the limit there.
     """
     if plan.max_genomes is None and plan.max_kmers is None:
         return regions
-    r = regions.withColumn("_limited", F.col("tax_id"))
+    r = regions.withColumn("_limited", F.col("natural_id" if "natural_id" in regions.columns else "tax_id"))
     if plan.limit_rank:
         of_rank = up.join(tax.where(F.col("rank") == plan.limit_rank).select(F.col("tax_id").alias("anc")), "anc", "left_semi").select(F.col("node").alias("tax_id"), F.col("anc").alias("_a"))
-        r = r.join(of_rank, "tax_id", "left").withColumn("_limited", F.coalesce("_a", "tax_id")).drop("_a")
+        of_rank = of_rank.withColumnRenamed("tax_id", "_own")
+        r = r.join(of_rank, F.col("_limited") == F.col("_own"), "left").drop("_own").withColumn("_limited", F.coalesce("_a", "_limited")).drop("_a")
     order = Window.partitionBy("_limited").orderBy("file", "region_no")
     size = F.greatest(F.length("seq") - (plan.k - 1), F.lit(0))
     admitted = r.select("_limited", "file", "region_no", size.alias("_size"))  # sequences stay where they are

@@ -12,11 +12,10 @@ import re
 import uuid
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.store import with_number
+from ..plans.store import stash, with_number
 
 ROOT = "1"
 #: The ranks that have a level, from the top, each 20 levels under the one before.
@@ -43,38 +42,41 @@ def rank_levels(spark: SparkSession) -> DataFrame:
 def numbered(nodes: DataFrame) -> DataFrame:
     """Adds depth, pre and last to (tax_id, parent_id, name, rank, ord).
 
-    The numbering is one depth-first walk on the driver over three narrow columns: a
-    taxonomy is a bounded reference table (millions of nodes at most). The root is the
-    node that is its own parent, or has none; nodes that do not hang under it go.
+    Paths from the root are found by pointer doubling (`_paths`); the order of paths is
+    preorder, so ranges of it number the nodes, and a node's subtree is as large as the
+    number of paths that it is on. The root is the node that is its own parent, or has
+    none, the first by `ord` of several; nodes that do not hang under it go, circles
+    among them. Of rows with one tax_id the first by `ord` sets its place, all stay.
     """
-    rows = nodes.select("tax_id", "parent_id", "ord").toPandas().sort_values("ord", kind="stable")
-    children: dict[str, list[str]] = {}
-    root = None
-    for t, p in zip(rows["tax_id"], rows["parent_id"], strict=True):
-        if p is None or p == t:
-            root = t if root is None else root
-        else:
-            children.setdefault(p, []).append(t)
-    pre, depth, last, order = {}, {}, {}, []
-    todo = [(root, 0)] if root is not None else []
-    while todo:
-        t, d = todo.pop()
-        if t in pre:
-            continue
-        pre[t], depth[t] = len(order), d
-        order.append(t)
-        todo += [(c, d + 1) for c in reversed(children.get(t, ()))]
-    parent = dict(zip(rows["tax_id"], rows["parent_id"], strict=True))
-    last = dict(pre)
-    for t in reversed(order):
-        if t != root:
-            last[parent[t]] = max(last[parent[t]], last[t])
-    numbers = pd.DataFrame({"tax_id": order, "depth": [depth[t] for t in order], "pre": [pre[t] for t in order], "last": [last[t] for t in order]})
-    numbers = nodes.sparkSession.createDataFrame(numbers, "tax_id string, depth int, pre long, last long") if order else nodes.sparkSession.createDataFrame([], "tax_id string, depth int, pre long, last long")
     own = F.when(F.col("parent_id") != F.col("tax_id"), F.col("parent_id"))
+    edges = nodes.groupBy("tax_id").agg(F.min(F.struct("ord", own.alias("up"))).alias("_e")).select("tax_id", "_e.ord", "_e.up")
+    paths = _paths(edges)
+    root = paths.where("size(path) = 1").orderBy("path").limit(1).select(F.col("tax_id").alias("_root"))
+    placed = with_number(paths.join(F.broadcast(root), F.col("path")[0]["tax_id"] == F.col("_root"), "left_semi"), ["path"], "_n")
+    sizes = placed.select(F.explode("path.tax_id").alias("_anc")).groupBy("_anc").agg(F.count("*").alias("_size"))
+    pre = F.col("_n") - 1
+    numbers = placed.join(sizes, F.col("tax_id") == F.col("_anc")).select("tax_id", (F.size("path") - 1).alias("depth"), pre.alias("pre"), (pre + F.col("_size") - 1).alias("last"))
     return nodes.join(numbers, "tax_id").select("tax_id", own.alias("parent_id"), "name", "rank", "depth", "pre", "last")
 
 
+def _paths(edges: DataFrame) -> DataFrame:
+    """(tax_id, path) of the nodes (tax_id, ord, up) whose line of parents ends; a path holds (ord, tax_id) from its end to the node.
+
+    In each round every open path is joined to that of the node where it begins, so the
+    rounds are the logarithm of the depth. Paths that meet a node twice, or a parent that
+    is no node, are dropped.
+    """
+    rows = stash(edges.select("tax_id", F.array(F.struct("ord", "tax_id")).alias("path"), "up"), "paths")
+    ended = rows.where("up is null")
+    while not rows.where("up is not null").isEmpty():
+        begun = rows.where("up is not null")
+        upper = ended.unionByName(begun).select(F.col("tax_id").alias("_t"), F.col("path").alias("_path"), F.col("up").alias("_up"))
+        joined = begun.join(upper, F.col("up") == F.col("_t")).select("tax_id", F.concat("_path", "path").alias("path"), F.col("_up").alias("up"))
+        rows = stash(joined.where(F.size(F.array_distinct("path")) == F.size("path")), "paths")
+        ended = ended.unionByName(rows.where("up is null"))
+    return ended.select("tax_id", "path")
+
+
 def closure(tax: DataFrame) -> DataFrame:
     """(node, node_pre, anc, anc_pre, anc_last, anc_depth): every node with itself and all its ancestors."""
     return _recursive(
@@ -217,3 +219,33 @@ def artificial_nodes(tax: DataFrame, regions: DataFrame, data: bool = True, file
     named = with_number(found, ["_parent", "rank", "name"], "_number").withColumn("tax_id", F.concat(F.lit("00"), F.col("_number").cast("string"))).drop("_number")
     parent = named.select(F.col("_path").alias("_pp"), F.col("tax_id").alias("_pid"))
     return named.join(parent, F.col("_parent") == F.col("_pp"), "left").select("tax_id", F.coalesce("_pid", "_parent").alias("parent_id"), "name", "rank")
+
+
+def with_artificial_node(regions: DataFrame, nodes: DataFrame, data: bool = True, files: bool = True, ids: bool = True, most_places: int = 1_000_000) -> DataFrame:
+    """Regions (tax_id, file, accession, ...) at their artificial nodes: tax_id becomes the lowest node on their way, natural_id is the taxon.
+
+    The way goes by (parent, kind, name) through nodes of `artificial_nodes` with the same
+    levels; a level that has no such child is passed over, so regions of taxa without
+    artificial nodes stay where they are. Distinct places are looked up; they are
+    broadcast up to `most_places`, so sequences don't move then.
+    """
+    place = ["tax_id", "file", "accession"]
+    found = regions.select(*place).distinct().withColumn("_node", F.col("tax_id"))
+    levels = [(k, n) for k, n, on in (("DATA", F.concat(F.lit("Data for "), F.col("tax_id")), data), ("FILE", F.col("file"), files), ("ID", F.col("accession"), ids)) if on]
+    for kind, name in levels:
+        child = nodes.where(F.col("rank") == kind).select(F.col("parent_id").alias("_parent"), F.col("name").alias("_name"), F.col("tax_id").alias("_child"))
+        found = found.withColumn("_wanted", name).join(child, (F.col("_node") == F.col("_parent")) & (F.col("_wanted") == F.col("_name")), "left")
+        found = found.withColumn("_node", F.coalesce("_child", "_node")).drop("_wanted", "_parent", "_name", "_child")
+    found = stash(found.select(*[F.col(c).alias(f"_of_{c}") for c in place], "_node"), "places")
+    if found.count() <= most_places:
+        found = F.broadcast(found)
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in place]
+    at = regions.join(found, on[0] & on[1] & on[2]).drop(*[f"_of_{c}" for c in place])
+    return at.withColumn("natural_id", F.col("tax_id")).withColumn("tax_id", F.col("_node")).drop("_node")
+
+
+def grown(tax: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The taxonomy with artificial nodes, numbered anew; they follow a taxon's own children."""
+    own = tax.select("tax_id", "parent_id", "name", "rank", F.struct(F.lit(0).alias("kind"), F.col("pre").alias("n")).alias("ord"))
+    more = nodes.select("tax_id", "parent_id", "name", "rank", F.struct(F.lit(1).alias("kind"), F.substring("tax_id", 3, 20).cast("long").alias("n")).alias("ord"))
+    return numbered(own.unionByName(more))

@@ -84,7 +84,7 @@ SETTINGS = {
 #: Settings that nothing reads yet.
 NOT_BUILT = (
     "refseq.updateWithCompleteGenomesOnly", "refseq.filldb", "refseq.limitForGenbankAccess", "refseq.limitForGenbankRank", "genbank.maxPerTaxid", "genbank.fastaQualities",
-    "genbank.referenceOnly", "dataNodes", "fileNodes", "idNodes", "withProbs", "bloomFpp",
+    "genbank.referenceOnly", "withProbs", "bloomFpp",
 )
 
 

@@ -45,11 +45,20 @@ class Project:
         )
         self.rules = m.Rules(self.k, c["maxReadTaxErrorCount"], c["maxReadClassErrorCount"], c["minKMersForClass"], c["maxClassificationPaths"])
         lines = lambda path: ncbi.lines(self.spark, path)
-        g.add(Goal("taxtree", lambda: taxonomy.numbered(ncbi.taxonomy_rows(ncbi.nodes(lines(self.nodes)), ncbi.names(lines(self.names)))), kept=True, about="the numbered taxonomy"))
+        #: The levels of artificial nodes; with one of them the taxonomy of the goals below is a grown one, and these names are its natural parts.
+        self.levels = {"data": c["dataNodes"], "files": c["fileNodes"], "ids": c["idNodes"]}
+        grows = any(self.levels.values())
+        natural = {n: f"natural{n}" if grows else n for n in ("taxtree", "taxnodes", "regions")}
+        g.add(Goal(natural["taxtree"], lambda: taxonomy.numbered(ncbi.taxonomy_rows(ncbi.nodes(lines(self.nodes)), ncbi.names(lines(self.names)))), kept=True, about="the numbered taxonomy"))
+        g.add(Goal(natural["taxnodes"], self._requested, (natural["taxtree"],), kept=True, about="the requested taxa"))
+        g.add(Goal("accmap", self._accessions, (natural["taxtree"],), about="accessions of the catalog"))
+        g.add(Goal(natural["regions"], self._regions, ("accmap",), about="genome regions with their taxon"))
+        if grows:
+            g.add(Goal("artificialnodes", self._artificial, (natural["regions"], natural["taxtree"], natural["taxnodes"]), kept=True, about="nodes for data, files and accessions of requested taxa"))
+            g.add(Goal("taxtree", taxonomy.grown, (natural["taxtree"], "artificialnodes"), kept=True, about="the taxonomy with artificial nodes"))
+            g.add(Goal("taxnodes", lambda n, a: n.unionByName(a.select("tax_id")), (natural["taxnodes"], "artificialnodes"), kept=True, about="the requested taxa and their artificial nodes"))
+            g.add(Goal("regions", lambda r, a: taxonomy.with_artificial_node(self._named(r), a, **self.levels), (natural["regions"], "artificialnodes"), about="genome regions at their artificial nodes"))
         g.add(Goal("closure", taxonomy.closure, ("taxtree",), kept=True, about="nodes with their ancestors"))
-        g.add(Goal("taxnodes", self._requested, ("taxtree",), kept=True, about="the requested taxa"))
-        g.add(Goal("accmap", self._accessions, ("taxtree",), about="accessions of the catalog"))
-        g.add(Goal("regions", self._regions, ("accmap",), about="genome regions with their taxon"))
         g.add(Goal("fillsize", lambda r: b.size_estimate(r, self.plan), ("regions",), about="windows to be stored, and a sketch of the distinct ones"))
         g.add(Goal("filldb", lambda r, t: b.first_values(b.within_limits(r.join(t, "tax_id", "left_semi"), self.plan), self.plan), ("regions", "taxnodes"), about="k-mers with the first taxon that has them"))
         g.add(Goal("db", lambda r, t, u, n: b.build(r, t, u, n, self.plan, buckets=True), ("regions", "taxtree", "closure", "taxnodes"), kept=True, about="k-mers with the common ancestor of their taxa"))
@@ -61,8 +70,8 @@ class Project:
         g.add(Goal("accmapsize", lambda: self._catalog().agg(F.count("*").alias("accessions")), about="catalog rows that are taken"))
         g.add(Goal("dbqualcounts", lambda r, d, u: quality.leaf_counts(r, d, u, self.k), ("regions", "db", "closure"), about="how well leaves are told apart"))
         g.add(Goal("dbquality", lambda q, t: quality.quality(q, t, ("cellular root", "acellular root", "species", "genus")), ("dbqualcounts", "taxtree"), about="the same, by rank"))
-        g.add(Goal("extractrefseqfasta", fl.extracted_regions, ("regions",), about="the regions as a classifier's library"))
-        g.add(Goal("extractrefseqcsv", lambda r: r.select("accession", "tax_id"), ("regions",), about="accession and taxon of each region"))
+        g.add(Goal("extractrefseqfasta", fl.extracted_regions, (natural["regions"],), about="the regions as a classifier's library"))
+        g.add(Goal("extractrefseqcsv", lambda r: r.select("accession", "tax_id"), (natural["regions"],), about="accession and taxon of each region"))
 
     def _requested(self, tax: DataFrame) -> DataFrame:
         if not self.taxids:
@@ -70,6 +79,14 @@ class Project:
         wanted = ncbi.wanted_taxa(ncbi.lines(self.spark, self.taxids)).join(tax.select("tax_id"), "tax_id", "left_semi")
         return taxonomy.requested(tax, wanted, self.config["rankCompletionDepth"])
 
+    def _named(self, regions: DataFrame) -> DataFrame:
+        """Regions whose header has no space go by the whole header."""
+        return regions.withColumn("accession", F.coalesce("accession", F.regexp_replace("info", "^>", "")))
+
+    def _artificial(self, regions: DataFrame, tax: DataFrame, requested: DataFrame) -> DataFrame:
+        known = tax.join(requested, "tax_id", "left_semi")
+        return taxonomy.artificial_nodes(known, self._named(regions).join(known.select("tax_id"), "tax_id", "left_semi"), **self.levels)
+
     def _asked(self, up: DataFrame) -> DataFrame | None:
         """The taxa of the setting taxids; + after one adds its descendants."""
         ids = self.config["taxids"]

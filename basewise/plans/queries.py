@@ -256,10 +256,8 @@ def d09_artificial_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d10_artificial_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file node of each region, by the names on its path, and back to taxon and file."""
     r = wl.regions(spark, sf_dir).select("tax_id", "file", "accession")
-    a = t.artificial_nodes(wl.tax(spark, sf_dir), r)
-    data = a.where("rank = 'DATA'").select(F.col("tax_id").alias("d"), F.col("parent_id").alias("tax_id"))
-    files = a.where("rank = 'FILE'").select(F.col("tax_id").alias("f"), F.col("parent_id").alias("d"), F.col("name").alias("file"))
-    return r.join(data, "tax_id").join(files, ["d", "file"]).groupBy("f").agg(F.first("tax_id").alias("tax_id"), F.first("file").alias("file"), F.count("*").alias("regions")).drop("f")
+    at = t.with_artificial_node(r, t.artificial_nodes(wl.tax(spark, sf_dir), r, ids=False), ids=False)
+    return at.groupBy(F.col("tax_id").alias("node")).agg(F.first("natural_id").alias("tax_id"), F.first("file").alias("file"), F.count("*").alias("regions")).drop("node")
 
 
 @query("SELECT tax_id, pre AS place FROM tax UNION ALL SELECT 'x' || r_regionkey, NULL FROM region")
@@ -571,6 +569,21 @@ def h07_build_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.kmers_per_taxon(b.build(wl.regions(spark, sf_dir), wl.tax(spark, sf_dir), wl.up(spark, sf_dir), wanted, b.Plan(k=K)))
 
 
+_PLACED = """SELECT CASE WHEN min(doc_id) = max(doc_id) THEN 'ID/NC_' || min(doc_id) WHEN min(tax_id || '/' || file) = max(tax_id || '/' || file) THEN 'FILE/' || min(file)
+    WHEN min(tax_id) = max(tax_id) THEN 'DATA/Data for ' || min(tax_id) WHEN min(rk) = max(rk) THEN 'superkingdom/' || min(reg.name) ELSE 'no rank/root' END AS node
+    FROM gk JOIN nat USING (tax_id) JOIN reg USING (rk) WHERE kmer IS NOT NULL GROUP BY kmer"""
+
+
+@query("SELECT node, count(*) AS kmers FROM placed GROUP BY node", placed=_PLACED)
+def h07_build_with_artificial_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored k-mers by rank and name of their node, where each taxon's data, files and accessions are nodes of the tree."""
+    r = wl.regions(spark, sf_dir)
+    nodes = stash(t.artificial_nodes(wl.tax(spark, sf_dir), r.select("tax_id", "file", "accession")), "artificial")
+    tax = stash(t.grown(wl.tax(spark, sf_dir), nodes), "grown")
+    db = b.build(t.with_artificial_node(r, nodes), tax, t.closure(tax), None, b.Plan(k=K, buckets=wl.BUCKETS))
+    return b.kmers_per_taxon(db).join(tax, "tax_id").groupBy(F.concat_ws("/", "rank", "name").alias("node")).agg(F.sum("db_kmers").alias("kmers"))
+
+
 @query("SELECT tax_id, n AS db_kmers FROM dbn")
 def h08_kmers_per_taxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.kmers_per_taxon(wl.database(spark, sf_dir))

@@ -128,6 +128,25 @@ def test_project_from_files(spark, tmp_path, project):
     assert db.count() == 38 and tax.count() == 4 and sinks.load_config(spark, f"{tmp_path}/saved")["k"] == "15"
 
 
+def test_project_with_artificial_nodes(spark, tmp_path, project):
+    """K-mers are stored at accessions, those of two accessions at their file's node."""
+    one, two = "ACGTTGCAAGTCCGATTACAGGCATCGATTGCA", "TTGACCGGATACCATGCAAGTCTTGCAGGACTA"
+    (tmp_path / "h.fasta").write_text(f">NC_1 one\n{one}\n>NC_3 one\n{one[:20]}\n>NC_2 two\n{two}\n")
+    (tmp_path / "catalog.txt").write_text("3\tn\tNC_1\tviral\tREVIEWED\n3\tn\tNC_3\tviral\tREVIEWED\n4\tn\tNC_2\tviral\tREVIEWED\n")
+    (tmp_path / "taxids.txt").write_text("3\n")
+    given = {"kMerSize": 15, "dataNodes": True, "fileNodes": True, "idNodes": True, "maxGenomesPerTaxid": 2}
+    p = Project(spark, "grown", str(tmp_path), str(tmp_path / "nodes.dmp"), str(tmp_path / "names.dmp"), [str(tmp_path / "h.fasta")], str(tmp_path / "catalog.txt"), str(tmp_path / "taxids.txt"), settings=given)
+    tax = {r.tax_id: r for r in p.table("taxtree").collect()}
+    stored = {(tax[r.tax_id]["rank"], tax[r.tax_id].name): r.db_kmers for r in p.table("dbkmers").collect()}
+    assert stored == {("ID", "NC_1"): 13, ("FILE", "h.fasta"): 6}, "taxon 4 is not asked for; k-mers of both accessions lie at their file"
+    assert sorted(r["rank"] for r in tax.values() if r.tax_id.startswith("00")) == ["DATA", "FILE", "ID", "ID"]
+    assert {r.natural_id: r.tax_id for r in p.table("regions").where("natural_id = '4'").collect()} == {"4": "4"}
+    made = p.match(project[1])
+    classes = {r.read_no: r.class_id for r in made["classes"].collect()}
+    assert tax[classes[0]].name == "NC_1" and classes[1] is None
+    assert {r.tax_id: r.acc_kmers for r in made["report"].collect()}["3"] == 12
+
+
 def test_command_line(spark, tmp_path, project, capsys):
     out = tmp_path / "out"
     run = lambda *args: main([str(tmp_path), "-d", str(out), "-C", "kMerSize=15", "-C", "gzipFastqOutput=false", *args])
@@ -188,7 +207,7 @@ def test_limits_and_assemblies(spark):
     assert canonical("CC") == canonical("GG")
 
 
-@pytest.mark.parametrize("name, value", [("refseq.updateWithCompleteGenomesOnly", "true"), ("dataNodes", "true"), ("genbank.maxPerTaxid", "3"), ("bloomFpp", "0.01")])
+@pytest.mark.parametrize("name, value", [("refseq.updateWithCompleteGenomesOnly", "true"), ("withProbs", "true"), ("genbank.maxPerTaxid", "3"), ("bloomFpp", "0.01")])
 def test_a_setting_that_nothing_reads_is_an_error(spark, tmp_path, name, value):
     make = lambda given: Project(spark, "p", str(tmp_path), "nodes.dmp", "names.dmp", [], settings=given)
     with pytest.raises(ValueError, match=name):

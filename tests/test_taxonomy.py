@@ -76,6 +76,52 @@ def test_compared_ranks(spark):
     assert c["clade", "species"] == (False, False, False) and c["ID", "isolate"] == (True, False, True)
 
 
+def walked(edges):
+    """depth, pre and last by a walk."""
+    children, out = {}, {}
+    for c, p in edges:
+        if c != p:
+            children.setdefault(p, []).append(c)
+
+    def visit(n, depth):
+        pre = len(out)
+        out[n] = None
+        for c in children.get(n, ()):
+            visit(c, depth + 1)
+        out[n] = (depth, pre, len(out) - 1)
+
+    visit(next(c for c, p in edges if c == p), 0)
+    return out
+
+
+def test_numbering_is_a_walk_in_preorder(spark):
+    r = random.Random(0)
+    edges = [("0", "0")] + [(str(i), str(r.randrange(max(0, i - r.choice([9, 300])), i))) for i in range(1, 300)]
+    r.shuffle(edges)
+    loose = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "nowhere"), ("f", "f"), ("g", "f")]  # a circle, a line into it, a lost parent, a second root
+    got = {x.tax_id: (x.depth, x.pre, x.last) for x in tree(spark, edges + loose).collect()}
+    assert got == walked(edges)
+
+
+def test_regions_at_artificial_nodes(spark):
+    x = tree(spark, SEVEN)
+    rows = [("3", "f1", "a1", "s"), ("3", "f1", "a2", "t"), ("3", "f2", "a1", "u"), ("7", "f1", "a1", "v"), ("4", "f9", "a9", "w"), ("3", "f1", "a1", "x"), ("7", "f1", None, "y")]
+    regions = spark.createDataFrame(rows, "tax_id string, file string, accession string, seq string")
+    for levels in ({}, {"data": False}, {"files": False, "ids": False}):
+        nodes = t.artificial_nodes(x, regions.where("tax_id <> '4'"), **levels).cache()
+        big, at = {r.tax_id: r for r in t.grown(x, nodes).collect()}, t.with_artificial_node(regions, nodes, **levels).collect()
+        assert len(big) == 7 + nodes.count() and sorted(r.pre for r in big.values()) == list(range(len(big)))
+        assert {(r.natural_id, r.file, r.accession, r.seq) for r in at} == set(rows)
+        for r in at:
+            way, n = [], big[r.tax_id]
+            while n.tax_id != r.natural_id:
+                way.append((n["rank"], n.name))
+                n = big[n.parent_id]
+            want = [("DATA", f"Data for {r.natural_id}"), ("FILE", r.file), ("ID", r.accession)]
+            on = [levels.get(k, True) for k in ("data", "files", "ids")]
+            assert way[::-1] == ([] if r.natural_id == "4" else [w for w, o in zip(want, on, strict=True) if o and w[1]])
+
+
 def test_nodes_off_the_tree_go(spark):
     assert {r.tax_id for r in tree(spark, [("1", "1"), ("2", "1"), ("8", "9")]).collect()} == {"1", "2"}
     assert t.numbered(spark.createDataFrame([], NODES)).count() == 0
