@@ -180,23 +180,30 @@ def d01_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.numbered(wl.nodes(spark, sf_dir))
 
 
-@query("SELECT x.tax_id AS node, y.tax_id AS other, EXISTS (SELECT 1 FROM up WHERE node = x.tax_id AND anc = y.tax_id) AS under FROM tax x, tax y WHERE x.rank = 'species' AND y.rank <> 'species'")
+def _met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, l_linenumber, a, b): the nodes of each line's supplier and of its customer's nation."""
+    li, o, c = (wl.table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer"))
+    of = c.select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("b"))
+    pairs = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(of, "o_custkey")
+    return pairs.select("l_orderkey", "l_linenumber", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), "b")
+
+
+_MET = "lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nat y ON y.nk = c_nationkey JOIN sup x ON x.sk = l_suppkey"
+
+
+@query(f"SELECT DISTINCT x.tax_id AS node, y.tax_id AS other, x.nk = y.nk AS under FROM {_MET}")
 def d02_is_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All species against all nodes above: the question is about every pair of two small reference tables."""
+    """Whether suppliers lie under the nations of customers that they served."""
     x = wl.tax(spark, sf_dir)
-    low, high = x.where("rank = 'species'").select(F.col("tax_id").alias("node"), "pre"), x.where("rank <> 'species'").select(F.col("tax_id").alias("other"), F.col("pre").alias("p"), F.col("last").alias("l"))
-    return low.crossJoin(F.broadcast(high)).select("node", "other", t.is_ancestor(F.col("pre"), F.col("p"), F.col("l")).alias("under"))
+    low, high = x.select(F.col("tax_id").alias("node"), "pre"), x.select(F.col("tax_id").alias("other"), F.col("pre").alias("p"), F.col("last").alias("l"))
+    pairs = _met(spark, sf_dir).select(F.col("a").alias("node"), F.col("b").alias("other")).distinct()
+    return pairs.join(low, "node").join(high, "other").select("node", "other", t.is_ancestor(F.col("pre"), F.col("p"), F.col("l")).alias("under"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN x.nk = y.nk THEN 'n' || x.nk WHEN x.rk = y.rk THEN 'r' || x.rk ELSE '1' END AS lca
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nat y ON y.nk = c_nationkey JOIN sup x ON x.sk = l_suppkey""")
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN x.nk = y.nk THEN 'n' || x.nk WHEN x.rk = y.rk THEN 'r' || x.rk ELSE '1' END AS lca FROM {_MET}")
 def d03_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where supplier and customer of a line meet in the tree."""
-    li, o, c = (wl.table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer"))
-    of = c.select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("b"))
-    pairs = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(of, "o_custkey")
-    pairs = pairs.select("l_orderkey", "l_linenumber", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), "b")
-    return t.lca_pairs(pairs, wl.tax(spark, sf_dir), "a", "b").where("lca is not null").select("l_orderkey", "l_linenumber", "lca")
+    return t.lca_pairs(_met(spark, sf_dir), wl.tax(spark, sf_dir), "a", "b").where("lca is not null").select("l_orderkey", "l_linenumber", "lca")
 
 
 _WANTED = [("r0", False), ("r2", False), ("n3", False), ("n12", True), ("s7", True)]
@@ -269,12 +276,14 @@ def d11_sorted_by_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEVELS = "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {20 * i})" for i, r in enumerate(t.RANKS)) + ") v(rank, level)"
 
 
-@query("SELECT x.tax_id AS a, y.tax_id AS b, coalesce(lx.level < ly.level, FALSE) AS above FROM tax x JOIN tax y ON y.rank <> 'species' AND x.rank <> 'species' LEFT JOIN levels lx ON lx.rank = x.rank LEFT JOIN levels ly ON ly.rank = y.rank", levels=_LEVELS)
+@query("""SELECT x.tax_id AS a, y.tax_id AS b, coalesce(lx.level < ly.level, FALSE) AS above, coalesce(lx.level > ly.level, FALSE) AS below
+    FROM up JOIN tax x ON x.tax_id = node JOIN tax y ON y.tax_id = anc LEFT JOIN levels lx ON lx.rank = x.rank LEFT JOIN levels ly ON ly.rank = y.rank""", levels=_LEVELS)
 def d13_rank_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of nodes above the species: a small reference table with itself."""
-    x = wl.tax(spark, sf_dir).where("rank <> 'species'")
-    pairs = x.select(F.col("tax_id").alias("a"), "rank").crossJoin(x.select(F.col("tax_id").alias("b"), F.col("rank").alias("other")))
-    return pairs.join(F.broadcast(t.compared_ranks(spark)), ["rank", "other"], "left").select("a", "b", F.coalesce("is_above", F.lit(False)).alias("above"))
+    """The rank of every node and those of its ancestors."""
+    x, up = wl.tax(spark, sf_dir), wl.up(spark, sf_dir)
+    pairs = up.select(F.col("node").alias("a"), F.col("anc").alias("b")).join(x.select(F.col("tax_id").alias("a"), "rank"), "a").join(x.select(F.col("tax_id").alias("b"), F.col("rank").alias("other")), "b")
+    found = pairs.join(F.broadcast(t.compared_ranks(spark)), ["rank", "other"], "left")  # a row for each pair of ranks
+    return found.select("a", "b", *[F.coalesce(f"is_{c}", F.lit(False)).alias(c) for c in ("above", "below")])
 
 
 @query("SELECT tax_id, CASE WHEN depth >= 2 THEN 'n' || b END AS anc FROM tax")
