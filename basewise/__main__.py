@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     own = read_properties((home / "project.properties").read_text()) if there("project.properties") else {}
     spark = session()
     genomes = sorted(str(p) for x in ("*.fasta", "*.fna", "*.fa", "*.fasta.gz", "*.fna.gz") for p in home.glob(x))
-    p = Project(spark, home.name, o.d or str(home), str(home / "nodes.dmp"), str(home / "names.dmp"), genomes, there("catalog.txt"), there("taxids.txt"), there("additional.txt"), own | dict(x.split("=", 1) for x in o.C) | ({"taxids": o.tx} if o.tx else {}))
+    p = Project(spark, home.name, o.d or str(home), str(home / "nodes.dmp"), str(home / "names.dmp"), genomes, there("catalog.txt"), there("taxids.txt"), there("additional.txt"), own | dict(x.split("=", 1) for x in o.C) | ({"taxids": o.tx} if o.tx else {}), there("categories.txt"))
     asked = [(o.k, f) for x in o.f for f in x.split(",")] + (map_file(Path(o.m).read_text()) if o.m else [])
     files = [(key, f) for key, path in asked for f in resolved(spark, path, [str(home / "fastq"), str(home), str(home.parent / "fastq")])]
     by_key = {key: [x for x in files if x[0] == key] for key, _ in files}

@@ -33,6 +33,8 @@ class Project:
     #: Files whose regions all belong to one taxon: `taxid file` lines.
     additional: str | None = None
     settings: dict[str, Any] = field(default_factory=dict)
+    #: The catalog's categories to take, a line each; all without it.
+    categories: str | None = None
 
     def __post_init__(self) -> None:
         self.config = c = config(self.settings)
@@ -51,6 +53,8 @@ class Project:
         natural = {n: f"natural{n}" if grows else n for n in ("taxtree", "taxnodes", "regions")}
         g.add(Goal(natural["taxtree"], lambda: taxonomy.numbered(ncbi.taxonomy_rows(ncbi.nodes(lines(self.nodes)), ncbi.names(lines(self.names)))), kept=True, about="the numbered taxonomy"))
         g.add(Goal(natural["taxnodes"], self._requested, (natural["taxtree"],), kept=True, about="the requested taxa"))
+        if self.categories:
+            g.add(Goal("categories", lambda: ncbi.wanted_categories(lines(self.categories)), about="the categories to take"))
         g.add(Goal("accmap", self._accessions, (natural["taxtree"],), about="accessions of the catalog"))
         g.add(Goal(natural["regions"], self._regions, ("accmap",), about="genome regions with their taxon"))
         if grows:
@@ -99,7 +103,12 @@ class Project:
     def _catalog(self) -> DataFrame:
         if not self.catalog:
             return self.spark.createDataFrame([], "accession string, tax_id string, categories string, status string")
-        return ncbi.catalog(ncbi.lines(self.spark, self.catalog), self.config["seqType"], (), self.config["refseq.status"])
+        rows = ncbi.lines(self.spark, self.catalog)
+        if not self.categories:
+            return ncbi.catalog(rows, self.config["seqType"], (), self.config["refseq.status"])
+        wanted = tuple(r.category for r in self.table("categories").collect())  # at most the fixed list
+        found = ncbi.catalog(rows, self.config["seqType"], wanted, self.config["refseq.status"])
+        return found if wanted else found.where(F.lit(False))
 
     def _accessions(self, tax: DataFrame) -> DataFrame:
         if not self.catalog:

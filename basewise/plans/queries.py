@@ -845,9 +845,12 @@ def a14_installed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ncbi.installed_files(lines, ("viral", "fungi"))
 
 
-@query("SELECT * FROM (VALUES ('viral'), ('bacteria')) v(category)")
+@query("SELECT DISTINCT c.category FROM part JOIN (VALUES (0, 'viral'), (1, 'bacteria'), (4, 'plant')) c(r, category) ON p_partkey % 5 = r")
 def a17_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ncbi.wanted_categories(spark.createDataFrame([("viral # all",), ("# fungi",), ("martian",), ("bacteria",), ("viral",)], "value string"))
+    """Lines made from parts: categories with and without comment, comments alone, and names that are no category."""
+    p, kind = wl.table(spark, sf_dir, "part"), F.col("p_partkey") % 5
+    named = F.when(kind == 0, F.concat(F.lit("viral # "), "p_name")).when(kind == 1, "bacteria").when(kind == 2, F.concat(F.lit("# fungi "), "p_name")).when(kind == 3, F.col("p_name"))
+    return ncbi.wanted_categories(p.select(F.coalesce(named, F.lit(" plant ")).alias("value")))
 
 
 @query("SELECT 's' || s_suppkey AS tax_id, translate(s_name, ' #', '__') || '.fasta' AS file, CASE WHEN s_suppkey % 2 = 0 THEN 'http://x/' || s_suppkey END AS url FROM supplier")

@@ -147,6 +147,15 @@ def test_project_with_artificial_nodes(spark, tmp_path, project):
     assert {r.tax_id: r.acc_kmers for r in made["report"].collect()}["3"] == 12
 
 
+@pytest.mark.parametrize("listed, want", [("bacteria\nviral # these\n", {"NC_1", "NC_2"}), ("bacteria\n", {"NC_2"}), ("# none\nmartian\n", set())])
+def test_project_takes_the_listed_categories(spark, tmp_path, project, listed, want):
+    (tmp_path / "catalog.txt").write_text("3\tn\tNC_1\tviral\tREVIEWED\n4\tn\tNC_2\tbacteria|complete\tREVIEWED\n")
+    (tmp_path / "categories.txt").write_text(listed)
+    old = project[0]
+    p = Project(spark, "listed", old.folder, old.nodes, old.names, old.genomes, old.catalog, settings={"kMerSize": 15}, categories=str(tmp_path / "categories.txt"))
+    assert {r.accession for r in p.table("accmap").collect()} == {r.accession for r in p.table("regions").collect()} == want
+
+
 def test_command_line(spark, tmp_path, project, capsys):
     out = tmp_path / "out"
     run = lambda *args: main([str(tmp_path), "-d", str(out), "-C", "kMerSize=15", "-C", "gzipFastqOutput=false", *args])
