@@ -197,9 +197,19 @@ def window_total(length: Column, k: int) -> Column:
     return F.greatest(length - (k - 1), F.lit(0)).cast("long")
 
 
+def count_batches(batches: Iterator[pa.RecordBatch], k: int, max_dust: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """(keys, total, dusty) of rows (keys, _at, _s): a slice's valid windows and those of them whose score is over max_dust."""
+    for part, raw, own, pos, at in _parts(batches, k, most):
+        code, _, valid, _ = _chosen(raw, pos, at, k, True, 1, -1)
+        dusty = valid & (kernels.dust(code, k)[at] > max_dust)
+        counts = [pa.array(np.bincount(own[x], minlength=part.num_rows).astype(np.int64)) for x in (valid, dusty)]
+        yield pa.RecordBatch.from_arrays([*part.columns[:-2], *counts], [*part.schema.names[:-2], "total", "dusty"])
+
+
 def extraction_counts(rows: DataFrame, keys: Sequence[str], sequence: str, k: int, max_dust: int) -> DataFrame:
-    """(keys, total, dusty, included, dust_ratio) of the valid windows."""
-    w = windows(rows, keys, sequence, k, upper=True).where("kmer is not null")
-    dusty = seq.dust(seq.decode(F.col("kmer"), k), k) > max_dust
-    c = w.groupBy(*keys).agg(F.count("*").alias("total"), F.count(F.when(dusty, 1)).alias("dusty"))
+    """(keys, total, dusty, included, dust_ratio) of the valid windows. A slice counts its own; windows are no rows."""
+    cut = slices(rows, keys, sequence, k)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema[:-2])
+    each = cut.mapInArrow(lambda batches: count_batches(batches, k, max_dust), f"{kinds}, total long, dusty long").where("total > 0")
+    c = each.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("dusty").alias("dusty"))
     return c.withColumn("included", F.col("total") - F.col("dusty")).withColumn("dust_ratio", F.col("dusty") / F.col("total"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from basewise.functions import kernels
+from basewise.functions import kernels, seq
 from basewise.operators import windows as w
 
 LONG = '''
@@ -84,3 +84,15 @@ def test_both_strands_have_one_minimizer():
     r = np.random.default_rng(0)
     code = r.integers(0, 4, 500).astype(np.uint8)
     assert (kernels.minimizers(code, 31) == kernels.minimizers((code ^ 1)[::-1], 31)[::-1]).all()
+
+
+def test_extraction_counts_come_from_slices(spark):
+    """Counts equal those of the windows as rows, and no window becomes a row on the way."""
+    k, rows = 15, sequences(3)
+    d = spark.createDataFrame(rows, "id long, s string").withColumn("odd", F.col("id") % 2)
+    found = w.extraction_counts(d, ["odd"], "s", k, 20)
+    each = w.windows(d, ["odd"], "s", k, upper=True).where("kmer is not null").withColumn("score", seq.dust(seq.decode(F.col("kmer"), k), k))
+    wanted = each.groupBy("odd").agg(F.count("*").alias("total"), F.count(F.when(F.col("score") > 20, 1)).alias("dusty"))
+    assert {(r.odd, r.total, r.dusty, r.included) for r in found.collect()} == {(r.odd, r.total, r.dusty, r.total - r.dusty) for r in wanted.collect()}
+    cut = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([b"CGAT" * 500, b"N" * 100], pa.binary())], ["id", "_at", "_s"])
+    assert [b.column("total").to_pylist() for b in w.count_batches(iter([cut]), k, 20)] == [[1986, 0]]
