@@ -7,12 +7,12 @@ build is one aggregation by k-mer of the least and the greatest preorder number.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.store import default_buckets, stash, stash_buckets
+from ..plans.store import default_buckets, stash, stash_buckets, tasks_for
 from .taxonomy import lca_of_extremes
 from .windows import kmer_runs, run_windows, window_kmers
 
@@ -29,7 +29,7 @@ class Plan:
     max_kmers: int | None = None
     #: Limits count by the ancestor of this rank, by the taxon itself without one.
     limit_rank: str | None = None
-    #: Files that k-mers are dealt over by minimizer; as many as a shuffle has partitions without one.
+    #: Files that k-mers are dealt over by minimizer; as many as the size of the regions asks for, and a shuffle has partitions at least, without one.
     buckets: int | None = None
 
 
@@ -89,11 +89,12 @@ def region_kmers(regions: DataFrame, plan: Plan) -> DataFrame:
 def opened_runs(regions: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
     """(keys, bucket, kmer) of the windows that the plan includes, dealt by minimizer as runs: what is grouped by bucket and more stays where it is."""
     runs = kmer_runs(regions, keys, "seq", plan.k, plan.upper, plan.step, plan.max_dust, invalid=False, distinct=True)
-    return run_windows(runs.drop("start").repartition(bucket_count(regions, plan), "bucket"), [*keys, "bucket"], plan.k).drop("at")
+    return run_windows(runs.drop("start").repartition(sized(plan, regions).buckets, "bucket"), [*keys, "bucket"], plan.k).drop("at")
 
 
-def bucket_count(rows: DataFrame, plan: Plan) -> int:
-    return plan.buckets or default_buckets(rows.sparkSession)
+def sized(plan: Plan, regions: DataFrame) -> Plan:
+    """The plan with its number of buckets."""
+    return plan if plan.buckets else replace(plan, buckets=tasks_for(regions, "seq", default_buckets(regions.sparkSession)))
 
 
 def build(regions: DataFrame, tax: DataFrame, up: DataFrame, requested: DataFrame | None, plan: Plan, buckets: bool = False) -> DataFrame:
@@ -102,7 +103,7 @@ def build(regions: DataFrame, tax: DataFrame, up: DataFrame, requested: DataFram
     Without limits one pass over the regions both selects k-mers and lifts them: each
     k-mer keeps whether a requested region has it. With limits the limited regions select.
     """
-    numbers = tax.select("tax_id", "pre")
+    numbers, plan = tax.select("tax_id", "pre"), sized(plan, regions)
     r = regions.join(requested.select("tax_id", F.lit(True).alias("_wanted")), "tax_id", "left") if requested is not None else regions.withColumn("_wanted", F.lit(True))
     r = r.withColumn("_wanted", F.coalesce("_wanted", F.lit(False))).join(numbers, "tax_id")
     if plan.min_update:
@@ -111,14 +112,14 @@ def build(regions: DataFrame, tax: DataFrame, up: DataFrame, requested: DataFram
     if plan.max_genomes is not None or plan.max_kmers is not None:
         chosen = region_kmers(within_limits(r.where("_wanted"), plan, up, tax), plan).select("kmer").distinct()
         state = state.withColumn("wanted", F.lit(True)).join(chosen, "kmer", "left_semi")
-    return database_of(stash_buckets(state, "state", bucket_count(regions, plan)), up, buckets)
+    return database_of(stash_buckets(state, "state", plan.buckets), up, buckets)
 
 
 def build_state(regions: DataFrame, plan: Plan) -> DataFrame:
     """(kmer, bucket, lo, hi, wanted) of the k-mers of regions (pre, _wanted, seq): the least and greatest preorder number of their taxa, and whether a wanted region has them.
 
     States of different regions merge by least, greatest and or (`merged`), so a database
-    is built of parts in any order. Dealt by minimizer into bucket_count partitions.
+    is built of parts in any order. Dealt by minimizer into the plan's buckets.
     """
     return opened_runs(regions, ["pre", "_wanted"], plan).groupBy("bucket", "kmer").agg(F.min("pre").alias("lo"), F.max("pre").alias("hi"), F.bool_or("_wanted").alias("wanted"))
 

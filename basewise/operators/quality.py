@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.store import default_buckets, joined_where_they_lie, stash
+from ..plans.store import default_buckets, joined_where_they_lie, stash, tasks_for
 from .report import ratio
 from .taxonomy import ancestor_of_rank
 from .windows import kmer_runs, run_windows, with_bucket
@@ -23,7 +23,7 @@ def leaf_counts(regions: DataFrame, db: DataFrame, up: DataFrame, k: int, bucket
     taxa = stash(regions.select("tax_id").distinct().withColumn("leaf", F.monotonically_increasing_id()), "leaves")
     few = F.broadcast(taxa) if taxa.count() <= most_taxa else taxa
     runs = kmer_runs(regions.join(few, "tax_id"), ["leaf"], "seq", k, upper=True, invalid=False, distinct=True)
-    tasks = buckets or default_buckets(db.sparkSession)
+    tasks = buckets or tasks_for(regions, "seq", default_buckets(db.sparkSession))
     distinct = run_windows(runs.drop("start").repartition(tasks, "bucket"), ["bucket", "leaf"], k).select("bucket", "kmer", "leaf").distinct()
     stored = (db if "bucket" in db.columns else with_bucket(db.select("kmer", "tax_id"), k)).select("bucket", "kmer", F.col("tax_id").alias("anc"))
     with joined_where_they_lie(regions.sparkSession):

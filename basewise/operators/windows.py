@@ -169,15 +169,25 @@ def reverse_complement_code(code: Column, k: int) -> Column:
 
 
 def run_windows(runs: DataFrame, keep: Sequence[str], k: int) -> DataFrame:
-    """(keep, start, at, kmer): the windows of runs with bases; tasks keep what they hold, since a run is opened where it lies. start only if runs have it."""
+    """(keep, start, at, kmer): the windows of runs with bases; tasks keep what they hold, since a run is opened where it lies. start only if runs have it.
+
+    The run's bases are complemented once, before it is opened: a window's other strand is
+    the complement of the last of its bases, then of the first. k-mers can't be null, so no
+    plan evaluates them again to look for nulls.
+    """
     kept = [*keep, *(["start"] if "start" in runs.columns else [])]
-    each = runs.where("first is not null").select(*kept, "first", "onward", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("at"))
+    whole = runs.where("first is not null and onward is not null")
+    both = [reverse_complement_code(F.col("first"), k).alias("_first"), reverse_complement_code(F.col("onward"), RUN - 1).alias("_onward")]
+    ready = whole.select(*kept, "n", "first", "onward", *both)  # apart, so that it is not evaluated again for each window
+    each = ready.select(*kept, "first", "onward", "_first", "_onward", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("at"))
     shift = lambda way, x, by: F.call_function(way, x, by.cast("int"))
-    mask = F.lit((1 << 2 * k) - 1)
-    more = F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(shift("shiftrightunsigned", F.col("onward"), F.lit(2 * (RUN - 1)) - 2 * F.col("at")))
-    straight = shift("shiftleft", F.col("first"), 2 * F.col("at")).bitwiseOR(more).bitwiseAND(mask)
-    coded = each.select(*kept, "at", straight.alias("_s"))
-    return coded.select(*kept, "at", F.greatest("_s", reverse_complement_code(F.col("_s"), k)).alias("kmer"))
+    at, zero, mask = F.col("at"), F.lit(0).cast("long"), F.lit((1 << 2 * k) - 1).cast("long")
+    more = F.when(at == 0, zero).otherwise(shift("shiftrightunsigned", F.col("onward"), 2 * (RUN - 1) - 2 * at))
+    straight = shift("shiftleft", F.col("first"), 2 * at).bitwiseOR(more).bitwiseAND(mask)
+    behind = F.when(at == 0, zero).otherwise(shift("shiftrightunsigned", shift("shiftleft", F.col("_onward"), 64 - 2 * at), 64 - 2 * at))
+    mixed = shift("shiftleft", behind, 2 * k - 2 * at).bitwiseOR(shift("shiftrightunsigned", F.col("_first"), 2 * at))
+    back = F.when(at <= k, mixed).otherwise(shift("shiftrightunsigned", F.col("_onward"), 2 * at - 2 * k).bitwiseAND(mask))
+    return each.select(*kept, "at", F.coalesce(F.greatest(straight, back), zero).alias("kmer"))
 
 
 def with_bucket(db: DataFrame, k: int, kmer: str = "kmer") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -102,6 +103,15 @@ def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Characters of texts whose windows one task opens, about.
+TASK_CHARS = 1 << 21
+
+
+def tasks_for(rows: DataFrame, text: str, least: int = 1) -> int:
+    """As many tasks as open about TASK_CHARS windows of the texts each, so that what a task holds doesn't grow with the input."""
+    return max(least, math.ceil((rows.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0) / TASK_CHARS))
+
+
 def bucketed(df: DataFrame, path: str, buckets: int, by: str = "bucket", sort: str = "kmer") -> DataFrame:
     """df as Parquet in a folder, in `buckets` files by the hash of a column and sorted in each, and read back as such: joins and groups on `by` and more don't deal it again.
 

@@ -13,19 +13,40 @@ from pyspark.sql import functions as F
 from ..operators import build as b
 from ..operators import match as m
 from ..operators import taxonomy as t
-from .store import once, spread
+from .store import once, tasks_for
 
 K = 15
 LETTERS, AS_BASES = "abcdefghijklmnopqrstuvwxyz ", "CGATCGATCGATCGATCGATCGATCGA"
 RULES = m.Rules(k=K)
-#: Files of the database.
+#: Files of the database, at least.
 BUCKETS = 16
+_tasks: dict[tuple[str, str, str], int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Tasks for the windows of a table's texts, found once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tasks:
+        _tasks[key] = tasks_for(table(spark, sf_dir, name), "text")
+    return _tasks[key]
+
+
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Files of the database: genomes and reads are looked up in as many tasks."""
+    return max(BUCKETS, *(tasks(spark, sf_dir, name) for name in ("documents", "conversations")))
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, dealt over as many tasks as its windows and the cores ask for if its files have fewer splits."""
+    scan = table(spark, sf_dir, name)
+    wanted = max(tasks(spark, sf_dir, name), spark.sparkContext.defaultParallelism)
+    return scan.repartition(wanted) if scan.rdd.getNumPartitions() < wanted else scan
+
+
 def bases(text: Column) -> Column:
     return F.translate(F.lower(text), LETTERS, AS_BASES)
 
@@ -51,7 +72,7 @@ def up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, region_no, accession, info, tax_id, category, seq)"""
-    d = spread(table(spark, sf_dir, "documents")).where("text is not null")
+    d = dealt(spark, sf_dir, "documents").where("text is not null")
     i = F.col("doc_id").cast("string")
     return d.select(
         F.col("source").alias("file"), F.col("doc_id").alias("region_no"), F.concat(F.lit("NC_"), i).alias("accession"), F.concat(F.lit(">NC_"), i, F.lit(" "), "lang").alias("info"),
@@ -61,7 +82,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, file, read_no, descriptor, seq, qual)"""
-    c = spread(table(spark, sf_dir, "conversations")).where("text is not null")
+    c = dealt(spark, sf_dir, "conversations").where("text is not null")
     number = lambda n: (F.col("conv_id") % n).cast("string")
     return c.select(
         F.concat(F.lit("k"), number(2)).alias("key"), F.concat(F.lit("f"), number(4)).alias("file"), (F.col("conv_id") * 1000 + F.col("turn")).alias("read_no"),
@@ -71,16 +92,17 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def database(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(kmer, tax_id, bucket) of all genomes, in BUCKETS files by minimizer."""
-    return once(spark, ("db", sf_dir), lambda: b.build(regions(spark, sf_dir), tax(spark, sf_dir), up(spark, sf_dir), None, b.Plan(k=K, buckets=BUCKETS), buckets=True), BUCKETS)
+    """(kmer, tax_id, bucket) of all genomes, in `buckets` files by minimizer."""
+    n = buckets(spark, sf_dir)
+    return once(spark, ("db", sf_dir), lambda: b.build(regions(spark, sf_dir), tax(spark, sf_dir), up(spark, sf_dir), None, b.Plan(k=K, buckets=n), buckets=True), n)
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, ("windows", sf_dir), lambda: m.lookup(reads(spark, sf_dir), database(spark, sf_dir), K, BUCKETS))
+    return once(spark, ("windows", sf_dir), lambda: m.lookup(reads(spark, sf_dir), database(spark, sf_dir), K, buckets(spark, sf_dir)))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, ("segments", sf_dir), lambda: m.read_segments(reads(spark, sf_dir), database(spark, sf_dir), K, BUCKETS))
+    return once(spark, ("segments", sf_dir), lambda: m.read_segments(reads(spark, sf_dir), database(spark, sf_dir), K, buckets(spark, sf_dir)))
 
 
 def classes(spark: SparkSession, sf_dir: str, rules: m.Rules = RULES) -> DataFrame:

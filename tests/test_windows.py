@@ -96,3 +96,13 @@ def test_extraction_counts_come_from_slices(spark):
     assert {(r.odd, r.total, r.dusty, r.included) for r in found.collect()} == {(r.odd, r.total, r.dusty, r.total - r.dusty) for r in wanted.collect()}
     cut = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0]), pa.array([b"CGAT" * 500, b"N" * 100], pa.binary())], ["id", "_at", "_s"])
     assert [b.column("total").to_pylist() for b in w.count_batches(iter([cut]), k, 20)] == [[1986, 0]]
+
+
+def test_a_run_is_complemented_once(spark):
+    """Complements are computed below the explode, and neither they nor k-mers are evaluated again by a join's filter."""
+    d = spark.createDataFrame(sequences(4), "id long, s string")
+    opened = w.run_windows(w.kmer_runs(d, ["id"], "s", 15, invalid=False), ["bucket"], 15).distinct()
+    plan = opened.join(opened.withColumnRenamed("bucket", "b"), "kmer")._jdf.queryExecution().optimizedPlan().toString()
+    above = [line for line in plan.split("\n") if " at#" in line and "_first#" in line and "Generate" not in line]
+    assert above and not any(str(0x5555555555555555) in line for line in above)
+    assert not any("Filter" in line and "shiftleft" in line for line in plan.split("\n"))
