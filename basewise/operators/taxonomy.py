@@ -78,7 +78,19 @@ def _paths(edges: DataFrame) -> DataFrame:
 
 
 def closure(tax: DataFrame) -> DataFrame:
-    """(node, node_pre, anc, anc_pre, anc_last, anc_depth): every node with itself and all its ancestors."""
+    """(node, node_pre, anc, anc_pre, anc_last, anc_depth): every node with itself and all its ancestors.
+
+    Recursive queries have limits of rows and of levels, which a tree with a node for each
+    accession exceeds; the closure of a tree near them comes from paths (`_paths`).
+    """
+    spark = tax.sparkSession
+    size = tax.agg(F.sum(F.col("depth").cast("long") + 1).alias("rows"), F.max("depth").alias("depth")).first()
+    limits = [int(spark.conf.get(f"spark.sql.cteRecursion{x}Limit")) for x in ("Row", "Level")]
+    if any(limit >= 0 and (has or 0) > limit // 2 for has, limit in zip(size, limits, strict=True)):
+        paths = _paths(tax.select("tax_id", F.col("pre").alias("ord"), F.col("parent_id").alias("up")))
+        each = paths.select(F.col("tax_id").alias("node"), F.element_at("path", -1)["ord"].alias("node_pre"), F.explode("path.tax_id").alias("anc"))
+        above = tax.select(F.col("tax_id").alias("anc"), F.col("pre").alias("anc_pre"), F.col("last").alias("anc_last"), F.col("depth").alias("anc_depth"))
+        return each.join(above, "anc").select("node", "node_pre", "anc", "anc_pre", "anc_last", "anc_depth")
     return _recursive(
         {"_basewise_tax": tax.select("tax_id", "parent_id", "pre", "last", "depth")},
         """
@@ -113,10 +125,12 @@ def lca_of_extremes(rows: DataFrame, lo: str, hi: str, up: DataFrame, out: str)
 
     The ancestor of a set is that of its members with the least and the greatest
     preorder number: the deepest ancestor of `lo` whose interval reaches `hi`. It is found
-    once for each distinct pair.
+    once for each distinct pair, in the list of the ancestors of `lo`, so that pairs stay one row each.
     """
     pairs = rows.select(F.col(lo).alias("_from"), F.col(hi).alias("_to")).where("_from is not null").distinct()
-    found = pairs.join(up, F.col("_from") == F.col("node_pre")).where("anc_last >= _to").groupBy("_from", "_to").agg(F.max_by("anc", "anc_depth").alias(out))
+    lines = up.groupBy("node_pre").agg(F.array_sort(F.collect_list(F.struct("anc_depth", "anc_last", "anc"))).alias("_line"))
+    reaching = F.filter("_line", lambda x: x["anc_last"] >= F.col("_to"))
+    found = pairs.join(lines, F.col("_from") == F.col("node_pre")).select("_from", "_to", F.try_element_at(reaching, F.lit(-1))["anc"].alias(out))
     return rows.join(found, (F.col(lo) == F.col("_from")) & (F.col(hi) == F.col("_to")), "left").drop("_from", "_to")
 
 

@@ -126,3 +126,18 @@ def test_nodes_off_the_tree_go(spark):
     assert {r.tax_id for r in tree(spark, [("1", "1"), ("2", "1"), ("8", "9")]).collect()} == {"1", "2"}
     assert t.numbered(spark.createDataFrame([], NODES)).count() == 0
     assert t.closure(tree(spark, SEVEN)).where(F.col("node") == "6").count() == 5
+
+
+@pytest.mark.parametrize(("limit", "value"), [("Row", 60), ("Level", 4)])
+def test_closure_beyond_the_limits_of_recursion(spark, limit, value):
+    """A tree with more ancestors, or more levels, than a recursive query may have rows or levels has the same closure."""
+    rows = [("1", "1", "n1", "no rank", 0)] + [(str(i), str(i // 2), f"n{i}", "no rank", i) for i in range(2, 40)]
+    tax = t.numbered(spark.createDataFrame(rows, "tax_id string, parent_id string, name string, rank string, ord long"))
+    wanted = sorted(map(tuple, t.closure(tax).collect()))
+    name = f"spark.sql.cteRecursion{limit}Limit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(value))
+    try:
+        assert sorted(map(tuple, t.closure(tax).collect())) == wanted
+    finally:
+        spark.conf.set(name, before)
