@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels, seq
+from ..plans.store import stash
 
 CHUNK = 256
 #: Windows that are made at once.
@@ -207,6 +208,40 @@ def window_total(length: Column, k: int) -> Column:
     return F.greatest(length - (k - 1), F.lit(0)).cast("long")
 
 
+def kmer_count_batches(batches: Iterator[pa.RecordBatch], k: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """(keys, windows, valid, distinct_kmers, top) of rows (keys, _at, _s): what a slice's windows add up to."""
+    for part, raw, own, pos, at in _parts(batches, k, most):
+        _, kmers, valid, _ = _chosen(raw, pos, at, k, False, 1, -1)
+        rows, of, kmer = part.num_rows, own[valid], kmers[valid]
+        order = np.lexsort((kmer, of))
+        of, kmer = of[order], kmer[order]
+        fresh = np.append(True, (of[1:] != of[:-1]) | (kmer[1:] != kmer[:-1]))[: len(of)]
+        has, top = np.bincount(of, minlength=rows), np.zeros(rows, np.int64)
+        top[of] = kmer  # the last of a row is its greatest
+        counts = [pa.array(x.astype(np.int64)) for x in (np.bincount(own, minlength=rows), has, np.bincount(of[fresh], minlength=rows))]
+        yield pa.RecordBatch.from_arrays([*part.columns[:-2], *counts, pa.array(top, mask=has == 0)], [*part.schema.names[:-2], "windows", "valid", "distinct_kmers", "top"])
+
+
+def sequence_counts(rows: DataFrame, keys: Sequence[str], sequence: str, k: int, most: int = SLICE) -> DataFrame:
+    """(keys, windows, valid, distinct_kmers, top) of the sequences of each key, for keys of few windows: a slice counts its own, no window is a row.
+
+    The distinct k-mers of keys with several slices are found by rows, as slices may share them.
+    """
+    cut = slices(rows, keys, sequence, k, most)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema[:-2])
+    each = cut.mapInArrow(lambda batches: kmer_count_batches(batches, k), f"{kinds}, windows long, valid long, distinct_kmers long, top long")
+    sums = [F.sum(c).alias(c) for c in ("windows", "valid", "distinct_kmers")]
+    counted = stash(each.groupBy(*keys).agg(*sums, F.max("top").alias("top"), F.count("*").alias("_slices")), "counted")
+    several = counted.where("_slices > 1").select(*[F.col(c).alias(f"_of_{c}") for c in keys])
+    if several.isEmpty():
+        return counted.drop("_slices")
+    same = lambda of: [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in of]
+    found = window_kmers(rows.join(several, same(keys), "left_semi"), keys, sequence, k, invalid=False).groupBy(*keys).agg(F.count_distinct("kmer").alias("_d"))
+    found = found.select(*[F.col(c).alias(f"_of_{c}") for c in keys], "_d")
+    both = counted.join(found, same(keys), "left")
+    return both.select(*keys, "windows", "valid", F.coalesce("_d", "distinct_kmers").alias("distinct_kmers"), "top")
+
+
 def count_batches(batches: Iterator[pa.RecordBatch], k: int, max_dust: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """(keys, total, dusty) of rows (keys, _at, _s): a slice's valid windows and those of them whose score is over max_dust."""
     for part, raw, own, pos, at in _parts(batches, k, most):

@@ -106,3 +106,23 @@ def test_a_run_is_complemented_once(spark):
     above = [line for line in plan.split("\n") if " at#" in line and "_first#" in line and "Generate" not in line]
     assert above and not any(str(0x5555555555555555) in line for line in above)
     assert not any("Filter" in line and "shiftleft" in line for line in plan.split("\n"))
+
+
+@pytest.mark.parametrize("most", [7, 64, w.SLICE])
+def test_counts_of_sequences_equal_those_of_rows(spark, most):
+    """Keys of several slices or rows too, whose distinct k-mers are no sum."""
+    d = spark.createDataFrame([*sequences(6), (5, "CGATTACA" * 20)], "id long, s string")
+    found = w.sequence_counts(d, ["id"], "s", 15, most)
+    wanted = w.window_kmers(d, ["id"], "s", 15).groupBy("id").agg(F.count("*"), F.count("kmer"), F.count_distinct("kmer"), F.max("kmer"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_tasks_follow_the_size_of_texts(spark, monkeypatch, small):
+    """Four times the texts have four times the tasks and files of the database, at the same size of a task."""
+    from basewise.plans import store, workload
+
+    d = spark.createDataFrame([(i, "x" * 1000) for i in range(40)], "id long, s string")
+    monkeypatch.setattr(store, "TASK_CHARS", 1000)
+    assert store.tasks_for(d.where("id < 10"), "s") == 10 and store.tasks_for(d, "s") == 40 and store.tasks_for(d.where("id < 0"), "s", 3) == 3
+    monkeypatch.setattr(workload, "_tasks", {})
+    assert workload.buckets(spark, small) > workload.BUCKETS and workload.reads(spark, small).rdd.getNumPartitions() > 8
