@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.store import default_buckets, stash, stash_buckets, tasks_for
+from ..plans.store import default_buckets, joined_where_they_lie, stash, stash_buckets, tasks_for, with_number
 from .taxonomy import lca_of_extremes
 from .windows import kmer_runs, run_windows, window_kmers
 
@@ -86,12 +86,17 @@ def region_kmers(regions: DataFrame, plan: Plan) -> DataFrame:
     return window_kmers(regions, ["tax_id"], "seq", plan.k, plan.upper, plan.step, plan.max_dust, invalid=False).select("tax_id", "kmer")
 
 
-def opened_runs(regions: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
+def opened_runs(regions: DataFrame, keys: list[str], plan: Plan, distinct: bool = True) -> DataFrame:
     """(keys, bucket, kmer) of the windows that the plan includes, dealt by minimizer as runs: what is grouped by bucket and more stays where it is."""
-    runs = kmer_runs(regions, keys, "seq", plan.k, plan.upper, plan.step, plan.max_dust, invalid=False, distinct=True)
+    runs = kmer_runs(regions, keys, "seq", plan.k, plan.upper, plan.step, plan.max_dust, invalid=False, distinct=distinct)
     return run_windows(runs.drop("start").repartition(sized(plan, regions).buckets, "bucket"), [*keys, "bucket"], plan.k).drop("at")
 
 
+def taxon_kmers(regions: DataFrame, plan: Plan) -> DataFrame:
+    """(bucket, kmer, tax_id, n): the windows of each taxon's k-mers, counted where their runs are dealt to."""
+    return opened_runs(regions, ["tax_id"], plan, distinct=False).groupBy("bucket", "kmer", "tax_id").agg(F.count("*").alias("n"))
+
+
 def sized(plan: Plan, regions: DataFrame) -> Plan:
     """The plan with its number of buckets."""
     return plan if plan.buckets else replace(plan, buckets=tasks_for(regions, "seq", default_buckets(regions.sparkSession)))
@@ -156,14 +161,27 @@ def kmers_per_taxon(db: DataFrame) -> DataFrame:
 
 
 def moved(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(moved): how many k-mers another value has been stored for."""
-    return before.join(after.select("kmer", F.col("tax_id").alias("_t")), "kmer").agg(F.count(F.when(F.col("tax_id") != F.col("_t"), 1)).alias("moved"))
+    """(moved): how many k-mers another value has been stored for. Databases that are both dealt by minimizer are joined where they lie."""
+    on = [c for c in ("bucket", "kmer") if c in before.columns and c in after.columns]
+    with joined_where_they_lie(before.sparkSession):
+        both = before.join(after.select(*on, F.col("tax_id").alias("_t")), on)
+        return stash(both.agg(F.count(F.when(F.col("tax_id") != F.col("_t"), 1)).alias("moved")), "moved")
 
 
 def first_values(regions: DataFrame, plan: Plan) -> DataFrame:
-    """(kmer, tax_id) where the first region by file and number that has a k-mer sets its taxon."""
-    k = window_kmers(regions, ["file", "region_no", "tax_id"], "seq", plan.k, plan.upper, plan.step, plan.max_dust, invalid=False)
-    return k.groupBy("kmer").agg(F.min_by("tax_id", F.struct("file", "region_no", "tax_id")).alias("tax_id"))
+    """(bucket, kmer, tax_id) where the first region by file and number that has a k-mer sets its taxon.
+
+    Regions are numbered in that order, so runs carry a number and a k-mer keeps the least
+    where its runs are dealt to; numbers are broadcast up to a million.
+    """
+    place = ["file", "region_no", "tax_id"]
+    places = stash(with_number(regions.select(*place).distinct(), place, "_ord"), "places")
+    if places.count() <= 1_000_000:
+        places = F.broadcast(places)
+    of = places.select(*[F.col(c).alias(f"_of_{c}") for c in place], "_ord")
+    at = regions.join(of, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in place]).select("_ord", "seq")
+    least = opened_runs(at, ["_ord"], plan).groupBy("bucket", "kmer").agg(F.min("_ord").alias("_ord"))
+    return least.join(places.select("_ord", "tax_id"), "_ord").select("bucket", "kmer", "tax_id")
 
 
 def filter_index(db: DataFrame, requested: DataFrame) -> DataFrame:
