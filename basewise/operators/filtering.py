@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq
-from ..plans.store import with_number
-from .match import READ
-from .windows import window_kmers, window_total
+from ..plans.store import joined_where_they_lie, stash, with_number
+from .match import NO_HIT, READ, numbered_reads, run_labels
+from .windows import window_total
 
 
-def accepted(reads: DataFrame, index: DataFrame, k: int, min_count: int = 1, min_share: float = 0.2) -> DataFrame:
+def accepted(reads: DataFrame, index: DataFrame, k: int, min_count: int = 1, min_share: float = 0.2, buckets: int | None = None) -> DataFrame:
     """(read, hits, windows, accepted): accepted if at least max(1, T) valid windows are in index (kmer).
 
-    T is min_count, or the whole part of min_share of the windows if that is 0.
+    T is min_count, or the whole part of min_share of the windows if that is 0. Runs of
+    windows are dealt by minimizer and looked up as in matching; an index in `buckets` by
+    minimizer stays where it is.
     """
-    w = window_kmers(reads, READ, "seq", k, invalid=False)
-    hits = w.join(index.distinct(), "kmer", "left_semi").groupBy(*READ).agg(F.count("*").alias("_h"))
-    r = reads.select(*READ, window_total(F.length("seq"), k).alias("windows")).join(hits, READ, "left")
+    numbered = numbered_reads(reads.select(*READ, "seq"))
+    stored = index.select("bucket", "kmer") if buckets and "bucket" in index.columns else index.select("kmer").distinct()
+    with joined_where_they_lie(reads.sparkSession):
+        found = run_labels(numbered, stored.withColumn("tax_id", F.lit("1")), k, buckets if "bucket" in stored.columns else None)
+        hits = stash(found.where(F.col("label") != NO_HIT).groupBy("rid").agg(F.count("*").alias("_h")), "filtered")
+    r = numbered.select("rid", *READ, window_total(F.length("seq"), k).alias("windows")).join(hits, "rid", "left")
     need = F.greatest(F.lit(1), F.lit(min_count) if min_count else F.floor(F.col("windows") * min_share))
     r = r.withColumn("hits", F.coalesce("_h", F.lit(0)).cast("long"))
     return r.select(*READ, "hits", "windows", (F.col("hits") >= need).alias("accepted"))
