@@ -97,8 +97,8 @@ def database(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, ("db", sf_dir), lambda: b.build(regions(spark, sf_dir), tax(spark, sf_dir), up(spark, sf_dir), None, b.Plan(k=K, buckets=n), buckets=True), n)
 
 
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, ("windows", sf_dir), lambda: m.lookup(reads(spark, sf_dir), database(spark, sf_dir), K, buckets(spark, sf_dir)))
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("key_hits", sf_dir), lambda: m.key_hits(reads(spark, sf_dir), database(spark, sf_dir), K, buckets(spark, sf_dir)))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,16 +22,14 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     return spark.readStream.schema(READ_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def start(reads: DataFrame, db: DataFrame, k: int, state: str) -> StreamingQuery:
-    """Matches the stream against db (kmer, tax_id) and keeps its state in the folder `state`."""
+def start(reads: DataFrame, db: DataFrame, k: int, state: str, buckets: int | None = None) -> StreamingQuery:
+    """Matches the stream against db (kmer, tax_id), which stays where it lies if it is in `buckets` by minimizer, and keeps its state in the folder `state`."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        windows = m.lookup(batch, db, k).persist()
-        m.contig_stats(m.segments(windows), batch).write.mode("overwrite").parquet(f"{state}/counts/batch={batch_id}")
-        hits = windows.where(m.is_taxon(F.col("label"))).select("key", F.col("label").alias("tax_id"), "kmer").distinct()
+        m.contig_stats(m.read_segments(batch, db, k, buckets), batch).write.mode("overwrite").parquet(f"{state}/counts/batch={batch_id}")
+        hits = m.key_hits(batch, db, k, buckets).where(m.is_taxon(F.col("label"))).select("key", F.col("label").alias("tax_id"), "kmer")
         hits.write.mode("overwrite").parquet(f"{state}/hits/batch={batch_id}")
-        windows.unpersist()
         batch.unpersist()
 
     return reads.writeStream.foreachBatch(add).option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()

@@ -12,6 +12,7 @@ from basewise.operators import filtering as fl
 from basewise.operators import match as m
 from basewise.operators import report as rp
 from basewise.operators import taxonomy as t
+from basewise.operators import windows as w
 
 from .test_functions import canonical
 
@@ -162,3 +163,18 @@ def test_filter_keeps_what_matches(spark):
     assert names(fl.extracted(r, "r1")) == [1]
     assert r.select(fl.fastq_text(F.col("descriptor"), F.col("seq"))).first()[0] == "@r0 x\nCCCCC\n+\n~~~~~"
     assert spark.range(1).select(seq.decode(F.lit(canonical("CCC")), 3)).first()[0] == "GGG"
+
+
+@pytest.mark.parametrize("most", [1, m.CROWD])
+def test_hits_by_key_are_those_of_the_windows(spark, monkeypatch, most):
+    """With every minimizer crowded too, when a k-mer is looked up in several cells."""
+    monkeypatch.setattr(m, "LOOKED_AT", 1.0)
+    r = random.Random(5)
+    rows = [(f"k{i % 2}", "f", i, f"@r{i}", "".join(r.choices("CGAT", k=40)) + "CAGGTCATTG" * 3 + "N" * (i % 3)) for i in range(12)]
+    reads = spark.createDataFrame(rows, "key string, file string, read_no long, descriptor string, seq string")
+    db = w.window_kmers(reads.where("read_no < 8"), ["file"], "seq", 7, invalid=False).select("kmer").distinct().withColumn("tax_id", F.concat(F.lit("t"), F.col("kmer") % 3))
+    wanted = {tuple(x) for x in m.lookup(reads, db, 7).groupBy("key", "label", "kmer").agg(F.count("*").alias("n")).collect()}
+    found = m.key_hits(reads, db, 7, most=most)
+    got = [tuple(x) for x in found.select("key", "label", "kmer", "n").collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    assert set(map(tuple, m.unique_kmers(found).collect())) == set(map(tuple, m.unique_kmers(m.lookup(reads, db, 7)).collect()))
