@@ -20,8 +20,8 @@ def base_codes(seq: bytes | np.ndarray, upper: bool = False) -> np.ndarray:
 
 
 def _wide(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(straight, reverse complement) of every window of k bases, put together from windows of powers of two."""
-    part = codes.astype(np.int64)
+    """(straight, reverse complement) of every window of k bases, put together from windows of powers of two; short windows are 32 bits."""
+    part = codes.astype(np.int32 if k < 16 else np.int64)
     back = part ^ 1
     done, done_back, size, width = part[:0], part[:0], 0, 1
     while True:
@@ -48,13 +48,28 @@ def canonical_codes(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """As `windows`, of codes."""
     if len(code) < k:
         return np.empty(0, np.int64), np.empty(0, bool)
+    return np.maximum(*_wide(np.where(code > 3, 0, code), k)).astype(np.int64, copy=False), valid_windows(code, k)
+
+
+def valid_windows(code: np.ndarray, k: int) -> np.ndarray:
+    """Whether all k bases of each window are of CGAT."""
     bad = np.concatenate([[0], np.cumsum(code > 3, dtype=np.int32)])
-    return np.maximum(*_wide(np.where(code > 3, 0, code), k)), bad[k:] == bad[:-k]
+    return bad[k:] == bad[:-k]
+
+
+def fours(code: np.ndarray) -> np.ndarray:
+    """The codes of the four bases from each place on, a byte each, for `straight_codes_at`; other characters count as the first base, and so does what is behind the end."""
+    x = np.concatenate([np.where(code > 3, 0, code), np.zeros(3, np.uint8)]).astype(np.uint8, copy=False)
+    return x[:-3] << 6 | x[1:-2] << 4 | x[2:-1] << 2 | x[3:]
 
 
-def straight_codes(code: np.ndarray, k: int) -> np.ndarray:
-    """The codes of every window as it is read; other characters count as the first base."""
-    return _wide(np.where(code > 3, 0, code), k)[0]
+def straight_codes_at(four: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The codes, as they are read, of the windows of k bases that begin at places of what `fours` gave."""
+    out = np.zeros(len(at), np.int64)
+    for i in range(0, k, 4):
+        own = min(4, k - i)
+        out = out << 2 * own | four[at + i] >> 2 * (4 - own)
+    return out
 
 
 def dust(code: np.ndarray, k: int) -> np.ndarray:

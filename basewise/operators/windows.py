@@ -66,17 +66,22 @@ def _parts(batches: Iterator[pa.RecordBatch], k: int, most: int) -> Iterator[tup
             lo = hi
 
 
-def _chosen(raw: np.ndarray, pos: np.ndarray, at: np.ndarray, k: int, upper: bool, step: int, max_dust: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the bytes, and for each window its k-mer, its validity and whether step and dust leave it."""
+def _included(raw: np.ndarray, pos: np.ndarray, at: np.ndarray, k: int, upper: bool, step: int, max_dust: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the bytes, and for each window its validity and whether step and dust leave it."""
     code = kernels.base_codes(raw, upper)
-    kmers, valid = kernels.canonical_codes(code, k)
-    kmers, valid = kmers[at], valid[at]
+    valid = kernels.valid_windows(code, k)[at] if len(at) else np.empty(0, bool)
     keep = np.ones(len(at), bool)
     if step > 1:
         keep &= (pos + k) % step == 0
     if max_dust >= 0:
         keep &= ~valid | (kernels.dust(code, k)[at] <= max_dust)
-    return code, kmers, valid, keep
+    return code, valid, keep
+
+
+def _chosen(raw: np.ndarray, pos: np.ndarray, at: np.ndarray, k: int, upper: bool, step: int, max_dust: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `_included`, with each window's k-mer."""
+    code, valid, keep = _included(raw, pos, at, k, upper, step, max_dust)
+    return code, kernels.canonical_codes(code, k)[0][at], valid, keep
 
 
 def kmer_batches(batches: Iterator[pa.RecordBatch], k: int, upper: bool = False, step: int = 1, max_dust: int = -1, invalid: bool = True, most: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -108,7 +113,7 @@ RUN = 32
 def run_batches(batches: Iterator[pa.RecordBatch], k: int, upper: bool = False, step: int = 1, max_dust: int = -1, invalid: bool = True, distinct: bool = False, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """(keys, start, n, bucket, first, onward) of rows (keys, _at, _s): see `kmer_runs`."""
     for part, raw, own, pos, at in _parts(batches, k, most):
-        code, _, valid, keep = _chosen(raw, pos, at, k, upper, step, max_dust)
+        code, valid, keep = _included(raw, pos, at, k, upper, step, max_dust)
         if not invalid:
             keep &= valid
         own, pos, at, valid = own[keep], pos[keep], at[keep], valid[keep]
@@ -120,12 +125,11 @@ def run_batches(batches: Iterator[pa.RecordBatch], k: int, upper: bool = False,
             since = place - np.maximum.accumulate(np.where(fresh, place, 0))
             begins = np.flatnonzero(fresh | valid & (since % RUN == 0))
             n = np.diff(np.append(begins, len(own)))
-            bases = np.concatenate([np.where(code > 3, 0, code), np.zeros(RUN, np.uint8)])
-            more = kernels.straight_codes(bases, RUN - 1)
+            four = kernels.fours(np.concatenate([code, np.zeros(RUN, np.uint8)]))
             good = valid[begins]
-            first = kernels.straight_codes(bases, k)[at[begins]]
+            first = kernels.straight_codes_at(four, at[begins], k)
             unused = 2 * (RUN - np.minimum(n, RUN))
-            onward = more[at[begins] + k] >> unused << unused
+            onward = kernels.straight_codes_at(four, at[begins] + k, RUN - 1) >> unused << unused
             if distinct:
                 order = np.lexsort((onward, first, n, own[begins]))
                 by = [x[order] for x in (own[begins], n, first, onward)]

@@ -97,3 +97,12 @@ def test_windows_match_plain_python(spark, k):
     assert stepped == {a: x for a, x in want.items() if x is not None and (a[1] + k) % 4 == 0 and plain_dust(place(*a)) <= 3}
     low = spark.createDataFrame([(1, "acgtNacgt")], "id long, s string")
     assert w.window_kmers(low, ["id"], "s", 3, invalid=False).count() == 0 and w.window_kmers(low, ["id"], "s", 3, upper=True, invalid=False).count() == 4
+
+
+def test_decoding_looks_bases_up(spark):
+    """As a conversion by digits, which costs four times as much."""
+    for k in (1, 3, 4, 15, 31):
+        d = spark.range(200).select((F.xxhash64("id").bitwiseAND(F.lit((1 << 2 * k) - 1))).alias("x")).unionByName(spark.sql(f"select {(1 << 2 * k) - 1}L as x union all select 0L"))
+        by_digits = F.translate(F.lpad(F.conv(F.col("x").cast("string"), 10, 4), k, "0"), seq.CODES, seq.BASES)
+        got = d.select(seq.decode(F.col("x"), k).alias("s"), by_digits.alias("t"))
+        assert got.where("s is null or s <> t").count() == 0 and "conv(" not in got.select("s")._jdf.queryExecution().optimizedPlan().toString()
