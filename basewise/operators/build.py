@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.store import default_buckets, joined_where_they_lie, stash, stash_buckets, tasks_for, with_number
+from ..plans.store import default_buckets, few, joined_where_they_lie, stash, stash_buckets, tasks_for, with_number
 from .taxonomy import lca_of_extremes
 from .windows import kmer_runs, run_windows, window_kmers
 
@@ -185,8 +185,8 @@ def first_values(regions: DataFrame, plan: Plan) -> DataFrame:
 
 
 def filter_index(db: DataFrame, requested: DataFrame) -> DataFrame:
-    """(kmer) whose taxon is requested."""
-    return db.join(requested, "tax_id", "left_semi").select("kmer")
+    """(kmer) whose taxon is requested; k-mers are not dealt by taxon."""
+    return db.join(few(requested.select("tax_id"), "requested"), "tax_id", "left_semi").select("kmer")
 
 
 def checksum(db: DataFrame) -> DataFrame:

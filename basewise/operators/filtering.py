@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq
-from ..plans.store import joined_where_they_lie, stash, with_number
+from ..plans.store import few, joined_where_they_lie, stash, with_number
 from .match import NO_HIT, READ, numbered_reads, run_labels
 from .windows import window_total
 
@@ -52,7 +52,7 @@ def fastq_text(descriptor: Column, sequence: Column, qual: Column | None = None)
 
 def database_reads(db: DataFrame, k: int, project: str, taxa: DataFrame | None = None) -> DataFrame:
     """(tax_id, n, descriptor, seq, text): a read for each stored k-mer, of the taxa (tax_id) if given, numbered in the k-mers' order."""
-    d = db if taxa is None else db.join(taxa, "tax_id", "left_semi")
+    d = db if taxa is None else db.join(few(taxa.select("tax_id"), "requested"), "tax_id", "left_semi")
     d = with_number(d, ["kmer"], "n", within=("tax_id",)).withColumn("n", F.col("n") - 1).withColumn("seq", seq.decode(F.col("kmer"), k))
     d = d.withColumn("descriptor", F.concat(F.lit(f"@{project}::"), "tax_id", F.lit("::"), F.col("n").cast("string")))
     return d.select("tax_id", "n", "descriptor", "seq", fastq_text(F.col("descriptor"), F.col("seq")).alias("text"))

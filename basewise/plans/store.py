@@ -70,9 +70,14 @@ def discard(stashed: DataFrame) -> None:
 @contextmanager
 def joined_where_they_lie(spark: SparkSession) -> Iterator[None]:
     """Tables that are dealt by some of a join's keys are joined without being dealt again, where they are planned and written inside."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    with _set(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        yield
+
+
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -99,6 +104,12 @@ def with_number(df: DataFrame, order: list[str], name: str, within: tuple[str, .
     return ranged.join(before, on).select(*df.columns, (F.col("_at") + F.col("_shift") + 1).alias(name))
 
 
+def few(df: DataFrame, name: str, most: int = 1_000_000) -> DataFrame:
+    """df, written and counted, to be broadcast up to `most` rows: a large table that is joined with few keys stays where it is, and no task gets all rows of a common key."""
+    made = stash(df, name)
+    return F.broadcast(made) if made.count() <= most else made
+
+
 def default_buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -115,11 +126,14 @@ def tasks_for(rows: DataFrame, text: str, least: int = 1) -> int:
 def bucketed(df: DataFrame, path: str, buckets: int, by: str = "bucket", sort: str = "kmer") -> DataFrame:
     """df as Parquet in a folder, in `buckets` files by the hash of a column and sorted in each, and read back as such: joins and groups on `by` and more don't deal it again.
 
-    Rows that repartition(buckets, by) has dealt are written where they lie.
+    Rows that repartition(buckets, by) has dealt are written where they lie, and so are those of
+    a table in as many buckets: a task reads, sorts and writes one bucket. By splits of the files
+    it would sort the buckets of a whole split, so that what a task holds would grow with the table.
     """
     spark, table = df.sparkSession, _table_of(path)
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    df.write.mode("overwrite").bucketBy(buckets, by).sortBy(sort).option("path", path).saveAsTable(table)
+    with _set(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):
+        df.write.mode("overwrite").bucketBy(buckets, by).sortBy(sort).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 

@@ -178,3 +178,20 @@ def test_hits_by_key_are_those_of_the_windows(spark, monkeypatch, most):
     got = [tuple(x) for x in found.select("key", "label", "kmer", "n").collect()]
     assert len(got) == len(set(got)) and set(got) == wanted
     assert set(map(tuple, m.unique_kmers(found).collect())) == set(map(tuple, m.unique_kmers(m.lookup(reads, db, 7)).collect()))
+
+
+def test_a_database_is_not_dealt_by_taxon(spark, three):
+    """Requested taxa come to the k-mers, or all k-mers of a common taxon would meet in one task."""
+    db = spark.range(1000).select(F.col("id").alias("kmer"), F.when(F.col("id") % 10 == 0, "2").otherwise("3").alias("tax_id"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wanted = t.descendants(three[0], spark.createDataFrame([("2",)], "tax_id string"))
+        index = b.filter_index(db, wanted)
+        plan = index._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r.kmer for r in index.collect()) == list(range(0, 1000, 10))
+        reads = fl.database_reads(db, 15, "p", wanted).collect()
+        assert sorted((r.n, r.seq) for r in reads) == sorted((i, r[0]) for i, r in enumerate(db.where("tax_id = '2'").orderBy("kmer").select(seq.decode(F.col("kmer"), 15)).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

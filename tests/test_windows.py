@@ -126,3 +126,14 @@ def test_tasks_follow_the_size_of_texts(spark, monkeypatch, small):
     assert store.tasks_for(d.where("id < 10"), "s") == 10 and store.tasks_for(d, "s") == 40 and store.tasks_for(d.where("id < 0"), "s", 3) == 3
     monkeypatch.setattr(workload, "_tasks", {})
     assert workload.buckets(spark, small) > workload.BUCKETS and workload.reads(spark, small).rdd.getNumPartitions() > 8
+
+
+def test_tables_in_buckets_are_written_bucket_by_bucket(spark, tmp_path):
+    """A task writes one bucket, not those of a split of the files, which grows with the table."""
+    from basewise.plans import store
+
+    rows = spark.range(4000).select(F.col("id").alias("kmer"), (F.col("id") % 997).cast("int").alias("bucket"))
+    made = store.stash_buckets(rows.repartition(24, "bucket"), "test", 24)
+    again = store.bucketed(made.withColumn("task", F.spark_partition_id()), f"file://{tmp_path}/again", 24)
+    assert again.select("task").distinct().count() == 24 and again.groupBy("bucket").agg(F.count_distinct("task").alias("n")).where("n > 1").count() == 0
+    assert sorted(map(tuple, again.select("kmer", "bucket").collect())) == sorted(map(tuple, rows.collect()))
