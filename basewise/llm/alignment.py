@@ -1,26 +1,25 @@
-"""Alignment of two tokenizers' tokens, as relations.
+"""Alignment of two tokenizers' tokens, of documents as arrays of aligned pieces.
 
-Tokens are rows of a text: exploded with their places, with running sums of their bytes as
-ends, and joined where both tokenizers' tokens end at one byte. These common ends cut the
-text into groups, numbered by a running count of cuts, and are the links between the two
-vocabularies.
+Where tokens of both tokenizers end at one byte, the text is cut into groups; these common
+ends are the links between the two vocabularies.
 
 The texts that are aligned so are not whole documents but the pieces between which every
 document may be cut: before a space or newline between two solid characters both
 tokenizers begin a token whatever stands before (the first begins a pre-token there, and
 no piece of the second holds a space or newline after another character), so a document's
-tokens, groups and links are those of its pieces in a row. Each distinct piece of the
-corpus is tokenised and aligned once and weighed by its occurrences; a document is an
-array of codes (blocks.py), and its numbers are sums, its groups the concatenation, over
-its pieces' values. So the tokens of the corpus are never rows; those of its vocabulary are.
+tokens, groups and links are those of its pieces in a row.
 
-A pair's count is the number of links over all documents. A B token's highest count is
-found by B id, and both come back to the pieces by joins on the pair.
+A block is a row: some neighbouring documents as codes of their distinct pieces, the pieces
+as their tokens in the order of the groups, and the pairs of ids that its links hold with
+their numbers. Tokens are made where the text lies and are never dealt: what is
+shuffled are pairs, a row for each distinct one of a block, so a pair in every line is no
+longer than the blocks are many. A pair's count is summed over all blocks, a B token's
+highest count found by B id, and both come back to the blocks by a join on the pair. A
+document's numbers are then sums, its groups the concatenation, over its pieces' values.
 
 Where one piece's bytes, as a tokenizer gives them back, differ from the piece (U+2581,
-which the second takes for a space), its documents have no tokens: they are found through
-the blocks that hold such pieces and what they would have added to the pieces' occurrences
-is taken off before pairs are counted.
+which the second takes for a space), its documents have no tokens: none of their pieces
+counts.
 
 Defined cases: null and empty texts have no tokens; a very long text without a cut is one
 piece; repeated rows count each; ties for the highest count are all best; an empty table
@@ -34,22 +33,26 @@ import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import attached, blank_cut, blocks, pieces_of
+from .blocks import _one, _packed, attached, blank_cut, pieces_of, unpacked
 from .bpe_tree import _byte_of
-from .common import by_weight, discard, kept, stash
+from .common import by_weight, kept, let_go, stash
 
-#: Pieces and their tokens, each an id times SPAN and the bytes of the token.
-TOKENS = "piece string, n long, a array<int>, b array<int>, exact boolean"
-SPAN = 4096
-#: Texts whose tokens a task aligns: bounds what it sorts.
-IN_TASK = 50_000
-VALUES = ("n_best", "count_sum", "groups")
+#: Documents as codes of distinct pieces, the pieces' tokens and how many each has, and, as `pieces`, the distinct pairs of linked ids (the first times 2 ** 32 and the second) with their counts.
+SCHEMA = "block long, ids array<long>, offsets array<int>, exact array<boolean>, codes binary, tokens binary, sizes array<int>, pieces array<long>, counts array<long>"
+#: What follows a token's id: of the first tokenizer within and at the end of a group, then of the second. A token is an id times four and the place of its sign here.
+SIGNS = (",", "|", ",", ";")
+#: Bytes of text that are cut, and pieces that a task writes out as groups, at once.
+CUT, WRITTEN = 4_000_000, 500_000
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 @dataclass(frozen=True)
@@ -59,7 +62,7 @@ class Params:
     b: str
     #: Bytes of text in a block.
     block: int = 32_000_000
-    #: Pairs of linked ids, and pieces of inexact documents, that are broadcast; more are joined by shuffle.
+    #: Pairs of linked ids that are broadcast; more are joined by shuffle.
     most_pairs: int = 1_000_000
 
 
@@ -83,7 +86,7 @@ class Pair:
             self.a_bytes[i] = bytes(byte_of[c] for c in token)
         of = lambda i: bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.b_bytes = [of(i) for i in range(self.b.get_piece_size())]
-        self.a_packed, self.b_packed = (np.array([i * SPAN + len(t) for i, t in enumerate(x)], np.int32) for x in (self.a_bytes, self.b_bytes))
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
 
     def a_ids(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -95,53 +98,72 @@ class Pair:
         return [x if s else x[1:] for x, s in zip(ids, spaced, strict=True)]
 
 
-def tokens(pieces: DataFrame, p: Params) -> DataFrame:
-    """Rows of TOKENS of pieces (piece, n): ids and bytes of each token, and whether they give the piece back."""
+def aligned(pair: Pair, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all pieces in a row, and how many each has: of each group those of the first tokenizer, then the second's. Inexact pieces have none.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = kept(p, lambda: Pair(p))
-        for b in by_weight(batches, 0, 1_000_000, 10_000):
-            texts = b.column(0).to_pylist()
-            columns, exact = [], np.ones(len(texts), bool)
-            for encode, packed, parts in ((pair.a_ids, pair.a_packed, pair.a_bytes), (pair.b_ids, pair.b_packed, pair.b_bytes)):
-                ids = encode(texts)
-                exact &= np.fromiter((b"".join(map(parts.__getitem__, x)) == t.encode() for x, t in zip(ids, texts, strict=True)), bool, len(texts))
-                offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                flat = np.fromiter((i for x in ids for i in x), np.int32, offsets[-1].as_py())
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(packed[flat])))
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns, pa.array(exact)], [x.split()[0] for x in TOKENS.split(", ")])
-
-    return pieces.select("piece", "n").mapInArrow(run, TOKENS)
-
-
-def token_ends(made: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(wid, carry, end, a, b): each token of either tokenizer, the other's column null, with the byte at which it ends."""
-    each = made.select("wid", *carry, F.size("a").alias("_in_a"), F.posexplode(F.concat("a", "b")).alias("place", "t"))
-    each = each.select("wid", *carry, "place", "t", (F.col("place") < F.col("_in_a")).alias("is_a"))
-    end = F.sum(F.col("t") % SPAN).over(Window.partitionBy("wid", "is_a").orderBy("place"))
-    token = F.shiftright("t", SPAN.bit_length() - 1)
-    return each.select("wid", *carry, end.alias("end"), F.when(F.col("is_a"), token).alias("a"), F.when(~F.col("is_a"), token).alias("b"))
-
-
-def aligned(made: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(wid, carry, group, a, b): the groups between common ends of rows (wid, carry, TOKENS), from 0, with both tokenizers' ids in order.
-
-    Both sides' tokens are joined on text and end by grouping them, since a full join would
-    deal them again: texts are dealt once, before they are exploded, and all that follows
-    stays where it is.
+    Ends are counted on from piece to piece, so that tokens of both sides that end together
+    are found by one search.
     """
-    by_text = made.repartition(made.count() // IN_TASK + 1, "wid")
-    joined = token_ends(by_text, carry).groupBy("wid", *carry, "end").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
-    before = Window.partitionBy("wid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = joined.withColumn("group", F.coalesce(F.sum(cut).over(before), F.lit(0)))
-    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c)))), lambda x: x[c]).alias(c)
-    return numbered.groupBy("wid", *carry, "group").agg(ids("a"), ids("b"))
-
-
-def links(groups: DataFrame) -> DataFrame:
-    """Adds link_a and link_b, the tokens that end together at the end of each group."""
-    return groups.withColumns({"link_a": F.element_at("a", -1), "link_b": F.element_at("b", -1)})
+    ids, raw = [pair.a_ids(pieces), pair.b_ids(pieces)], [x.encode() for x in pieces]
+    exact = [b"".join(map(pair.a_bytes.__getitem__, x)) == t == b"".join(map(pair.b_bytes.__getitem__, y)) for x, y, t in zip(*ids, raw, strict=True)]
+    a, b = (np.fromiter(chain.from_iterable(x for x, ok in zip(side, exact, strict=True) if ok), np.int64) for side in ids)
+    a_ends, b_ends = np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b])
+    at, b_last = np.searchsorted(b_ends, a_ends), np.zeros(len(b), bool)
+    a_last = b_ends[at] == a_ends
+    b_last[at[a_last]] = True
+    made = np.empty(len(a) + len(b), np.int32)
+    made[np.arange(len(a)) + _before(b_last)[np.cumsum(a_last) - a_last]] = 4 * a + a_last
+    made[np.arange(len(b)) + _before(a_last)[np.cumsum(b_last) - b_last + 1]] = 4 * b + 2 + b_last
+    sizes = np.array([(len(x) + len(y)) * ok for x, y, ok in zip(*ids, exact, strict=True)], np.int64)
+    return made, sizes
+
+
+def _before(last: np.ndarray) -> np.ndarray:
+    """Of tokens marked as the last of their groups: how many stand before each group, and in all."""
+    return np.append(0, np.flatnonzero(last) + 1)
+
+
+def _within(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the values between neighbouring bounds."""
+    return np.diff(np.append(0, np.cumsum(values, dtype=np.int64))[bounds])
+
+
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.append(0, np.cumsum(sizes, dtype=np.int64))
+
+
+def _pairs(tokens: np.ndarray) -> np.ndarray:
+    """The linked ids of each group of the tokens as one number: the last of both sides."""
+    sign, ids = tokens & 3, tokens.astype(np.int64) >> 2
+    return ids[sign == 1] << 32 | ids[sign == 3]
+
+
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Codes of the texts' pieces, the texts' offsets in them, and the distinct pieces. Texts are cut a few at a time: cutting takes many times their bytes."""
+    parts, ends = [], [np.zeros(1, np.int64)]
+    for b in by_weight(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), 0, CUT):
+        pieces, offsets = blank_cut(b.column(0))
+        parts.append(pieces.dictionary_encode())
+        ends.append(offsets[1:] + ends[-1][-1])
+    parts = pa.chunked_array(parts).unify_dictionaries().chunks
+    return np.concatenate([x.indices.to_numpy() for x in parts]).astype(np.int32), np.concatenate(ends), parts[-1].dictionary
+
+
+def block_rows(batches: Iterator[pa.RecordBatch], p: Params, base: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA, numbered from base, of batches (id, text)."""
+    pair = kept(p, lambda: Pair(p))
+    for serial, b in enumerate(by_weight(batches, 1, p.block, 1 << 20)):
+        codes, offsets, distinct = _coded(b.column(1))
+        made = [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        made += [aligned(pair, x.column(0).to_pylist()) for x in by_weight(iter([pa.RecordBatch.from_arrays([distinct], ["piece"])]), 0, 1_000_000, 10_000)]
+        tokens, sizes = (np.concatenate(x) for x in zip(*made, strict=True))
+        exact = _within((sizes == 0)[codes], offsets) == 0
+        often = np.bincount(codes[np.repeat(exact, np.diff(offsets))], minlength=len(sizes))
+        links = _within(tokens & 3 == 3, _bounds(sizes))
+        pairs, at = np.unique(_pairs(tokens), return_inverse=True)
+        counts = np.bincount(at, np.repeat(often, links), len(pairs)).astype(np.int64)
+        lists = [_one(b.column(0)), _one(pa.array(offsets.astype(np.int32))), _one(pa.array(exact)), pa.array([_packed(codes)]), pa.array([_packed(tokens)]), _one(pa.array(sizes.astype(np.int32))), _one(pa.array(pairs)), _one(pa.array(counts))]
+        yield pa.RecordBatch.from_arrays([pa.array([base + serial]), *lists], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:
@@ -151,65 +173,52 @@ def pair_counts(linked: DataFrame) -> DataFrame:
     return counts.join(most, "link_b").select("link_a", "link_b", "count", (F.col("count") == F.col("_most")).cast("long").alias("best"))
 
 
-#: Between the ids of a group's second side until documents are counted; those of the first have commas.
-SECOND = " "
-
-
 def align(docs: DataFrame, p: Params) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of docs (doc_id, text); groups is `a1,a2|b1;a3|b2,b3`."""
     text = F.when(F.length("text") > 0, F.concat(F.lit(" "), "text"))
-    made = blocks(docs.select(F.col("doc_id").cast("long"), F.lit(True).alias("flag"), text.alias("text")), blank_cut, p.block, "aligned")
-    distinct = pieces_of(made).groupBy("piece").agg(F.sum("n").alias("n"))
-    tokenised = stash(tokens(distinct, p).withColumn("wid", F.monotonically_increasing_id()), "tokens")
-    joined = lambda c, by: F.array_join(F.transform(c, lambda i: i.cast("string")), by)
-    group = F.struct("group", F.concat(joined("a", ","), F.lit("|"), joined("b", SECOND)).alias("text"), "link_a", "link_b")
-    exact, bad = tokenised.where("exact"), tokenised.where("not exact")
-    if bad.count():
-        gone = stash(_inexact(made, bad), "inexact")
-        gone = F.broadcast(gone) if gone.count() <= p.most_pairs else gone
-        exact = exact.join(gone, "piece", "left").withColumn("n", F.col("n") - F.coalesce("_gone", F.lit(0)))
-    whole = links(aligned(exact, ("piece", "n"))).groupBy("wid", "piece", "n").agg(F.array_sort(F.collect_list(group)).alias("g"))
-    whole = whole.select("piece", "n", F.array_join(F.col("g.text"), ";").alias("groups"), F.transform("g", lambda x: F.struct(x["link_a"], x["link_b"])).alias("links"))
-    whole = stash(whole, "groups")
-    discard(tokenised)
-    counts = stash(pair_counts(whole.select("n", F.inline("links").alias("link_a", "link_b"))), "pairs")
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+    made = stash(rows.mapInArrow(lambda batches: block_rows(batches, p, TaskContext.get().partitionId() << 32), SCHEMA), "aligned")
+    linked = pieces_of(made).select(F.shiftright("piece", 32).alias("link_a"), F.col("piece").bitwiseAND(F.lit(0xFFFFFFFF)).alias("link_b"), "n")
+    counts = stash(pair_counts(linked).select(F.shiftleft("link_a", 32).bitwiseOR(F.col("link_b")).alias("piece"), "count", "best"), "pairs")
     small = F.broadcast(counts) if counts.count() <= p.most_pairs else counts
-    linked = whole.repartition("piece").select("piece", "groups", F.inline("links").alias("link_a", "link_b"))
-    values = linked.join(small, ["link_a", "link_b"]).groupBy("piece", "groups").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    return _documents(attached(made, ["ids", "offsets", "codes"], values, VALUES, in_task=1))
-
-
-def _inexact(made: DataFrame, bad: DataFrame) -> DataFrame:
-    """(piece, _gone): how often each piece occurs in documents that have a piece of bad."""
-    where = pieces_of(made).join(bad.select("piece"), "piece", "left_semi").groupBy("block").agg(F.collect_set("code").alias("_bad"))  # bounded by a block
-    hit = made.join(where, "block").select("pieces", "_bad", F.explode(_slices()).alias("own")).where(F.arrays_overlap("own", "_bad"))
-    return hit.select(F.explode(F.transform("own", lambda c: F.get("pieces", c))).alias("piece")).groupBy("piece").agg(F.count("*").alias("_gone"))
-
-
-def _slices() -> Column:
-    """The codes of each document of a block."""
-    at = F.sequence(F.lit(0), F.size("ids") - 1)
-    return F.transform(at, lambda i: F.slice("codes", F.get("offsets", i) + 1, F.get("offsets", i + 1) - F.get("offsets", i)))
-
-
-def _documents(valued: DataFrame) -> DataFrame:
-    """The documents' numbers from blocks with the values of their pieces by code; inexact pieces have none."""
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("n_best"), zero.alias("count_sum"), F.lit(True).alias("ok"))
-
-    def document(own: Column, i: Column) -> Column:
-        add = lambda acc, c: [(acc[x] + F.get(x, c)).alias(x) for x in ("n_best", "count_sum")]
-        sums = F.aggregate(own, start, lambda acc, c: F.struct(*add(acc, c), (acc["ok"] & F.get("groups", c).isNotNull()).alias("ok")))
-        text = F.array_join(F.transform(own, lambda c: F.get("groups", c)), ";")
-        return F.struct(F.get("ids", i).alias("doc_id"), sums.alias("s"), text.alias("groups"))
-
-    rows = valued.select(F.inline(F.transform(_slices(), document)))
-    ok, often = F.col("s.ok"), lambda sign: F.length("groups") - F.length(F.replace("groups", F.lit(sign)))
-    n_groups = F.when(ok, often("|")).otherwise(0).cast("long")
-    side = lambda sign: F.when(ok, often("|") + often(sign)).otherwise(0).cast("long")
-    number = lambda c: F.when(ok, F.col(c)).otherwise(0)
-    text = F.when(ok, F.translate("groups", SECOND, ",")).otherwise("")
-    return rows.select("doc_id", side(",").alias("n_a"), side(SECOND).alias("n_b"), n_groups.alias("n_groups"), n_groups.alias("n_links"), number("s.n_best").alias("n_best"), number("s.count_sum").alias("count_sum"), text.alias("groups"))
+    valued = attached(made, ["ids", "offsets", "exact", "codes", "tokens", "sizes"], small, ("best", "count"), in_task=1)
+    return valued.mapInArrow(_documents, f"doc_id long, {', '.join(f'{x} long' for x in NUMBERS)}, groups string")
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents' numbers and groups, of blocks with the values of their pairs; inexact documents have none."""
+    let_go()
+    for b in batches:
+        for i in range(b.num_rows):
+            yield from _of_block({c: x[i] for c, x in zip(b.schema.names, b.columns, strict=True)})
+
+
+def _of_block(row: dict[str, pa.Scalar]) -> Iterator[pa.RecordBatch]:
+    offsets, sizes = (row[x].values.to_numpy() for x in ("offsets", "sizes"))
+    exact, bounds = row["exact"].values.to_numpy(zero_copy_only=False), _bounds(sizes)
+    codes, tokens = unpacked(row["codes"].as_buffer(), int(offsets[-1])), unpacked(row["tokens"].as_buffer(), int(bounds[-1]))
+    sign, at = tokens & 3, np.unique(_pairs(tokens), return_inverse=True)[1]
+    groups = _within(sign == 3, bounds)
+    of_links = [_within(row[x].values.to_numpy()[at], _bounds(groups)) if len(at) else groups for x in ("best", "count")]
+    values = [_within(sign < 2, bounds), _within(sign > 1, bounds), groups, groups, *of_links]
+    signed = [f"{t >> 2}{SIGNS[t & 3]}" for t in range(int(tokens.max(initial=0)) + 1)]
+    lengths = _within(np.array(list(map(len, signed)))[tokens], bounds)
+    written = pa.array(signed, pa.large_string()).take(pa.array(tokens))
+    pieces = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(_bounds(lengths)), _data(written))
+    lo = 0
+    while lo < len(exact):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + WRITTEN, "right")) - 1)
+        each = np.diff(offsets[lo : hi + 1])
+        own, ends = codes[offsets[lo] : offsets[hi]][np.repeat(exact[lo:hi], each)], _bounds(each * exact[lo:hi])
+        text = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(_bounds(lengths[own])[ends]), _data(pieces.take(pa.array(own))))
+        columns = [row["ids"].values[lo:hi], *(pa.array(_within(v[own], ends)) for v in values), pc.ascii_rtrim(text, ";").cast(pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", *NUMBERS, "groups"])
+        lo = hi
+
+
+def _data(texts: pa.Array) -> pa.Buffer:
+    """The texts' bytes in a row, of an array that begins at its first."""
+    return texts.buffers()[2] or pa.py_buffer(b"")
 
 
 def digests(docs: DataFrame, p: Params) -> DataFrame:

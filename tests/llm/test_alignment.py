@@ -3,9 +3,15 @@
 import collections
 import hashlib
 import json
+import random
+import subprocess
+import sys
 from bisect import bisect_right
+from pathlib import Path
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from basewise.llm import alignment, queries
@@ -92,3 +98,63 @@ def test_registered_query_equals_whole_texts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     expected = sorted((d.doc_id, *x[:-1], x[-1] and hashlib.sha256(x[-1].encode()).hexdigest()) for d, x in zip(docs, plainly([d.text for d in docs]), strict=True))
     assert sorted(tuple(r) for r in queries.queries()["op13_token_alignment"](spark, small).collect()) == expected
+
+
+def invented(n, words, seed=1):
+    """Texts of words that hardly occur twice."""
+    r = random.Random(seed)
+    return [" ".join("".join(r.choice("abcdeiklmnorstu") for _ in range(r.randint(2, 9))) for _ in range(words)) for _ in range(n)]
+
+
+def test_tables_are_no_larger_than_invented_words(spark, monkeypatch):
+    """What is written before the result, of texts nearly all of whose words are distinct."""
+    written, stash = [], alignment.stash
+
+    def weighed(df, name):
+        made = stash(df, name)
+        written.append(sum(Path(f.removeprefix("file:")).stat().st_size for f in made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(alignment, "stash", weighed)
+    texts = invented(100, 1_000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert alignment.digests(docs, alignment.Params(A, B)).count() == 100
+    assert sum(written) < 2 * sum(map(len, texts))
+
+
+PEAK = """
+import sys
+import pyarrow as pa
+from basewise.llm import alignment
+p = alignment.Params(*sys.argv[1:3])
+words = [f" {i * 7919 % 90001:x}z{i % 1013}" for i in range(300_000)]
+texts = ["".join(words[(k * 311 + i * 17) % 300_000] for i in range(400)) for k in range(6_000)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(6_000)), pa.array(texts)], ["id", "text"])
+del words, texts
+def most():
+    return next(int(x.split()[1]) >> 10 for x in open("/proc/self/status") if x.startswith("VmHWM"))
+alignment.kept(p, lambda: alignment.Pair(p))
+before = most()
+n = sum(x.num_rows for x in alignment.block_rows(iter([batch]), p))
+print(n, batch.nbytes, most() - before)
+"""
+
+
+def test_a_block_takes_few_times_its_bytes():
+    """A worker's peak over one block, beyond the tokenizers and the text."""
+    done = subprocess.run([sys.executable, "-c", PEAK, A, B], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True)
+    rows, size, peak = map(int, done.stdout.split())
+    assert rows == 1 and size > 20_000_000 and peak < 14 * size / 1e6
+
+
+@pytest.mark.parametrize(("cut", "written"), [(4_000_000, 500_000), (7, 3), (1, 1)])
+def test_texts_cut_and_written_a_few_at_a_time(monkeypatch, cut, written):
+    monkeypatch.setattr(alignment, "CUT", cut)
+    monkeypatch.setattr(alignment, "WRITTEN", written)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(TEXTS))), pa.array([t and " " + t for t in TEXTS])], ["id", "text"])
+    (made,) = alignment.block_rows(iter([rows]), alignment.Params(A, B))
+    n = len(made["counts"][0])
+    values = pa.array([np.ones(n, np.int64)])
+    whole = pa.RecordBatch.from_arrays([*made.columns, values, values], [*made.schema.names, "best", "count"])
+    got = [tuple(r.values()) for b in alignment._documents(iter([whole])) for r in b.to_pylist()]
+    assert got == [(i, *x[:4], x[3], x[3], x[6]) for i, x in enumerate(plainly(TEXTS))]
