@@ -138,6 +138,12 @@ def _pairs(tokens: np.ndarray) -> np.ndarray:
     return ids[sign == 1] << 32 | ids[sign == 3]
 
 
+def _summed(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs in order, and the sum of the n of each."""
+    distinct, at = np.unique(pairs, return_inverse=True)
+    return distinct, np.bincount(at, n, len(distinct)).astype(np.int64)
+
+
 def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Codes of the texts' pieces, the texts' offsets in them, and the distinct pieces. Texts are cut a few at a time: cutting takes many times their bytes."""
     parts, ends = [], [np.zeros(1, np.int64)]
@@ -154,14 +160,15 @@ def block_rows(batches: Iterator[pa.RecordBatch], p: Params, base: int = 0) -> I
     pair = kept(p, lambda: Pair(p))
     for serial, b in enumerate(by_weight(batches, 1, p.block, 1 << 20)):
         codes, offsets, distinct = _coded(b.column(1))
-        made = [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        made = [(np.empty(0, np.int32), np.empty(0, np.int64))]  # a few pieces at a time, for their links too
         made += [aligned(pair, x.column(0).to_pylist()) for x in by_weight(iter([pa.RecordBatch.from_arrays([distinct], ["piece"])]), 0, 1_000_000, 10_000)]
         tokens, sizes = (np.concatenate(x) for x in zip(*made, strict=True))
-        exact = _within((sizes == 0)[codes], offsets) == 0
-        often = np.bincount(codes[np.repeat(exact, np.diff(offsets))], minlength=len(sizes))
-        links = _within(tokens & 3 == 3, _bounds(sizes))
-        pairs, at = np.unique(_pairs(tokens), return_inverse=True)
-        counts = np.bincount(at, np.repeat(often, links), len(pairs)).astype(np.int64)
+        exact = np.ones(b.num_rows, bool)
+        exact[np.searchsorted(offsets, np.flatnonzero((sizes == 0)[codes]), "right") - 1] = False
+        often = np.bincount(codes if exact.all() else codes[np.repeat(exact, np.diff(offsets))], minlength=len(sizes))
+        each = np.split(often, np.cumsum([len(x) for _, x in made[:-1]]))
+        links = [_summed(_pairs(t), np.repeat(n, _within(t & 3 == 3, _bounds(x)))) for (t, x), n in zip(made, each, strict=True)]
+        pairs, counts = _summed(*(np.concatenate(x) for x in zip(*links, strict=True)))
         lists = [_one(b.column(0)), _one(pa.array(offsets.astype(np.int32))), _one(pa.array(exact)), pa.array([_packed(codes)]), pa.array([_packed(tokens)]), _one(pa.array(sizes.astype(np.int32))), _one(pa.array(pairs)), _one(pa.array(counts))]
         yield pa.RecordBatch.from_arrays([pa.array([base + serial]), *lists], [x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -181,7 +188,7 @@ def align(docs: DataFrame, p: Params) -> DataFrame:
     linked = pieces_of(made).select(F.shiftright("piece", 32).alias("link_a"), F.col("piece").bitwiseAND(F.lit(0xFFFFFFFF)).alias("link_b"), "n")
     counts = stash(pair_counts(linked).select(F.shiftleft("link_a", 32).bitwiseOR(F.col("link_b")).alias("piece"), "count", "best"), "pairs")
     small = F.broadcast(counts) if counts.count() <= p.most_pairs else counts
-    valued = attached(made, ["ids", "offsets", "exact", "codes", "tokens", "sizes"], small, ("best", "count"), in_task=1)
+    valued = attached(made, ["ids", "offsets", "exact", "codes", "tokens", "sizes", "pieces"], small, ("best", "count"), in_task=1)
     return valued.mapInArrow(_documents, f"doc_id long, {', '.join(f'{x} long' for x in NUMBERS)}, groups string")
 
 
@@ -197,7 +204,7 @@ def _of_block(row: dict[str, pa.Scalar]) -> Iterator[pa.RecordBatch]:
     offsets, sizes = (row[x].values.to_numpy() for x in ("offsets", "sizes"))
     exact, bounds = row["exact"].values.to_numpy(zero_copy_only=False), _bounds(sizes)
     codes, tokens = unpacked(row["codes"].as_buffer(), int(offsets[-1])), unpacked(row["tokens"].as_buffer(), int(bounds[-1]))
-    sign, at = tokens & 3, np.unique(_pairs(tokens), return_inverse=True)[1]
+    sign, at = tokens & 3, np.searchsorted(row["pieces"].values.to_numpy(), _pairs(tokens))
     groups = _within(sign == 3, bounds)
     of_links = [_within(row[x].values.to_numpy()[at], _bounds(groups)) if len(at) else groups for x in ("best", "count")]
     values = [_within(sign < 2, bounds), _within(sign > 1, bounds), groups, groups, *of_links]
